@@ -55,6 +55,14 @@ def pairs(t: Tables) -> DataFrame:
     return C.join_article_summary(articles(t), summaries(t))
 
 
+SPLIT = dict(train=0.8, val=0.1, test=0.1, seed=42)
+
+
+def dataset(t: Tables) -> DataFrame:
+    """Pairs with an exact seeded train/validation/test split per language."""
+    return C.three_way_split(pairs(t), **SPLIT, by=["language"], key="article_id")
+
+
 def generations(t: Tables) -> DataFrame:
     """Two model outputs per pair, with the reference summary.
 
@@ -183,6 +191,14 @@ select a.article_id, a.doc_id, a.language, a.title, a.text, a.url, s.summary
 from articles a join summaries s on a.article_id = s.article_id and a.language = s.language
 where a.text is not null and regexp_replace(a.text, '^\\s+|\\s+$', '', 'g') <> ''
   and s.summary is not null and s.summary <> ''""",
+    "dataset": f"""
+select p.* exclude (r, n, nt),
+       case when r <= nt then 'test' when r <= nt + ceil((n - nt) * cast({repr(0.1 / 0.9)} as double))
+            then 'validation' else 'train' end as split
+from (select *, ceil(n * cast({repr(0.1 / 1.0)} as double)) as nt
+      from (select *, row_number() over (partition by language order by md5(concat('42:', article_id)), article_id) as r,
+                   count(*) over (partition by language) as n
+            from pairs) a) p""",
     "generations": """
 select article_id, language, 'base' as model, split_part(text, chr(10), 3) as generated,
        summary as reference, text from pairs
@@ -224,9 +240,9 @@ from embeddings""",
 }
 
 # dependency order for CTEs
-_ORDER = ["articles", "summaries", "pairs", "generations", "base_pages", "judge_responses",
+_ORDER = ["articles", "summaries", "pairs", "dataset", "generations", "base_pages", "judge_responses",
           "metric_log", "turn_pairs", "token_vectors"]
-_DEPS = {"pairs": ["articles", "summaries"], "generations": ["pairs"]}
+_DEPS = {"pairs": ["articles", "summaries"], "generations": ["pairs"], "dataset": ["pairs"]}
 
 
 def _closure(names):
@@ -244,4 +260,7 @@ def _closure(names):
 def with_fixtures(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the CTEs of the named fixtures (and their inputs)."""
     ctes = ",\n".join(f"{n} as ({SQL[n]})" for n in _closure(names))
+    body = sql.lstrip()
+    if body[:5].lower() == "with ":  # merge the query's own CTEs after the fixtures
+        return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{sql}"
