@@ -17,3 +17,23 @@ def profile_corpus(dataset: DataFrame, by=("language", "split"), tokenizer: str
     stats = PR.length_stats(dataset, by, tokenizer=tokenizer, approx=approx)
     copy = PR.copied_lead_ratio(dataset, by).select(*by, "copy_ratio")
     return stats.join(copy, list(by), "inner")
+
+
+def evaluation_report(gen: DataFrame, keys=("article_id", "language", "model"), by=("model",),
+                      with_lcs: bool = True) -> DataFrame:
+    """One row per model: mean ROUGE (1/2, and L when ``with_lcs``) plus
+    generated/reference length metrics.  Per-pair scores are aggregated per
+    model (partial aggregation), then the small per-model results are joined."""
+    from pyspark.sql import functions as F
+
+    from pairlab.operators import metrics as M
+    keys, by = list(keys), list(by)
+    scores = M.rouge_scores(gen, keys, (1, 2))
+    metrics = ["rouge1_f", "rouge2_f"]
+    if with_lcs:
+        scores = scores.join(M.rouge_l(gen, keys).select(*keys, "rougeL_f"), keys)
+        metrics.append("rougeL_f")
+    means = M.mean_rouge(scores, by, metrics).drop("n_rows")
+    lengths = PR.summary_length_metrics(gen, by).select(
+        *by, "avg_generated_words", "avg_reference_words", "length_ratio", "length_correlation")
+    return means.join(lengths, by)
