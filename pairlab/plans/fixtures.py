@@ -130,14 +130,21 @@ def judge_responses(t: Tables) -> DataFrame:
 
 
 def metric_log(t: Tables) -> DataFrame:
-    """(run, metric, step, value): per event type an ordered metric series."""
-    from pairlab.operators.ranking import numeric_bucket, ranked
-    e = t.events.select(F.col("event_type").alias("run"), F.lit("value").alias("metric"),
-                        "ts", "event_id", "value")
-    bucket = numeric_bucket(e.withColumn("_t", F.unix_micros("ts")), "_t")
-    e = e.withColumn("_t", F.unix_micros("ts"))
-    r = ranked(e, ["run", "metric"], [F.col("ts"), F.col("event_id")], bucket, name="step")
-    return r.select("run", "metric", "step", "value")
+    """(run, metric, step, value): one evaluation series per user and event
+    type, steps numbered in time order.  Runs grow in number with the data,
+    each run stays a short evaluation log."""
+    from pyspark.sql import Window
+    e = t.events
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    return e.select(F.col("user_id").alias("run"), F.col("event_type").alias("metric"),
+                    F.row_number().over(w).cast("bigint").alias("step"), "value")
+
+
+def generation_log(t: Tables) -> DataFrame:
+    """Per-batch generation log: (language, batch_start, n_rows, seconds)."""
+    e = t.events
+    return (e.groupBy(F.col("event_type").alias("language"), F.date_trunc("hour", "ts").alias("batch_start"))
+            .agg(F.count(F.lit(1)).alias("n_rows"), F.sum("value").alias("seconds")))
 
 
 def turn_pairs(t: Tables) -> DataFrame:
@@ -226,9 +233,12 @@ select doc_id, lang as language,
        end as response
 from documents""",
     "metric_log": """
-select event_type as run, 'value' as metric,
-       row_number() over (partition by event_type order by ts, event_id) as step, value
+select user_id as run, event_type as metric,
+       row_number() over (partition by user_id, event_type order by ts, event_id) as step, value
 from events""",
+    "generation_log": """
+select event_type as language, date_trunc('hour', ts) as batch_start, count(*) as n_rows, sum(value) as seconds
+from events group by all""",
     "turn_pairs": """
 select u.conv_id, u.turn, u.text as text, a.text as summary
 from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1
@@ -241,7 +251,7 @@ from embeddings""",
 
 # dependency order for CTEs
 _ORDER = ["articles", "summaries", "pairs", "dataset", "generations", "base_pages", "judge_responses",
-          "metric_log", "turn_pairs", "token_vectors"]
+          "metric_log", "generation_log", "turn_pairs", "token_vectors"]
 _DEPS = {"pairs": ["articles", "summaries"], "generations": ["pairs"], "dataset": ["pairs"]}
 
 
@@ -261,6 +271,8 @@ def with_fixtures(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the CTEs of the named fixtures (and their inputs)."""
     ctes = ",\n".join(f"{n} as ({SQL[n]})" for n in _closure(names))
     body = sql.lstrip()
+    if body[:15].lower() == "with recursive ":
+        return f"with recursive {ctes},\n{body[15:]}"
     if body[:5].lower() == "with ":  # merge the query's own CTEs after the fixtures
         return f"with {ctes},\n{body[5:]}"
     return f"with {ctes}\n{sql}"
