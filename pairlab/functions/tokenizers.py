@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,8 +59,6 @@ def tokenizer_udf(fn: Callable[[str], list[str]], name: str | None = None):
     tokenizer is also registered for every operator that takes a
     ``tokenizer=`` argument.
     """
-    import pandas as pd
-
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def _tok(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else list(fn(t)))
