@@ -88,7 +88,8 @@ def base_pages(t: Tables) -> DataFrame:
     return d.select(T.first_line("text").alias("name"), F.col("source").alias("category"),
                     F.substring(F.col("source"), 4, 10).cast("int").alias("category_rank"),
                     F.col("doc_id").alias("pos"),
-                    F.when(F.col("n_chars") < 100, F.lit(1)).otherwise(F.lit(0)).alias("namespace"))
+                    F.when(F.col("n_chars") < 100, F.lit(1)).otherwise(F.lit(0)).alias("namespace"),
+                    F.col("lang").alias("language"))
 
 
 def lang_pages(t: Tables) -> DataFrame:
@@ -216,7 +217,7 @@ select article_id, language, 'finetuned' as model,
     "base_pages": """
 select split_part(text, chr(10), 1) as name, source as category,
        cast(substr(source, 4, 10) as integer) as category_rank, doc_id as pos,
-       case when n_chars < 100 then 1 else 0 end as namespace
+       case when n_chars < 100 then 1 else 0 end as namespace, lang as language
 from documents""",
     "judge_responses": """
 select doc_id, lang as language,

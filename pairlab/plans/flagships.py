@@ -37,3 +37,77 @@ def evaluation_report(gen: DataFrame, keys=("article_id", "language", "model"),
     lengths = PR.summary_length_metrics(gen, by).select(
         *by, "avg_generated_words", "avg_reference_words", "length_ratio", "length_correlation")
     return means.join(lengths, by)
+
+
+def build_parallel_corpus(pages: DataFrame, links: DataFrame, lang_pages: DataFrame, languages,
+                          base_lang: str = "en", per_category: int = 30, min_len: int = 1000,
+                          max_sets: int | None = None) -> DataFrame:
+    """Category scan -> parallel article sets.
+
+    cap_per_category -> dedupe_first_seen -> filter_namespace ->
+    resolve_langlinks -> filter_min_length -> parallel_complete -> article_id
+    -> first ``max_sets`` sets in scan order.  Every step is a partial
+    aggregate, a window over bounded groups or an equi-join.
+
+    ``pages``: (name, category, category_rank, pos, namespace, language);
+    ``links``: (page, lang, target, position); ``lang_pages``: (language,
+    title, doc_id, text).
+    """
+    from pyspark.sql import functions as F
+
+    from pairlab.functions import text as T
+    from pairlab.operators import corpus as C
+    base_pages = pages.filter(F.col("language") == base_lang)
+    capped = C.cap_per_category(base_pages, per_category).drop("rank")
+    seen = C.filter_namespace(C.dedupe_first_seen(capped, "name", ("category_rank", "pos")))
+    base = seen.select(F.col("name").alias("page"), "category_rank", "pos")
+    # the base page is its own base-language "link" (listed first, so a real
+    # link to another base-language page would override it, as in the scan)
+    own = base.select("page", F.lit(base_lang).alias("lang"), F.col("page").alias("target"),
+                      F.lit(-1).cast("bigint").alias("position"))
+    all_links = links.select("page", "lang", "target", F.col("position").cast("bigint")).unionByName(own)
+    rows = C.resolve_langlinks(base, all_links, lang_pages).select("page", "lang", "doc_id", "text")
+    sets = C.parallel_complete(rows, languages, id_col="page", lang_col="lang", min_len=min_len)
+    if max_sets is not None:
+        first = C.limit_in_order(base.join(sets.select("page").distinct(), "page", "left_semi"),
+                                 max_sets, ["category_rank", "pos", "page"]).select("page")
+        sets = sets.join(first, "page", "left_semi")
+    return sets.select(T.article_id("page").alias("article_id"), "page", F.col("lang").alias("language"), "doc_id")
+
+
+def build_pair_dataset(articles: DataFrame, summaries: DataFrame, per_language: int | None = None,
+                       order: str = "doc_id", train: float = 0.8, val: float = 0.1, test: float = 0.1,
+                       seed: int = 42) -> DataFrame:
+    """join_article_summary -> (cap_per_language) -> three_way_split."""
+    from pairlab.operators import corpus as C
+    pairs = C.join_article_summary(articles, summaries)
+    if per_language is not None:
+        pairs = C.cap_per_language(pairs, per_language, order=(order,)).drop("rank")
+    return C.three_way_split(pairs, train, val, test, seed, by=["language"], key="article_id")
+
+
+def clean_summaries(summaries: DataFrame, col: str = "summary") -> DataFrame:
+    """Keep only the first line of every summary."""
+    from pairlab.functions import text as T
+    return summaries.withColumn(col, T.first_line(col))
+
+
+def evaluate_models(df: DataFrame, generators: dict, keys, prompt: str = "prompt",
+                    reference: str = "reference") -> DataFrame:
+    """Every model on the same rows -> per-model ROUGE and length report."""
+    from pairlab.operators import generate as G
+    gen = G.compare_models(df, generators, keys, prompt, reference)
+    keys = list(keys)
+    withref = gen.join(df.select(*keys, reference), keys)
+    return evaluation_report(withref.select(*keys, "model", "generated", reference)
+                             .withColumnRenamed(reference, "reference"), keys=keys + ["model"], with_lcs=False)
+
+
+def judge_report(comparisons: DataFrame, make_judge, by=("language",)) -> DataFrame:
+    """comparisons (title, reference, base, finetuned) -> judge -> statistics."""
+    from pairlab.functions import prompts as P
+    from pairlab.operators import generate as G
+    from pairlab.operators import judge as J
+    j = comparisons.withColumn("judge_prompt", P.judge_prompt("title", "reference", "base", "finetuned"))
+    judged = G.judge_batch(j, make_judge)
+    return J.judge_statistics(judged, by)
