@@ -40,12 +40,17 @@ def read_article_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _per_file_json(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    return (spark.read.schema(schema).option("multiLine", True)
-            .option("columnNameOfCorruptRecord", "_corrupt_record")
-            .option("pathGlobFilter", "*.json")
-            .json(os.path.join(root, "*", "*.json"))
-            .withColumn("_path", F.col("_metadata.file_path"))
-            .filter(~F.col("_path").endswith("/" + COMPLETED_FILE))
+    """One row per ``{root}/{lang}/{id}.json`` file, parsed with ``schema``.
+
+    Files are read whole (``wholetext``) and parsed with ``from_json``; a
+    malformed file keeps its text in ``_corrupt_record``.
+    """
+    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json")
+           .text(os.path.join(root, "*", "*.json"))
+           .withColumn("_path", F.col("_metadata.file_path"))
+           .filter(~F.col("_path").endswith("/" + COMPLETED_FILE)))
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return (raw.select("_path", parsed.alias("_j")).select("_path", "_j.*")
             .withColumn("_language", F.regexp_extract("_path", _PATH_RE, 1))
             .withColumn("_id", F.regexp_extract("_path", _PATH_RE, 2)))
 
@@ -74,14 +79,6 @@ def read_summaries(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
     return good, bad
 
 
-def read_completed(spark: SparkSession, root: str) -> DataFrame:
-    """Completed-id tracking files -> (language, article_id) key table."""
-    raw = (spark.read.schema("completed_article_ids ARRAY<STRING>, total_completed BIGINT")
-           .option("multiLine", True).json(os.path.join(root, "*", COMPLETED_FILE))
-           .withColumn("language", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)))
-    return raw.select("language", F.explode("completed_article_ids").alias("article_id"))
-
-
 def read_split_dataset(spark: SparkSession, root: str, language: str | None = None,
                        split: str | None = None) -> DataFrame:
     """Load the (language, split) dataset; the filters prune partitions.
