@@ -232,3 +232,8 @@ def judge_messages(title: ColLike, reference: ColLike, a: ColLike, b: ColLike) -
 def sql_literal(s: str) -> str:
     """A string as an SQL literal (for the oracle side)."""
     return "'" + s.replace("'", "''") + "'"
+
+
+def sql_values_templates(variant: str = "generate") -> str:
+    """The template table as an SQL VALUES list (oracle side)."""
+    return "values " + ", ".join(f"({sql_literal(l)}, {sql_literal(t)})" for l, _, t in template_rows(variant))

@@ -279,15 +279,12 @@ def three_way_split(df: DataFrame, train: float = 0.8, val: float = 0.1, test: f
     """
     by = list(by)
     h = seeded_order(df, seed, key)
-    r = ranked(h, by, [F.col("_h"), F.col(key)], hex_bucket(F.col("_h")), name="_rank")
-    sizes = h.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    r = ranked(h, by, [F.col("_h"), F.col(key)], hex_bucket(F.col("_h")), name="_rank", total="_n")
     n_test, n_val = split_sizes(F.col("_n"), train, val, test)
-    sizes = sizes.select(*by, n_test.alias("_nt"), n_val.alias("_nv"))
-    out = r.join(sizes, by, "inner")
-    return (out.withColumn(split_col, F.when(F.col("_rank") <= F.col("_nt"), F.lit("test"))
-                           .when(F.col("_rank") <= F.col("_nt") + F.col("_nv"), F.lit("validation"))
-                           .otherwise(F.lit("train")))
-            .drop("_h", "_rank", "_nt", "_nv"))
+    return (r.withColumn(split_col, F.when(F.col("_rank") <= n_test, F.lit("test"))
+                         .when(F.col("_rank") <= n_test + n_val, F.lit("validation"))
+                         .otherwise(F.lit("train")))
+            .drop("_h", "_rank", "_n"))
 
 
 def split_counts(df: DataFrame, language: str = "language", split: str = "split") -> DataFrame:

@@ -130,19 +130,33 @@ def overlap_judge() -> GeneratorFactory:
     return make
 
 
-def compare_models(df: DataFrame, generators: dict[str, GeneratorFactory], keys: Sequence[str],
-                   prompt: str = "prompt", reference: str = "reference", on_error: str = "message") -> DataFrame:
-    """Run every model's generator on the same rows and score each output
-    with ROUGE-1/2 against the reference.  Output: one row per (row, model)."""
-    from pairlab.operators import metrics as M
+def generate_all(df: DataFrame, generators: dict[str, GeneratorFactory], keys: Sequence[str],
+                 prompt: str = "prompt", reference: str = "reference", on_error: str = "message",
+                 materialise: bool = True) -> DataFrame:
+    """keys + model + generated + reference for every model on the same rows.
+
+    With ``materialise`` the outputs are checkpointed once to the shared
+    checkpoint folder, so later steps never re-run a generator.
+    """
+    from pairlab.session import cut_lineage
     keys = list(keys)
     outs = []
     for name, make in generators.items():
         g = generate_batch(df.select(*keys, prompt, reference), make, prompt, "generated", on_error)
-        outs.append(g.withColumn("model", F.lit(name)))
+        outs.append(g.withColumn("model", F.lit(name)).drop(prompt))
     gen = outs[0]
     for o in outs[1:]:
         gen = gen.unionByName(o)
+    return cut_lineage(gen) if materialise else gen
+
+
+def compare_models(df: DataFrame, generators: dict[str, GeneratorFactory], keys: Sequence[str],
+                   prompt: str = "prompt", reference: str = "reference", on_error: str = "message") -> DataFrame:
+    """Run every model's generator on the same rows and score each output
+    with ROUGE-1/2 against the reference.  Output: one row per (row, model)."""
+    from pairlab.operators import metrics as M
+    keys = list(keys)
+    gen = generate_all(df, generators, keys, prompt, reference, on_error)
     k = keys + ["model"]
     scores = M.rouge_scores(gen, k, (1, 2), reference=reference)
     return gen.select(*k, "generated").join(scores, k)

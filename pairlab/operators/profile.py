@@ -43,11 +43,14 @@ def _pct(x: str, qs: Sequence[float], approx: bool) -> Column:
 
 def length_stats(df: DataFrame, by: Sequence[str] = ("language", "split"), text: str = "text",
                  summary: str = "summary", tokenizer: str = "wordpunct",
-                 approx: bool = False) -> DataFrame:
+                 approx: bool = False, with_copy_ratio: bool = False) -> DataFrame:
     """Per group: token mean/median/std/min/max/p95/p99 (text, summary), word
-    mean/median/min/max, compression mean/median (tokens, words), count."""
+    mean/median/min/max, compression mean/median (tokens, words), count
+    (and the copied-lead ratio in the same aggregation when asked)."""
     f = length_features(df, text, summary, tokenizer)
     aggs = [F.count(F.lit(1)).alias("count")]
+    if with_copy_ratio:
+        aggs.append(F.avg(T.copied_lead_flag(text, summary).cast("double")).alias("copy_ratio"))
     for c in ("text_tokens", "summary_tokens"):
         aggs += [F.avg(c).alias(f"{c}_mean"), _pct(c, PCTS, approx).alias(f"_{c}_p"),
                  F.stddev_samp(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"),
@@ -68,6 +71,8 @@ def length_stats(df: DataFrame, by: Sequence[str] = ("language", "split"), text:
                 f"{c}_min", f"{c}_max"]
     for n in ("tokens", "words"):
         out += [f"compression_{n}_mean", F.col(f"_cmp_{n}_p")[0].cast("double").alias(f"compression_{n}_median")]
+    if with_copy_ratio:
+        out.append("copy_ratio")
     return g.select(*out)
 
 

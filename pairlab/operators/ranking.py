@@ -60,19 +60,24 @@ def _offsets(bucketed: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Column,
-           name: str = "rank", limit: int | None = None) -> DataFrame:
+           name: str = "rank", limit: int | None = None, total: str | None = None) -> DataFrame:
     """Add ``name`` = exact 1-based row_number within ``by`` in ``order``.
 
     ``bucket`` must be non-decreasing along ``order``.  With ``limit`` only
     rows of rank <= limit are kept, and whole buckets beyond the limit are
-    dropped before the per-bucket sort.
+    dropped before the per-bucket sort.  With ``total`` the group size is
+    added as that column (summed from the same bucket counts: no extra scan).
     """
     by = list(by)
     b = df.withColumn("_bucket", bucket)
     offs = _offsets(b, by)
+    keep = [*by, "_bucket", "_offset"]
+    if total:
+        offs = offs.withColumn(total, F.sum("_bucket_n").over(Window.partitionBy(*by)))
+        keep.append(total)
     if limit is not None:
         offs = offs.filter(F.col("_offset") < limit)
-    joined = b.join(offs.select(*by, "_bucket", "_offset"), by + ["_bucket"], "inner")
+    joined = b.join(offs.select(*keep), by + ["_bucket"], "inner")
     w = Window.partitionBy(*by, "_bucket").orderBy(*order)
     out = joined.withColumn(name, (F.col("_offset") + F.row_number().over(w)).cast("bigint"))
     if limit is not None:

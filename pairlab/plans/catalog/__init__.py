@@ -4,7 +4,7 @@ from pairlab.plans.catalog import base  # noqa: F401
 from pairlab.plans.catalog import text  # noqa: F401
 from pairlab.plans.catalog.base import ORACLE, REGISTRY  # noqa: F401
 
-for _m in ("profile", "corpus", "metrics", "judge", "examples", "logs", "generate", "io", "flagship"):
+for _m in ("profile", "corpus", "metrics", "judge", "examples", "prompts", "logs", "generate", "io", "flagship"):
     try:
         __import__(f"pairlab.plans.catalog.{_m}")
     except ModuleNotFoundError as e:  # modules are added incrementally

@@ -186,3 +186,71 @@ def incremental_generate(t):
     for _ in range(2):
         INC.incremental_generate(t.spark, todo, ["article_id", "language"], G.lead_sentences(2), out)
     return t.spark.read.parquet(out)
+
+
+@register("write_split_dataset", rsql("select article_id, language, split from dataset", "", ("dataset",)))
+def write_split_dataset(t):
+    path = _fresh(t, "split_dataset")
+    W.write_split_dataset(FX.dataset(t).select("article_id", "language", "split"), path)
+    return t.spark.read.parquet(path).select("article_id", "language", "split")
+
+
+@register("rewrite_or_copy", rsql("select article_id, language, split_part(summary, chr(10), 1) as summary from summaries",
+                                  "", ("summaries",)))
+def rewrite_or_copy(t):
+    """Clean summaries in place: staging copy + directory swap."""
+    from pairlab.plans.flagships import clean_summaries
+    path = _fresh(t, "summaries_inplace")
+    FX.summaries(t).select("article_id", "language", "summary").write.parquet(path)
+    W.rewrite_or_copy(clean_summaries(t.spark.read.parquet(path)), path)
+    return t.spark.read.parquet(path)
+
+
+@register("write_comparison_report", rsql(f"""
+select s.article_id, s.language, s.model, g.generated, s.rouge1_f, s.rouge2_f
+from ({__import__('pairlab.plans.catalog.metrics', fromlist=['rouge_sql']).rouge_sql('generations', GKEYS)}) s
+join generations g using (article_id, language, model)""", "rouge1_f,rouge2_f", ("generations",)))
+def write_comparison_report(t):
+    path = _fresh(t, "report")
+    g = FX.generations(t)
+    rows = g.select(*GKEYS, "generated").join(M.rouge_scores(g, GKEYS).select(*GKEYS, "rouge1_f", "rouge2_f"), GKEYS)
+    W.write_comparison_report(rows, path, {"models": ["base", "finetuned"]}, M.mean_rouge(rows))
+    return t.spark.read.parquet(os.path.join(path, "comparisons"))
+
+
+_JUDGE_N = 20
+
+
+@register("read_judge_results", rsql(f"""
+with w as (select article_id, language, max(generated) filter (where model = 'base') as a,
+                  max(generated) filter (where model = 'finetuned') as b, max(reference) as reference
+           from generations group by all),
+r as (select *, row_number() over (partition by language order by article_id) - 1 as idx from w)
+select 'overlap-judge' as judge_model, language, 'test' as subset, idx as "index", article_id as title,
+       cast({__import__('pairlab.plans.catalog.generate', fromlist=['_overlap_sql'])._overlap_sql('a')} as double)
+         as base_score,
+       cast({__import__('pairlab.plans.catalog.generate', fromlist=['_overlap_sql'])._overlap_sql('b')} as double)
+         as finetuned_score
+from r where idx < {_JUDGE_N}""", "base_score,finetuned_score", ("generations",)))
+def read_judge_results(t):
+    """Judge the first n pairs per language, write one result file per run
+    (the reference's layout, n bounds each file) and read all files back."""
+    from pyspark.sql import Window
+
+    from pairlab.functions import prompts as P
+    from pairlab.plans.catalog.generate import _judge_input
+    path = _fresh(t, "judge_files")
+    j = _judge_input(t)
+    w = Window.partitionBy("language").orderBy("article_id")
+    j = j.withColumn("index", (F.row_number().over(w) - 1).cast("bigint")).filter(F.col("index") < _JUDGE_N)
+    j = j.withColumn("judge_prompt", P.judge_prompt("title", "reference", "a", "b"))
+    judged = G.judge_batch(j, G.overlap_judge())
+    docs = (judged.groupBy("language").agg(F.sort_array(F.collect_list(F.struct(
+        "index", F.col("article_id").alias("title"), "base_score", "finetuned_score", "explanation",
+        "improvement"))).alias("evaluation_results"))
+        .select("language", F.lit("overlap-judge").alias("model"),
+                F.create_map(F.lit("language"), F.col("language"), F.lit("subset"), F.lit("test")).alias("config"),
+                "evaluation_results", F.col("language").alias("run")))
+    docs.write.partitionBy("run").json(path)
+    back = R.read_judge_results(t.spark, os.path.join(path, "run=*", "*.json"))
+    return back.select("judge_model", "language", "subset", "index", "title", "base_score", "finetuned_score")

@@ -9,14 +9,9 @@ from pairlab.operators import profile as PR
 
 def profile_corpus(dataset: DataFrame, by=("language", "split"), tokenizer: str = "wordpunct",
                    approx: bool = False) -> DataFrame:
-    """Length statistics + copied-lead ratio per (language, split).
-
-    Both are aggregates over the same grouping; the two small results are
-    joined (one row per group each).
-    """
-    stats = PR.length_stats(dataset, by, tokenizer=tokenizer, approx=approx)
-    copy = PR.copied_lead_ratio(dataset, by).select(*by, "copy_ratio")
-    return stats.join(copy, list(by), "inner")
+    """Length statistics + copied-lead ratio per (language, split): one scan,
+    one aggregation (the exchange carries partial buffers only)."""
+    return PR.length_stats(dataset, by, tokenizer=tokenizer, approx=approx, with_copy_ratio=True)
 
 
 def evaluation_report(gen: DataFrame, keys=("article_id", "language", "model"), by=("model",),
@@ -94,13 +89,16 @@ def clean_summaries(summaries: DataFrame, col: str = "summary") -> DataFrame:
 
 def evaluate_models(df: DataFrame, generators: dict, keys, prompt: str = "prompt",
                     reference: str = "reference") -> DataFrame:
-    """Every model on the same rows -> per-model ROUGE and length report."""
+    """Every model on the same rows -> per-model ROUGE and length report.
+
+    The generated outputs are materialised once (reliable checkpoint in the
+    shared folder): generation is the expensive, possibly non-deterministic
+    step and must neither run twice nor be recomputed after executor loss.
+    """
     from pairlab.operators import generate as G
-    gen = G.compare_models(df, generators, keys, prompt, reference)
+    gen = G.generate_all(df, generators, keys, prompt, reference)
     keys = list(keys)
-    withref = gen.join(df.select(*keys, reference), keys)
-    return evaluation_report(withref.select(*keys, "model", "generated", reference)
-                             .withColumnRenamed(reference, "reference"), keys=keys + ["model"], with_lcs=False)
+    return evaluation_report(gen.withColumnRenamed(reference, "reference"), keys=keys + ["model"], with_lcs=False)
 
 
 def judge_report(comparisons: DataFrame, make_judge, by=("language",)) -> DataFrame:
