@@ -39,12 +39,23 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+SCALE = float(10 ** DIGITS)
+
+
 def round_doubles(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every DOUBLE column for engine-independent comparison."""
+    """Round every DOUBLE column for engine-independent comparison.
+
+    ``floor(x * 1e6 + 0.5) / 1e6`` is the same IEEE computation in Spark and
+    DuckDB (``round`` is not: Spark rounds the decimal string, DuckDB the
+    binary value, so ties such as 323/640 differ).  Non-finite values pass.
+    """
+    scale = float(10 ** digits)
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            x = F.col(f.name).cast("double")
+            finite = ~F.isnan(x) & (F.abs(x) != float("inf"))
+            cols.append(F.when(finite, F.floor(x * scale + 0.5) / scale).otherwise(x).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)
@@ -56,5 +67,7 @@ def rsql(sql: str, doubles: str = "", fixtures_used: tuple[str, ...] = ()) -> st
     names = [c.strip() for c in doubles.split(",") if c.strip()]
     if not names:
         return body
-    repl = ", ".join(f"round(cast({c} as double), {DIGITS}) as {c}" for c in names)
+    repl = ", ".join(
+        f"case when isnan(cast({c} as double)) or isinf(cast({c} as double)) then cast({c} as double) "
+        f"else floor(cast({c} as double) * {SCALE!r} + 0.5) / {SCALE!r} end as {c}" for c in names)
     return f"select * replace ({repl}) from (\n{body}\n) q"
