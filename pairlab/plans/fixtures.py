@@ -70,12 +70,14 @@ def generations(t: Tables) -> DataFrame:
     generation case); finetuned = first two lines of the text.
     """
     p = pairs(t)
-    base = p.select("article_id", "language", F.lit("base").alias("model"),
-                    _line("text", 3).alias("generated"), F.col("summary").alias("reference"), "text")
-    ft = p.select("article_id", "language", F.lit("finetuned").alias("model"),
-                  F.concat_ws(" ", _line("text", 1), _line("text", 2)).alias("generated"),
-                  F.col("summary").alias("reference"), "text")
-    return base.unionByName(ft)
+    # one pass over the pairs: both model outputs come from the same row
+    outs = F.array(
+        F.struct(F.lit("base").alias("model"), _line("text", 3).alias("generated")),
+        F.struct(F.lit("finetuned").alias("model"),
+                 F.concat_ws(" ", _line("text", 1), _line("text", 2)).alias("generated")))
+    return (p.select("article_id", "language", F.col("summary").alias("reference"), "text",
+                     F.explode(outs).alias("_o"))
+            .select("article_id", "language", "_o.model", "_o.generated", "reference", "text"))
 
 
 def base_pages(t: Tables) -> DataFrame:
@@ -132,13 +134,13 @@ def judge_responses(t: Tables) -> DataFrame:
 
 def metric_log(t: Tables) -> DataFrame:
     """(run, metric, step, value): one evaluation series per user and event
-    type, steps numbered in time order.  Runs grow in number with the data,
-    each run stays a short evaluation log."""
-    from pyspark.sql import Window
-    e = t.events
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("run"), F.col("event_type").alias("metric"),
-                    F.row_number().over(w).cast("bigint").alias("step"), "value")
+    type, steps numbered in time order (two-level rank: a run holding a third
+    of all events is still numbered by many tasks)."""
+    from pairlab.operators.ranking import numeric_bucket, ranked
+    e = t.events.select(F.col("user_id").alias("run"), F.col("event_type").alias("metric"),
+                        F.unix_micros("ts").alias("_t"), "event_id", "value")
+    r = ranked(e, ["run", "metric"], [F.col("_t"), F.col("event_id")], numeric_bucket(e, "_t"), name="step")
+    return r.select("run", "metric", "step", "value")
 
 
 def generation_log(t: Tables) -> DataFrame:
