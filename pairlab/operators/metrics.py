@@ -121,25 +121,40 @@ def lcs_length(a: Sequence, b: Sequence) -> int:
 
 
 def lcs_positions(a: Sequence, b: Sequence) -> set[int]:
-    """Positions in ``a`` of one LCS of (a, b) (classic DP with backtrack)."""
+    """Positions in ``a`` of one LCS of (a, b).
+
+    Bit-parallel rows (one big int of len(a) bits per token of ``b``) are
+    kept for the backtrack: memory is len(a) * len(b) / 8 bytes, not a
+    table of Python ints.  Row j's DP value at prefix length i is the number
+    of zero bits of V_j below i.
+    """
     m, n = len(a), len(b)
     if not m or not n:
         return set()
-    dp = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m - 1, -1, -1):
-        ai, row, nxt = a[i], dp[i], dp[i + 1]
-        for j in range(n - 1, -1, -1):
-            row[j] = nxt[j + 1] + 1 if ai == b[j] else (nxt[j] if nxt[j] >= row[j + 1] else row[j + 1])
-    out, i, j = set(), 0, 0
-    while i < m and j < n:
-        if a[i] == b[j]:
-            out.add(i)
-            i += 1
-            j += 1
-        elif dp[i + 1][j] >= dp[i][j + 1]:
-            i += 1
+    masks: dict = {}
+    for i, tok in enumerate(a):
+        masks[tok] = masks.get(tok, 0) | (1 << i)
+    full = (1 << m) - 1
+    rows = [full]
+    v = full
+    for tok in b:
+        u = v & masks.get(tok, 0)
+        v = ((v + u) | (v - u)) & full
+        rows.append(v)
+
+    def dp(j: int, i: int) -> int:  # LCS of a[:i], b[:j]
+        return i - bin(rows[j] & ((1 << i) - 1)).count("1")
+
+    out, i, j = set(), m, n
+    cur = dp(j, i)
+    while i > 0 and j > 0 and cur > 0:
+        if a[i - 1] == b[j - 1] and dp(j - 1, i - 1) == cur - 1:
+            out.add(i - 1)
+            i, j, cur = i - 1, j - 1, cur - 1
+        elif dp(j - 1, i) == cur:
+            j -= 1
         else:
-            j += 1
+            i -= 1
     return out
 
 
