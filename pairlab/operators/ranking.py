@@ -38,16 +38,21 @@ def hex_bucket(hex_col: Column, digits: int = HASH_BUCKET_HEX) -> Column:
     return F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("bigint")
 
 
-def numeric_bucket(df: DataFrame, order_col: str, buckets: int = NUMERIC_BUCKETS) -> Column:
+def numeric_bucket(df: DataFrame, order_col: str, buckets: int = NUMERIC_BUCKETS,
+                   rows_per_bucket: int | None = None) -> Column:
     """Equal-width range bucket of a numeric order column.
 
-    One tiny aggregation (min, max) sizes the buckets; the result is a
-    monotone bucket id in ``[0, buckets)``.
+    One tiny aggregation (min, max, count) sizes the buckets; the result is a
+    monotone bucket id in ``[0, buckets)``.  With ``rows_per_bucket`` the
+    bucket count grows with the data (at least ``count / rows_per_bucket``).
     """
-    row = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi")).first()
+    row = df.agg(F.min(order_col).alias("lo"), F.max(order_col).alias("hi"),
+                 F.count(F.lit(1)).alias("n")).first()
     lo, hi = row["lo"], row["hi"]
     if lo is None:
         return F.lit(0).cast("bigint")
+    if rows_per_bucket:
+        buckets = max(buckets, -(-int(row["n"]) // rows_per_bucket))
     width = max((float(hi) - float(lo)) / buckets, 1e-12)
     b = F.floor((F.col(order_col).cast("double") - F.lit(float(lo))) / F.lit(width))
     return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("bigint")

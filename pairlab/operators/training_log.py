@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.operators.ranking import numeric_bucket, prefix_scan
@@ -51,31 +51,105 @@ def best_checkpoint(log: DataFrame, by: Sequence[str] = ("run", "metric"), step:
 
 def early_stop_step(log: DataFrame, by: Sequence[str] = ("run", "metric"), step: str = "step",
                     value: str = "value", patience: int = 3, threshold: float = 0.01,
-                    mode: str = "min") -> DataFrame:
+                    mode: str = "min", rows_per_bucket: int = 100_000) -> DataFrame:
     """First step at which ``patience`` consecutive evaluations failed to
-    improve the best by more than ``threshold`` (null if training never stops).
-
-    The rule is a sequential fold (the best moves only on an improvement),
-    so each run's evaluations are folded in step order with the ``aggregate``
-    higher-order function -- JVM side.  A run's log has one row per
-    evaluation, which bounds the array.
+    improve the best by more than ``threshold`` (null if training never
+    stops), the best value at that point, and the number of evaluations.
+
+    The rule is sequential (the best moves only on an improvement), but its
+    state is small: how many evaluations ago the last improvement happened
+    (1..patience), or "not started" / "stopped".  Each evaluation is a
+    transition table over those states, computed from a window of the
+    ``patience`` previous values; tables compose associatively.  So:
+
+    1. per row: transition table (window of p previous values, bounded);
+    2. per (run, step bucket): composed table (bucket size is bounded by
+       ``rows_per_bucket``);
+    3. per run: entry state of every bucket by folding the bucket tables
+       (one small row per bucket);
+    4. per bucket: replay from its entry state to find the stopping step.
+
+    A run holding a third of the log is therefore processed by many tasks.
     """
+    from pairlab.operators.ranking import numeric_bucket, ranked
+    by = list(by)
+    p = patience
+    stop = p + 1
     sign = 1.0 if mode == "min" else -1.0
-    evals = F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), (F.col(value) * sign).alias("v"))))
-    init = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("bad"),
-                    F.lit(None).cast("bigint").alias("stop"))
-
-    def merge(acc, e):
-        improved = acc["best"].isNull() | ((acc["best"] - e["v"]) > threshold)
-        bad = F.when(improved, F.lit(0)).otherwise(acc["bad"] + 1)
-        stop = F.coalesce(acc["stop"], F.when(bad >= patience, e["s"].cast("bigint")))
-        best = F.when(acc["stop"].isNull() & improved, e["v"]).otherwise(acc["best"])
-        return F.struct(best.alias("best"), F.when(acc["stop"].isNull(), bad).otherwise(acc["bad"]).alias("bad"),
-                        stop.alias("stop"))
-
-    folded = log.groupBy(*by).agg(F.aggregate(evals, init, merge).alias("_f"), F.count(F.lit(1)).alias("n_evals"))
-    return folded.select(*by, F.col("_f.stop").alias("stop_step"), (F.col("_f.best") * sign).alias("best_value"),
-                         "n_evals")
+    base = log.select(*by, F.col(step).alias("_s"), (F.col(value) * sign).cast("double").alias("_v"))
+    # dense position per run (two-level rank), then the p previous values by
+    # an explode + group on (run, position): no window over a whole run
+    pos = ranked(base, by, [F.col("_s")], numeric_bucket(base, "_s"), name="_pos")
+    lagged = (pos.select(*by, "_v", F.explode(F.sequence(F.lit(1), F.lit(p))).alias("_d"), "_pos")
+              .select(*by, (F.col("_pos") + F.col("_d")).alias("_pos"), "_d", "_v")
+              .groupBy(*by, "_pos")
+              .agg(F.sort_array(F.collect_list(F.struct((-F.col("_d")).alias("k"), F.col("_v").alias("v"))))
+                   .alias("_l")))
+    rows = (pos.join(lagged, by + ["_pos"], "left")
+            .withColumn("_prev", F.coalesce(F.transform("_l", lambda e: e["v"]), F.array().cast("array<double>")))
+            .drop("_l"))
+
+    def table(prev: Column, cur: Column) -> Column:
+        entries = [F.lit(1)]  # state 0: first evaluation is an improvement
+        for st in range(1, p + 1):
+            best = F.get(prev, F.size(prev) - st)
+            improved = (F.size(prev) >= st) & ((best - cur) > threshold)
+            entries.append(F.when(improved, F.lit(1)).otherwise(F.lit(st + 1 if st < p else stop)))
+        entries.append(F.lit(stop))
+        return F.array(*entries)
+
+    rows = rows.withColumn("_t", table(F.col("_prev"), F.col("_v")))
+    rows = rows.withColumn("_b", numeric_bucket(rows, "_pos", rows_per_bucket=rows_per_bucket))
+
+    def compose(f: Column, g: Column) -> Column:  # g after f
+        return F.transform(f, lambda x: F.get(g, x))
+
+    ident = F.array(*[F.lit(i) for i in range(p + 2)])
+    per_bucket = (rows.groupBy(*by, "_b")
+                  .agg(F.sort_array(F.collect_list(F.struct("_s", "_t"))).alias("_ts"))
+                  .select(*by, "_b", F.aggregate("_ts", ident, lambda acc, r: compose(acc, r["_t"])).alias("_f")))
+    # entry state of each bucket: fold the (small) bucket tables of a run in order
+    runs = per_bucket.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_b", "_f"))).alias("_bf"))
+    init = F.struct(F.lit(0).alias("state"),
+                    F.array().cast("array<struct<_b:bigint,entry:int>>").alias("entries"))
+    folded = runs.select(*by, F.aggregate(
+        "_bf", init,
+        lambda acc, r: F.struct(F.get(r["_f"], acc["state"]).alias("state"),
+                                F.concat(acc["entries"], F.array(F.struct(r["_b"].alias("_b"),
+                                                                          acc["state"].alias("entry"))))
+                                .alias("entries"))).alias("_e"))
+    entries = folded.select(*by, F.explode("_e.entries").alias("_x")).select(*by, "_x._b", F.col("_x.entry").alias("_entry"))
+    # replay each bucket from its entry state: first stop and the best value so far
+    with_entry = rows.join(entries, by + ["_b"])
+    replay = with_entry.groupBy(*by, "_b", "_entry").agg(
+        F.sort_array(F.collect_list(F.struct("_pos", "_s", "_v", "_prev"))).alias("_r"))
+
+    def step_fn(acc, r):
+        s_ = acc["state"]
+        prev = r["_prev"]
+        best_before = F.when((s_ >= 1) & (s_ <= p), F.get(prev, F.size(prev) - s_))
+        best = F.coalesce(acc["best"], best_before)
+        improved = (s_ == 0) | ((s_ >= 1) & (s_ <= p) & ((best_before - r["_v"]) > threshold))
+        nxt = (F.when(s_ == stop, F.lit(stop)).when(improved, F.lit(1))
+               .when(s_ < p, s_ + 1).otherwise(F.lit(stop)))
+        stopped_here = (s_ != stop) & (nxt == stop)
+        new_best = F.when(s_ == stop, acc["best"]).when(improved, r["_v"]).otherwise(best)
+        return F.struct(nxt.alias("state"), new_best.alias("best"),
+                        F.coalesce(acc["stop"], F.when(stopped_here, r["_s"].cast("bigint"))).alias("stop"))
+
+    start = F.struct(F.col("_entry").alias("state"), F.lit(None).cast("double").alias("best"),
+                     F.lit(None).cast("bigint").alias("stop"))
+    per = replay.select(*by, "_b", F.aggregate("_r", start, step_fn).alias("_o"),
+                        F.size("_r").alias("_n"))
+    return (per.groupBy(*by)
+            .agg(F.min("_o.stop").alias("stop_step"),
+                 F.min_by("_o.best", F.when(F.col("_o.stop").isNotNull(), F.col("_b"))).alias("_best_stop"),
+                 F.max_by("_o.best", "_b").alias("_best_end"),
+                 F.sum("_n").cast("bigint").alias("n_evals"))
+            .select(*by, "stop_step",
+                    (F.when(F.col("stop_step").isNotNull(), F.col("_best_stop"))
+                     .otherwise(F.col("_best_end")) * sign).alias("best_value"),
+                    "n_evals"))
 
 
 def generation_throughput(log: DataFrame, by: Sequence[str] = ("language",), rows: str = "n_rows",

@@ -72,3 +72,35 @@ def test_prefix_scan_max(spark):
     want = df.withColumn("m", F.max("value").over(w))
     assert sorted(map(tuple, got.select("run", "step", "m").collect()), key=repr) == \
         sorted(map(tuple, want.select("run", "step", "m").collect()), key=repr)
+
+
+def _py_early_stop(vals, p, d):
+    best, bad = None, 0
+    for s, v in vals:
+        if best is None or best - v > d:
+            best, bad = v, 0
+        else:
+            bad += 1
+        if bad >= p:
+            return s, best
+    return None, best
+
+
+def test_early_stop_matches_sequential_fold(spark):
+    from pairlab.operators.training_log import early_stop_step
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for run in range(6):
+        n = 400 if run == 0 else rnd.randint(1, 40)  # run 0 is the hot run
+        v, vals = 10.0, []
+        for s in range(1, n + 1):
+            v = v - rnd.choice([0.0, 0.005, 0.02, 0.5]) + (0.3 if rnd.random() < 0.05 else 0.0)
+            vals.append((s * 10, round(v, 4)))
+            rows.append((run, "loss", s * 10, round(v, 4)))
+        want[run] = _py_early_stop(vals, 3, 0.01)
+    df = spark.createDataFrame(rows, "run long, metric string, step long, value double")
+    got = {r["run"]: (r["stop_step"], r["best_value"])
+           for r in early_stop_step(df, patience=3, threshold=0.01, rows_per_bucket=7).collect()}
+    for run, (stop, best) in want.items():
+        assert got[run][0] == stop
+        assert abs(got[run][1] - best) < 1e-9
