@@ -17,6 +17,7 @@ The same recipe gives running max/min/sum (``prefix_scan``).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,8 +52,11 @@ def numeric_bucket(df: DataFrame, order_col: str, buckets: int = NUMERIC_BUCKETS
     lo, hi = row["lo"], row["hi"]
     if lo is None:
         return F.lit(0).cast("bigint")
+    n = int(row["n"])
+    # ~sqrt(n) buckets balance the two levels (rows per bucket vs buckets per group)
+    buckets = max(buckets, math.isqrt(n) + 1)
     if rows_per_bucket:
-        buckets = max(buckets, -(-int(row["n"]) // rows_per_bucket))
+        buckets = max(buckets, -(-n // rows_per_bucket))
     width = max((float(hi) - float(lo)) / buckets, 1e-12)
     b = F.floor((F.col(order_col).cast("double") - F.lit(float(lo))) / F.lit(width))
     return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("bigint")
