@@ -146,3 +146,16 @@ def test_pad_and_unmask(spark):
 
 def test_word_len_unicode_whitespace(spark):
     assert one(spark, T.word_len(F.col("t")), t="a b　c  d\n") == 4
+
+
+def test_rouge_engines_agree(spark):
+    from tests.conftest import SF_SMALL
+    from pairlab.plans import fixtures as FX
+    from pairlab.sources.tables import Tables
+    g = FX.generations(Tables(spark, SF_SMALL))
+    keys = ["article_id", "language", "model"]
+    for counts in ("clipped", "distinct"):
+        a = {tuple(r[:3]): tuple(r[3:]) for r in M.rouge_scores(g, keys, (1, 2, 3), counts=counts).collect()}
+        b = {tuple(r[:3]): tuple(r[3:]) for r in M.rouge_scores(g, keys, (1, 2, 3), counts=counts,
+                                                               engine="spark").collect()}
+        assert a == b
