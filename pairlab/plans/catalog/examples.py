@@ -104,7 +104,7 @@ def unmask_labels(t):
 @register("length_buckets", rsql(f"""
 select batch, count(*) as rows, cast(ceil(max(len) / 8) * 8 as bigint) as padded_len,
        cast(count(*) * ceil(max(len) / 8) * 8 - sum(len) as bigint) as padding_waste
-from (select floor((row_number() over (order by len, article_id, language) - 1) / 16) as batch, len
+from (select cast(floor((row_number() over (order by len, article_id, language) - 1) / 16) as bigint) as batch, len
       from (select article_id, language, cast(len(regexp_extract_all(text, '{PAT}')) as bigint) as len
             from pairs) a) b
 group by batch""", "", ("pairs",)))

@@ -43,7 +43,7 @@ def early_stop_step(t):
 
 
 @register("generation_throughput", rsql("""
-select language, count(*) as batches, sum(n_rows) as total_rows, sum(seconds) as total_seconds,
+select language, count(*) as batches, cast(sum(n_rows) as bigint) as total_rows, sum(seconds) as total_seconds,
        avg(case when seconds = 0 then null else n_rows / seconds end) as mean_batch_rows_per_sec,
        case when sum(seconds) = 0 then null else sum(n_rows) / sum(seconds) end as rows_per_sec
 from generation_log group by language""", "total_seconds,mean_batch_rows_per_sec,rows_per_sec",
