@@ -19,8 +19,9 @@ from pairlab.operators import metrics as M
 from pairlab.operators import profile as PR
 from pairlab.plans import fixtures as FX
 from pairlab.plans.catalog.base import register, rsql
-from pairlab.plans.catalog.generate import lead_sql
-from pairlab.plans.catalog.metrics import GKEYS
+from pairlab.plans.catalog.generate import _overlap_sql, lead_sql
+from pairlab.plans.catalog.metrics import GKEYS, rouge_sql
+from pairlab.plans.catalog.sqlbits import LENGTH_STATS
 from pairlab.session import scratch_path
 from pairlab.sources import readers as R
 from pairlab.sources import writers as W
@@ -82,7 +83,7 @@ def write_summaries(t):
 
 @register("write_metrics_csv", rsql(f"""
 select model, avg(rouge1_f) as rouge1_f, avg(rouge2_f) as rouge2_f
-from ({__import__('pairlab.plans.catalog.metrics', fromlist=['rouge_sql']).rouge_sql('generations', GKEYS)}) s
+from ({rouge_sql('generations', GKEYS)}) s
 group by model""", "rouge1_f,rouge2_f", ("generations",)))
 def write_metrics_csv(t):
     path = _fresh(t, "metrics_csv")
@@ -93,7 +94,7 @@ def write_metrics_csv(t):
 
 @register("write_stats_json", rsql(f"""
 select language, split, text_tokens_mean, text_tokens_median, text_tokens_max
-from ({__import__('pairlab.plans.catalog.sqlbits', fromlist=['LENGTH_STATS']).LENGTH_STATS}) s""",
+from ({LENGTH_STATS}) s""",
         "text_tokens_mean,text_tokens_median", ("dataset",)))
 def write_stats_json(t):
     path = _fresh(t, "stats_json")
@@ -208,7 +209,7 @@ def rewrite_or_copy(t):
 
 @register("write_comparison_report", rsql(f"""
 select s.article_id, s.language, s.model, g.generated, s.rouge1_f, s.rouge2_f
-from ({__import__('pairlab.plans.catalog.metrics', fromlist=['rouge_sql']).rouge_sql('generations', GKEYS)}) s
+from ({rouge_sql('generations', GKEYS)}) s
 join generations g using (article_id, language, model)""", "rouge1_f,rouge2_f", ("generations",)))
 def write_comparison_report(t):
     path = _fresh(t, "report")
@@ -227,9 +228,9 @@ with w as (select article_id, language, max(generated) filter (where model = 'ba
            from generations group by all),
 r as (select *, row_number() over (partition by language order by article_id) - 1 as idx from w)
 select 'overlap-judge' as judge_model, language, 'test' as subset, idx as "index", article_id as title,
-       cast({__import__('pairlab.plans.catalog.generate', fromlist=['_overlap_sql'])._overlap_sql('a')} as double)
+       cast({_overlap_sql('a')} as double)
          as base_score,
-       cast({__import__('pairlab.plans.catalog.generate', fromlist=['_overlap_sql'])._overlap_sql('b')} as double)
+       cast({_overlap_sql('b')} as double)
          as finetuned_score
 from r where idx < {_JUDGE_N}""", "base_score,finetuned_score", ("generations",)))
 def read_judge_results(t):
