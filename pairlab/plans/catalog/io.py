@@ -255,3 +255,41 @@ def read_judge_results(t):
     docs.write.partitionBy("run").json(path)
     back = R.read_judge_results(t.spark, os.path.join(path, "run=*", "*.json"))
     return back.select("judge_model", "language", "subset", "index", "title", "base_score", "finetuned_score")
+
+
+def _record_files(t, name: str, df) -> str:
+    """One JSON record per (language, article_id) file, written by Spark."""
+    path = _fresh(t, name)
+    df.write.partitionBy("language", "article_id").json(path)
+    return path
+
+
+@register("read_articles", rsql("""
+select article_id, language, title, text, url from articles""", "", ("articles",)))
+def read_articles(t):
+    """Articles as one JSON file per (language, id), read back by path."""
+    a = FX.articles(t).select("article_id", "language", "title", "text", "url")
+    path = _record_files(t, "article_files", a)
+    good, _bad = R.read_articles(t.spark, path, layout="partitioned")
+    return good
+
+
+@register("read_summaries", rsql("""
+select article_id, language, summary from summaries""", "", ("summaries",)))
+def read_summaries(t):
+    s = FX.summaries(t).select("article_id", "language", "summary", "title")
+    path = _record_files(t, "summary_files", s)
+    good, _bad = R.read_summaries(t.spark, path, layout="partitioned")
+    return good
+
+
+@register("read_article_index", rsql(f"""
+select id, string_agg(language || '=' || title, '|' order by language) as titles, count(*) as n_languages
+from ({_PAR_SQL}) p group by id"""))
+def read_article_index(t):
+    path = _fresh(t, "index_lines")
+    W.write_index(_parallel_rows(t), path)
+    back = R.read_article_index(t.spark, path, json_lines=True)
+    flat = F.array_join(F.transform(F.array_sort(F.map_entries("titles")),
+                                    lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return back.select("id", flat.alias("titles"), F.size("titles").cast("bigint").alias("n_languages"))

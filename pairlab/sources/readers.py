@@ -22,7 +22,13 @@ INDEX_SCHEMA = "id STRING, titles MAP<STRING, STRING>, urls MAP<STRING, STRING>"
 ARTICLE_SCHEMA = "title STRING, text STRING, url STRING, pageid BIGINT, _corrupt_record STRING"
 SUMMARY_SCHEMA = "article_id STRING, language STRING, summary STRING, title STRING, _corrupt_record STRING"
 COMPLETED_FILE = "_completed.json"
-_PATH_RE = r"([^/]+)/([^/]+)\.json$"
+# path layouts of one-record-per-file JSON: the reference's {language}/{id}.json,
+# or the distributed form Spark writes with partitionBy(language, id)
+LAYOUTS = {
+    "reference": (os.path.join("*", "*.json"), r"([^/]+)/([^/]+)\.json$"),
+    "partitioned": (os.path.join("language=*", "article_id=*", "*.json"),
+                    r"language=([^/]+)/article_id=([^/]+)/[^/]+\.json$"),
+}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -32,33 +38,39 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def read_article_index(spark: SparkSession, path: str) -> DataFrame:
-    """Index rows (id, titles, urls); an error when the file is missing."""
+def read_article_index(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
+    """Index rows (id, titles, urls); an error when the file is missing.
+
+    The reference writes one JSON array; ``json_lines=True`` reads the
+    distributed form written by ``write_index`` (one object per line).
+    """
     if not _exists(spark, path):
         raise FileNotFoundError(f"article index not found: {path}")
-    return spark.read.schema(INDEX_SCHEMA).option("multiLine", True).json(path)
+    return spark.read.schema(INDEX_SCHEMA).option("multiLine", not json_lines).json(path)
 
 
-def _per_file_json(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """One row per ``{root}/{lang}/{id}.json`` file, parsed with ``schema``.
+def _per_file_json(spark: SparkSession, root: str, schema: str, layout: str = "reference") -> DataFrame:
+    """One row per record file under ``root``, parsed with ``schema``.
 
     Files are read whole (``wholetext``) and parsed with ``from_json``; a
-    malformed file keeps its text in ``_corrupt_record``.
+    malformed file keeps its text in ``_corrupt_record``.  Language and id
+    come from the path.
     """
+    glob, path_re = LAYOUTS[layout]
     raw = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json")
-           .text(os.path.join(root, "*", "*.json"))
+           .text(os.path.join(root, glob))
            .withColumn("_path", F.col("_metadata.file_path"))
            .filter(~F.col("_path").endswith("/" + COMPLETED_FILE)))
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     return (raw.select("_path", parsed.alias("_j")).select("_path", "_j.*")
-            .withColumn("_language", F.regexp_extract("_path", _PATH_RE, 1))
-            .withColumn("_id", F.regexp_extract("_path", _PATH_RE, 2)))
+            .withColumn("_language", F.regexp_extract("_path", path_re, 1))
+            .withColumn("_id", F.regexp_extract("_path", path_re, 2)))
 
 
-def read_articles(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def read_articles(spark: SparkSession, root: str, layout: str = "reference") -> tuple[DataFrame, DataFrame]:
     """(articles, quarantine).  Articles: (article_id, language, title, text,
     url) with absent keys as ""; quarantine: (path, record) of bad files."""
-    raw = _per_file_json(spark, root, ARTICLE_SCHEMA)
+    raw = _per_file_json(spark, root, ARTICLE_SCHEMA, layout)
     good = raw.filter(F.col("_corrupt_record").isNull()).select(
         F.col("_id").alias("article_id"), F.col("_language").alias("language"),
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "text", "url")])
@@ -67,10 +79,10 @@ def read_articles(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]
     return good, bad
 
 
-def read_summaries(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def read_summaries(spark: SparkSession, root: str, layout: str = "reference") -> tuple[DataFrame, DataFrame]:
     """(summaries, quarantine): (article_id, language, summary) with a missing
     ``summary`` key read as ""; the tracking file is skipped."""
-    raw = _per_file_json(spark, root, SUMMARY_SCHEMA)
+    raw = _per_file_json(spark, root, SUMMARY_SCHEMA, layout)
     good = raw.filter(F.col("_corrupt_record").isNull()).select(
         F.col("_id").alias("article_id"), F.col("_language").alias("language"),
         F.coalesce(F.col("summary"), F.lit("")).alias("summary"))
