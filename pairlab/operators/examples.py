@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions import arrays as A
+from pairlab.functions.text import token_len
 from pairlab.functions.tokenizers import tokens
 from pairlab.operators.ranking import ranked
 
@@ -43,9 +44,10 @@ def tokenize(df: DataFrame, keys: Sequence[str], col: str, vocab: DataFrame, max
     """keys + ``out`` (ARRAY<INT>): token ids in text order, cut to
     ``max_len``; unknown tokens map to ``<unk>``."""
     keys = list(keys)
-    ex = df.select(*keys, F.posexplode_outer(tokens(F.col(col), tokenizer)).alias("pos", "token"))
-    if max_len is not None:
-        ex = ex.filter(F.col("pos").isNull() | (F.col("pos") < max_len))
+    toks = tokens(F.col(col), tokenizer)
+    if max_len is not None:  # cut before exploding: only kept tokens become rows
+        toks = F.slice(toks, 1, max_len)
+    ex = df.select(*keys, F.posexplode_outer(toks).alias("pos", "token"))
     j = ex.join(vocab.select("token", "id"), "token", "left")
     tid = F.when(F.col("token").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("id"), F.lit(UNK_ID)))
     g = j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("pos"), tid.alias("id")))).alias("_s"))
@@ -70,7 +72,7 @@ def mask_prompt_labels(df: DataFrame, keys: Sequence[str], prompt: str, full: st
     len(tok(prompt)[:max_len]) positions with -100; attention mask of ones."""
     keys = list(keys)
     ids = tokenize(df, keys, full, vocab, max_len + max_target, tokenizer, "input_ids")
-    p = df.select(*keys, F.least(F.size(tokens(F.col(prompt), tokenizer)), F.lit(max_len)).alias("_p"))
+    p = df.select(*keys, F.least(token_len(F.col(prompt), tokenizer), F.lit(max_len)).cast("int").alias("_p"))
     j = ids.join(p, keys)
     return j.select(*keys, "input_ids", A.attention_mask("input_ids").alias("attention_mask"),
                     A.mask_prompt_labels("input_ids", "_p").alias("labels"))
@@ -87,7 +89,10 @@ def length_buckets(df: DataFrame, length: str, size: int, multiple: int = 8, by:
     from pairlab.operators.ranking import numeric_bucket
     by = list(by)
     order = [F.col(length)] + ([F.col(key)] if key else [])
-    r = ranked(df, by, order, numeric_bucket(df, length), name="_pos")
+    # many rows share a length: the bucket also splits a length by key prefix
+    bucket = (F.struct(F.col(length).cast("bigint").alias("len"), F.substring(F.col(key).cast("string"), 1, 3).alias("k"))
+              if key else numeric_bucket(df, length))
+    r = ranked(df, by, order, bucket, name="_pos")
     b = r.withColumn("batch", F.floor((F.col("_pos") - 1) / size).cast("bigint"))
     agg = b.groupBy(*by, "batch").agg(F.count(F.lit(1)).alias("rows"), F.max(length).alias("max_len"),
                                       F.sum(length).alias("total_len"))

@@ -85,7 +85,8 @@ def write_comparison_report(rows: DataFrame, path: str, config: dict, averages:
 
 
 def write_metrics_csv(df: DataFrame, path: str) -> None:
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """CSV with a header line in every part file (readers take the folder)."""
+    df.write.mode("overwrite").option("header", True).csv(path)
 
 
 def stats_json(df: DataFrame, keys: Sequence[str], groups: dict[str, Sequence[str]]) -> DataFrame:
