@@ -147,19 +147,31 @@ def parallel_complete(df: DataFrame, languages: Sequence[str], id_col: str = "id
     return valid.join(ok, id_col, "left_semi")
 
 
+MAX_BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint only behind a size check.
+
+    Counts the (small, user-supplied) table; above ``max_rows`` no hint is
+    given and the planner / AQE choose a shuffle join from measured sizes.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
+
+
 def prompt_template_join(df: DataFrame, templates: DataFrame, lang_col: str = "language",
                          fallback: str = "en") -> DataFrame:
     """language -> template; unknown languages use ``fallback``'s template.
 
-    The template table has one row per language a user wrote a template for
-    (a bounded, hand-written table) -- broadcasting it is safe.  The
-    fallback is a second equi-join on a constant key, not a cross join.
+    The template table has one row per language a user wrote a template for;
+    it is broadcast after a size check (``small_side``).  The fallback is a
+    second equi-join on a constant key, not a cross join.
     """
     t = templates.select(F.col("language").alias("_tl"), F.col("template").alias("_tpl"))
     fb = templates.select(F.col("language").alias("_fl"), F.col("template").alias("_fb"))
-    return (df.join(F.broadcast(t), F.col(lang_col) == F.col("_tl"), "left")
+    return (df.join(small_side(t), F.col(lang_col) == F.col("_tl"), "left")
             .withColumn("_fk", F.lit(fallback))
-            .join(F.broadcast(fb), F.col("_fk") == F.col("_fl"), "left")
+            .join(small_side(fb), F.col("_fk") == F.col("_fl"), "left")
             .withColumn("template", F.coalesce("_tpl", "_fb"))
             .drop("_tl", "_tpl", "_fk", "_fl", "_fb"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 # runtime and splits skewed join partitions; the broadcast threshold is the
 # *only* place a join side is broadcast automatically (size-checked by Spark
 # from statistics), explicit broadcasts in the library are guarded by
-# ``pairlab.operators.joins.small_side``.
+# ``pairlab.operators.corpus.small_side`` (a row-count check).
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
