@@ -324,6 +324,9 @@ def best_worst_examples(scores: DataFrame, n: int = 5, by: Sequence[str] = ("mod
     hi = Window.partitionBy(*by).orderBy(F.col(metric).desc(), *k)
     worst = scores.withColumn("_r", F.row_number().over(lo)).filter(F.col("_r") <= n).withColumn("kind", F.lit("worst"))
     best = scores.withColumn("_r", F.row_number().over(hi)).filter(F.col("_r") <= n).withColumn("kind", F.lit("best"))
+    # both lists in ascending score order: the best list ends with the best row
+    # (the count runs over the <= n kept rows of a group only)
+    best = best.withColumn("_r", F.count(F.lit(1)).over(Window.partitionBy(*by)) + 1 - F.col("_r"))
     return worst.unionByName(best).withColumnRenamed("_r", "position")
 
 

@@ -85,8 +85,20 @@ def length_percentiles(df: DataFrame, col: str, by: Sequence[str] = ("language",
 
 
 def copied_lead_ratio(df: DataFrame, by: Sequence[str] = ("language", "split"),
-                      text: str = "text", summary: str = "summary") -> DataFrame:
-    """Share of rows whose summary looks like the article's lead (full data)."""
+                      text: str = "text", summary: str = "summary", sample_n: int | None = None,
+                      seed: int = 0, key: str = "article_id") -> DataFrame:
+    """Share of rows whose summary looks like the article's lead.
+
+    Over the full data by default; ``sample_n`` keeps a seeded sample of that
+    many rows per group first (the reference's sample of at most 100), as a
+    per-group top-n that is cut before the shuffle.
+    """
+    if sample_n is not None:
+        from pyspark.sql import Window
+
+        from pairlab.operators.ranking import seeded_key
+        w = Window.partitionBy(*by).orderBy(seeded_key(key, seed), F.col(key))
+        df = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample_n).drop("_r")
     flag = T.copied_lead_flag(text, summary)
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"),
                                F.count_if(flag).alias("copied"),

@@ -120,7 +120,8 @@ select * from (
          row_number() over (partition by model order by rouge1_f asc, article_id, language) as position
   from ({rouge_sql('generations', GKEYS, ns=(1,))}) s) where position <= 5
 union all
-select * from (
+select article_id, language, model, rouge1_f, kind, count(*) over (partition by model) + 1 - position as position
+from (
   select article_id, language, model, rouge1_f, 'best' as kind,
          row_number() over (partition by model order by rouge1_f desc, article_id, language) as position
   from ({rouge_sql('generations', GKEYS, ns=(1,))}) s) where position <= 5""", "rouge1_f", ("generations",)))

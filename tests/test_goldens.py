@@ -159,3 +159,13 @@ def test_rouge_engines_agree(spark):
         b = {tuple(r[:3]): tuple(r[3:]) for r in M.rouge_scores(g, keys, (1, 2, 3), counts=counts,
                                                                engine="spark").collect()}
         assert a == b
+
+
+def test_copied_lead_sample(spark):
+    df = spark.range(300).select(F.col("id").cast("string").alias("article_id"), F.lit("en").alias("language"),
+                                 F.lit("train").alias("split"), F.lit("Lead text here").alias("text"),
+                                 F.when(F.col("id") % 2 == 0, "lead text").otherwise("other").alias("summary"))
+    full = PR.copied_lead_ratio(df).first()
+    part = PR.copied_lead_ratio(df, sample_n=100, seed=1).first()
+    assert full["n"] == 300 and part["n"] == 100
+    assert abs(full["copy_ratio"] - 0.5) < 1e-12
