@@ -169,3 +169,28 @@ def test_copied_lead_sample(spark):
     part = PR.copied_lead_ratio(df, sample_n=100, seed=1).first()
     assert full["n"] == 300 and part["n"] == 100
     assert abs(full["copy_ratio"] - 0.5) < 1e-12
+
+
+def test_remove_repetitions_idempotent(spark):
+    import random
+    rnd = random.Random(5)
+    sents = ["A b.", "C d!", "E f?", "G h.", "I j."]
+    rows = [(" ".join(rnd.choice(sents) for _ in range(rnd.randint(1, 8))),) for _ in range(200)]
+    df = spark.createDataFrame(rows, "t string")
+    once = df.select(T.remove_repetitions("t").alias("a"))
+    twice = once.select("a", T.remove_repetitions("a").alias("b"))
+    assert all(r["a"] == r["b"] for r in twice.collect())
+
+
+def test_mask_sizes_equal(spark):
+    from pairlab.operators import examples as X
+    df = spark.createDataFrame([("k1", "Summarize: a b c.", "Summarize: a b c. The summary"),
+                                ("k2", "x " * 50, "x " * 50 + "tail")], "k string, prompt string, full string")
+    vocab = X.build_vocab(df, "full")
+    out = X.mask_prompt_labels(df, ["k"], "prompt", "full", vocab, max_len=20, max_target=5).collect()
+    for r in out:
+        assert len(r["input_ids"]) == len(r["labels"]) == len(r["attention_mask"])
+        assert len(r["input_ids"]) <= 25
+    k1 = [r for r in out if r["k"] == "k1"][0]
+    # "Summarize: a b c." is 6 wordpunct tokens
+    assert k1["labels"][:6] == [-100] * 6 and k1["labels"][6:] == k1["input_ids"][6:]

@@ -144,3 +144,18 @@ def test_generate_failure_policies(spark):
     assert skip == {"1": "OK"}
     assert msg == {"1": "OK", "2": "Error generating summary"}
     assert empty == {"1": "OK", "2": ""}
+
+
+def test_incremental_generate_stream(spark, tmp_path):
+    src, out, ck = str(tmp_path / "todo"), str(tmp_path / "gen"), str(tmp_path / "ck")
+    schema = "article_id string, language string, prompt string"
+    spark.createDataFrame([("a", "en", "One. Two. Three.")], schema).write.parquet(src + "/b1")
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).parquet(src + "/*")
+        INC.incremental_generate_stream(stream, ["article_id", "language"], G.lead_sentences(1), out, ck)\
+            .awaitTermination()
+    spark.createDataFrame([("b", "fr", "Un. Deux."), ("a", "en", "One. Two. Three.")], schema).write.parquet(src + "/b2")
+    stream = spark.readStream.schema(schema).parquet(src + "/*")
+    INC.incremental_generate_stream(stream, ["article_id", "language"], G.lead_sentences(1), out, ck).awaitTermination()
+    got = sorted((r["article_id"], r["generated"]) for r in spark.read.parquet(out).collect())
+    assert got == [("a", "One."), ("b", "Un.")]
