@@ -62,36 +62,41 @@ def numeric_bucket(df: DataFrame, order_col: str, buckets: int = NUMERIC_BUCKETS
     return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("bigint")
 
 
-def _offsets(bucketed: DataFrame, by: Sequence[str]) -> DataFrame:
-    counts = bucketed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_bucket_n"))
-    w = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_offset", F.coalesce(F.sum("_bucket_n").over(w), F.lit(0)))
-
-
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Column,
            name: str = "rank", limit: int | None = None, total: str | None = None) -> DataFrame:
     """Add ``name`` = exact 1-based row_number within ``by`` in ``order``.
 
-    ``bucket`` must be non-decreasing along ``order``.  With ``limit`` only
-    rows of rank <= limit are kept, and whole buckets beyond the limit are
-    dropped before the per-bucket sort.  With ``total`` the group size is
-    added as that column (summed from the same bucket counts: no extra scan).
+    ``bucket`` must be non-decreasing along ``order``.  Plan:
+
+    * one shuffle of the rows on (group, bucket), ``row_number`` inside it;
+    * bucket sizes are read off that windowed result (the exchange is reused,
+      the input is computed once), running sums over the small
+      (group, bucket) table give each bucket's offset;
+    * the offsets join back onto rows that are already partitioned by
+      (group, bucket) (AQE broadcasts the offsets when they are small).
+
+    With ``limit`` rows beyond it are dropped before the join.  With
+    ``total`` the group size is added as that column.
     """
     by = list(by)
-    b = df.withColumn("_bucket", bucket)
-    offs = _offsets(b, by)
-    keep = [*by, "_bucket", "_offset"]
+    keys = by + ["_bucket"]
+    local = (df.withColumn("_bucket", bucket)
+             .withColumn("_lr", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))))
+    sizes = local.groupBy(*keys).agg(F.max("_lr").alias("_bucket_n"))
+    w = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.withColumn("_offset", F.coalesce(F.sum("_bucket_n").over(w), F.lit(0)))
+    keep = keys + ["_offset"]
     if total:
         offs = offs.withColumn(total, F.sum("_bucket_n").over(Window.partitionBy(*by)))
         keep.append(total)
     if limit is not None:
         offs = offs.filter(F.col("_offset") < limit)
-    joined = b.join(offs.select(*keep), by + ["_bucket"], "inner")
-    w = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    out = joined.withColumn(name, (F.col("_offset") + F.row_number().over(w)).cast("bigint"))
+        local = local.filter(F.col("_lr") <= limit)
+    out = local.join(offs.select(*keep), keys, "inner")
+    out = out.withColumn(name, (F.col("_offset") + F.col("_lr")).cast("bigint"))
     if limit is not None:
         out = out.filter(F.col(name) <= limit)
-    return out.drop("_bucket", "_offset")
+    return out.drop("_bucket", "_offset", "_lr")
 
 
 def group_sizes(df: DataFrame, by: Sequence[str], name: str = "group_n") -> DataFrame:
@@ -104,24 +109,27 @@ def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucke
     """Running aggregate of ``value`` over earlier rows in ``order``.
 
     ``how`` in max/min/sum.  ``inclusive=False`` covers strictly earlier
-    rows (frame ``unboundedPreceding .. -1``).  Two-level: per-bucket totals,
-    a running total over buckets (small), then a window inside each bucket.
+    rows (frame ``unboundedPreceding .. -1``).  Two-level like ``ranked``: a
+    window inside each (group, bucket), bucket totals read off the windowed
+    rows (exchange reused), a running total over the small bucket table, and
+    a join back onto the already partitioned rows.
     """
     by = list(by)
+    keys = by + ["_bucket"]
     name = name or f"running_{how}"
     agg = {"max": F.max, "min": F.min, "sum": F.sum}[how]
-    b = df.withColumn("_bucket", bucket)
-    per_bucket = b.groupBy(*by, "_bucket").agg(agg(value).alias("_bv"))
-    wb = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_bucket.withColumn("_carry", agg("_bv").over(wb)).select(*by, "_bucket", "_carry")
-    joined = b.join(carry, by + ["_bucket"], "inner")
     end = 0 if inclusive else -1
-    wi = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    inner = agg(value).over(wi)
+    wi = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+    local = df.withColumn("_bucket", bucket).withColumn("_inner", agg(value).over(wi))
+    per_bucket = local.groupBy(*keys).agg(agg(value).alias("_bv"))
+    wb = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_bucket.withColumn("_carry", agg("_bv").over(wb)).select(*keys, "_carry")
+    joined = local.join(carry, keys, "inner")
+    inner = F.col("_inner")
     if how == "sum":
         combined = F.coalesce(F.col("_carry"), F.lit(0)) + F.coalesce(inner, F.lit(0))
         combined = F.when(F.col("_carry").isNull() & inner.isNull(), F.lit(None)).otherwise(combined)
     else:
         pick = F.greatest if how == "max" else F.least
         combined = pick(F.col("_carry"), inner)  # greatest/least skip nulls
-    return joined.withColumn(name, combined).drop("_bucket", "_carry")
+    return joined.withColumn(name, combined).drop("_bucket", "_carry", "_inner")
