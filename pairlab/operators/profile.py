@@ -41,6 +41,45 @@ def _pct(x: str, qs: Sequence[float], approx: bool) -> Column:
     return F.percentile(F.col(x), F.array(*[F.lit(q) for q in qs]))
 
 
+def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: Sequence[float]) -> DataFrame:
+    """Exact linear-interpolation quantiles without a per-group value map.
+
+    The columns are stacked into (group, column, value) rows and ranked by
+    value with the two-level rank (one shuffle for all columns); only the rows
+    at the needed ranks are kept and interpolated.  Memory per task stays
+    bounded however many distinct values a group has (``percentile`` keeps
+    one map entry per distinct value).  Output: by + ``{col}_p{q}``.
+    """
+    from pairlab.operators.ranking import numeric_bucket, ranked
+    by = list(by)
+    stacked = df.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in cols])).alias("_s"))
+    v = stacked.select(*by, F.col("_s.c").alias("_c"), F.col("_s.x").alias("_x")).filter(F.col("_x").isNotNull())
+    finite = v.filter(~F.isnan("_x") & (F.abs("_x") != float("inf")))
+    r = ranked(v, by + ["_c"], [F.col("_x")], numeric_bucket(finite, "_x"), name="_r", total="_n")
+    wanted = F.lit(False)
+    for q in qs:
+        h = (F.col("_n") - 1) * F.lit(q)
+        wanted = wanted | (F.col("_r") == F.floor(h) + 1) | (F.col("_r") == F.ceil(h) + 1)
+    aggs = []
+    for i, q in enumerate(qs):
+        h = (F.col("_n") - 1) * F.lit(q)
+        aggs += [F.max(F.when(F.col("_r") == F.floor(h) + 1, F.col("_x"))).alias(f"_lo{i}"),
+                 F.max(F.when(F.col("_r") == F.ceil(h) + 1, F.col("_x"))).alias(f"_hi{i}"),
+                 F.first(h).alias(f"_h{i}")]
+    g = r.filter(wanted).groupBy(*by, "_c").agg(*aggs)
+    vals = []
+    for i, q in enumerate(qs):
+        h, lo, hi = F.col(f"_h{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        frac = h - F.floor(h)
+        vals.append(F.when(frac == 0, lo).otherwise((F.lit(1.0) - frac) * lo + frac * hi)
+                    .alias(f"p{int(round(q * 100))}"))
+    long = g.select(*by, "_c", *vals)
+    names = [f"p{int(round(q * 100))}" for q in qs]
+    return long.groupBy(*by).agg(*[F.max(F.when(F.col("_c") == c, F.col(n))).alias(f"{c}_{n}")
+                                   for c in cols for n in names])
+
+
 def length_stats(df: DataFrame, by: Sequence[str] = ("language", "split"), text: str = "text",
                  summary: str = "summary", tokenizer: str = "wordpunct",
                  approx: bool = False, with_copy_ratio: bool = False) -> DataFrame:
@@ -59,8 +98,16 @@ def length_stats(df: DataFrame, by: Sequence[str] = ("language", "split"), text:
         aggs += [F.avg(c).alias(f"{c}_mean"), _pct(c, [0.5], approx).alias(f"_{c}_p"),
                  F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
     for c, n in (("token_compression_ratio", "tokens"), ("word_compression_ratio", "words")):
-        aggs += [F.avg(c).alias(f"compression_{n}_mean"), _pct(c, [0.5], approx).alias(f"_cmp_{n}_p")]
+        aggs.append(F.avg(c).alias(f"compression_{n}_mean"))
+        if approx:
+            aggs.append(_pct(c, [0.5], approx).alias(f"_cmp_{n}_p"))
     g = f.groupBy(*by).agg(*aggs)
+    if not approx:
+        # ratios are doubles with about one distinct value per row: their exact
+        # medians come from a rank, not from a per-group value map
+        med = exact_quantiles(f, by, ["token_compression_ratio", "word_compression_ratio"], [0.5])
+        g = g.join(med.select(*by, F.array("token_compression_ratio_p50").alias("_cmp_tokens_p"),
+                              F.array("word_compression_ratio_p50").alias("_cmp_words_p")), list(by), "left")
     out = [*by, "count"]
     for c in ("text_tokens", "summary_tokens"):
         out += [f"{c}_mean", F.col(f"_{c}_p")[0].cast("double").alias(f"{c}_median"), f"{c}_std",

@@ -104,3 +104,18 @@ def test_early_stop_matches_sequential_fold(spark):
     for run, (stop, best) in want.items():
         assert got[run][0] == stop
         assert abs(got[run][1] - best) < 1e-9
+
+
+def test_exact_quantiles_match_pandas(spark):
+    import pandas as pd
+
+    from pairlab.operators.profile import exact_quantiles
+    rnd = random.Random(9)
+    rows = [("hot" if i % 3 else f"g{i % 7}", rnd.random() * 100, float(rnd.randint(0, 5))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], ["x", "y"], [0.5, 0.95, 0.99]).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "x", "y"])
+    for g, part in pdf.groupby("g"):
+        for c in ("x", "y"):
+            for q in (0.5, 0.95, 0.99):
+                assert abs(got[g][f"{c}_p{int(q * 100)}"] - part[c].quantile(q)) < 1e-9
