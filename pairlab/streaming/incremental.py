@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -56,7 +57,8 @@ def incremental_generate(spark: SparkSession, todo: DataFrame, keys: Sequence[st
     done = _existing(spark, out, schema)
     pending = resume_anti_join(todo, done, keys)
     gen = generate_batch(pending.select(*keys, prompt), make_generator, prompt, "generated", on_error)
-    gen = gen.select(*keys, "generated").persist()
+    # replicated on two executors: a lost executor does not re-run the model
+    gen = gen.select(*keys, "generated").persist(StorageLevel.MEMORY_AND_DISK_2)
     n = gen.count()
     if n:
         gen.write.mode("append").parquet(out)
