@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.functions import text as T
@@ -42,42 +42,67 @@ def _pct(x: str, qs: Sequence[float], approx: bool) -> Column:
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolation quantiles without a per-group value map.
+    """Exact linear-interpolation quantiles by histogram selection.
 
-    The columns are stacked into (group, column, value) rows and ranked by
-    value with the two-level rank (one shuffle for all columns); only the rows
-    at the needed ranks are kept and interpolated.  Memory per task stays
-    bounded however many distinct values a group has (``percentile`` keeps
-    one map entry per distinct value).  Output: by + ``{col}_p{q}``.
+    ``percentile`` keeps one map entry per distinct value and group, which
+    does not bound memory for doubles (~one distinct value per row).  Here:
+
+    1. the columns are stacked into (group, column, value) rows and counted
+       per range bucket -- a partial aggregate;
+    2. running counts over the small (group, bucket) table locate the
+       buckets that hold the wanted ranks;
+    3. only rows of those buckets are aggregated by value (ties collapse in
+       the partial aggregate, so a value shared by a third of the rows is one
+       row) and running counts over their distinct values give the exact
+       order statistics, interpolated as numpy / pandas do.
+
+    Output: by + ``{col}_p{q}`` (null for an empty group).
     """
-    from pairlab.operators.ranking import numeric_bucket, ranked
+    from pairlab.operators.ranking import numeric_bucket
     by = list(by)
+    g = by + ["_c"]
     stacked = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in cols])).alias("_s"))
     v = stacked.select(*by, F.col("_s.c").alias("_c"), F.col("_s.x").alias("_x")).filter(F.col("_x").isNotNull())
     finite = v.filter(~F.isnan("_x") & (F.abs("_x") != float("inf")))
-    r = ranked(v, by + ["_c"], [F.col("_x")], numeric_bucket(finite, "_x"), name="_r", total="_n")
-    wanted = F.lit(False)
-    for q in qs:
-        h = (F.col("_n") - 1) * F.lit(q)
-        wanted = wanted | (F.col("_r") == F.floor(h) + 1) | (F.col("_r") == F.ceil(h) + 1)
-    aggs = []
+    v = v.withColumn("_b", F.when(F.col("_x") == float("-inf"), F.lit(-1))
+                     .when(F.isnan("_x") | (F.col("_x") == float("inf")), F.lit(1 << 40))
+                     .otherwise(numeric_bucket(finite, "_x")))
+    hist = v.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_nb"))
+    wb = Window.partitionBy(*g).orderBy("_b")
+    hist = (hist.withColumn("_before", F.coalesce(F.sum("_nb").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
+                                                  F.lit(0)))
+            .withColumn("_n", F.sum("_nb").over(Window.partitionBy(*g))))
+    # the 1-based ranks each quantile needs (lower and upper neighbour)
+    ranks = []
     for i, q in enumerate(qs):
         h = (F.col("_n") - 1) * F.lit(q)
-        aggs += [F.max(F.when(F.col("_r") == F.floor(h) + 1, F.col("_x"))).alias(f"_lo{i}"),
-                 F.max(F.when(F.col("_r") == F.ceil(h) + 1, F.col("_x"))).alias(f"_hi{i}"),
-                 F.first(h).alias(f"_h{i}")]
-    g = r.filter(wanted).groupBy(*by, "_c").agg(*aggs)
-    vals = []
-    for i, q in enumerate(qs):
-        h, lo, hi = F.col(f"_h{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        frac = h - F.floor(h)
-        vals.append(F.when(frac == 0, lo).otherwise((F.lit(1.0) - frac) * lo + frac * hi)
-                    .alias(f"p{int(round(q * 100))}"))
-    long = g.select(*by, "_c", *vals)
+        ranks += [F.struct(F.lit(i).alias("qi"), F.lit("lo").alias("side"), (F.floor(h) + 1).alias("rank"),
+                           h.alias("h")),
+                  F.struct(F.lit(i).alias("qi"), F.lit("hi").alias("side"), (F.ceil(h) + 1).alias("rank"),
+                           h.alias("h"))]
+    need = (hist.select(*g, "_b", "_before", "_nb", F.explode(F.array(*ranks)).alias("_k"))
+            .filter((F.col("_k.rank") > F.col("_before")) & (F.col("_k.rank") <= F.col("_before") + F.col("_nb")))
+            .select(*g, "_b", "_before", F.col("_k.qi").alias("qi"), F.col("_k.side").alias("side"),
+                    F.col("_k.rank").alias("rank"), F.col("_k.h").alias("h")))
+    target_buckets = need.select(*g, "_b").distinct()
+    counts = (v.join(target_buckets, g + ["_b"], "left_semi")
+              .groupBy(*g, "_b", "_x").agg(F.count(F.lit(1)).alias("_m")))
+    wv = Window.partitionBy(*g, "_b").orderBy("_x")
+    counts = counts.withColumn("_upto", F.sum("_m").over(wv.rowsBetween(Window.unboundedPreceding, 0)))
+    # value at a rank: smallest distinct value whose running count reaches it
+    picked = (need.join(counts, g + ["_b"])
+              .filter(F.col("_before") + F.col("_upto") >= F.col("rank"))
+              .groupBy(*g, "qi", "side", "h").agg(F.min("_x").alias("val")))
+    per_q = (picked.groupBy(*g, "qi", "h")
+             .agg(F.max(F.when(F.col("side") == "lo", F.col("val"))).alias("lo"),
+                  F.max(F.when(F.col("side") == "hi", F.col("val"))).alias("hi")))
+    frac = F.col("h") - F.floor("h")
+    per_q = per_q.withColumn("val", F.when(frac == 0, F.col("lo"))
+                             .otherwise((F.lit(1.0) - frac) * F.col("lo") + frac * F.col("hi")))
     names = [f"p{int(round(q * 100))}" for q in qs]
-    return long.groupBy(*by).agg(*[F.max(F.when(F.col("_c") == c, F.col(n))).alias(f"{c}_{n}")
-                                   for c in cols for n in names])
+    return per_q.groupBy(*by).agg(*[F.max(F.when((F.col("_c") == c) & (F.col("qi") == i), F.col("val")))
+                                    .alias(f"{c}_{n}") for c in cols for i, n in enumerate(names)])
 
 
 def length_stats(df: DataFrame, by: Sequence[str] = ("language", "split"), text: str = "text",
