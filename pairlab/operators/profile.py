@@ -112,9 +112,17 @@ def length_stats(df: DataFrame, by: Sequence[str] = ("language", "split"), text:
     mean/median/min/max, compression mean/median (tokens, words), count
     (and the copied-lead ratio in the same aggregation when asked)."""
     f = length_features(df, text, summary, tokenizer)
+    if with_copy_ratio:
+        f = f.withColumn("_copied", T.copied_lead_flag(text, summary).cast("double"))
+    if not approx:
+        # the exact ratio medians take more passes over the features: compute
+        # the per-row numbers once (texts dropped) and checkpoint them reliably
+        from pairlab.session import cut_lineage
+        f = cut_lineage(f.select(*by, *[c for c in f.columns if c.endswith(("_tokens", "_words", "_ratio"))
+                                        or c == "_copied"]))
     aggs = [F.count(F.lit(1)).alias("count")]
     if with_copy_ratio:
-        aggs.append(F.avg(T.copied_lead_flag(text, summary).cast("double")).alias("copy_ratio"))
+        aggs.append(F.avg("_copied").alias("copy_ratio"))
     for c in ("text_tokens", "summary_tokens"):
         aggs += [F.avg(c).alias(f"{c}_mean"), _pct(c, PCTS, approx).alias(f"_{c}_p"),
                  F.stddev_samp(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"),
