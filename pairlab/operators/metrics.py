@@ -319,7 +319,11 @@ def best_worst_examples(scores: DataFrame, n: int = 5, by: Sequence[str] = ("mod
     ``row_number() <= n`` is planned as a WindowGroupLimit: each task keeps
     its own top-n before the shuffle, so a huge group ships n rows per task.
     """
+    from pairlab.session import cut_lineage
     k = [F.col(c) for c in key]
+    # both lists read the scores: compute them once (narrow projection) and
+    # checkpoint, instead of scoring every pair twice
+    scores = cut_lineage(scores.select(*dict.fromkeys([*by, *key, metric, *scores.columns])))
     lo = Window.partitionBy(*by).orderBy(F.col(metric).asc(), *k)
     hi = Window.partitionBy(*by).orderBy(F.col(metric).desc(), *k)
     worst = scores.withColumn("_r", F.row_number().over(lo)).filter(F.col("_r") <= n).withColumn("kind", F.lit("worst"))
