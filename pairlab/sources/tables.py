@@ -26,12 +26,31 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one driver table with its declared schema."""
+# tables whose rows carry long texts: per-row work on them is CPU heavy
+TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+
+
+def load_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool | None = None) -> DataFrame:
+    """Read one driver table with its declared schema.
+
+    A Parquet file written as a single row group is read by one task however
+    it is split, so every per-row text step before the first shuffle would
+    run in one task.  Text tables whose scan yields fewer input partitions
+    than the cluster's default parallelism are therefore rebalanced
+    (round-robin) right after the scan; large inputs with many splits are
+    left alone (no extra shuffle).
+    """
     reader = spark.read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
-    return reader.parquet(table_path(sf_dir, name))
+    df = reader.parquet(table_path(sf_dir, name))
+    if rebalance is None:
+        rebalance = name in TEXT_TABLES
+    if rebalance:
+        want = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < want:
+            df = df.repartition(want)
+    return df
 
 
 class Tables:
