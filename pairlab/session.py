@@ -22,6 +22,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # small shuffles feeding CPU-heavy steps (HOF cosine loops, Python UDFs)
+    # keep at least one partition per core instead of collapsing into one
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",

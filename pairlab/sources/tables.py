@@ -26,8 +26,8 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-# tables whose rows carry long texts: per-row work on them is CPU heavy
-TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+# tables whose rows carry long texts or vectors: per-row work on them is CPU heavy
+TEXT_TABLES = {"documents", "conversations", "pages", "benchmark", "embeddings"}
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool | None = None) -> DataFrame:
