@@ -60,9 +60,40 @@ def rouge_n(t):
     return _scores(t)
 
 
-@register("rouge_l")
+def lcs_sql(src: str, keys: list[str], gen: str = "generated", ref: str = "reference", pattern: str = WORD) -> str:
+    """Oracle LCS by a recursive CTE over the hypothesis tokens.
+
+    Row recurrence: new[j] = max(old[j], old[m(j) - 1] + 1) where m(j) is the
+    last reference position <= j holding the current hypothesis token (rows
+    are non-decreasing, so the last match dominates earlier ones).
+    """
+    k = ", ".join(keys)
+    on = " and ".join(f"d.{c} = t.{c}" for c in keys)
+    return f"""with recursive toks as (
+  select {k}, regexp_extract_all(lower({gen}), '{pattern}') as h,
+         regexp_extract_all(lower({ref}), '{pattern}') as r from {src}),
+dp({k}, i, row) as (
+  select {k}, 0, list_transform(range(0, len(r) + 1), lambda x: 0) from toks
+  union all
+  select {k}, i + 1,
+         list_concat([0], list_transform(range(1, len(r) + 1),
+           lambda j: greatest(row[j + 1], coalesce(row[list_max(list_filter(P, lambda p: p <= j))] + 1, 0))))
+  from (select {', '.join('d.' + c for c in keys)}, d.i, d.row, t.r,
+               list_filter(range(1, len(t.r) + 1), lambda p: t.r[p] = t.h[d.i + 1]) as P
+        from dp d join toks t on {on} where d.i < len(t.h)) x),
+lcs as (
+  select {', '.join('d.' + c for c in keys)}, d.row[len(d.row)] as hit, len(t.h) as nh, len(t.r) as nr
+  from dp d join toks t on {on} where d.i = len(t.h)),
+pr as (
+  select {k}, case when nh = 0 or nr = 0 then 0.0 else hit / nh end as p,
+         case when nh = 0 or nr = 0 then 0.0 else hit / nr end as r from lcs)
+select {k}, p as rougeL_p, r as rougeL_r, case when p + r > 0 then 2.0 * p * r / (p + r) else 0.0 end as rougeL_f
+from pr"""
+
+
+@register("rouge_l", rsql(lcs_sql("generations", GKEYS), "rougeL_p,rougeL_r,rougeL_f", ("generations",)))
 def rouge_l(t):
-    """LCS F1 per pair (no SQL equivalent: pytest checks it against a DP)."""
+    """LCS-based P/R/F1 per pair (bit-parallel LCS on whole texts)."""
     return M.rouge_l(FX.generations(t), GKEYS)
 
 
