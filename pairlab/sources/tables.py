@@ -47,8 +47,12 @@ def load_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool | No
     if rebalance is None:
         rebalance = name in TEXT_TABLES
     if rebalance:
-        want = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
+        try:
+            want = spark.sparkContext.defaultParallelism
+            have = df.rdd.getNumPartitions()
+        except Exception:  # no RDD access (e.g. a remote session): leave the scan as is
+            return df
+        if have < want:
             df = df.repartition(want)
     return df
 
