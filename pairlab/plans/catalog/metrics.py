@@ -97,8 +97,69 @@ def rouge_l(t):
     return M.rouge_l(FX.generations(t), GKEYS)
 
 
-@register("rouge_lsum")
+def lcs_sum_sql(src: str, keys: list[str], gen: str = "generated", ref: str = "reference",
+                pattern: str = WORD) -> str:
+    """Oracle ROUGE-Lsum: per (reference sentence, generated sentence) the LCS
+    table by a recursive CTE, one LCS backtracked exactly like the Python
+    helper (take a match, else move along the generated sentence when the
+    value is unchanged, else along the reference), union of the matched
+    reference positions over generated sentences, summed over reference
+    sentences."""
+    k = ", ".join(keys)
+
+    def cols(alias):
+        return ", ".join(f"{alias}.{c}" for c in keys)
+
+    def sents(x):
+        return (f"list_filter(list_transform(string_split(replace({x}, '. ', chr(10)), chr(10)), "
+                f"lambda s: regexp_extract_all(lower(s), '{pattern}')), lambda t: len(t) > 0)")
+    same = " and ".join(f"p.{c} = b.{c}" for c in keys)
+    return f"""with recursive s as (
+  select {k}, {sents(gen)} as hs, {sents(ref)} as rs from {src}),
+tot as (
+  select {k}, coalesce(list_sum(list_transform(hs, lambda t: len(t))), 0) as nh,
+         coalesce(list_sum(list_transform(rs, lambda t: len(t))), 0) as nr from s),
+combos as (
+  select {k}, ri, rt, hi, ht
+  from (select {k}, unnest(rs) as rt, unnest(range(1, len(rs) + 1)) as ri, hs from s) a,
+       lateral (select unnest(a.hs) as ht, unnest(range(1, len(a.hs) + 1)) as hi) b),
+dp({k}, ri, hi, j, row) as (
+  select {k}, ri, hi, 0, list_transform(range(0, len(rt) + 1), lambda x: 0) from combos
+  union all
+  select {k}, ri, hi, j + 1,
+         list_concat([0], list_transform(range(1, len(rt) + 1),
+           lambda i: greatest(row[i + 1], coalesce(row[list_max(list_filter(P, lambda p: p <= i))] + 1, 0))))
+  from (select {cols('d')}, d.ri, d.hi, d.j, d.row, c.rt,
+               list_filter(range(1, len(c.rt) + 1), lambda p: c.rt[p] = c.ht[d.j + 1]) as P
+        from dp d join combos c using ({k}, ri, hi) where d.j < len(c.ht)) x),
+bt({k}, ri, hi, i, j, cur, pos) as (
+  select {cols('c')}, c.ri, c.hi, len(c.rt), len(c.ht), d.row[len(c.rt) + 1], cast(null as bigint)
+  from combos c join dp d using ({k}, ri, hi) where d.j = len(c.ht)
+  union all
+  select {cols('b')}, b.ri, b.hi,
+         case when c.rt[b.i] = c.ht[b.j] then b.i - 1 when p.row[b.i + 1] = b.cur then b.i else b.i - 1 end,
+         case when c.rt[b.i] = c.ht[b.j] then b.j - 1 when p.row[b.i + 1] = b.cur then b.j - 1 else b.j end,
+         case when c.rt[b.i] = c.ht[b.j] then b.cur - 1 else b.cur end,
+         case when c.rt[b.i] = c.ht[b.j] then b.i - 1 end
+  from bt b join combos c using ({k}, ri, hi)
+       join dp p on {same} and p.ri = b.ri and p.hi = b.hi and p.j = b.j - 1
+  where b.i > 0 and b.j > 0 and b.cur > 0),
+hits as (
+  select {k}, sum(n) as hit
+  from (select {k}, ri, count(distinct pos) as n from bt where pos is not null group by all) u group by all),
+pr as (
+  select {cols('t')}, case when t.nh = 0 or t.nr = 0 then 0.0 else coalesce(h.hit, 0) / t.nh end as p,
+         case when t.nh = 0 or t.nr = 0 then 0.0 else coalesce(h.hit, 0) / t.nr end as r
+  from tot t left join hits h using ({k}))
+select {k}, p as rougeLsum_p, r as rougeLsum_r,
+       case when p + r > 0 then 2.0 * p * r / (p + r) else 0.0 end as rougeLsum_f
+from pr"""
+
+
+@register("rouge_lsum", rsql(lcs_sum_sql("generations", GKEYS), "rougeLsum_p,rougeLsum_r,rougeLsum_f",
+                             ("generations",)))
 def rouge_lsum(t):
+    """Summary-level union LCS per pair (Lin 2004, 3.2)."""
     return M.rouge_lsum(FX.generations(t), GKEYS)
 
 
