@@ -156,12 +156,25 @@ def length_stats(df: DataFrame, by: Sequence[str] = ("language", "split"), text:
     return g.select(*out)
 
 
+def _integral(df: DataFrame, col: str) -> bool:
+    from pyspark.sql import types as TT
+    return isinstance(df.schema[col].dataType, (TT.IntegerType, TT.LongType, TT.ShortType, TT.ByteType))
+
+
 def length_percentiles(df: DataFrame, col: str, by: Sequence[str] = ("language", "split"),
                        qs: Sequence[float] = (0.5, 0.75, 0.9, 0.95, 0.97, 0.99),
                        approx: bool = False) -> DataFrame:
+    """Percentiles of ``col`` per group (linear interpolation).
+
+    Integer lengths use ``percentile`` (its value map is bounded by the
+    longest text); other columns use ``exact_quantiles`` (no value map).
+    """
+    names = [f"p{int(round(q * 100))}" for q in qs]
+    if not approx and not _integral(df, col):
+        e = exact_quantiles(df, by, [col], qs)
+        return e.select(*by, *[F.col(f"{col}_{n}").alias(n) for n in names])
     g = df.groupBy(*by).agg(_pct(col, qs, approx).alias("_p"))
-    return g.select(*by, *[F.col("_p")[i].cast("double").alias(f"p{int(round(q * 100))}")
-                           for i, q in enumerate(qs)])
+    return g.select(*by, *[F.col("_p")[i].cast("double").alias(n) for i, n in enumerate(names)])
 
 
 def copied_lead_ratio(df: DataFrame, by: Sequence[str] = ("language", "split"),
@@ -254,9 +267,17 @@ def length_histogram(df: DataFrame, col: str, bins: int = 30, clip_q: float | No
     """
     by = list(by)
     x = F.col(col).cast("double")
-    bounds = df.groupBy(*by).agg(
-        F.min(x).alias("_lo"),
-        (F.percentile(x, F.lit(clip_q)) if clip_q is not None else F.max(x)).alias("_hi"))
+    if clip_q is not None and not _integral(df, col):
+        # a double column: exact clip quantile without a per-group value map
+        q = exact_quantiles(df, by, [col], [clip_q])
+        hi = q.select(*by, F.col(f"{col}_p{int(round(clip_q * 100))}").alias("_hi"))
+        lo = df.groupBy(*by).agg(F.min(x).alias("_lo"))
+        bounds = lo.join(hi, by, "inner") if by else \
+            lo.withColumn("_g", F.lit(1)).join(hi.withColumn("_g", F.lit(1)), "_g").drop("_g")
+    else:
+        bounds = df.groupBy(*by).agg(
+            F.min(x).alias("_lo"),
+            (F.percentile(x, F.lit(clip_q)) if clip_q is not None else F.max(x)).alias("_hi"))
     if by:
         j = df.join(bounds, by, "inner")
     else:  # one global bounds row, joined on a constant key

@@ -119,3 +119,19 @@ def test_exact_quantiles_match_pandas(spark):
         for c in ("x", "y"):
             for q in (0.5, 0.95, 0.99):
                 assert abs(got[g][f"{c}_p{int(q * 100)}"] - part[c].quantile(q)) < 1e-9
+
+
+def test_percentiles_and_histogram_on_doubles(spark):
+    from pyspark.sql import functions as F
+
+    from pairlab.operators.profile import length_histogram, length_percentiles
+    rnd = random.Random(4)
+    rows = [("a" if i % 4 else "b", rnd.random() * 10) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    p_rank = {r["g"]: r for r in length_percentiles(df, "x", by=["g"]).collect()}
+    p_map = {r["g"]: r for r in df.groupBy("g").agg(F.percentile("x", F.array(F.lit(0.5), F.lit(0.99))).alias("p"))
+             .collect()}
+    for g in ("a", "b"):
+        assert abs(p_rank[g]["p50"] - p_map[g]["p"][0]) < 1e-9 and abs(p_rank[g]["p99"] - p_map[g]["p"][1]) < 1e-9
+    h = length_histogram(df, "x", bins=10, by=["g"])
+    assert h.groupBy("g").agg(F.sum("n").alias("n")).orderBy("g").collect()[0]["n"] == 750
