@@ -159,3 +159,14 @@ def test_incremental_generate_stream(spark, tmp_path):
     INC.incremental_generate_stream(stream, ["article_id", "language"], G.lead_sentences(1), out, ck).awaitTermination()
     got = sorted((r["article_id"], r["generated"]) for r in spark.read.parquet(out).collect())
     assert got == [("a", "One."), ("b", "Un.")]
+
+
+def test_incremental_ingest_with_watermark(spark, tmp_path):
+    src, out, ck = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")
+    schema = "name string, ts timestamp"
+    spark.sql("select 'p1' as name, timestamp'2024-01-01 00:00:00' as ts union all "
+              "select 'p1', timestamp'2024-01-01 00:00:05' union all "
+              "select 'p2', timestamp'2024-01-01 00:00:07'").write.parquet(src + "/b1")
+    q = INC.incremental_ingest(spark, src + "/*", schema, "name", ck, out, watermark=("ts", "1 hour"))
+    q.awaitTermination()
+    assert sorted(r["name"] for r in spark.read.parquet(out).collect()) == ["p1", "p2"]
