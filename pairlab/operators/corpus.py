@@ -287,7 +287,8 @@ def three_way_split(df: DataFrame, train: float = 0.8, val: float = 0.1, test: f
 
     Rows are ranked in seeded-hash order inside each group (two-level rank,
     buckets = leading hash digits); ranks 1..n_test are test, the next n_val
-    validation, the rest train.  Group sizes come from one partial count.
+    validation, the rest train.  Group sizes are summed from the same bucket
+    sizes the rank uses (no extra pass over the rows).
     """
     by = list(by)
     h = seeded_order(df, seed, key)
