@@ -24,11 +24,18 @@ def _line(col: str, n: int):
     return F.split_part(F.col(col), F.lit(NL), F.lit(n))
 
 
+def _doc_key(col: str):
+    """Article key of a fixture row: the full md5 of the document id (128
+    bits, so keys stay unique at any corpus size; the reference's 10-hex
+    title id is the ``article_id`` operator, audited for collisions)."""
+    return F.md5(F.col(col).cast("string"))
+
+
 def articles(t: Tables) -> DataFrame:
     """(article_id, doc_id, language, title, text, url): one per document."""
     d = t.documents
     title = T.first_line("text")
-    return d.select(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 10).alias("article_id"),
+    return d.select(_doc_key("doc_id").alias("article_id"),
                     "doc_id", F.col("lang").alias("language"), title.alias("title"), "text",
                     T.article_url(F.concat(F.col("lang"), F.lit(".example.org")), title).alias("url"))
 
@@ -46,7 +53,7 @@ def summaries(t: Tables) -> DataFrame:
                .when(_line("text", 3) != "", F.concat(_line("text", 2), F.lit(NL), _line("text", 3)))
                .when(_line("text", 2) != "", _line("text", 2))
                .otherwise(F.col("text")))
-    return j.select(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 10).alias("article_id"),
+    return j.select(_doc_key("doc_id").alias("article_id"),
                     F.col("lang").alias("language"), summary.alias("summary"),
                     T.first_line("text").alias("title"))
 
@@ -182,12 +189,12 @@ def build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 SQL = {
     "articles": """
-select substr(md5(cast(doc_id as varchar)), 1, 10) as article_id, doc_id, lang as language,
+select md5(cast(doc_id as varchar)) as article_id, doc_id, lang as language,
        split_part(text, chr(10), 1) as title, text,
        concat('https://', lang, '.example.org/wiki/', replace(split_part(text, chr(10), 1), ' ', '_')) as url
 from documents""",
     "summaries": """
-select substr(md5(cast(d.doc_id as varchar)), 1, 10) as article_id, d.lang as language,
+select md5(cast(d.doc_id as varchar)) as article_id, d.lang as language,
        case when l.toxic = 1 then ''
             when l.quality = 0 then left(d.text, 200)
             when split_part(d.text, chr(10), 3) <> ''
