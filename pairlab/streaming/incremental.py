@@ -29,7 +29,15 @@ from pairlab.operators.generate import GeneratorFactory, generate_batch
 def incremental_ingest(spark: SparkSession, source: str, schema: str, key: str, checkpoint: str, out: str,
                        fmt: str = "parquet", watermark: tuple[str, str] | None = None,
                        available_now: bool = True) -> StreamingQuery:
-    """Stream new files from ``source`` into ``out`` keeping the first row per ``key``."""
+    """Stream new files from ``source`` into ``out`` keeping the first row per ``key``.
+
+    Without a watermark the de-duplication state keeps every key ever seen
+    (the reference's processed-page set); it is spread over the state store
+    partitions.  For very large key sets use the RocksDB state store
+    (``spark.sql.streaming.stateStore.providerClass =
+    org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider``)
+    or pass ``watermark`` to bound the state.
+    """
     s = spark.readStream.schema(schema).format(fmt).load(source)
     if watermark:
         s = s.withWatermark(*watermark).dropDuplicatesWithinWatermark([key])
