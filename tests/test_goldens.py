@@ -194,3 +194,16 @@ def test_mask_sizes_equal(spark):
     k1 = [r for r in out if r["k"] == "k1"][0]
     # "Summarize: a b c." is 6 wordpunct tokens
     assert k1["labels"][:6] == [-100] * 6 and k1["labels"][6:] == k1["input_ids"][6:]
+
+
+def test_summary_prompt_fallback_and_messages(spark):
+    from pairlab.functions import prompts as P
+    df = spark.createDataFrame([("a", "fr", "Texte."), ("b", "es", "Texto {language} x" * 3)],
+                               "article_id string, language string, text string")
+    out = {r["article_id"]: r["prompt"] for r in P.summary_prompt(df, P.template_table(spark), max_chars=10).collect()}
+    assert out["a"].startswith("Veuillez fournir") and "Texte." in out["a"]
+    # unknown language: English template naming the language; article text is never re-scanned
+    assert "article in es." in out["b"] and "Texto {lan" in out["b"]
+    m = df.select(P.judge_messages(F.lit("T"), F.lit("R"), F.lit("A"), F.lit("B")).alias("m")).first()["m"]
+    assert [x["role"] for x in m] == ["system", "user"] and m[1]["content"][0]["type"] == "text"
+    assert 'for the topic: "T"' in m[1]["content"][0]["text"]
