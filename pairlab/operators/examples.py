@@ -40,18 +40,26 @@ def build_vocab(df: DataFrame, col: str = "text", tokenizer: str = "wordpunct")
 
 
 def tokenize(df: DataFrame, keys: Sequence[str], col: str, vocab: DataFrame, max_len: int | None = None,
-             tokenizer: str = "wordpunct", out: str = "input_ids") -> DataFrame:
+             tokenizer: str = "wordpunct", out: str = "input_ids",
+             carry: dict[str, Column] | None = None) -> DataFrame:
     """keys + ``out`` (ARRAY<INT>): token ids in text order, cut to
-    ``max_len``; unknown tokens map to ``<unk>``."""
+    ``max_len``; unknown tokens map to ``<unk>``.  ``carry`` adds per-row
+    values computed in the same pass and kept through the regrouping (no
+    second scan and join for them)."""
     keys = list(keys)
+    carry = carry or {}
     toks = tokens(F.col(col), tokenizer)
     if max_len is not None:  # cut before exploding: only kept tokens become rows
         toks = F.slice(toks, 1, max_len)
-    ex = df.select(*keys, F.posexplode_outer(toks).alias("pos", "token"))
+    # per-row values first, then the explode: an expression written next to
+    # the generator would be evaluated once per exploded token instead
+    base = df.select(*keys, *[c.alias(n) for n, c in carry.items()], toks.alias("_toks"))
+    ex = base.select(*keys, *carry, F.posexplode_outer("_toks").alias("pos", "token"))
     j = ex.join(vocab.select("token", "id"), "token", "left")
     tid = F.when(F.col("token").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("id"), F.lit(UNK_ID)))
-    g = j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("pos"), tid.alias("id")))).alias("_s"))
-    return g.select(*keys, F.transform(F.filter("_s", lambda s: s["id"].isNotNull()), lambda s: s["id"]).alias(out))
+    g = j.groupBy(*keys, *carry).agg(F.sort_array(F.collect_list(F.struct(F.col("pos"), tid.alias("id")))).alias("_s"))
+    return g.select(*keys, *carry, F.transform(F.filter("_s", lambda s: s["id"].isNotNull()),
+                                               lambda s: s["id"]).alias(out))
 
 
 def decode(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame, out: str = "text",
@@ -71,9 +79,8 @@ def mask_prompt_labels(df: DataFrame, keys: Sequence[str], prompt: str, full: st
     """input_ids = tok(full)[:max_len + max_target]; labels mask the first
     len(tok(prompt)[:max_len]) positions with -100; attention mask of ones."""
     keys = list(keys)
-    ids = tokenize(df, keys, full, vocab, max_len + max_target, tokenizer, "input_ids")
-    p = df.select(*keys, F.least(token_len(F.col(prompt), tokenizer), F.lit(max_len)).cast("int").alias("_p"))
-    j = ids.join(p, keys)
+    p = F.least(token_len(F.col(prompt), tokenizer), F.lit(max_len)).cast("int")
+    j = tokenize(df, keys, full, vocab, max_len + max_target, tokenizer, "input_ids", carry={"_p": p})
     return j.select(*keys, "input_ids", A.attention_mask("input_ids").alias("attention_mask"),
                     A.mask_prompt_labels("input_ids", "_p").alias("labels"))
 
