@@ -166,11 +166,7 @@ def rouge_lsum(t):
 TP_KEYS = ["conv_id", "turn"]
 
 
-@register("rouge_prf_table", rsql(rouge_sql("turn_pairs", TP_KEYS, gen="summary", ref="text"),
-                                  rouge_doubles(), ("turn_pairs",)))
-def rouge_prf_table(t):
-    """P/R/F table for ROUGE-1/2 (L/Lsum F are added by ``rouge_prf_table(with_lcs=True)``)."""
-    return M.rouge_prf_table(FX.turn_pairs(t), TP_KEYS, with_lcs=False, generated="summary", reference="text")
+
 
 
 @register("rouge_segmented", rsql(rouge_sql("generations", GKEYS, pattern="\\S", lower=False, prefix="char_rouge"),
@@ -349,3 +345,17 @@ select pair_id, p as emb_p, rr as emb_r, case when p + rr > 0 then 2.0 * p * rr
 from pr""", "emb_p,emb_r,emb_f", ("token_vectors",)))
 def embedding_match_score(t):
     return M.embedding_match_score(FX.token_vectors(t))
+
+
+def _prf_table_sql() -> str:
+    n = rouge_sql("turn_pairs", TP_KEYS, gen="summary", ref="text")
+    lcs = lcs_sql("turn_pairs", TP_KEYS, gen="summary", ref="text")
+    lsum = lcs_sum_sql("turn_pairs", TP_KEYS, gen="summary", ref="text")
+    return f"""select n.*, l.rougeL_f, s.rougeLsum_f
+from ({n}) n join ({lcs}) l using (conv_id, turn) join ({lsum}) s using (conv_id, turn)"""
+
+
+@register("rouge_prf_table", rsql(_prf_table_sql(), rouge_doubles() + ",rougeL_f,rougeLsum_f", ("turn_pairs",)))
+def rouge_prf_table(t):
+    """P/R/F for ROUGE-1/2 and F for ROUGE-L / ROUGE-Lsum per turn pair."""
+    return M.rouge_prf_table(FX.turn_pairs(t), TP_KEYS, with_lcs=True, generated="summary", reference="text")
