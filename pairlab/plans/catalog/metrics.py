@@ -255,15 +255,7 @@ def gen_len(t):
     return PR.gen_len(FX.generations(t))
 
 
-@register("evaluation_report", rsql(f"""
-select m.model, m.rouge1_f, m.rouge2_f, l.avg_generated_words, l.avg_reference_words,
-       l.length_ratio, l.length_correlation
-from ({_MEAN_SQL}) m join ({_LEN_SQL}) l using (model)""",
-                                    "rouge1_f,rouge2_f,avg_generated_words,avg_reference_words,length_ratio,"
-                                    "length_correlation", ("generations",)))
-def evaluation_report(t):
-    from pairlab.plans.flagships import evaluation_report as er
-    return er(FX.generations(t), with_lcs=False)
+
 
 
 @register("melt_metrics", rsql(f"""
@@ -359,3 +351,21 @@ from ({n}) n join ({lcs}) l using (conv_id, turn) join ({lsum}) s using (conv_id
 def rouge_prf_table(t):
     """P/R/F for ROUGE-1/2 and F for ROUGE-L / ROUGE-Lsum per turn pair."""
     return M.rouge_prf_table(FX.turn_pairs(t), TP_KEYS, with_lcs=True, generated="summary", reference="text")
+
+
+def _report_sql() -> str:
+    return f"""
+select m.model, m.rouge1_f, m.rouge2_f, lm.rougeL_f, l.avg_generated_words, l.avg_reference_words,
+       l.length_ratio, l.length_correlation
+from ({_MEAN_SQL}) m join ({_LEN_SQL}) l using (model)
+join (select model, coalesce(avg(rougeL_f), 0.0) as rougeL_f from ({lcs_sql('generations', GKEYS)}) x group by model) lm
+  using (model)"""
+
+
+@register("evaluation_report", rsql(_report_sql(),
+                                    "rouge1_f,rouge2_f,rougeL_f,avg_generated_words,avg_reference_words,length_ratio,"
+                                    "length_correlation", ("generations",)))
+def evaluation_report(t):
+    """One row per model: mean ROUGE-1/2/L and the length metrics."""
+    from pairlab.plans.flagships import evaluation_report as er
+    return er(FX.generations(t), with_lcs=True)
