@@ -153,10 +153,12 @@ def generate_all(df: DataFrame, generators: dict[str, GeneratorFactory], keys: S
 def compare_models(df: DataFrame, generators: dict[str, GeneratorFactory], keys: Sequence[str],
                    prompt: str = "prompt", reference: str = "reference", on_error: str = "message") -> DataFrame:
     """Run every model's generator on the same rows and score each output
-    with ROUGE-1/2 against the reference.  Output: one row per (row, model)."""
+    with ROUGE-1/2 (P/R/F) and ROUGE-L (F) against the reference.
+    Output: one row per (row, model)."""
     from pairlab.operators import metrics as M
     keys = list(keys)
     gen = generate_all(df, generators, keys, prompt, reference, on_error)
     k = keys + ["model"]
     scores = M.rouge_scores(gen, k, (1, 2), reference=reference)
-    return gen.select(*k, "generated").join(scores, k)
+    lcs = M.rouge_l(gen, k, reference=reference).select(*k, "rougeL_f")
+    return gen.select(*k, "generated").join(scores, k).join(lcs, k)

@@ -9,7 +9,7 @@ from pairlab.functions import prompts as P
 from pairlab.operators import generate as G
 from pairlab.plans import fixtures as FX
 from pairlab.plans.catalog.base import register, rsql
-from pairlab.plans.catalog.metrics import rouge_doubles, rouge_sql
+from pairlab.plans.catalog.metrics import lcs_sql, rouge_doubles, rouge_sql
 
 
 def _lengths(b: pd.DataFrame) -> pd.DataFrame:
@@ -81,8 +81,10 @@ _CMP_GENS = f"""gens as (
 
 
 @register("compare_models", rsql(f"""with {_CMP_GENS}
-select s.*, g.generated from ({rouge_sql('gens', ['article_id', 'language', 'model'])}) s
-join gens g using (article_id, language, model)""", rouge_doubles(), ("pairs",)))
+select s.*, g.generated, l.rougeL_f from ({rouge_sql('gens', ['article_id', 'language', 'model'])}) s
+join gens g using (article_id, language, model)
+join ({lcs_sql('gens', ['article_id', 'language', 'model'])}) l using (article_id, language, model)""",
+                                 rouge_doubles() + ",rougeL_f", ("pairs",)))
 def compare_models(t):
     p = FX.pairs(t).select("article_id", "language", F.col("text").alias("prompt"), F.col("summary").alias("reference"))
     return G.compare_models(p, {"lead1": G.lead_sentences(1), "lead3": G.lead_sentences(3)},
