@@ -61,7 +61,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     system) and is only read here.  Only when it is unset -- local tests --
     a scratch folder is created and registered with the context.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote session: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
     current = sc.getCheckpointDir()
     if current:
         return current
