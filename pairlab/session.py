@@ -64,7 +64,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     try:
         sc = spark.sparkContext
     except Exception:  # remote session: the server owns the checkpoint folder
-        return spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder for this session")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
