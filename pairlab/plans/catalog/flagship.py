@@ -9,7 +9,7 @@ from pairlab.plans import fixtures as FX
 from pairlab.plans import flagships as FL
 from pairlab.plans.catalog.base import register, rsql
 from pairlab.plans.catalog.generate import _CMP_GENS, _judge_input, _overlap_sql
-from pairlab.plans.catalog.metrics import rouge_sql
+from pairlab.plans.catalog.metrics import lcs_sql, rouge_sql
 from pairlab.plans.catalog.sqlbits import words
 
 
@@ -62,14 +62,15 @@ def clean_summaries(t):
 
 
 @register("evaluate_models", rsql(f"""with {_CMP_GENS}
-select s.model, avg(s.rouge1_f) as rouge1_f, avg(s.rouge2_f) as rouge2_f,
+select s.model, avg(s.rouge1_f) as rouge1_f, avg(s.rouge2_f) as rouge2_f, avg(l.rougeL_f) as rougeL_f,
        avg({words('g.generated')}) as avg_generated_words, avg({words('g.reference')}) as avg_reference_words
 from ({rouge_sql('gens', ['article_id', 'language', 'model'])}) s join gens g using (article_id, language, model)
-group by s.model""", "rouge1_f,rouge2_f,avg_generated_words,avg_reference_words", ("pairs",)))
+join ({lcs_sql('gens', ['article_id', 'language', 'model'])}) l using (article_id, language, model)
+group by s.model""", "rouge1_f,rouge2_f,rougeL_f,avg_generated_words,avg_reference_words", ("pairs",)))
 def evaluate_models(t):
     p = FX.pairs(t).select("article_id", "language", F.col("text").alias("prompt"), F.col("summary").alias("reference"))
     r = FL.evaluate_models(p, {"lead1": G.lead_sentences(1), "lead3": G.lead_sentences(3)}, ["article_id", "language"])
-    return r.select("model", "rouge1_f", "rouge2_f", "avg_generated_words", "avg_reference_words")
+    return r.select("model", "rouge1_f", "rouge2_f", "rougeL_f", "avg_generated_words", "avg_reference_words")
 
 
 @register("judge_report", rsql(f"""

@@ -98,7 +98,7 @@ def evaluate_models(df: DataFrame, generators: dict, keys, prompt: str = "prompt
     from pairlab.operators import generate as G
     gen = G.generate_all(df, generators, keys, prompt, reference)
     keys = list(keys)
-    return evaluation_report(gen.withColumnRenamed(reference, "reference"), keys=keys + ["model"], with_lcs=False)
+    return evaluation_report(gen.withColumnRenamed(reference, "reference"), keys=keys + ["model"], with_lcs=True)
 
 
 def judge_report(comparisons: DataFrame, make_judge, by=("language",)) -> DataFrame:
