@@ -55,6 +55,15 @@ def _scores(t):
     return M.rouge_scores(FX.generations(t), GKEYS, (1, 2))
 
 
+def _scores3(t):
+    """ROUGE-1/2 P/R/F plus ROUGE-L F per pair (the reference's three metrics)."""
+    g = FX.generations(t)
+    return M.rouge_scores(g, GKEYS, (1, 2)).join(M.rouge_l(g, GKEYS).select(*GKEYS, "rougeL_f"), GKEYS)
+
+
+M3 = ["rouge1_f", "rouge2_f", "rougeL_f"]
+
+
 @register("rouge_n", rsql(rouge_sql("generations", GKEYS), rouge_doubles(), ("generations",)))
 def rouge_n(t):
     return _scores(t)
@@ -181,25 +190,35 @@ select model, coalesce(avg(rouge1_f), 0.0) as rouge1_f, coalesce(avg(rouge2_f),
 from ({rouge_sql('generations', GKEYS)}) s group by model"""
 
 
-@register("mean_rouge", rsql(_MEAN_SQL, "rouge1_f,rouge2_f", ("generations",)))
+_MEAN3_SQL = f"""
+select m.model, m.rouge1_f, m.rouge2_f, coalesce(l.rougeL_f, 0.0) as rougeL_f, m.n_rows
+from ({_MEAN_SQL}) m
+join (select model, avg(rougeL_f) as rougeL_f from ({lcs_sql('generations', GKEYS)}) x group by model) l
+  using (model)"""
+
+
+@register("mean_rouge", rsql(_MEAN3_SQL, "rouge1_f,rouge2_f,rougeL_f", ("generations",)))
 def mean_rouge(t):
-    return M.mean_rouge(_scores(t))
-
-
-@register("rouge_improvement", rsql(f"""
-select base_rouge1_f, finetuned_rouge1_f, base_rouge2_f, finetuned_rouge2_f,
-       case when base_rouge1_f > 0 then (finetuned_rouge1_f - base_rouge1_f) / base_rouge1_f * 100 else 0.0 end
-         as improvement_rouge1_f,
-       case when base_rouge2_f > 0 then (finetuned_rouge2_f - base_rouge2_f) / base_rouge2_f * 100 else 0.0 end
-         as improvement_rouge2_f
-from (select max(rouge1_f) filter (where model = 'base') as base_rouge1_f,
-             max(rouge1_f) filter (where model = 'finetuned') as finetuned_rouge1_f,
-             max(rouge2_f) filter (where model = 'base') as base_rouge2_f,
-             max(rouge2_f) filter (where model = 'finetuned') as finetuned_rouge2_f
-      from ({_MEAN_SQL}) m) w""", "base_rouge1_f,finetuned_rouge1_f,base_rouge2_f,finetuned_rouge2_f,"
-                                  "improvement_rouge1_f,improvement_rouge2_f", ("generations",)))
+    return M.mean_rouge(_scores3(t), metrics=M3)
+
+
+def _improvement_sql() -> str:
+    cols = []
+    inner = []
+    for m in M3:
+        inner += [f"max({m}) filter (where model = 'base') as base_{m}",
+                  f"max({m}) filter (where model = 'finetuned') as finetuned_{m}"]
+        cols += [f"base_{m}", f"finetuned_{m}",
+                 f"case when base_{m} > 0 then (finetuned_{m} - base_{m}) / base_{m} * 100 else 0.0 end "
+                 f"as improvement_{m}"]
+    return f"select {', '.join(cols)} from (select {', '.join(inner)} from ({_MEAN3_SQL}) m) w"
+
+
+@register("rouge_improvement", rsql(_improvement_sql(),
+                                    ",".join(f"{p}_{m}" for m in M3 for p in ("base", "finetuned", "improvement")),
+                                    ("generations",)))
 def rouge_improvement(t):
-    return M.rouge_improvement(M.mean_rouge(_scores(t)))
+    return M.rouge_improvement(M.mean_rouge(_scores3(t), metrics=M3), metrics=M3)
 
 
 @register("best_worst_examples", rsql(f"""
@@ -259,10 +278,10 @@ def gen_len(t):
 
 
 @register("melt_metrics", rsql(f"""
-select model, metric, score from ({_MEAN_SQL}) m
-unpivot (score for metric in (rouge1_f, rouge2_f))""", "score", ("generations",)))
+select model, metric, score from ({_MEAN3_SQL}) m
+unpivot (score for metric in (rouge1_f, rouge2_f, rougeL_f))""", "score", ("generations",)))
 def melt_metrics(t):
-    return M.melt_metrics(M.mean_rouge(_scores(t)).drop("n_rows"), ["model"], ["rouge1_f", "rouge2_f"])
+    return M.melt_metrics(M.mean_rouge(_scores3(t), metrics=M3).drop("n_rows"), ["model"], M3)
 
 
 @register("side_by_side", rsql("""
@@ -279,11 +298,11 @@ def side_by_side(t):
 
 
 @register("round_metrics", rsql(f"""
-select model, round(rouge1_f * 100, 2) as rouge1_f, round(rouge2_f * 100, 2) as rouge2_f
-from ({_MEAN_SQL}) m""", "rouge1_f,rouge2_f", ("generations",)))
+select model, round(rouge1_f * 100, 2) as rouge1_f, round(rouge2_f * 100, 2) as rouge2_f,
+       round(rougeL_f * 100, 2) as rougeL_f
+from ({_MEAN3_SQL}) m""", "rouge1_f,rouge2_f,rougeL_f", ("generations",)))
 def round_metrics(t):
-    return M.round_metrics(M.mean_rouge(_scores(t)).select("model", "rouge1_f", "rouge2_f"),
-                           ["rouge1_f", "rouge2_f"])
+    return M.round_metrics(M.mean_rouge(_scores3(t), metrics=M3).select("model", *M3), M3)
 
 
 @register("union_model_metrics", rsql(f"""
