@@ -317,12 +317,15 @@ def union_model_metrics(t):
 
 
 @register("metric_grid_improvement", rsql(f"""
-with s as ({rouge_sql('generations', GKEYS)}),
+with s0 as ({rouge_sql('generations', GKEYS)}),
+lc as ({lcs_sql('generations', GKEYS)}),
+s as (select s0.*, lc.rougeL_f from s0 join lc using (article_id, language, model)),
 grid as (
   select d.language as tuned_lang, d.split as test_lang,
          case when s.model = 'base' then 'base_model' else 'finetuned_model' end as variant,
-         m.metric, case when m.metric = 'rouge1' then avg(s.rouge1_f) else avg(s.rouge2_f) end as score
-  from s join dataset d using (article_id, language), (values ('rouge1'), ('rouge2')) m(metric)
+         m.metric, case when m.metric = 'rouge1' then avg(s.rouge1_f) when m.metric = 'rouge2' then avg(s.rouge2_f)
+                        else avg(s.rougeL_f) end as score
+  from s join dataset d using (article_id, language), (values ('rouge1'), ('rouge2'), ('rougeL')) m(metric)
   group by d.language, d.split, s.model = 'base', m.metric),
 w as (select tuned_lang, test_lang, metric,
              max(score) filter (where variant = 'base_model') as b,
@@ -333,14 +336,14 @@ select tuned_lang, test_lang, metric,
             else (coalesce(f, 0.0) - coalesce(b, 0.0)) / coalesce(b, 1.0) * 100 end as improvement
 from w""", "improvement", ("generations", "dataset")))
 def metric_grid_improvement(t):
-    s = _scores(t)
+    s = _scores3(t)
     d = FX.dataset(t).select("article_id", "language", "split")
     j = s.join(d, ["article_id", "language"])
     variant = F.when(F.col("model") == "base", "base_model").otherwise("finetuned_model")
     grid = (j.groupBy(F.col("language").alias("tuned_lang"), F.col("split").alias("test_lang"),
                       variant.alias("variant"))
-            .agg(F.avg("rouge1_f").alias("rouge1"), F.avg("rouge2_f").alias("rouge2"))
-            .unpivot(["tuned_lang", "test_lang", "variant"], ["rouge1", "rouge2"], "metric", "score"))
+            .agg(F.avg("rouge1_f").alias("rouge1"), F.avg("rouge2_f").alias("rouge2"), F.avg("rougeL_f").alias("rougeL"))
+            .unpivot(["tuned_lang", "test_lang", "variant"], ["rouge1", "rouge2", "rougeL"], "metric", "score"))
     return M.metric_grid_improvement(grid)
 
 
