@@ -9,7 +9,6 @@ the longest text); ``approx=True`` switches to ``percentile_approx``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -187,8 +186,6 @@ def copied_lead_ratio(df: DataFrame, by: Sequence[str] = ("language", "split"),
     per-group top-n that is cut before the shuffle.
     """
     if sample_n is not None:
-        from pyspark.sql import Window
-
         from pairlab.operators.ranking import seeded_key
         w = Window.partitionBy(*by).orderBy(seeded_key(key, seed), F.col(key))
         df = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= sample_n).drop("_r")
@@ -253,7 +250,6 @@ def start_word_counts(df: DataFrame, k: int = 10, by: Sequence[str] = (),
     counts = w.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("n"))
     if not by:
         return counts.orderBy(F.desc("n"), "word").limit(k)
-    from pyspark.sql import Window
     win = Window.partitionBy(*by).orderBy(F.desc("n"), "word")
     return counts.withColumn("_r", F.row_number().over(win)).filter(F.col("_r") <= k).drop("_r")
 
