@@ -135,3 +135,14 @@ def test_percentiles_and_histogram_on_doubles(spark):
         assert abs(p_rank[g]["p50"] - p_map[g]["p"][0]) < 1e-9 and abs(p_rank[g]["p99"] - p_map[g]["p"][1]) < 1e-9
     h = length_histogram(df, "x", bins=10, by=["g"])
     assert h.groupBy("g").agg(F.sum("n").alias("n")).orderBy("g").collect()[0]["n"] == 750
+
+
+def test_ranked_global_and_totals(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("x"), F.lit("g").alias("g"))
+    got = ranked(df, [], [F.col("x")], numeric_bucket(df, "x", 16), name="r", total="n")
+    rows = got.collect()
+    assert sorted(r["r"] for r in rows) == list(range(1, 501))
+    assert all(r["r"] == r["x"] + 1 for r in rows) and {r["n"] for r in rows} == {500}
+    top = ranked(df, ["g"], [F.col("x")], numeric_bucket(df, "x", 16), name="r", limit=7).collect()
+    assert sorted(r["x"] for r in top) == list(range(7))
