@@ -150,7 +150,8 @@ def repeated_strings(keyed: DataFrame, texts: DataFrame, length: int = LENGTH, g
     found = occurrences(keyed, length, gram)
     grams = (found.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("phrase").alias("a"), F.max("phrase").alias("b"))
              .filter("c > 1").select("gram", (F.col("a") == F.col("b")).alias("one")))
-    shared = cut_lineage(found.join(grams, "gram"))
+    # written first, so that both sides of the join are plain shuffles and hot grams can be split
+    shared = cut_lineage(found.join(cut_lineage(grams), "gram"))
     first, count = F.expr("place >> 16").alias("first"), F.expr("(place >> 8) & 255").alias("count")
     whole = shared.filter("one").select("key", first, count)
     contested = shared.filter(~F.col("one"))
