@@ -165,6 +165,7 @@ def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", d
               .agg(F.count(F.lit(1)).alias("links"), F.max("late").alias("late")))
     first = lines.groupBy("h1", "h2").agg(F.min("place").alias("first")).join(linked, ["h1", "h2"], "left")
     first = first.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("late", F.lit(False)).alias("late"))
+    first = cut_lineage(first)  # both sides of the join are plain shuffles, so a hot line can be split
     placed = lines.select("row", "pos", "place", "h1", "h2").join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
     gone = F.col("late") | (F.col("place") != F.col("first"))
     # rows that are repeated as a whole hold each line as often
