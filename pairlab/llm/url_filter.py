@@ -82,7 +82,8 @@ def with_verdict(pages: DataFrame, rules: DataFrame, url: str = "url", default:
 
 
 def rule_table(spark: SparkSession, rules=tuple(RULES)) -> DataFrame:
-    return spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    rows = [F.struct(*(F.lit(v).alias(c) for v, c in zip(r, ("verdict", "host", "path")))) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 _SQL = r"""
