@@ -1,0 +1,420 @@
+"""Every operator against a brute-force version on small fixtures, with the odd inputs."""
+
+import collections
+import hashlib
+import random
+import re
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from pairlab.llm import (chat_windows, decontaminate, edit_line_dedup, mixing, parse_dedup, pii_boost,
+                         repetition_quality, secret_parts, simhash_tiles, url_filter)
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+# repeated rows, null ids and texts, empty and blank texts, ties
+ODD = [(None, None), (None, "token=abcdefghijklm"), (900, None), (901, ""), (902, " \n\t"), (903, "one"), (903, "one"), (7, "x")]
+SCHEMA = "doc_id bigint, text string"
+
+
+def sha(s):
+    return hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
+
+
+def rows_of(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr)
+
+
+def frame(spark, rows, extra=()):
+    """The rows with extra columns whose names clash with outputs."""
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for c in extra:
+        df = df.withColumn(c, F.lit("mine"))
+    return df
+
+
+# --- 1 secrets
+def secrets(t):
+    kw = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    s = [(m.start(), 0, "assign", m.end()) for m in re.finditer(f"({kw})[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[2]) >= 12]
+    s += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 18]
+    s += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 16]
+    return sorted(s)
+
+
+def test_secret_base_spans(spark):
+    r = random.Random(5)
+    bits = ["token", "secret", "=", ":", " ", '"', "abcdef0123456789", "AKIA", "ABCDEFGH12345", "\n", "é", "𝒳", "API_KEY", "user=bob", "https://db.example.com/x", "Ab3dEf6hIj9kLm2nOp5qRs8t"]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 25)))) for i in range(800)] + ODD
+    got = secret_parts.with_secrets(frame(spark, rows, ["spans", "kind", "key"])).collect()
+    assert len(got) == len(rows) and {x.kind for x in got} == {"mine"}
+    for x in got:
+        want = secrets(x.text or "")
+        assert x.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for a, _, k, b in want))
+        assert (x.n_assign, x.n_access, x.n_hex) == tuple(sum(w[2] == k for w in want) for k in ("assign", "access", "hex"))
+        assert {f"{k}:{a}:{b}" for a, _, k, b in want} <= set(x.spans.split(","))
+
+
+def test_secret_weak_parts_need_complements(spark):
+    key, far = "Ab3dEf6hIj9kLm2nOp5qRs8t", " " * 2000
+    texts = {1: f"see {key} here", 2: f"user=bob {key}", 3: "user=bob only", 4: f"user=bob{far}{key}", 5: f"https://db.example.com/x user=bob {key}"}
+    got = {x.doc_id: x.spans for x in secret_parts.with_secrets(frame(spark, list(texts.items()))).collect()}
+    assert got == {1: "", 2: "identity:0:8,key:9:33", 3: "", 4: "", 5: "endpoint:0:24,identity:25:33,key:34:58"}
+
+
+# --- 2 chat
+def test_chat_escape_round_trip():
+    r = random.Random(3)
+    bits = ["<", "|", "turn|>", "<|turn|>", "<|end|>", "\\", "[INST]", "[/INST]", "</s>", "<s>", "a", "\n", "[", "/", "é", "<|text|>"]
+    for _ in range(3000):
+        t = "".join(r.choice(bits) for _ in range(r.randint(0, 12)))
+        e = chat_windows.escape(t)
+        assert chat_windows.turns_of(f"<|turn|>{e}<|text|>{e}<|end|>" * 2) == [(t, t)] * 2
+
+
+@pytest.mark.parametrize("budget", [10, 60, 10_000])
+def test_chat_windows(spark, budget):
+    r = random.Random(budget)
+    rows = []
+    for c in [*range(20), None]:
+        for t in range(r.randint(1, 25)):
+            role = "system" if t == 0 and r.random() < 0.5 else r.choice(["user", "assistant", None])
+            rows.append((c, t if r.random() < 0.95 else None, role, r.choice([None, "", "a b </s> c", "x " * r.randint(1, 40), "<|end|>é"])))
+    rows += rows[-1:]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5).withColumn("window", F.lit(9))
+    windows = chat_windows.format_windows(df, budget, 3, 20)
+    got = {x.conv_id: x for x in chat_windows.read_back(windows).collect()}
+    assert {x.conv_id: x for x in chat_windows.read_back(windows, ordered=True).collect()} == got
+    groups = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        groups[c].append((t is None, t or 0, role or "", text or ""))
+    assert set(got) == set(groups)
+    for c, g in groups.items():
+        g.sort()
+        assert got[c].n_turns == len(g)
+        assert got[c].turns_sha256 == sha("".join(f"{x[2]}\n{x[3]}\n" for x in g))
+        loss = "".join(x[3] for x in g if x[2] == "assistant")
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
+    for w in windows.collect():
+        new = len(w.turns) - w.n_repeated
+        assert new >= 1 and (w.tokens <= budget or new == 1)
+    assert chat_windows.read_back(chat_windows.format_windows(df.limit(0))).count() == 0
+
+
+# --- 3 repeats
+def repeats(rows, n):
+    count = collections.Counter(b[i:i + n] for b in ((t or "").encode() for _, t in rows) for i in range(len(b) - n + 1))
+    out = []
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - n + 1):
+            if count[b[i:i + n]] > 1:
+                gone[i:i + n] = b"\1" * n
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((d, len(b), sum(gone), sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone)), sha(kept)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("length,gram", [(20, 10), (30, 29), (12, 3)])
+def test_repeat_removal(spark, length, gram, monkeypatch):
+    r = random.Random(length)
+    parts = ["".join(r.choice("abé ") for _ in range(r.randint(1, 60))) for _ in range(25)] + ["a" * 70, "ab" * 40]
+    rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 6)))) for i in range(80)]
+    rows += ODD + [(5, rows[5][1]), (77, "".join(chr(97 + k % 26) + str(k) for k in range(300)))]
+    df = frame(spark, rows, ["gram", "key", "n_bytes"])
+    out = parse_dedup.without_repeats(df, length=length, gram=gram).withColumn("h", F.sha2("kept", 256))
+    assert rows_of(out, "doc_id", "n_bytes", "n_removed", "n_spans", "h") == repeats(rows, length)
+    assert parse_dedup.without_repeats(df.limit(0)).count() == 0
+
+
+def test_phrases_of_long_texts_in_chunks(monkeypatch):
+    monkeypatch.setattr(parse_dedup, "CHUNK", 500)
+    data = bytes(random.Random(1).choices(b"abc", k=3000))
+    cut = [x for g in parse_dedup.phrases(data, 50, 20) for x in zip(g[2].tolist(), g[3].tolist(), g[4].tolist())]
+    at = [p for first, n, _ in cut for p in range(first, first + n)]
+    assert at == list(range(len(data) - 49))
+    assert all(first <= t + 0 and t + 20 <= first + 50 + n for first, n, t in cut)
+
+
+# --- 4 quality
+def quality(t):
+    t = t or ""
+    words = WORDS.findall(t)
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORDS.search(line):
+            dup += line in seen
+            seen.add(line)
+    def inside(n):
+        grams = [tuple(words[i:i + n]) for i in range(len(words) - n + 1)]
+        c = collections.Counter(grams)
+        return {i + k for i, g in enumerate(grams) if c[g] > 1 for k in range(n)}
+    rep = inside(3)
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in t), dup, len(rep),
+            *(sum(len(words[i]) for i in inside(n)) for n in repetition_quality.MAX_GRAM_PERCENT))
+
+
+def test_quality(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice(["a", "b", "cé", "#", " ", " ", "\n", "word ", "very long line of text\n"]) for _ in range(r.randint(0, 200)))) for i in range(150)]
+    rows += ODD + [(70, "w " * 300), (71, " ".join(f"w{i}" for i in range(60)))]
+    df = frame(spark, rows, ["n_words", "kept", "mine"])
+    fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *(f"dup_gram_chars_{n}" for n in repetition_quality.MAX_GRAM_PERCENT)]
+    out = repetition_quality.with_quality(df)
+    got = out.collect()
+    assert len(got) == len(rows) and out.columns.count("mine") == 1
+    for x in got:
+        q = quality(x.text)
+        assert tuple(x[f] for f in fields) == q
+        assert x.base_failed == (q[0] < 50 or 100 * q[4] > 50 * q[0]) and not (x.kept and x.base_failed)
+    verdict = {x.doc_id: x.kept for x in got}
+    assert not verdict[70] and verdict[71]
+    assert repetition_quality.with_quality(df.limit(0)).count() == 0
+
+
+def test_quality_survives_hash_collisions():
+    import numpy as np
+    ids = np.array([0, 1, 2, 0, 1, 3])
+    assert repetition_quality.repeated_windows(ids, np.zeros(5, np.uint64), 2).tolist() == [True, False, False, True, False]
+
+
+# --- 5 decontamination
+def words5(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+
+
+@pytest.mark.parametrize("block_words", [2_000_000, 15])
+def test_decontamination(spark, block_words):
+    r = random.Random(6)
+    say = lambda n: " ".join(r.choice(["A", "b", "cé", "d1", "E"]) for _ in range(n))
+    items = [(1, say(12)), (2, say(3)), (3, say(30)), (2, say(4)), (4, ""), (None, say(5)), (5, None), (6, "...")]
+    rows = [(i, say(r.randint(0, 60)) + " x. " + (items[r.randrange(3)][1] if r.random() < 0.4 else "")) for i in range(120)] + ODD
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.with_contamination(frame(spark, rows, ["n_hit", "item"]), bench, block_words=block_words).collect()
+    patterns = collections.defaultdict(set)
+    for item, t in items:
+        w = words5(t)
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1) if n and item is not None else ():
+            patterns[tuple(w[i:i + n])].add(str(item))
+    assert len(got) == len(rows)
+    for x in got:
+        w = words5(x.text)
+        hit, names = set(), set()
+        for p, owners in patterns.items():
+            for i in range(len(w) - len(p) + 1):
+                if tuple(w[i:i + len(p)]) == p:
+                    hit |= set(range(i, i + len(p)))
+                    names |= owners
+        assert (x.n_words, x.n_hit, x.n_items, x.items_sha256, x.contaminated) == (len(w), len(hit), len(names), sha(",".join(sorted(names))), bool(hit))
+    assert not any(x.contaminated for x in decontaminate.with_contamination(frame(spark, rows), bench.limit(0)).collect())
+
+
+# --- 6 urls
+def test_url_filter(spark):
+    rules = [("block", "net", "/"), ("allow", "a.net", "/en/"), ("block", "x.a.net", "/en/de"), ("allow", "b.org", ""), ("block", "b.org", "/q/r/"), (None, None, "/"), ("block", "net", "/")]
+    urls = [None, "", "no scheme", "://", "http://a.net", "http://A.Net/", "http://x.a.net/en/", "https://x.a.net/en/denmark?q=/", "http://xa.net/en/", "http://net/", "http://b.org#/q/r/",
+            "http://c.b.org/q/r/s", "http://b.org/q/r", "http://net.org/", "ftp://u@a.net:80/en/", "x://y://a.net/en/", "http://É.a.net/en/\n"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls * 2)] + [(None, urls[5])], "page_id bigint, url string").withColumn("rule", F.lit(1))
+    got = url_filter.with_verdict(pages, url_filter.rule_table(spark, tuple(r for r in rules if r[0])), "url").collect()
+    assert len(got) == 2 * len(urls) + 1
+    for x in got:
+        m = re.search(r"://([^/?#]*)([^?#]*)", x.url or "")
+        host, path = ("".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
+        fits = [(len(h + p), len(h), v, h + p) for v, h, p in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p)]
+        best = max(fits, default=None)
+        assert (x.host, x.path, x.rule, x.verdict) == (host, path, best and best[3], best[2] if best else "allow")
+
+
+# --- 7 simhash
+def fingerprint(t):
+    w = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i:i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(fps, ids, radius):
+    parent = list(range(len(fps)))
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= radius:
+                parent[find(i)] = find(j)
+    groups = collections.defaultdict(list)
+    for i in range(len(fps)):
+        groups[find(i)].append(i)
+    return {i: min((ids[k] for k in g if ids[k] is not None), default=None) for g in groups.values() for i in g}
+
+
+def test_simhash_texts(spark):
+    r = random.Random(8)
+    base = [" ".join(r.choice(["Alpha", "bé", "c", "delta", "e"]) + str(r.randint(0, 30)) for _ in range(r.randint(1, 120))) for _ in range(30)]
+    rows = [(i, t if r.random() < 0.4 else t + " tail" * r.randint(0, 2)) for i, t in enumerate(base * 3)] + ODD
+    out = simhash_tiles.simhash_groups(frame(spark, rows, ["component", "fp"]))
+    want = components([fingerprint(t) for _, t in rows], [d for d, _ in rows], 4)
+    got = sorted(((x.doc_id, x.fp % 2**64, x.component_id) for x in out.collect()), key=repr)
+    assert got == sorted(((d, fingerprint(t), want[i]) for i, (d, t) in enumerate(rows)), key=repr)
+    assert simhash_tiles.simhash_groups(frame(spark, rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("tile", [8, 4096])
+def test_simhash_tiles(spark, tile):
+    """Hot keys: many fingerprints a few bits apart, chains, in small tiles and in one."""
+    r = random.Random(9)
+    centres = [r.getrandbits(64) for _ in range(12)]
+    fps = [c ^ sum(1 << r.randrange(64) for _ in range(r.randint(0, 4))) % 2**64 for c in centres for _ in range(30)]
+    for _ in range(40):
+        fps.append(fps[-1] ^ 0b111 << r.randrange(60))
+    rows = spark.createDataFrame([(i, f - 2**64 if f >= 2**63 else f) for i, f in enumerate(fps)], "doc_id bigint, fp bigint")
+    got = {x.doc_id: x.component_id for x in simhash_tiles.with_components(rows, tile=tile).collect()}
+    assert got == components(fps, list(range(len(fps))), 4)
+
+
+# --- 8 personal data
+def personal(t):
+    def luhn(d):
+        return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d[::-1])) % 10 == 0
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(d := [int(c) for c in m[0] if c.isdigit()]) <= 19 and luhn(d)]
+    out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= sum(c.isdigit() for c in m[0]) <= 15]
+    return out
+
+
+def test_personal_base_spans():
+    r = random.Random(1)
+    bits = ["a", "b.", "@", "1", "22", ".", "-", " ", "+", "4111111111111111", "192.168.0.1", "x@y.co", "(", ")", "0", "\n", "é"]
+    for _ in range(8000):
+        t = "".join(r.choice(bits) for _ in range(r.randint(0, 22)))
+        assert pii_boost.base_spans(t) == personal(t)
+    long = "a" * 300_000 + "@" + "1" * 300_000 + "+1" + " " * 300_000  # no quadratic scan
+    assert pii_boost.base_spans(long) == []
+
+
+def test_personal_data(spark):
+    rows = ODD + [(1, "call +1 555 123 4567 or a.b@c.de"), (2, "version 1.2.3.400 of 2020-01-02, page 1234567"), (3, "contact: bob [at] example [dot] com now"),
+                  (4, "ssn: 123-45-6789."), (5, "order 9807915762804490 elle.")]
+    df = frame(spark, rows, ["n_ip", "x"])
+    got = pii_boost.with_personal_data(df).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        base = personal(x.text or "")
+        assert x.base_sha256 == sha(",".join(f"{k}:{a}:{b}" for k, a, b in base))
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(x.spans.split(",")) and x.n_email == sum(s[0] == "email" for s in base)
+    spans = {x.doc_id: x.spans for x in got}
+    assert spans[3] == "spelt_email:9:35" and spans[4] == "national_id:5:16"
+    assert spans[2] == "" and spans[5] == ""
+    assert pii_boost.with_personal_data(df.limit(0)).count() == 0
+
+
+def test_boosted_trees_held_out():
+    import numpy as np
+    made = pii_boost.made_examples(4000, seed=1)
+    model = pii_boost.Model(np.array([pii_boost.features(t, *s) for t, s, _ in made]), np.array([y for *_, y in made]))
+    fresh = pii_boost.made_examples(1000, seed=2)
+    score = model.trees.score(np.array([pii_boost.features(t, *s) for t, s, _ in fresh]))
+    y = np.array([y for *_, y in fresh])
+    assert ((score > 0) == y).mean() > 0.97
+    picked = np.array([v >= model.least[s[0]] for v, (_, s, _) in zip(score, fresh)])
+    assert y[picked].mean() > 0.97 and picked[y == 1].mean() > 0.8
+
+
+# --- 9 mixing
+def test_mixing(spark):
+    r = random.Random(10)
+    rows = [(i if r.random() < 0.9 else None, r.choice([None, "", "a b c " * r.randint(1, 30)]), r.choice(["a", "b", "ü", None, "big", "big", "big"])) for i in range(400)]
+    rows += [(1, "x", "lone"), (1, "x", "lone"), (2, None, "none")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("taken", F.lit(1)).withColumn("bucket", F.lit(1)).repartition(4)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(rows) and sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(df.repartition(7)).collect()), key=repr)
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len(WORDS.findall(t or ""))
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    open_, target, left = set(names), {}, sum(sizes.values())
+    while True:
+        w = sum(weight[s] for s in open_)
+        over = {s for s in open_ if left * weight[s] / w > 3 * sizes[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            left -= 3 * sizes[s]
+        open_ -= over
+    target |= {s: left * weight[s] / w for s in open_}
+    taken, biggest = collections.Counter(), collections.Counter()
+    for x in got:
+        assert x.source_size == sizes[x.source] and abs(x.target - target[x.source]) < 1e-6 and x.taken == x["size"] * x.repeats <= 3 * x["size"]
+        taken[x.source] += x.taken
+        biggest[x.source] = max(biggest[x.source], x["size"])
+    assert all(abs(taken[s] - target[s]) <= biggest[s] / 2 + 1e-6 for s in names)
+    assert mixing.mix(df.limit(0)).count() == 0
+
+
+# --- 10 lines
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def changed(r, s, k):
+    s = list(s)
+    for _ in range(k):
+        kind, i = r.randint(0, 2), r.randrange(len(s) + 1)
+        if kind == 0:
+            s.insert(i, r.choice("abé𝒳"))
+        elif s:
+            s[min(i, len(s) - 1):min(i, len(s) - 1) + 1] = [] if kind == 1 else [r.choice("abé𝒳")]
+    return "".join(s)
+
+
+@pytest.mark.parametrize("distance", [1, 2, 4])
+def test_banded_distance(spark, distance):
+    r = random.Random(2)
+    pairs = [(a, changed(r, a, r.randint(0, 5))) for a in ("".join(r.choice("ab é𝒳c") for _ in range(r.randint(3, 30))) for _ in range(400))]
+    for x in spark.createDataFrame(pairs, "a string, b string").select("a", "b", edit_line_dedup.banded_distance(F.col("a"), F.col("b"), distance).alias("e")).collect():
+        e = edits(x.a, x.b)
+        assert x.e == e if e <= distance else x.e > distance
+
+
+@pytest.mark.parametrize("distance", [1, 2])
+def test_line_dedup(spark, distance):
+    r = random.Random(3)
+    base = ["".join(r.choice("abcdetoé ") for _ in range(r.randint(6, 20))) for _ in range(40)]
+    rows = [(i, "\n".join(changed(r, r.choice(base), r.randint(0, distance)) for _ in range(r.randint(0, 6)))) for i in range(60)]
+    rows += ODD + [(None, rows[3][1]), (5, rows[5][1]), (8, rows[9][1])]
+    first, lines = {}, []
+    for doc, t in rows:
+        lines.append([])
+        for p, line in enumerate((t or "").split("\n")):
+            if len(line) >= 8:
+                place = (2**63 if doc is None else doc, p)
+                lines[-1].append((p, line, place))
+                first[line] = min(first.get(line, place), place)
+    links, late = collections.Counter(), set()
+    texts = list(first)
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            if edits(a, b) <= distance:
+                links.update((a, b))
+                late.add(max(a, b, key=first.get))
+    want = []
+    for (doc, t), own in zip(rows, lines):
+        gone = [p for p, line, place in own if line in late or place != first[line]]
+        kept = t if not gone else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone)
+        want.append((doc, kept, len(own), len(gone), sum(links[line] for _, line, _ in own), gone))
+    df = frame(spark, rows, ["removed", "place", "row", "h1"])
+    out = edit_line_dedup.with_line_dedup(df, distance=distance, min_chars=8)
+    assert rows_of(out, "doc_id", "text", "n_lines", "n_removed", "n_links", "removed") == sorted(want, key=repr)
+    assert edit_line_dedup.with_line_dedup(df.limit(0)).count() == 0
