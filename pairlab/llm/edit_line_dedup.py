@@ -180,9 +180,9 @@ def with_line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the text that stays, ``n_lines, n_removed, n_links`` and the ``removed`` line numbers."""
     keep = [c for c in docs.columns if c not in OUT]
-    found = removed_lines(docs, text, doc_id, distance, min_chars)
+    found = removed_lines(docs, text, doc_id, distance, min_chars).withColumnRenamed("row", "__found")
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*keep, F.xxhash64(F.col(doc_id), body).alias("__row")).join(found, F.col("__row") == F.col("row"), "left")
+    rows = docs.select(*keep, F.xxhash64(F.col(doc_id), body).alias("__row")).join(found, F.col("__row") == F.col("__found"), "left")
     rows = rows.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
     left = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col("removed"), i))
     rows = rows.withColumn("__left", F.when(F.size("removed") == 0, F.col(text)).otherwise(F.array_join(left, "\n")))

@@ -118,11 +118,11 @@ def with_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sc
     joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda s: s["label"]), ",")
     found = found.groupBy("key").agg(
         *(F.count_if(F.col("kind") == b).alias(f"n_{b}") for b in BASE),
-        joined(F.collect_list(F.when(F.col("base"), span))).alias("base_spans"), joined(F.collect_list(span)).alias("spans"))
+        joined(F.collect_list(F.when(F.col("base"), span))).alias("__base_spans"), joined(F.collect_list(span)).alias("spans"))
     found = found.withColumnRenamed("key", "__key")
     rows = docs.select(*keep, key.alias("__row")).join(found, F.col("__row") == F.col("__key"), "left")
     return rows.select(*keep, *(F.coalesce(f"n_{b}", F.lit(0)).cast("bigint").alias(f"n_{b}") for b in BASE),
-                       F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+                       F.sha2(F.coalesce("__base_spans", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
 @query("op1_secret_scan")

@@ -76,9 +76,9 @@ def with_verdict(pages: DataFrame, rules: DataFrame, url: str = "url", default:
     best = fits.groupBy("host", "path").agg(F.max_by(
         F.struct(rule.alias("rule"), F.col("r_verdict").alias("verdict")),
         F.struct(F.length(rule), F.length("r_host"), F.col("r_verdict") == "block")).alias("best"))
-    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best")
-    return (rows.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
-            .select(*keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")))
+    best = best.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("best").alias("__best"))
+    return (rows.join(best, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
+            .select(*keep, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict")))
 
 
 def rule_table(spark: SparkSession, rules=tuple(RULES)) -> DataFrame:

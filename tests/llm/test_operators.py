@@ -47,7 +47,7 @@ def test_secret_base_spans(spark):
     r = random.Random(5)
     bits = ["token", "secret", "=", ":", " ", '"', "abcdef0123456789", "AKIA", "ABCDEFGH12345", "\n", "é", "𝒳", "API_KEY", "user=bob", "https://db.example.com/x", "Ab3dEf6hIj9kLm2nOp5qRs8t"]
     rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 25)))) for i in range(800)] + ODD
-    got = secret_parts.with_secrets(frame(spark, rows, ["spans", "kind", "key"])).collect()
+    got = secret_parts.with_secrets(frame(spark, rows, ["spans", "kind", "key", "base_spans"])).collect()
     assert len(got) == len(rows) and {x.kind for x in got} == {"mine"}
     for x in got:
         want = secrets(x.text or "")
@@ -217,7 +217,7 @@ def test_url_filter(spark):
     rules = [("block", "net", "/"), ("allow", "a.net", "/en/"), ("block", "x.a.net", "/en/de"), ("allow", "b.org", ""), ("block", "b.org", "/q/r/"), (None, None, "/"), ("block", "net", "/")]
     urls = [None, "", "no scheme", "://", "http://a.net", "http://A.Net/", "http://x.a.net/en/", "https://x.a.net/en/denmark?q=/", "http://xa.net/en/", "http://net/", "http://b.org#/q/r/",
             "http://c.b.org/q/r/s", "http://b.org/q/r", "http://net.org/", "ftp://u@a.net:80/en/", "x://y://a.net/en/", "http://É.a.net/en/\n"]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls * 2)] + [(None, urls[5])], "page_id bigint, url string").withColumn("rule", F.lit(1))
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls * 2)] + [(None, urls[5])], "page_id bigint, url string").withColumn("rule", F.lit(1)).withColumn("best", F.lit(1)).withColumn("b_host", F.lit(1))
     got = url_filter.with_verdict(pages, url_filter.rule_table(spark, tuple(r for r in rules if r[0])), "url").collect()
     assert len(got) == 2 * len(urls) + 1
     for x in got:
