@@ -4,8 +4,8 @@ Ordered fallback, all as JVM expressions (no Python):
 
 1. every ``{...}`` block that mentions ``"score_a"`` then ``"score_b"`` (if
    there is none: the ``summary_a_score`` / ``summary_b_score`` form); the
-   first block that parses as JSON and holds both keys wins; values are
-   kept as given (no 1..5 check), explanation defaults to "";
+   first block that parses as JSON and has both keys wins; values are
+   kept as given (no 1..5 check, null stays null), explanation defaults to "";
 2. ``Summary A ... <1-5> ... Summary B ... <1-5>`` on one line
    -> "Extracted from text";
 3. all digit runs: with at least two, those within 1..5 are kept and with
@@ -29,6 +29,7 @@ MSG_FAILED = "Failed to parse response"
 
 _SCHEMA = ("score_a STRING, score_b STRING, summary_a_score STRING, summary_b_score STRING, "
            "explanation STRING, _corrupt_record STRING")
+_FIELDS = ["score_a", "score_b", "summary_a_score", "summary_b_score", "explanation", "_corrupt_record"]
 # Strict JSON like Python's json module: no single quotes, and a malformed
 # block is rejected as a whole (no partially parsed fields).
 _JSON_OPTS = {"allowSingleQuotes": "false", "mode": "PERMISSIVE",
@@ -41,23 +42,27 @@ def parse_judge_scores(response: Column | str) -> Column:
     ab = F.regexp_extract_all(r, F.lit(JSON_AB), F.lit(0))
     sab = F.regexp_extract_all(r, F.lit(JSON_SUMMARY_AB), F.lit(0))
     blocks = F.when(F.size(ab) > 0, ab).otherwise(sab)
-    parsed = F.transform(blocks, lambda b: F.from_json(b, _SCHEMA, _JSON_OPTS))
+    # a map tells a null value from a missing key, the struct holds the values
+    parsed = F.transform(blocks, lambda b: F.struct(
+        F.from_json(b, _SCHEMA, _JSON_OPTS).alias("v"), F.map_keys(F.from_json(b, "map<string,string>", _JSON_OPTS)).alias("k")))
+    parsed = F.transform(parsed, lambda p: F.struct(*(p["v"][c].alias(c) for c in _FIELDS), p["k"].alias("keys")))
 
     def has_ab(p):
-        return p["score_a"].isNotNull() & p["score_b"].isNotNull()
+        return F.array_contains(p["keys"], "score_a") & F.array_contains(p["keys"], "score_b")
 
     def has_sab(p):
-        return p["summary_a_score"].isNotNull() & p["summary_b_score"].isNotNull()
+        return F.array_contains(p["keys"], "summary_a_score") & F.array_contains(p["keys"], "summary_b_score")
 
-    good = F.filter(parsed, lambda p: p.isNotNull() & p["_corrupt_record"].isNull() & (has_ab(p) | has_sab(p)))
+    good = F.filter(parsed, lambda p: p["keys"].isNotNull() & p["_corrupt_record"].isNull() & (has_ab(p) | has_sab(p)))
     first = F.get(good, 0)
     j_a = F.when(has_ab(first), first["score_a"]).otherwise(first["summary_a_score"])
     j_b = F.when(has_ab(first), first["score_b"]).otherwise(first["summary_b_score"])
     j_ok = first.isNotNull()
 
-    t_ok = r.rlike(TEXT_AB)
-    t_a = F.regexp_extract(r, TEXT_AB, 1)
-    t_b = F.regexp_extract(r, TEXT_AB, 2)
+    text_ab = "(?d)" + TEXT_AB  # a dot stops at a line feed only
+    t_ok = r.rlike(text_ab)
+    t_a = F.regexp_extract(r, text_ab, 1)
+    t_b = F.regexp_extract(r, text_ab, 2)
 
     nums = F.regexp_extract_all(r, F.lit(DIGITS), F.lit(1))
     small = F.filter(nums, lambda x: x.try_cast("double").between(1, 5))

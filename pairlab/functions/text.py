@@ -28,6 +28,11 @@ def utrim(x: ColLike) -> Column:
     return F.regexp_replace(_c(x), r"^(?U)\s+|(?U)\s+$", "")
 
 
+def has_text(x: ColLike) -> Column:
+    """Whether a character that is no Unicode whitespace occurs (false for null)."""
+    return F.coalesce(_c(x).rlike(r"(?U)\S"), F.lit(False))
+
+
 def char_len(x: ColLike) -> Column:
     """Code points, as BIGINT."""
     return F.length(_c(x)).cast("bigint")
@@ -46,7 +51,7 @@ def word_len(x: ColLike) -> Column:
 def sentence_count(x: ColLike) -> Column:
     """Pieces between runs of ``.!?`` that are non-blank after strip."""
     pieces = F.split(_c(x), r"[.!?]+")
-    return F.size(F.filter(pieces, lambda t: utrim(t) != "")).cast("bigint")
+    return F.size(F.filter(pieces, has_text)).cast("bigint")
 
 
 def token_len(x: ColLike, tokenizer: str = "wordpunct") -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions import text as T
-from pairlab.operators.ranking import hex_bucket, numeric_bucket, ranked, seeded_key
+from pairlab.operators.ranking import balanced_bucket, hex_bucket, ranked, seeded_key
 
 
 # ---------------------------------------------------------------- filters
@@ -45,7 +45,7 @@ def prepare_pairs(df: DataFrame, min_text: int = 100, min_summary: int = 10,
 
 def non_empty_text(df: DataFrame, col: str = "text") -> DataFrame:
     """Drop rows whose text is missing or whitespace only."""
-    return df.filter(F.col(col).isNotNull() & (T.utrim(col) != ""))
+    return df.filter(T.has_text(col))
 
 
 def with_quality_issues(df: DataFrame, col: str = "text", out: str = "issues") -> DataFrame:
@@ -146,33 +146,19 @@ def parallel_complete(df: DataFrame, languages: Sequence[str], id_col: str = "id
     return valid.join(ok, id_col, "left_semi")
 
 
-MAX_BROADCAST_ROWS = 100_000
-
-
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a size check.
-
-    Counts the (small, user-supplied) table; above ``max_rows`` no hint is
-    given and the planner / AQE choose a shuffle join from measured sizes.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def prompt_template_join(df: DataFrame, templates: DataFrame, lang_col: str = "language",
                          fallback: str = "en") -> DataFrame:
     """language -> template; unknown languages use ``fallback``'s template.
 
     The template table has one row per language a user wrote a template for;
-    it is broadcast after a size check (``small_side``).  The fallback is a
-    second equi-join on a constant key, not a cross join.
+    Spark broadcasts it where its measured size allows.  The fallback is one
+    value: a scalar subquery, no join.
     """
     t = templates.select(F.col("language").alias("_tl"), F.col("template").alias("_tpl"))
-    fb = templates.select(F.col("language").alias("_fl"), F.col("template").alias("_fb"))
-    return (df.join(small_side(t), F.col(lang_col) == F.col("_tl"), "left")
-            .withColumn("_fk", F.lit(fallback))
-            .join(small_side(fb), F.col("_fk") == F.col("_fl"), "left")
-            .withColumn("template", F.coalesce("_tpl", "_fb"))
-            .drop("_tl", "_tpl", "_fk", "_fl", "_fb"))
+    fb = templates.filter(F.col("language") == fallback).agg(F.max("template")).scalar()
+    return (df.join(t, F.col(lang_col) == F.col("_tl"), "left")
+            .withColumn("template", F.coalesce(F.col("_tpl"), fb))
+            .drop("_tl", "_tpl"))
 
 
 def model_cross_join(df: DataFrame, models: Sequence[str], col: str = "model") -> DataFrame:
@@ -212,7 +198,7 @@ def cap_per_group(df: DataFrame, k: int, by: Sequence[str], order: Sequence[str]
     """First ``k`` rows per group in ``order`` (exact, with a rank column)."""
     order_cols = [F.col(c) for c in order]
     if bucket is None:
-        bucket = numeric_bucket(df, order[0])
+        bucket = balanced_bucket(df, order[0])
     return ranked(df, by, order_cols, bucket, name=name, limit=k)
 
 
@@ -313,6 +299,6 @@ def batch_assign(df: DataFrame, size: int, order: Sequence[str], by: Sequence[st
                  name: str = "batch") -> DataFrame:
     """Consecutive batches of ``size`` rows in index order (exact)."""
     order_cols = [F.col(c) for c in order]
-    bucket = numeric_bucket(df, order[0])
+    bucket = balanced_bucket(df, order[0])
     r = ranked(df, list(by), order_cols, bucket, name="_pos")
     return r.withColumn(name, F.floor((F.col("_pos") - 1) / size).cast("bigint")).drop("_pos")

@@ -35,7 +35,9 @@ def build_vocab(df: DataFrame, col: str = "text", tokenizer: str = "wordpunct")
     counts = (df.select(F.explode(tokens(F.col(col), tokenizer)).alias("token"))
               .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
     bucket = F.struct((-F.col("n")).alias("neg_n"), F.substring("token", 1, 2).alias("prefix"))
-    r = ranked(counts, [], [F.col("n").desc(), F.col("token")], bucket, name="_r")
+    # classes of counts by powers of two: at most 64
+    r = ranked(counts, [], [F.col("n").desc(), F.col("token")], bucket, name="_r",
+               coarse=lambda b: -F.floor(F.log2(-b["neg_n"])))
     return r.select("token", (F.col("_r") - 1 + N_SPECIAL).cast("int").alias("id"), "n")
 
 
@@ -86,13 +88,14 @@ def length_buckets(df: DataFrame, length: str, size: int, multiple: int = 8, by:
     Rows are ranked by length (two-level rank, bucketed on the length),
     cut into consecutive batches of ``size``, then aggregated per batch.
     """
-    from pairlab.operators.ranking import numeric_bucket
+    from pairlab.operators.ranking import balanced_bucket
     by = list(by)
     order = [F.col(length)] + ([F.col(key)] if key else [])
     # many rows share a length: the bucket also splits a length by key prefix
     bucket = (F.struct(F.col(length).cast("bigint").alias("len"), F.substring(F.col(key).cast("string"), 1, 3).alias("k"))
-              if key else numeric_bucket(df, length))
-    r = ranked(df, by, order, bucket, name="_pos")
+              if key else balanced_bucket(df, length))
+    r = ranked(df, by, order, bucket, name="_pos",
+               coarse=(lambda b: F.floor(F.log2(F.greatest(b["len"], F.lit(0)) + 1))) if key else None)
     b = r.withColumn("batch", F.floor((F.col("_pos") - 1) / size).cast("bigint"))
     agg = b.groupBy(*by, "batch").agg(F.count(F.lit(1)).alias("rows"), F.max(length).alias("max_len"),
                                       F.sum(length).alias("total_len"))

@@ -389,21 +389,23 @@ def embedding_match_score(vectors: DataFrame, pair: str = "pair_id", side: str =
                           ref: str = "ref") -> DataFrame:
     """Greedy max-cosine P/R/F per pair on precomputed token vectors.
 
-    P = mean over candidate tokens of the max cosine to any reference token,
+    A pair with an empty side scores 0.0.  P = mean over candidate tokens of the max cosine to any reference token,
     R symmetric, F harmonic mean.  Each pair's tokens are gathered into one
-    array per side (a pair is one summary pair: bounded by its token count),
+    array per side, in one group (a pair is one summary pair: bounded by its token count),
     then the maxima are HOF loops -- no candidate x reference rows emitted.
     """
     u = vectors.select(pair, side, pos, _unit(F.col(vec)).alias("_u"))
-    per_side = u.groupBy(pair, side).agg(F.sort_array(F.collect_list(F.struct(pos, "_u"))).alias("_vs"))
-    c = per_side.filter(F.col(side) == cand).select(pair, F.transform("_vs", lambda s: s["_u"]).alias("_c"))
-    r = per_side.filter(F.col(side) == ref).select(pair, F.transform("_vs", lambda s: s["_u"]).alias("_r"))
-    j = c.join(r, pair, "inner")
+    def of(name: str) -> Column:
+        got = F.sort_array(F.collect_list(F.when(F.col(side) == name, F.struct(pos, "_u"))))
+        return F.transform(got, lambda s: s["_u"])
+
+    j = u.groupBy(pair).agg(of(cand).alias("_c"), of(ref).alias("_r"))
 
     def greedy(xs: Column, ys: Column) -> Column:
         best = F.transform(xs, lambda x: F.aggregate(ys, F.lit(-2.0).cast("double"),
                                                      lambda m, y: F.greatest(m, _dot(x, y))))
-        return F.aggregate(best, F.lit(0.0).cast("double"), lambda s, v: s + v) / F.size(xs)
+        total = F.aggregate(best, F.lit(0.0).cast("double"), lambda s, v: s + v)
+        return F.when((F.size(xs) == 0) | (F.size(ys) == 0), F.lit(0.0)).otherwise(total / F.nullif(F.size(xs), F.lit(0)))
 
     out = j.select(pair, greedy(F.col("_c"), F.col("_r")).alias("emb_p"), greedy(F.col("_r"), F.col("_c")).alias("emb_r"))
     return out.withColumn("emb_f", _f1(F.col("emb_p"), F.col("emb_r")))

@@ -57,7 +57,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: S
 
     Output: by + ``{col}_p{q}`` (null for an empty group).
     """
-    from pairlab.operators.ranking import numeric_bucket
+    from pairlab.operators.ranking import balanced_bucket, null_safe_join
     by = list(by)
     g = by + ["_c"]
     stacked = df.select(*by, F.explode(F.array(*[
@@ -66,7 +66,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: S
     finite = v.filter(~F.isnan("_x") & (F.abs("_x") != float("inf")))
     v = v.withColumn("_b", F.when(F.col("_x") == float("-inf"), F.lit(-1))
                      .when(F.isnan("_x") | (F.col("_x") == float("inf")), F.lit(1 << 40))
-                     .otherwise(numeric_bucket(finite, "_x")))
+                     .otherwise(balanced_bucket(finite, "_x")))
     hist = v.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_nb"))
     wb = Window.partitionBy(*g).orderBy("_b")
     hist = (hist.withColumn("_before", F.coalesce(F.sum("_nb").over(wb.rowsBetween(Window.unboundedPreceding, -1)),
@@ -85,12 +85,12 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: S
             .select(*g, "_b", "_before", F.col("_k.qi").alias("qi"), F.col("_k.side").alias("side"),
                     F.col("_k.rank").alias("rank"), F.col("_k.h").alias("h")))
     target_buckets = need.select(*g, "_b").distinct()
-    counts = (v.join(target_buckets, g + ["_b"], "left_semi")
+    counts = (null_safe_join(v, target_buckets, g + ["_b"])
               .groupBy(*g, "_b", "_x").agg(F.count(F.lit(1)).alias("_m")))
     wv = Window.partitionBy(*g, "_b").orderBy("_x")
     counts = counts.withColumn("_upto", F.sum("_m").over(wv.rowsBetween(Window.unboundedPreceding, 0)))
     # value at a rank: smallest distinct value whose running count reaches it
-    picked = (need.join(counts, g + ["_b"])
+    picked = (null_safe_join(need, counts, g + ["_b"])
               .filter(F.col("_before") + F.col("_upto") >= F.col("rank"))
               .groupBy(*g, "qi", "side", "h").agg(F.min("_x").alias("val")))
     per_q = (picked.groupBy(*g, "qi", "h")
@@ -138,8 +138,10 @@ def length_stats(df: DataFrame, by: Sequence[str] = ("language", "split"), text:
         # ratios are doubles with about one distinct value per row: their exact
         # medians come from a rank, not from a per-group value map
         med = exact_quantiles(f, by, ["token_compression_ratio", "word_compression_ratio"], [0.5])
-        g = g.join(med.select(*by, F.array("token_compression_ratio_p50").alias("_cmp_tokens_p"),
-                              F.array("word_compression_ratio_p50").alias("_cmp_words_p")), list(by), "left")
+        med = med.select(*by, F.array("token_compression_ratio_p50").alias("_cmp_tokens_p"),
+                         F.array("word_compression_ratio_p50").alias("_cmp_words_p"))
+        from pairlab.operators.ranking import null_safe_join
+        g = null_safe_join(g, med, list(by), "left")
     out = [*by, "count"]
     for c in ("text_tokens", "summary_tokens"):
         out += [f"{c}_mean", F.col(f"_{c}_p")[0].cast("double").alias(f"{c}_median"), f"{c}_std",
@@ -261,6 +263,7 @@ def length_histogram(df: DataFrame, col: str, bins: int = 30, clip_q: float | No
     Bounds come from one aggregate per group (joined back, small); bins are a
     pure expression, counts one more partial aggregate.
     """
+    from pairlab.operators.ranking import null_safe_join
     by = list(by)
     x = F.col(col).cast("double")
     if clip_q is not None and not _integral(df, col):
@@ -268,16 +271,15 @@ def length_histogram(df: DataFrame, col: str, bins: int = 30, clip_q: float | No
         q = exact_quantiles(df, by, [col], [clip_q])
         hi = q.select(*by, F.col(f"{col}_p{int(round(clip_q * 100))}").alias("_hi"))
         lo = df.groupBy(*by).agg(F.min(x).alias("_lo"))
-        bounds = lo.join(hi, by, "inner") if by else \
-            lo.withColumn("_g", F.lit(1)).join(hi.withColumn("_g", F.lit(1)), "_g").drop("_g")
+        bounds = null_safe_join(lo, hi, by) if by else lo.withColumn("_hi", hi.scalar())
     else:
         bounds = df.groupBy(*by).agg(
             F.min(x).alias("_lo"),
             (F.percentile(x, F.lit(clip_q)) if clip_q is not None else F.max(x)).alias("_hi"))
     if by:
-        j = df.join(bounds, by, "inner")
-    else:  # one global bounds row, joined on a constant key
-        j = df.withColumn("_g", F.lit(1)).join(bounds.withColumn("_g", F.lit(1)), "_g").drop("_g")
+        j = null_safe_join(df, bounds, by)
+    else:  # one row of bounds: scalar subqueries, no join
+        j = df.withColumn("_lo", bounds.select("_lo").scalar()).withColumn("_hi", bounds.select("_hi").scalar())
     v = F.least(x, F.col("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     b = F.when(width <= 0, F.lit(0)).otherwise(

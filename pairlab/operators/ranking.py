@@ -18,7 +18,8 @@ The same recipe gives running max/min/sum (``prefix_scan``).
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,12 +37,13 @@ def seeded_key(key: Column | str, seed: int | str) -> Column:
 
 def hex_bucket(hex_col: Column, digits: int = HASH_BUCKET_HEX) -> Column:
     """Leading hex digits of a hash as an integer: monotone in the hash."""
-    return F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("bigint")
+    return F.coalesce(F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("bigint"), F.lit(-1))
 
 
 def numeric_bucket(df: DataFrame, order_col: str, buckets: int = NUMERIC_BUCKETS,
                    rows_per_bucket: int | None = None) -> Column:
-    """Equal-width range bucket of a numeric order column.
+    """Equal-width range bucket of a numeric order column, for dense positions
+    (``balanced_bucket`` is the one for values of any distribution).
 
     One tiny aggregation (min, max, count) sizes the buckets; the result is a
     monotone bucket id in ``[0, buckets)``.  With ``rows_per_bucket`` the
@@ -59,11 +61,53 @@ def numeric_bucket(df: DataFrame, order_col: str, buckets: int = NUMERIC_BUCKETS
         buckets = max(buckets, -(-n // rows_per_bucket))
     width = max((float(hi) - float(lo)) / buckets, 1e-12)
     b = F.floor((F.col(order_col).cast("double") - F.lit(float(lo))) / F.lit(width))
-    return F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("bigint")
+    # nulls come first in ascending order
+    return F.coalesce(F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("bigint"), F.lit(-1))
+
+
+def balanced_bucket(df: DataFrame, order_col: str, buckets: int = 1024) -> Column:
+    """Range bucket of a numeric order column by approximate quantiles.
+
+    One aggregation returns the ``buckets - 1`` split points (a bounded row), so
+    a heavy tail or an outlier doesn't put most rows into one bucket as equal
+    widths would.  They become constants: every branch of a plan that uses the
+    bucket sees the same ones.  Rows with equal values share a bucket.
+    """
+    qs = [i / buckets for i in range(1, buckets)]
+    splits = df.agg(F.percentile_approx(F.col(order_col).cast("double"), qs, 20 * buckets).alias("s")).first()["s"]
+    splits = sorted({x for x in splits or [] if not math.isnan(x)})
+    if not splits:
+        return F.lit(0).cast("bigint")
+    # binary search: the number of split points below the value
+    points, x = F.array(*map(F.lit, splits)), F.col(order_col).cast("double")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(splits).bit_length()))))
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= len(splits)) & (F.get(points, at + step - 1) < x), at + step).otherwise(at))
+    return F.when(x.isNull(), F.lit(-1)).otherwise(found).cast("bigint")  # nulls come first
+
+
+def group_key(col: str) -> Column:
+    """A group column as a string that tells null from every value: null groups
+    are groups too, and a join on it needs no null-safe comparison (which would
+    cost another shuffle)."""
+    return F.coalesce(F.concat(F.lit("="), F.col(col).cast("string")), F.lit(""))
+
+
+def _with_keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    names = [f"_key_{i}" for i in range(len(by))]
+    return df.withColumns({n: group_key(c) for n, c in zip(names, by)}), names
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys are equal; the keys of ``left`` stay."""
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(right, reduce(lambda a, b: a & b, on), how).drop(*(f"_right_{k}" for k in keys))
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Column,
-           name: str = "rank", limit: int | None = None, total: str | None = None) -> DataFrame:
+           name: str = "rank", limit: int | None = None, total: str | None = None,
+           coarse: Callable[[Column], Column] | None = None) -> DataFrame:
     """Add ``name`` = exact 1-based row_number within ``by`` in ``order``.
 
     ``bucket`` must be non-decreasing along ``order``.  Plan:
@@ -76,15 +120,27 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Co
       (group, bucket) (AQE broadcasts the offsets when they are small).
 
     With ``limit`` rows beyond it are dropped before the join.  With
-    ``total`` the group size is added as that column.
+    ``total`` the group size is added as that column.  ``coarse`` gives a few
+    classes of buckets (non-decreasing along the buckets): running sums are then
+    taken over the classes and inside each, so that no task sees all buckets.
+    Null groups are groups of their own.
     """
-    by = list(by)
+    with_keys, by = _with_keys(df, list(by))
     keys = by + ["_bucket"]
-    local = (df.withColumn("_bucket", bucket)
+    local = (with_keys.withColumn("_bucket", bucket)
              .withColumn("_lr", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))))
     sizes = local.groupBy(*keys).agg(F.max("_lr").alias("_bucket_n"))
-    w = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.withColumn("_offset", F.coalesce(F.sum("_bucket_n").over(w), F.lit(0)))
+    if coarse:
+        sizes = sizes.withColumn("_class", coarse(F.col("_bucket")).cast("bigint"))
+        classes = sizes.groupBy(*by, "_class").agg(F.sum("_bucket_n").alias("_class_n"))
+        wc = Window.partitionBy(*by).orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
+        classes = classes.withColumn("_class_offset", F.coalesce(F.sum("_class_n").over(wc), F.lit(0)))
+        w = Window.partitionBy(*by, "_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offs = sizes.withColumn("_inside", F.coalesce(F.sum("_bucket_n").over(w), F.lit(0)))
+        offs = offs.join(classes, [*by, "_class"]).withColumn("_offset", F.col("_class_offset") + F.col("_inside"))
+    else:
+        w = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        offs = sizes.withColumn("_offset", F.coalesce(F.sum("_bucket_n").over(w), F.lit(0)))
     keep = keys + ["_offset"]
     if total:
         offs = offs.withColumn(total, F.sum("_bucket_n").over(Window.partitionBy(*by)))
@@ -96,11 +152,7 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Co
     out = out.withColumn(name, (F.col("_offset") + F.col("_lr")).cast("bigint"))
     if limit is not None:
         out = out.filter(F.col(name) <= limit)
-    return out.drop("_bucket", "_offset", "_lr")
-
-
-def group_sizes(df: DataFrame, by: Sequence[str], name: str = "group_n") -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    return out.drop("_bucket", "_offset", "_lr", *by)
 
 
 def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Column,
@@ -114,13 +166,13 @@ def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucke
     rows (exchange reused), a running total over the small bucket table, and
     a join back onto the already partitioned rows.
     """
-    by = list(by)
+    with_keys, by = _with_keys(df, list(by))
     keys = by + ["_bucket"]
     name = name or f"running_{how}"
     agg = {"max": F.max, "min": F.min, "sum": F.sum}[how]
     end = 0 if inclusive else -1
     wi = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    local = df.withColumn("_bucket", bucket).withColumn("_inner", agg(value).over(wi))
+    local = with_keys.withColumn("_bucket", bucket).withColumn("_inner", agg(value).over(wi))
     per_bucket = local.groupBy(*keys).agg(agg(value).alias("_bv"))
     wb = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.withColumn("_carry", agg("_bv").over(wb)).select(*keys, "_carry")
@@ -132,4 +184,4 @@ def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucke
     else:
         pick = F.greatest if how == "max" else F.least
         combined = pick(F.col("_carry"), inner)  # greatest/least skip nulls
-    return joined.withColumn(name, combined).drop("_bucket", "_carry", "_inner")
+    return joined.withColumn(name, combined).drop("_bucket", "_carry", "_inner", *by)

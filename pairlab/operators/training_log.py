@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlab.operators.ranking import numeric_bucket, prefix_scan
+from pairlab.operators.ranking import balanced_bucket, null_safe_join, prefix_scan
 
 
 def running_best(log: DataFrame, by: Sequence[str] = ("run", "metric"), step: str = "step",
@@ -24,7 +24,7 @@ def running_best(log: DataFrame, by: Sequence[str] = ("run", "metric"), step: st
     """
     by = list(by)
     if two_level:
-        s = prefix_scan(log, by, [F.col(step)], numeric_bucket(log, step), value, "max", name="_prev")
+        s = prefix_scan(log, by, [F.col(step)], balanced_bucket(log, step), value, "max", name="_prev")
     else:
         w = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
         s = log.withColumn("_prev", F.max(value).over(w))
@@ -79,13 +79,13 @@ def early_stop_step(log: DataFrame, by: Sequence[str] = ("run", "metric"), step:
     base = log.select(*by, F.col(step).alias("_s"), (F.col(value) * sign).cast("double").alias("_v"))
     # dense position per run (two-level rank), then the p previous values by
     # an explode + group on (run, position): no window over a whole run
-    pos = ranked(base, by, [F.col("_s")], numeric_bucket(base, "_s"), name="_pos")
+    pos = ranked(base, by, [F.col("_s")], balanced_bucket(base, "_s"), name="_pos")
     lagged = (pos.select(*by, "_v", F.explode(F.sequence(F.lit(1), F.lit(p))).alias("_d"), "_pos")
               .select(*by, (F.col("_pos") + F.col("_d")).alias("_pos"), "_d", "_v")
               .groupBy(*by, "_pos")
               .agg(F.sort_array(F.collect_list(F.struct((-F.col("_d")).alias("k"), F.col("_v").alias("v"))))
                    .alias("_l")))
-    rows = (pos.join(lagged, by + ["_pos"], "left")
+    rows = (null_safe_join(pos, lagged, by + ["_pos"], "left")
             .withColumn("_prev", F.coalesce(F.transform("_l", lambda e: e["v"]), F.array().cast("array<double>")))
             .drop("_l"))
 
@@ -120,7 +120,7 @@ def early_stop_step(log: DataFrame, by: Sequence[str] = ("run", "metric"), step:
                                 .alias("entries"))).alias("_e"))
     entries = folded.select(*by, F.explode("_e.entries").alias("_x")).select(*by, "_x._b", F.col("_x.entry").alias("_entry"))
     # replay each bucket from its entry state: first stop and the best value so far
-    with_entry = rows.join(entries, by + ["_b"])
+    with_entry = null_safe_join(rows, entries, by + ["_b"])
     replay = with_entry.groupBy(*by, "_b", "_entry").agg(
         F.sort_array(F.collect_list(F.struct("_pos", "_s", "_v", "_prev"))).alias("_r"))
 

@@ -1,12 +1,17 @@
 """All registered queries (importing this package fills the registry)."""
 
-from pairlab.plans.catalog import base  # noqa: F401
-from pairlab.plans.catalog import text  # noqa: F401
+from pairlab.plans.catalog import (  # noqa: F401
+    base,
+    corpus,
+    examples,
+    flagship,
+    generate,
+    io,
+    judge,
+    logs,
+    metrics,
+    profile,
+    prompts,
+    text,
+)
 from pairlab.plans.catalog.base import ORACLE, REGISTRY  # noqa: F401
-
-for _m in ("profile", "corpus", "metrics", "judge", "examples", "prompts", "logs", "generate", "io", "flagship"):
-    try:
-        __import__(f"pairlab.plans.catalog.{_m}")
-    except ModuleNotFoundError as e:  # modules are added incrementally
-        if e.name != f"pairlab.plans.catalog.{_m}":
-            raise

@@ -59,19 +59,22 @@ def write_index(t):
                        F.size("titles").cast("bigint").alias("n_languages"))
 
 
-@register("read_split_dataset", rsql("select article_id, language, split from dataset where language = 'en' and split = 'train'",
+_DATASET = ["article_id", "language", "split", "title", "url", "text", "summary"]
+
+
+@register("read_split_dataset", rsql("select article_id, language, split, title, url, text, summary from dataset where language = 'en' and split = 'train'",
                                      "", ("dataset",)))
 def read_split_dataset(t):
     path = _fresh(t, "dataset")
-    W.write_split_dataset(FX.dataset(t).select("article_id", "language", "split", "title", "summary"), path)
-    return R.read_split_dataset(t.spark, path, "en", "train").select("article_id", "language", "split")
+    W.write_split_dataset(FX.dataset(t).select(*_DATASET), path)
+    return R.read_split_dataset(t.spark, path, "en", "train").select(*_DATASET)
 
 
-@register("write_articles", rsql("select article_id, language, title from articles", "", ("articles",)))
+@register("write_articles", rsql("select article_id, language, title, url, text from articles", "", ("articles",)))
 def write_articles(t):
     path = _fresh(t, "articles")
-    W.write_articles(FX.articles(t).select("article_id", "language", "title", "url"), path)
-    return t.spark.read.parquet(path).select("article_id", "language", "title")
+    W.write_articles(FX.articles(t).select("article_id", "language", "title", "url", "text"), path)
+    return t.spark.read.parquet(path).select("article_id", "language", "title", "url", "text")
 
 
 @register("write_summaries", rsql("select article_id, language, summary from summaries", "", ("summaries",)))
@@ -160,18 +163,20 @@ def read_comparisons(t):
                        "finetuned_model_summary", F.col("config")["language"].alias("language"))
 
 
-@register("incremental_ingest", rsql("select distinct split_part(text, chr(10), 1) as name from documents"))
+@register("incremental_ingest", rsql("""
+select split_part(text, chr(10), 1) as name, min(doc_id) as doc_id, arg_min(text, doc_id) as text from documents group by 1"""))
 def incremental_ingest(t):
-    """Stream documents into a page store keeping the first row per page
+    """Stream documents into a page store keeping the row with the lowest id per page
     name; run twice -- the second run adds nothing."""
     base = _fresh(t, "ingest")
     src = os.path.join(base, "in")
     FX.articles(t).select(F.col("title").alias("name"), "doc_id", "text").write.parquet(src)
     out, ck = os.path.join(base, "out"), os.path.join(base, "ck")
     for _ in range(2):
-        q = INC.incremental_ingest(t.spark, src, "name string, doc_id bigint, text string", "name", ck, out)
+        q = INC.incremental_ingest(t.spark, src, "name string, doc_id bigint, text string", "name", ck, out,
+                                   order="doc_id")
         q.awaitTermination()
-    return t.spark.read.parquet(out).select("name")
+    return t.spark.read.parquet(out).select("name", "doc_id", "text")
 
 
 @register("incremental_generate", rsql(f"""
@@ -189,11 +194,11 @@ def incremental_generate(t):
     return t.spark.read.parquet(out)
 
 
-@register("write_split_dataset", rsql("select article_id, language, split from dataset", "", ("dataset",)))
+@register("write_split_dataset", rsql("select article_id, language, split, title, url, text, summary from dataset", "", ("dataset",)))
 def write_split_dataset(t):
     path = _fresh(t, "split_dataset")
-    W.write_split_dataset(FX.dataset(t).select("article_id", "language", "split"), path)
-    return t.spark.read.parquet(path).select("article_id", "language", "split")
+    W.write_split_dataset(FX.dataset(t).select(*_DATASET), path)
+    return t.spark.read.parquet(path).select(*_DATASET)
 
 
 @register("rewrite_or_copy", rsql("select article_id, language, split_part(summary, chr(10), 1) as summary from summaries",
@@ -232,26 +237,25 @@ select 'overlap-judge' as judge_model, language, 'test' as subset, idx as "index
          as base_score,
        cast({_overlap_sql('b')} as double)
          as finetuned_score
-from r where idx < {_JUDGE_N}""", "base_score,finetuned_score", ("generations",)))
+from r""", "base_score,finetuned_score", ("generations",)))
 def read_judge_results(t):
-    """Judge the first n pairs per language, write one result file per run
-    (the reference's layout, n bounds each file) and read all files back."""
-    from pyspark.sql import Window
-
+    """Judge all pairs, write them as result files of n pairs each (the
+    reference's layout) and read all files back."""
     from pairlab.functions import prompts as P
+    from pairlab.operators.ranking import ranked
     from pairlab.plans.catalog.generate import _judge_input
     path = _fresh(t, "judge_files")
     j = _judge_input(t)
-    w = Window.partitionBy("language").orderBy("article_id")
-    j = j.withColumn("index", (F.row_number().over(w) - 1).cast("bigint")).filter(F.col("index") < _JUDGE_N)
+    j = ranked(j, ["language"], [F.col("article_id")], F.substring("article_id", 1, 3), name="index")
+    j = j.withColumn("index", F.col("index") - 1)
     j = j.withColumn("judge_prompt", P.judge_prompt("title", "reference", "a", "b"))
     judged = G.judge_batch(j, G.overlap_judge())
-    docs = (judged.groupBy("language").agg(F.sort_array(F.collect_list(F.struct(
+    docs = (judged.groupBy("language", F.floor(F.col("index") / _JUDGE_N).alias("file")).agg(F.sort_array(F.collect_list(F.struct(
         "index", F.col("article_id").alias("title"), "base_score", "finetuned_score", "explanation",
         "improvement"))).alias("evaluation_results"))
         .select("language", F.lit("overlap-judge").alias("model"),
                 F.create_map(F.lit("language"), F.col("language"), F.lit("subset"), F.lit("test")).alias("config"),
-                "evaluation_results", F.col("language").alias("run")))
+                "evaluation_results", F.concat_ws("-", "language", F.col("file").cast("string")).alias("run")))
     docs.write.partitionBy("run").json(path)
     back = R.read_judge_results(t.spark, os.path.join(path, "run=*", "*.json"))
     return back.select("judge_model", "language", "subset", "index", "title", "base_score", "finetuned_score")

@@ -355,8 +355,9 @@ r as (select b.pair_id, b.pos, max(list_cosine_similarity(a.e, b.e)) as m
       from v a join v b on a.pair_id = b.pair_id and a.side = 'cand' and b.side = 'ref' group by all),
 pr as (select pair_id, p, rr from (select pair_id, avg(m) as p from c group by all) x
        join (select pair_id, avg(m) as rr from r group by all) y using (pair_id))
-select pair_id, p as emb_p, rr as emb_r, case when p + rr > 0 then 2.0 * p * rr / (p + rr) else 0.0 end as emb_f
-from pr""", "emb_p,emb_r,emb_f", ("token_vectors",)))
+select i.pair_id, coalesce(p, 0.0) as emb_p, coalesce(rr, 0.0) as emb_r,
+       case when p + rr > 0 then 2.0 * p * rr / (p + rr) else 0.0 end as emb_f
+from (select distinct pair_id from v) i left join pr on i.pair_id = pr.pair_id""", "emb_p,emb_r,emb_f", ("token_vectors",)))
 def embedding_match_score(t):
     return M.embedding_match_score(FX.token_vectors(t))
 

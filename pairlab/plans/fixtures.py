@@ -143,10 +143,10 @@ def metric_log(t: Tables) -> DataFrame:
     """(run, metric, step, value): one evaluation series per user and event
     type, steps numbered in time order (two-level rank: a run holding a third
     of all events is still numbered by many tasks)."""
-    from pairlab.operators.ranking import numeric_bucket, ranked
+    from pairlab.operators.ranking import balanced_bucket, ranked
     e = t.events.select(F.col("user_id").alias("run"), F.col("event_type").alias("metric"),
                         F.unix_micros("ts").alias("_t"), "event_id", "value")
-    r = ranked(e, ["run", "metric"], [F.col("_t"), F.col("event_id")], numeric_bucket(e, "_t"), name="step")
+    r = ranked(e, ["run", "metric"], [F.col("_t"), F.col("event_id")], balanced_bucket(e, "_t"), name="step")
     return r.select("run", "metric", "step", "value")
 
 

@@ -14,9 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter at scale.  AQE re-plans joins/partition counts at
 # runtime and splits skewed join partitions; the broadcast threshold is the
-# *only* place a join side is broadcast automatically (size-checked by Spark
-# from statistics), explicit broadcasts in the library are guarded by
-# ``pairlab.operators.corpus.small_side`` (a row-count check).
+# *only* place a join side is broadcast (size-checked by Spark from
+# statistics or measured sizes); the library gives no broadcast hints.
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -20,24 +20,24 @@ def write_articles(df: DataFrame, root: str, fmt: str = "parquet", mode: str = "
 
 
 def index_table(df: DataFrame, id_col: str = "id", language: str = "language", title: str = "title",
-                url: str = "url") -> DataFrame:
+                url: str = "url", position: str | None = None) -> DataFrame:
     """Long articles -> one row per id with title and url maps.
 
-    A later row for the same (id, language) wins (``max_by`` on position),
-    so ``map_from_entries`` never sees duplicate keys; entries are sorted
+    Of rows with the same (id, language) the one with the largest ``position``
+    wins (without that column, or at equal positions, the one with the largest
+    title and url: never the physical order), so ``map_from_entries`` never sees duplicate keys; entries are sorted
     by language for a deterministic map order.
     """
-    pos = F.monotonically_increasing_id()
-    last = (df.withColumn("_pos", pos).groupBy(id_col, language)
-            .agg(F.max_by(F.struct(title, url), "_pos").alias("_v")))
+    order = F.struct(*([position] if position else []), title, url)
+    last = df.groupBy(id_col, language).agg(F.max_by(F.struct(title, url), order).alias("_v"))
     g = last.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(language, "_v"))).alias("_e"))
     return g.select(id_col,
                     F.map_from_entries(F.transform("_e", lambda e: F.struct(e[language], e["_v"][title]))).alias("titles"),
                     F.map_from_entries(F.transform("_e", lambda e: F.struct(e[language], e["_v"][url]))).alias("urls"))
 
 
-def write_index(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    index_table(df).write.mode(mode).json(path)
+def write_index(df: DataFrame, path: str, mode: str = "overwrite", position: str | None = None) -> None:
+    index_table(df, position=position).write.mode(mode).json(path)
 
 
 def write_summaries(df: DataFrame, root: str, mode: str = "append") -> None:
@@ -100,6 +100,10 @@ def write_stats_json(df: DataFrame, path: str, keys: Sequence[str], groups: dict
     stats_json(df, keys, groups).write.mode("overwrite").json(path)
 
 
+def _rename(fs, src, dst) -> bool:
+    return fs.rename(src, dst)
+
+
 def rewrite_or_copy(df: DataFrame, src: str, dst: str | None = None, fmt: str = "parquet") -> str:
     """Write ``df`` to ``dst``; without ``dst`` replace ``src`` in place.
 
@@ -120,7 +124,11 @@ def rewrite_or_copy(df: DataFrame, src: str, dst: str | None = None, fmt: str =
     old = jvm.org.apache.hadoop.fs.Path(src.rstrip("/") + "._old")
     if fs.exists(old):
         fs.delete(old, True)
-    fs.rename(sp, old)
-    fs.rename(tp, sp)
-    fs.delete(old, True)
+    if not _rename(fs, sp, old):
+        raise OSError(f"could not move {src} aside; the new data is in {staging}")
+    if not _rename(fs, tp, sp):
+        if not _rename(fs, old, sp):
+            raise OSError(f"could not move {staging} to {src}; the old data is in {old}")
+        raise OSError(f"could not move {staging} to {src}; the old data is back in place")
+    fs.delete(old, True)  # only once the new data is in place
     return src

@@ -17,20 +17,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pairlab.operators.corpus import resume_anti_join
+from pairlab.operators.corpus import dedupe_first_seen, resume_anti_join
 from pairlab.operators.generate import GeneratorFactory, generate_batch
+from pairlab.session import cut_lineage
 
 
 def incremental_ingest(spark: SparkSession, source: str, schema: str, key: str, checkpoint: str, out: str,
                        fmt: str = "parquet", watermark: tuple[str, str] | None = None,
-                       available_now: bool = True) -> StreamingQuery:
+                       available_now: bool = True, order: str | None = None) -> StreamingQuery:
     """Stream new files from ``source`` into ``out`` keeping the first row per ``key``.
 
+    With ``order`` the first row is the one with the lowest value of that column
+    in its micro-batch; a key that is already in ``out`` (from an earlier batch,
+    or from a batch that is replayed) adds nothing, so across batches the earlier
+    batch wins.  The output is then the state.  Without ``order`` the state store
+    keeps the keys and any row of a batch may be the kept one.
+
     Without a watermark the de-duplication state keeps every key ever seen
     (the reference's processed-page set); it is spread over the state store
     partitions.  For very large key sets use the RocksDB state store
@@ -39,6 +45,14 @@ def incremental_ingest(spark: SparkSession, source: str, schema: str, key: str,
     or pass ``watermark`` to bound the state.
     """
     s = spark.readStream.schema(schema).format(fmt).load(source)
+    if order:
+        def add(batch: DataFrame, epoch: int) -> None:
+            first = dedupe_first_seen(batch, key, [order]).select(*batch.columns)
+            done = _existing(batch.sparkSession, out, schema).select(key)
+            first.join(done, first[key].eqNullSafe(done[key]), "left_anti").write.mode("append").parquet(out)
+
+        w = s.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+        return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
     if watermark:
         s = s.withWatermark(*watermark).dropDuplicatesWithinWatermark([key])
     else:
@@ -50,10 +64,11 @@ def incremental_ingest(spark: SparkSession, source: str, schema: str, key: str,
 
 
 def _existing(spark: SparkSession, out: str, schema: str) -> DataFrame:
-    try:
+    """What is written already; any failure but a missing folder is raised."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.read.schema(schema).parquet(out)
-    except Exception:  # nothing written yet
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def incremental_generate(spark: SparkSession, todo: DataFrame, keys: Sequence[str], make_generator: GeneratorFactory,
@@ -61,16 +76,15 @@ def incremental_generate(spark: SparkSession, todo: DataFrame, keys: Sequence[st
     """Generate for keys not yet in ``out`` and append them; returns the
     number of rows appended (0 on a complete re-run)."""
     keys = list(keys)
-    schema = ", ".join(f"{k} string" for k in keys) + ", generated string"
+    schema = ", ".join(f"`{k}` {todo.schema[k].dataType.simpleString()}" for k in keys) + ", generated string"
     done = _existing(spark, out, schema)
     pending = resume_anti_join(todo, done, keys)
     gen = generate_batch(pending.select(*keys, prompt), make_generator, prompt, "generated", on_error)
-    # replicated on two executors: a lost executor does not re-run the model
-    gen = gen.select(*keys, "generated").persist(StorageLevel.MEMORY_AND_DISK_2)
+    # the model runs once, into the shared checkpoint folder
+    gen = cut_lineage(gen.select(*keys, "generated"))
     n = gen.count()
     if n:
         gen.write.mode("append").parquet(out)
-    gen.unpersist()
     return n
 
 
