@@ -159,6 +159,4 @@ def compare_models(df: DataFrame, generators: dict[str, GeneratorFactory], keys:
     keys = list(keys)
     gen = generate_all(df, generators, keys, prompt, reference, on_error)
     k = keys + ["model"]
-    scores = M.rouge_scores(gen, k, (1, 2), reference=reference)
-    lcs = M.rouge_l(gen, k, reference=reference).select(*k, "rougeL_f")
-    return gen.select(*k, "generated").join(scores, k).join(lcs, k)
+    return M.rouge_all(gen, k, (1, 2), reference=reference, carry=["generated"]).drop("rougeL_p", "rougeL_r")

@@ -263,26 +263,50 @@ def rouge_l(df: DataFrame, keys: Sequence[str], reference: str = "reference", ge
                     F.col("_s.f").alias(f"{prefix}_f"))
 
 
+def _sentence_tokens(col: str, tokenizer: str) -> Column:
+    lines = F.split(TX.sentence_lines(F.col(col)), "\n")
+    return F.filter(F.transform(lines, lambda l: tokens(l, tokenizer)), lambda a: F.size(a) > 0)
+
+
 def rouge_lsum(df: DataFrame, keys: Sequence[str], reference: str = "reference", generated: str = "generated",
                tokenizer: str = ROUGE_TOKENIZER, prefix: str = "rougeLsum") -> DataFrame:
     """Summary-level ROUGE-L over newline-separated sentences (after
     ``sentence_lines``: one sentence per line)."""
-    def sents(c):
-        lines = F.split(TX.sentence_lines(F.col(c)), "\n")
-        return F.filter(F.transform(lines, lambda l: tokens(l, tokenizer)), lambda a: F.size(a) > 0)
-    s = df.select(*keys, _rouge_lsum_udf(sents(generated), sents(reference)).alias("_s"))
+    s = df.select(*keys, _rouge_lsum_udf(_sentence_tokens(generated, tokenizer),
+                                         _sentence_tokens(reference, tokenizer)).alias("_s"))
     return s.select(*keys, F.col("_s.p").alias(f"{prefix}_p"), F.col("_s.r").alias(f"{prefix}_r"),
                     F.col("_s.f").alias(f"{prefix}_f"))
 
 
+def rouge_all(df: DataFrame, keys: Sequence[str], ns: Sequence[int] = (1, 2), lcs: bool = True, lsum: bool = False,
+              reference: str = "reference", generated: str = "generated", counts: str = "clipped",
+              tokenizer: str = ROUGE_TOKENIZER, carry: Sequence[str | Column] = ()) -> DataFrame:
+    """All wanted scores of a pair from one Arrow step on its own row: no join, no shuffle.
+
+    Output: keys, the ``carry`` columns, ``rouge{n}_p/r/f`` and, where asked,
+    ``rougeL_p/r/f`` and ``rougeLsum_p/r/f``.
+    """
+    hyp, ref = tokens(F.col(generated), tokenizer), tokens(F.col(reference), tokenizer)
+    calls = [_overlap_udf(tuple(ns), counts)(hyp, ref).alias("_c")]
+    if lcs:
+        calls.append(_rouge_l_udf(hyp, ref).alias("_l"))
+    if lsum:
+        calls.append(_rouge_lsum_udf(_sentence_tokens(generated, tokenizer), _sentence_tokens(reference, tokenizer)).alias("_s"))
+    c = df.select(*keys, *carry, *calls)
+    out = [F.col(name) for name in c.columns if name not in ("_c", "_l", "_s")]
+    for n in ns:
+        o, h, r = F.col(f"_c.o{n}"), F.col(f"_c.h{n}"), F.col(f"_c.r{n}")
+        p_ = F.when(h > 0, o / h).otherwise(F.lit(0.0))
+        r_ = F.when((r > 0) & (h > 0), o / r).otherwise(F.lit(0.0))
+        out += [p_.alias(f"rouge{n}_p"), r_.alias(f"rouge{n}_r"), _f1(p_, r_).alias(f"rouge{n}_f")]
+    for flag, col, name in ((lcs, "_l", "rougeL"), (lsum, "_s", "rougeLsum")):
+        out += [F.col(f"{col}.{x}").alias(f"{name}_{x}") for x in "prf"] if flag else []
+    return c.select(*out)
+
+
 def rouge_prf_table(df: DataFrame, keys: Sequence[str], with_lcs: bool = True, **kw) -> DataFrame:
     """P, R, F for ROUGE-1/2 (and F for ROUGE-L / Lsum when ``with_lcs``)."""
-    keys = list(keys)
-    out = rouge_scores(df, keys, (1, 2), **kw)
-    if with_lcs:
-        out = (out.join(rouge_l(df, keys, **kw).select(*keys, "rougeL_f"), keys)
-               .join(rouge_lsum(df, keys, **kw).select(*keys, "rougeLsum_f"), keys))
-    return out
+    return rouge_all(df, keys, (1, 2), with_lcs, with_lcs, **kw).drop("rougeL_p", "rougeL_r", "rougeLsum_p", "rougeLsum_r")
 
 
 # ----------------------------------------------------------------- aggregates

@@ -63,14 +63,18 @@ def clean_summaries(t):
 
 @register("evaluate_models", rsql(f"""with {_CMP_GENS}
 select s.model, avg(s.rouge1_f) as rouge1_f, avg(s.rouge2_f) as rouge2_f, avg(l.rougeL_f) as rougeL_f,
-       avg({words('g.generated')}) as avg_generated_words, avg({words('g.reference')}) as avg_reference_words
+       avg({words('g.generated')}) as avg_generated_words, avg({words('g.reference')}) as avg_reference_words,
+       cast(median({words('g.generated')}) as double) as median_generated_words, cast(median({words('g.reference')}) as double) as median_reference_words,
+       avg({words('g.generated')}) / avg({words('g.reference')}) as length_ratio
 from ({rouge_sql('gens', ['article_id', 'language', 'model'])}) s join gens g using (article_id, language, model)
 join ({lcs_sql('gens', ['article_id', 'language', 'model'])}) l using (article_id, language, model)
-group by s.model""", "rouge1_f,rouge2_f,rougeL_f,avg_generated_words,avg_reference_words", ("pairs",)))
+group by s.model""", "rouge1_f,rouge2_f,rougeL_f,avg_generated_words,avg_reference_words,median_generated_words,"
+                                    "median_reference_words,length_ratio", ("pairs",)))
 def evaluate_models(t):
     p = FX.pairs(t).select("article_id", "language", F.col("text").alias("prompt"), F.col("summary").alias("reference"))
     r = FL.evaluate_models(p, {"lead1": G.lead_sentences(1), "lead3": G.lead_sentences(3)}, ["article_id", "language"])
-    return r.select("model", "rouge1_f", "rouge2_f", "rougeL_f", "avg_generated_words", "avg_reference_words")
+    return r.select("model", "rouge1_f", "rouge2_f", "rougeL_f", "avg_generated_words", "avg_reference_words",
+                    "median_generated_words", "median_reference_words", "length_ratio")
 
 
 @register("judge_report", rsql(f"""

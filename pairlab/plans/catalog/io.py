@@ -219,7 +219,7 @@ join generations g using (article_id, language, model)""", "rouge1_f,rouge2_f",
 def write_comparison_report(t):
     path = _fresh(t, "report")
     g = FX.generations(t)
-    rows = g.select(*GKEYS, "generated").join(M.rouge_scores(g, GKEYS).select(*GKEYS, "rouge1_f", "rouge2_f"), GKEYS)
+    rows = M.rouge_all(g, GKEYS, lcs=False, carry=["generated"]).select(*GKEYS, "generated", "rouge1_f", "rouge2_f")
     W.write_comparison_report(rows, path, {"models": ["base", "finetuned"]}, M.mean_rouge(rows))
     return t.spark.read.parquet(os.path.join(path, "comparisons"))
 

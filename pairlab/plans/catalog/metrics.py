@@ -57,8 +57,7 @@ def _scores(t):
 
 def _scores3(t):
     """ROUGE-1/2 P/R/F plus ROUGE-L F per pair (the reference's three metrics)."""
-    g = FX.generations(t)
-    return M.rouge_scores(g, GKEYS, (1, 2)).join(M.rouge_l(g, GKEYS).select(*GKEYS, "rougeL_f"), GKEYS)
+    return M.rouge_all(FX.generations(t), GKEYS).drop("rougeL_p", "rougeL_r")
 
 
 M3 = ["rouge1_f", "rouge2_f", "rougeL_f"]
@@ -222,6 +221,7 @@ def rouge_improvement(t):
 
 
 @register("best_worst_examples", rsql(f"""
+select e.*, g.reference, g.generated from (
 select * from (
   select article_id, language, model, rouge1_f, 'worst' as kind,
          row_number() over (partition by model order by rouge1_f asc, article_id, language) as position
@@ -231,10 +231,12 @@ select article_id, language, model, rouge1_f, kind, count(*) over (partition by
 from (
   select article_id, language, model, rouge1_f, 'best' as kind,
          row_number() over (partition by model order by rouge1_f desc, article_id, language) as position
-  from ({rouge_sql('generations', GKEYS, ns=(1,))}) s) where position <= 5""", "rouge1_f", ("generations",)))
+  from ({rouge_sql('generations', GKEYS, ns=(1,))}) s) where position <= 5
+) e join generations g using (article_id, language, model)""", "rouge1_f", ("generations",)))
 def best_worst_examples(t):
     s = M.rouge_scores(FX.generations(t), GKEYS, (1,)).select(*GKEYS, "rouge1_f")
-    return M.best_worst_examples(s, 5).select(*GKEYS, "rouge1_f", "kind", F.col("position").cast("bigint"))
+    picked = M.best_worst_examples(s, 5).select(*GKEYS, "rouge1_f", "kind", F.col("position").cast("bigint"))
+    return picked.join(FX.generations(t).select(*GKEYS, "reference", "generated"), GKEYS)
 
 
 _PER_EX_SQL = f"""
@@ -246,9 +248,8 @@ from ({rouge_sql('generations', GKEYS)}) s join generations g using (article_id,
 @register("per_example_metrics", rsql(_PER_EX_SQL, "rouge1_f,rouge2_f", ("generations",)))
 def per_example_metrics(t):
     g = FX.generations(t)
-    lens = g.select(*GKEYS, TX.word_len("generated").alias("generated_words"),
-                    TX.word_len("reference").alias("reference_words"))
-    return lens.join(_scores(t).select(*GKEYS, "rouge1_f", "rouge2_f"), GKEYS)
+    lens = [TX.word_len("generated").alias("generated_words"), TX.word_len("reference").alias("reference_words")]
+    return M.rouge_all(g, GKEYS, lcs=False, carry=lens).select(*GKEYS, "generated_words", "reference_words", "rouge1_f", "rouge2_f")
 
 
 _LEN_SQL = f"""
@@ -310,10 +311,9 @@ select model, avg(rouge1_f) as rouge1_f, count(*) as n_rows
 from ({rouge_sql('generations', GKEYS, ns=(1,))}) s group by model""", "rouge1_f", ("generations",)))
 def union_model_metrics(t):
     s = M.rouge_scores(FX.generations(t), GKEYS, (1,))
-    per_model = [s.filter(F.col("model") == m).groupBy("model").agg(F.avg("rouge1_f").alias("rouge1_f"),
-                                                                     F.count(F.lit(1)).alias("n_rows"))
-                 for m in ("base", "finetuned")]
-    return M.union_model_metrics(*per_model)
+    # the models' rows are scored and grouped once, then appended model by model
+    means = s.groupBy("model").agg(F.avg("rouge1_f").alias("rouge1_f"), F.count(F.lit(1)).alias("n_rows"))
+    return M.union_model_metrics(*(means.filter(F.col("model") == m) for m in ("base", "finetuned")))
 
 
 @register("metric_grid_improvement", rsql(f"""
@@ -378,17 +378,18 @@ def rouge_prf_table(t):
 
 def _report_sql() -> str:
     return f"""
-select m.model, m.rouge1_f, m.rouge2_f, lm.rougeL_f, l.avg_generated_words, l.avg_reference_words,
-       l.length_ratio, l.length_correlation
-from ({_MEAN_SQL}) m join ({_LEN_SQL}) l using (model)
+select m.*, lm.rougeL_f, ls.rougeLsum_f, l.* exclude (model)
+from (select model, {', '.join(f'coalesce(avg({c}), 0.0) as {c}' for c in rouge_doubles().split(','))}
+      from ({rouge_sql('generations', GKEYS)}) s group by model) m join ({_LEN_SQL}) l using (model)
 join (select model, coalesce(avg(rougeL_f), 0.0) as rougeL_f from ({lcs_sql('generations', GKEYS)}) x group by model) lm
+  using (model)
+join (select model, coalesce(avg(rougeLsum_f), 0.0) as rougeLsum_f from ({lcs_sum_sql('generations', GKEYS)}) x group by model) ls
   using (model)"""
 
 
 @register("evaluation_report", rsql(_report_sql(),
-                                    "rouge1_f,rouge2_f,rougeL_f,avg_generated_words,avg_reference_words,length_ratio,"
-                                    "length_correlation", ("generations",)))
+                                    rouge_doubles() + ",rougeL_f,rougeLsum_f," + _LEN_D, ("generations",)))
 def evaluation_report(t):
-    """One row per model: mean ROUGE-1/2/L and the length metrics."""
+    """One row per model: mean ROUGE-1/2 (P/R/F), L and Lsum (F) and the length metrics."""
     from pairlab.plans.flagships import evaluation_report as er
     return er(FX.generations(t), with_lcs=True)

@@ -16,22 +16,17 @@ def profile_corpus(dataset: DataFrame, by=("language", "split"), tokenizer: str
 
 def evaluation_report(gen: DataFrame, keys=("article_id", "language", "model"), by=("model",),
                       with_lcs: bool = True) -> DataFrame:
-    """One row per model: mean ROUGE (1/2, and L when ``with_lcs``) plus
-    generated/reference length metrics.  Per-pair scores are aggregated per
-    model (partial aggregation), then the small per-model results are joined."""
-    from pyspark.sql import functions as F
-
+    """One row per model: mean ROUGE-1/2 (P/R/F; L and Lsum F when ``with_lcs``)
+    plus mean and median lengths, their ratio and correlation.  Per-pair scores
+    come from one Arrow step and are aggregated per model (partial
+    aggregation), then the small per-model results are joined."""
     from pairlab.operators import metrics as M
+    from pairlab.operators.ranking import null_safe_join
     keys, by = list(keys), list(by)
-    scores = M.rouge_scores(gen, keys, (1, 2))
-    metrics = ["rouge1_f", "rouge2_f"]
-    if with_lcs:
-        scores = scores.join(M.rouge_l(gen, keys).select(*keys, "rougeL_f"), keys)
-        metrics.append("rougeL_f")
+    scores = M.rouge_all(gen, keys, (1, 2), with_lcs, with_lcs)
+    metrics = [f"rouge{n}_{x}" for n in (1, 2) for x in "prf"] + (["rougeL_f", "rougeLsum_f"] if with_lcs else [])
     means = M.mean_rouge(scores, by, metrics).drop("n_rows")
-    lengths = PR.summary_length_metrics(gen, by).select(
-        *by, "avg_generated_words", "avg_reference_words", "length_ratio", "length_correlation")
-    return means.join(lengths, by)
+    return null_safe_join(means, PR.summary_length_metrics(gen, by), by)
 
 
 def build_parallel_corpus(pages: DataFrame, links: DataFrame, lang_pages: DataFrame, languages,
