@@ -156,6 +156,7 @@ def repeated_strings(keyed: DataFrame, texts: DataFrame, length: int = LENGTH, g
     whole = shared.filter("one").select("key", first, count)
     contested = shared.filter(~F.col("one"))
     dictionary = contested.groupBy("gram", "phrase").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("at"))
+    dictionary = cut_lineage(dictionary)
     again = contested.join(dictionary.filter("n > 1").select("gram", "phrase"), ["gram", "phrase"]).select("key", first, count)
     mine = (dictionary.select("at.key", F.struct("gram", "at.place", "n").alias("m")).groupBy("key")
             .agg(F.collect_list("m").alias("mine")).withColumnRenamed("key", "m_key"))
