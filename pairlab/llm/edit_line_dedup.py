@@ -142,6 +142,7 @@ def line_links(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     pairs = cut_lineage(pairs)
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
+    wanted = cut_lineage(wanted)
     texts = (lines.join(wanted, F.col("h1") == F.col("w")).groupBy("h1", "h2", "line").agg(F.min("place").alias("place")))
     texts = cut_lineage(texts)  # so that a line with very many candidates can be split in the joins
     side = lambda s: texts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("line").alias(f"{s}_line"), F.col("place").alias(f"{s}_place"))
