@@ -53,7 +53,8 @@ def test_article_index(spark, tmp_path):
 def test_index_last_wins(spark, tmp_path):
     df = spark.createDataFrame([("a", "en", "old", "u1"), ("a", "en", "new", "u2"), ("a", "fr", "fr", "u3")],
                                "id string, language string, title string, url string").coalesce(1)
-    r = W.index_table(df).first()
+    df = df.withColumn("pos", F.when(F.col("title") == "old", 0).otherwise(1))  # rows carry their position
+    r = W.index_table(df, position="pos").first()
     assert r["titles"] == {"en": "new", "fr": "fr"}
 
 
