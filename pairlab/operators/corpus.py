@@ -208,8 +208,9 @@ def cap_per_category(df: DataFrame, k: int, category: str = "category",
 
 
 def cap_per_language(df: DataFrame, k: int, language: str = "language",
-                     order: Sequence[str] = ("index_pos",)) -> DataFrame:
-    return cap_per_group(df, k, [language], order)
+                     order: Sequence[str] = ("index_pos",), bucket: Column | None = None) -> DataFrame:
+    """``bucket``: as for ``ranked``; needed where the first order column isn't a number."""
+    return cap_per_group(df, k, [language], order, bucket)
 
 
 def cap_shortage(df: DataFrame, k: int, language: str = "language") -> DataFrame:

@@ -106,10 +106,12 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: S
 
 def length_stats(df: DataFrame, by: Sequence[str] = ("language", "split"), text: str = "text",
                  summary: str = "summary", tokenizer: str = "wordpunct",
-                 approx: bool = False, with_copy_ratio: bool = False) -> DataFrame:
+                 approx: bool = False, with_copy_ratio: bool = False, more_percentiles: Sequence[float] = ()) -> DataFrame:
     """Per group: token mean/median/std/min/max/p95/p99 (text, summary), word
     mean/median/min/max, compression mean/median (tokens, words), count
-    (and the copied-lead ratio in the same aggregation when asked)."""
+    (and ``more_percentiles`` of the token lengths and the copied-lead ratio in
+    the same aggregation when asked)."""
+    pcts = [*PCTS, *more_percentiles]
     f = length_features(df, text, summary, tokenizer)
     if with_copy_ratio:
         f = f.withColumn("_copied", T.copied_lead_flag(text, summary).cast("double"))
@@ -123,7 +125,7 @@ def length_stats(df: DataFrame, by: Sequence[str] = ("language", "split"), text:
     if with_copy_ratio:
         aggs.append(F.avg("_copied").alias("copy_ratio"))
     for c in ("text_tokens", "summary_tokens"):
-        aggs += [F.avg(c).alias(f"{c}_mean"), _pct(c, PCTS, approx).alias(f"_{c}_p"),
+        aggs += [F.avg(c).alias(f"{c}_mean"), _pct(c, pcts, approx).alias(f"_{c}_p"),
                  F.stddev_samp(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"),
                  F.max(c).alias(f"{c}_max")]
     for c in ("text_words", "summary_words"):
@@ -147,6 +149,8 @@ def length_stats(df: DataFrame, by: Sequence[str] = ("language", "split"), text:
         out += [f"{c}_mean", F.col(f"_{c}_p")[0].cast("double").alias(f"{c}_median"), f"{c}_std",
                 f"{c}_min", f"{c}_max", F.col(f"_{c}_p")[1].cast("double").alias(f"{c}_p95"),
                 F.col(f"_{c}_p")[2].cast("double").alias(f"{c}_p99")]
+        out += [F.col(f"_{c}_p")[i].cast("double").alias(f"{c}_p{int(round(q * 100))}")
+                for i, q in enumerate(pcts) if i >= len(PCTS)]
     for c in ("text_words", "summary_words"):
         out += [f"{c}_mean", F.col(f"_{c}_p")[0].cast("double").alias(f"{c}_median"),
                 f"{c}_min", f"{c}_max"]
@@ -229,11 +233,23 @@ def recommended_lengths(stats: DataFrame, split: str = "train") -> DataFrame:
     """max over languages of train p95 x 1.1, clamped and rounded up."""
     s = stats.filter(F.col("split") == split).agg(
         F.max("text_tokens_p95").alias("max_text_p95"), F.max("summary_tokens_p95").alias("max_summary_p95"))
+    return _with_recommended(s)
+
+
+def _with_recommended(s: DataFrame) -> DataFrame:
     return (s.withColumn("max_input_length", _recommend(F.col("max_text_p95"), *INPUT_CLAMP, INPUT_MULTIPLE))
             .withColumn("max_target_length", _recommend(F.col("max_summary_p95"), *TARGET_CLAMP, TARGET_MULTIPLE))
             .withColumn("total_length", F.col("max_input_length") + F.col("max_target_length")))
 
 
+def with_recommended_lengths(stats: DataFrame, split: str = "train") -> DataFrame:
+    """The statistics (a row per language and split) with ``recommended_lengths`` on each row."""
+    every = Window.partitionBy()
+    train = lambda c: F.max(F.when(F.col("split") == split, F.col(c))).over(every)
+    return _with_recommended(stats.withColumn("max_text_p95", train("text_tokens_p95"))
+                             .withColumn("max_summary_p95", train("summary_tokens_p95"))).drop("max_text_p95", "max_summary_p95")
+
+
 def corpus_warning(stats: DataFrame, copy: DataFrame, split: str = "train",
                    threshold: float = 0.2) -> DataFrame:
     """Mean over languages of median compression and of copy ratio; warn above threshold."""

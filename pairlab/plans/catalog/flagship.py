@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from pairlab.operators import generate as G
 from pairlab.plans import fixtures as FX
 from pairlab.plans import flagships as FL
 from pairlab.plans.catalog.base import register, rsql
-from pairlab.plans.catalog.generate import _CMP_GENS, _judge_input, _overlap_sql
-from pairlab.plans.catalog.metrics import lcs_sql, rouge_sql
-from pairlab.plans.catalog.sqlbits import words
+from pairlab.plans.catalog.generate import _CMP_GENS, JUDGE_N, _overlap_sql, judge_chunks
+from pairlab.plans.catalog.io import _fresh
+from pairlab.plans.catalog.metrics import _LEN_D, report_sql
+from pairlab.sources import readers as R
+from pairlab.sources import writers as W
 
 
 @register("build_parallel_corpus", rsql("""
@@ -32,65 +36,107 @@ foreign_rows as (select b.page, b.lang, p.doc_id, p.text from best b join lpt p
 own as (select b.page, 'en' as lang, p.doc_id, p.text from base b join lpt p on p.language = 'en' and p.title = b.page),
 r as (select * from foreign_rows union all select * from own),
 valid as (select * from r where lang in ('en', 'fr', 'de', 'es') and length(text) >= 1000),
-complete as (select page from valid group by page having count(distinct lang) = 4)
+complete as (select page from valid group by page having count(distinct lang) = 4),
+firsts as (select page from base join complete using (page) order by category_rank, pos, page limit 2)
 select substr(md5(page), 1, 10) as article_id, page, lang as language, doc_id
-from valid where page in (select page from complete)""", "", ("articles", "base_pages")))
+from valid where page in (select page from firsts)""", "", ("articles", "base_pages")))
 def build_parallel_corpus(t):
     base, links = FX.base_links(t)
     lp = FX.lang_pages(t)
-    return FL.build_parallel_corpus(FX.base_pages(t), links, lp, ["en", "fr", "de", "es"])
+    return FL.build_parallel_corpus(FX.base_pages(t), links, lp, ["en", "fr", "de", "es"], max_sets=2)
 
 
 @register("build_pair_dataset", rsql(f"""
-with capped as (select * from (select *, row_number() over (partition by language order by doc_id) as rk from pairs)
-                where rk <= 50)
-select article_id, language,
+with ids as (select distinct article_id from articles order by article_id limit 600),
+capped as (select * from (select *, row_number() over (partition by language order by article_id) as rk from pairs
+                          where article_id in (select article_id from ids))
+           where rk <= 50)
+select article_id, language, title, url, text, summary, n as n_language, b.total as n_all,
        case when r <= nt then 'test' when r <= nt + ceil((n - nt) * cast({repr(0.1 / 0.9)} as double))
             then 'validation' else 'train' end as split
 from (select *, ceil(n * cast({repr(0.1)} as double)) as nt
       from (select *, row_number() over (partition by language order by md5(concat('42:', article_id)), article_id) as r,
-                   count(*) over (partition by language) as n from capped) a) b""", "", ("pairs",)))
+                   count(*) over (partition by language) as n, count(*) over () as total from capped) a) b""", "", ("pairs",)))
 def build_pair_dataset(t):
-    d = FL.build_pair_dataset(FX.articles(t), FX.summaries(t), per_language=50)
-    return d.select("article_id", "language", "split")
+    """Index, articles and summaries as files -> the dataset and its metadata as files."""
+    base = _fresh(t, "pair_dataset")
+    path = lambda name: os.path.join(base, name)
+    a = FX.articles(t)
+    W.write_index(a.select(F.col("article_id").alias("id"), "language", "title", "url"), path("index"))
+    W.write_records(a.select("article_id", "language", "title", "text", "url"), path("articles"))
+    W.write_records(FX.summaries(t), path("summaries"))
+    d = FL.build_pair_dataset_files(t.spark, path("index"), path("articles"), path("summaries"), path("out"),
+                                    "2024-01-01T00:00:00", max_articles=600, per_language=50)
+    meta = t.spark.read.schema("total_rows bigint, article_counts map<string, bigint>").json(path("out/metadata"))
+    sizes = meta.select(F.explode("article_counts").alias("language", "n_language"), F.col("total_rows").alias("n_all"))
+    return d.join(sizes, "language")
 
 
-@register("clean_summaries", rsql("select article_id, language, split_part(summary, chr(10), 1) as summary from summaries",
+@register("clean_summaries", rsql("select article_id, language, split_part(summary, chr(10), 1) as summary, title from summaries",
                                   "", ("summaries",)))
 def clean_summaries(t):
-    return FL.clean_summaries(FX.summaries(t)).select("article_id", "language", "summary")
-
-
-@register("evaluate_models", rsql(f"""with {_CMP_GENS}
-select s.model, avg(s.rouge1_f) as rouge1_f, avg(s.rouge2_f) as rouge2_f, avg(l.rougeL_f) as rougeL_f,
-       avg({words('g.generated')}) as avg_generated_words, avg({words('g.reference')}) as avg_reference_words,
-       cast(median({words('g.generated')}) as double) as median_generated_words, cast(median({words('g.reference')}) as double) as median_reference_words,
-       avg({words('g.generated')}) / avg({words('g.reference')}) as length_ratio
-from ({rouge_sql('gens', ['article_id', 'language', 'model'])}) s join gens g using (article_id, language, model)
-join ({lcs_sql('gens', ['article_id', 'language', 'model'])}) l using (article_id, language, model)
-group by s.model""", "rouge1_f,rouge2_f,rougeL_f,avg_generated_words,avg_reference_words,median_generated_words,"
-                                    "median_reference_words,length_ratio", ("pairs",)))
+    """Summary files -> cleaned copies of them."""
+    src, dst = _fresh(t, "summaries_raw"), _fresh(t, "summaries_clean")
+    W.write_records(FX.summaries(t), src)
+    FL.clean_summary_files(t.spark, src, dst)
+    return R.read_summaries(t.spark, dst, layout="lines")[0]
+
+
+_REPORT = ["rouge1_p", "rouge1_r", "rouge1_f", "rouge2_p", "rouge2_r", "rouge2_f", "rougeL_f", "rougeLsum_f",
+           *_LEN_D.split(",")]
+
+
+@register("evaluate_models", rsql(f"""with {_CMP_GENS},
+report as ({report_sql('gens')}),
+shown as (select * from pairs order by md5(concat('42:', article_id)), article_id limit 10)
+select 'metric' as part, model, item, value, cast(null as varchar) as text
+from (unpivot report on {', '.join(_REPORT)} into name item value value)
+union all
+select 'example', case s.model when 'lead1' then 'summary_lead1' else 'summary_lead3' end, article_id, null, s.generated
+from gens s where article_id in (select article_id from shown)
+union all
+select 'example', 'source', article_id, null, concat(left(text, 1000), '...') from shown
+union all
+select 'example', 'reference', article_id, null, summary from shown""", "value", ("pairs",)))
 def evaluate_models(t):
+    """Two generators on all pairs; the metrics CSV and the examples read back as one long table."""
+    out = _fresh(t, "evaluation")
     p = FX.pairs(t).select("article_id", "language", F.col("text").alias("prompt"), F.col("summary").alias("reference"))
-    r = FL.evaluate_models(p, {"lead1": G.lead_sentences(1), "lead3": G.lead_sentences(3)}, ["article_id", "language"])
-    return r.select("model", "rouge1_f", "rouge2_f", "rougeL_f", "avg_generated_words", "avg_reference_words",
-                    "median_generated_words", "median_reference_words", "length_ratio")
+    FL.evaluate_models(p, {"lead1": G.lead_sentences(1), "lead3": G.lead_sentences(3)}, ["article_id", "language"], out=out)
+    schema = "model string, " + ", ".join(f"{c} double" for c in _REPORT)
+    metrics = t.spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(os.path.join(out, "metrics"))
+    metrics = metrics.unpivot("model", _REPORT, "item", "value").select(
+        F.lit("metric").alias("part"), "model", "item", "value", F.lit(None).cast("string").alias("text"))
+    shown = ["source", "reference", "summary_lead1", "summary_lead3"]
+    examples = t.spark.read.schema("article_id string, " + ", ".join(f"{c} string" for c in shown)).json(os.path.join(out, "examples"))
+    examples = examples.unpivot("article_id", shown, "model", "text").select(
+        F.lit("example").alias("part"), "model", F.col("article_id").alias("item"), F.lit(None).cast("double").alias("value"), "text")
+    return metrics.union(examples)
 
 
 @register("judge_report", rsql(f"""
-with w as (select article_id, language, max(generated) filter (where model = 'base') as a,
+with w0 as (select article_id, language, max(generated) filter (where model = 'base') as a,
                   max(generated) filter (where model = 'finetuned') as b, max(reference) as reference
-           from generations group by all),
-s as (select language, cast({_overlap_sql('a')} as double) as base_score,
+            from generations group by all),
+w as (select *, floor((row_number() over (partition by language order by article_id) - 1) / {JUDGE_N}) as part from w0),
+s as (select language, cast(part as bigint) as part, cast({_overlap_sql('a')} as double) as base_score,
              cast({_overlap_sql('b')} as double) as finetuned_score from w)
-select language, avg(base_score) as average_base_score, avg(finetuned_score) as average_finetuned_score,
+select 'overlap-judge' as judge_model, language, part, avg(base_score) as average_base_score, avg(finetuned_score) as average_finetuned_score,
        avg(finetuned_score - base_score) as average_improvement,
        (count(*) filter (where finetuned_score > base_score)) / count(*) as win_rate,
        (count(*) filter (where finetuned_score = base_score)) / count(*) as tie_rate,
        (count(*) filter (where finetuned_score < base_score)) / count(*) as loss_rate,
        count(*) as valid_evaluations, count(*) as total_evaluations, cast(null as varchar) as error
-from s group by language""", "average_base_score,average_finetuned_score,average_improvement,win_rate,tie_rate,"
+from s group by language, part""", "average_base_score,average_finetuned_score,average_improvement,win_rate,tie_rate,"
                              "loss_rate", ("generations",)))
 def judge_report(t):
-    c = _judge_input(t).withColumnRenamed("a", "base").withColumnRenamed("b", "finetuned")
-    return FL.judge_report(c, G.overlap_judge())
+    """All comparisons as documents of n pairs -> judged documents with statistics for each."""
+    src, out = _fresh(t, "comparison_docs"), _fresh(t, "judge_docs")
+    rows = judge_chunks(t).groupBy("language", "part").agg(F.sort_array(F.collect_list(F.struct(
+        "index", "title", F.col("reference").alias("reference_summary"), F.col("a").alias("base_model_summary"),
+        F.col("b").alias("finetuned_model_summary")))).alias("comparisons"))
+    config = F.create_map(F.lit("language"), F.col("language"), F.lit("part"), F.col("part").cast("string"))
+    rows.select(config.alias("config"), "comparisons").write.json(src)
+    stats = FL.judge_report_files(t.spark, src, out, G.overlap_judge(), "overlap-judge", n=JUDGE_N)
+    return stats.select("judge_model", F.col("config")["language"].alias("language"),
+                        F.col("config")["part"].cast("bigint").alias("part"), *[c for c in stats.columns if c not in ("judge_model", "config")])

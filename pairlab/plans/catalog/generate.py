@@ -49,9 +49,19 @@ def _judge_input(t):
     w = (g.groupBy("article_id", "language")
          .agg(F.max(F.when(F.col("model") == "base", F.col("generated"))).alias("a"),
               F.max(F.when(F.col("model") == "finetuned", F.col("generated"))).alias("b"),
-              F.first("reference").alias("reference")))
-    titles = FX.pairs(t).select("article_id", "language", "title")
-    return w.join(titles, ["article_id", "language"])
+              F.first("reference").alias("reference"), F.first("title").alias("title")))
+    return w
+
+
+JUDGE_N = 20  # pairs in a comparison or result document
+
+
+def judge_chunks(t):
+    """The judge's input, numbered per language from 0 (``index``) and dealt into documents of n pairs (``part``)."""
+    from pairlab.operators.ranking import ranked
+    j = ranked(_judge_input(t), ["language"], [F.col("article_id")], F.substring("article_id", 1, 3), name="index")
+    j = j.withColumn("index", F.col("index") - 1)
+    return j.withColumn("part", F.floor(F.col("index") / JUDGE_N))
 
 
 def _overlap_sql(x: str) -> str:

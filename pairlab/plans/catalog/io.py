@@ -40,7 +40,7 @@ from documents where length(text) >= 1000 group by source, lang"""
 
 
 def _parallel_rows(t):
-    a = FX.articles(t).join(t.documents.select("doc_id", "source"), "doc_id").filter(F.length("text") >= 1000)
+    a = FX.sourced_articles(t).filter(F.length("text") >= 1000)
     return (a.groupBy(F.col("source").alias("id"), "language")
             .agg(F.min_by("title", "doc_id").alias("title"), F.min_by("url", "doc_id").alias("url")))
 
@@ -143,9 +143,8 @@ def read_comparisons(t):
     layout; n bounds the nested array) and read them back."""
     path = _fresh(t, "comparisons")
     sbs = M.side_by_side(FX.generations(t), ["article_id", "language"], ["base", "finetuned"])
-    ref = FX.generations(t).groupBy("article_id", "language").agg(F.first("reference").alias("reference_summary"))
-    rows = (sbs.join(ref, ["article_id", "language"]).join(FX.pairs(t).select("article_id", "language", "title"),
-                                                          ["article_id", "language"]))
+    ref = FX.pairs(t).select("article_id", "language", "title", F.col("summary").alias("reference_summary"))
+    rows = sbs.join(ref, ["article_id", "language"])
     first = C.limit_in_order(rows, _CMP_N, ["article_id", "language"])
     doc = first.agg(F.sort_array(F.collect_list(F.struct(
         "article_id", "language", F.col("title"), F.col("reference_summary"),
@@ -224,9 +223,6 @@ def write_comparison_report(t):
     return t.spark.read.parquet(os.path.join(path, "comparisons"))
 
 
-_JUDGE_N = 20
-
-
 @register("read_judge_results", rsql(f"""
 with w as (select article_id, language, max(generated) filter (where model = 'base') as a,
                   max(generated) filter (where model = 'finetuned') as b, max(reference) as reference
@@ -239,51 +235,40 @@ select 'overlap-judge' as judge_model, language, 'test' as subset, idx as "index
          as finetuned_score
 from r""", "base_score,finetuned_score", ("generations",)))
 def read_judge_results(t):
-    """Judge all pairs, write them as result files of n pairs each (the
-    reference's layout) and read all files back."""
+    """Judge all pairs, write them as result documents of n pairs each and read all
+    of them back."""
     from pairlab.functions import prompts as P
-    from pairlab.operators.ranking import ranked
-    from pairlab.plans.catalog.generate import _judge_input
+    from pairlab.plans.catalog.generate import judge_chunks
     path = _fresh(t, "judge_files")
-    j = _judge_input(t)
-    j = ranked(j, ["language"], [F.col("article_id")], F.substring("article_id", 1, 3), name="index")
-    j = j.withColumn("index", F.col("index") - 1)
-    j = j.withColumn("judge_prompt", P.judge_prompt("title", "reference", "a", "b"))
+    j = judge_chunks(t).withColumn("judge_prompt", P.judge_prompt("title", "reference", "a", "b"))
     judged = G.judge_batch(j, G.overlap_judge())
-    docs = (judged.groupBy("language", F.floor(F.col("index") / _JUDGE_N).alias("file")).agg(F.sort_array(F.collect_list(F.struct(
+    docs = (judged.groupBy("language", "part").agg(F.sort_array(F.collect_list(F.struct(
         "index", F.col("article_id").alias("title"), "base_score", "finetuned_score", "explanation",
         "improvement"))).alias("evaluation_results"))
-        .select("language", F.lit("overlap-judge").alias("model"),
+        .select(F.lit("overlap-judge").alias("model"),
                 F.create_map(F.lit("language"), F.col("language"), F.lit("subset"), F.lit("test")).alias("config"),
-                "evaluation_results", F.concat_ws("-", "language", F.col("file").cast("string")).alias("run")))
-    docs.write.partitionBy("run").json(path)
-    back = R.read_judge_results(t.spark, os.path.join(path, "run=*", "*.json"))
+                "evaluation_results"))
+    docs.write.json(path)
+    back = R.read_judge_results(t.spark, path, json_lines=True)
     return back.select("judge_model", "language", "subset", "index", "title", "base_score", "finetuned_score")
 
 
-def _record_files(t, name: str, df) -> str:
-    """One JSON record per (language, article_id) file, written by Spark."""
-    path = _fresh(t, name)
-    df.write.partitionBy("language", "article_id").json(path)
-    return path
-
-
 @register("read_articles", rsql("""
 select article_id, language, title, text, url from articles""", "", ("articles",)))
 def read_articles(t):
-    """Articles as one JSON file per (language, id), read back by path."""
-    a = FX.articles(t).select("article_id", "language", "title", "text", "url")
-    path = _record_files(t, "article_files", a)
-    good, _bad = R.read_articles(t.spark, path, layout="partitioned")
+    """Articles as JSON lines by language, read back."""
+    path = _fresh(t, "article_files")
+    W.write_records(FX.articles(t).select("article_id", "language", "title", "text", "url"), path)
+    good, _bad = R.read_articles(t.spark, path, layout="lines")
     return good
 
 
 @register("read_summaries", rsql("""
-select article_id, language, summary from summaries""", "", ("summaries",)))
+select article_id, language, summary, title from summaries""", "", ("summaries",)))
 def read_summaries(t):
-    s = FX.summaries(t).select("article_id", "language", "summary", "title")
-    path = _record_files(t, "summary_files", s)
-    good, _bad = R.read_summaries(t.spark, path, layout="partitioned")
+    path = _fresh(t, "summary_files")
+    W.write_records(FX.summaries(t).select("article_id", "language", "summary", "title"), path)
+    good, _bad = R.read_summaries(t.spark, path, layout="lines")
     return good
 
 

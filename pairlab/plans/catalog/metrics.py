@@ -252,18 +252,21 @@ def per_example_metrics(t):
     return M.rouge_all(g, GKEYS, lcs=False, carry=lens).select(*GKEYS, "generated_words", "reference_words", "rouge1_f", "rouge2_f")
 
 
-_LEN_SQL = f"""
+def _len_sql(src: str) -> str:
+    return f"""
 select model, avg(gw) as avg_generated_words, avg(rw) as avg_reference_words,
        cast(median(gw) as double) as median_generated_words, cast(median(rw) as double) as median_reference_words,
        avg(gw) / avg(rw) as length_ratio,
        case when var_pop(gw) > 0 and var_pop(rw) > 0 and count(*) > 1 then corr(gw, rw) end as length_correlation
-from (select model, {Q.words('generated')} as gw, {Q.words('reference')} as rw from generations) x
+from (select model, {Q.words('generated')} as gw, {Q.words('reference')} as rw from {src}) x
 group by model"""
+
+
 _LEN_D = ("avg_generated_words,avg_reference_words,median_generated_words,median_reference_words,"
           "length_ratio,length_correlation")
 
 
-@register("summary_length_metrics", rsql(_LEN_SQL, _LEN_D, ("generations",)))
+@register("summary_length_metrics", rsql(_len_sql("generations"), _LEN_D, ("generations",)))
 def summary_length_metrics(t):
     return PR.summary_length_metrics(FX.generations(t))
 
@@ -376,18 +379,18 @@ def rouge_prf_table(t):
     return M.rouge_prf_table(FX.turn_pairs(t), TP_KEYS, with_lcs=True, generated="summary", reference="text")
 
 
-def _report_sql() -> str:
+def report_sql(src: str) -> str:
     return f"""
 select m.*, lm.rougeL_f, ls.rougeLsum_f, l.* exclude (model)
 from (select model, {', '.join(f'coalesce(avg({c}), 0.0) as {c}' for c in rouge_doubles().split(','))}
-      from ({rouge_sql('generations', GKEYS)}) s group by model) m join ({_LEN_SQL}) l using (model)
-join (select model, coalesce(avg(rougeL_f), 0.0) as rougeL_f from ({lcs_sql('generations', GKEYS)}) x group by model) lm
+      from ({rouge_sql(src, GKEYS)}) s group by model) m join ({_len_sql(src)}) l using (model)
+join (select model, coalesce(avg(rougeL_f), 0.0) as rougeL_f from ({lcs_sql(src, GKEYS)}) x group by model) lm
   using (model)
-join (select model, coalesce(avg(rougeLsum_f), 0.0) as rougeLsum_f from ({lcs_sum_sql('generations', GKEYS)}) x group by model) ls
+join (select model, coalesce(avg(rougeLsum_f), 0.0) as rougeLsum_f from ({lcs_sum_sql(src, GKEYS)}) x group by model) ls
   using (model)"""
 
 
-@register("evaluation_report", rsql(_report_sql(),
+@register("evaluation_report", rsql(report_sql("generations"),
                                     rouge_doubles() + ",rougeL_f,rougeLsum_f," + _LEN_D, ("generations",)))
 def evaluation_report(t):
     """One row per model: mean ROUGE-1/2 (P/R/F), L and Lsum (F) and the length metrics."""

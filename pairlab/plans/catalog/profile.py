@@ -48,14 +48,20 @@ def _recommend_sql(x: str, lo: int, hi: int, mult: int) -> str:
     return f"cast(ceil(least(greatest(cast(trunc({x} * 1.1) as bigint), {lo}), {hi}) / {mult}) * {mult} as bigint)"
 
 
-@register("recommended_lengths", rsql(f"""
+_RECOMMENDED = f"""
 select max_text_p95, max_summary_p95,
        {_recommend_sql('max_text_p95', 1024, 4096, 128)} as max_input_length,
        {_recommend_sql('max_summary_p95', 128, 1024, 32)} as max_target_length,
        {_recommend_sql('max_text_p95', 1024, 4096, 128)} + {_recommend_sql('max_summary_p95', 128, 1024, 32)}
          as total_length
 from (select max(text_tokens_p95) as max_text_p95, max(summary_tokens_p95) as max_summary_p95
-      from ({Q.LENGTH_STATS}) s where split = 'train') m""", "max_text_p95,max_summary_p95", ("dataset",)))
+      from ({Q.LENGTH_STATS}) s where split = 'train') m"""
+
+# percentiles of the profile beside those of the length statistics
+_MORE = [(c, q, n) for c in ("text_tokens", "summary_tokens") for q, n in (("75", "p75"), ("9", "p90"), ("97", "p97"))]
+
+
+@register("recommended_lengths", rsql(_RECOMMENDED, "max_text_p95,max_summary_p95", ("dataset",)))
 def recommended_lengths(t):
     return PR.recommended_lengths(PR.length_stats(FX.dataset(t)))
 
@@ -113,9 +119,12 @@ def length_scatter_sample(t):
 
 
 @register("profile_corpus", rsql(f"""
-select s.*, c.copy_ratio
-from ({Q.LENGTH_STATS}) s join ({Q.COPY_RATIO}) c on s.language = c.language and s.split = c.split""",
-        Q.STATS_DOUBLES + ",copy_ratio", ("dataset",)))
+select s.*, p.* exclude (language, split), c.copy_ratio, r.max_input_length, r.max_target_length, r.total_length
+from ({Q.LENGTH_STATS}) s join ({Q.COPY_RATIO}) c on s.language = c.language and s.split = c.split
+join (select language, split, {', '.join(f"quantile_cont({c}, 0.{q}) as {c}_{n}" for c, q, n in _MORE)}
+      from ({Q.STATS_FEATURES}) f group by language, split) p on s.language = p.language and s.split = p.split
+cross join ({_RECOMMENDED}) r""",
+        ",".join([Q.STATS_DOUBLES, "copy_ratio", *(f"{c}_{n}" for c, _, n in _MORE)]), ("dataset",)))
 def profile_corpus(t):
     from pairlab.plans.flagships import profile_corpus as pc
     return pc(FX.dataset(t))

@@ -33,9 +33,14 @@ def _doc_key(col: str):
 
 def articles(t: Tables) -> DataFrame:
     """(article_id, doc_id, language, title, text, url): one per document."""
+    return sourced_articles(t).drop("source")
+
+
+def sourced_articles(t: Tables) -> DataFrame:
+    """``articles`` with the documents' ``source``."""
     d = t.documents
     title = T.first_line("text")
-    return d.select(_doc_key("doc_id").alias("article_id"),
+    return d.select("source", _doc_key("doc_id").alias("article_id"),
                     "doc_id", F.col("lang").alias("language"), title.alias("title"), "text",
                     T.article_url(F.concat(F.col("lang"), F.lit(".example.org")), title).alias("url"))
 
@@ -82,9 +87,9 @@ def generations(t: Tables) -> DataFrame:
         F.struct(F.lit("base").alias("model"), _line("text", 3).alias("generated")),
         F.struct(F.lit("finetuned").alias("model"),
                  F.concat_ws(" ", _line("text", 1), _line("text", 2)).alias("generated")))
-    return (p.select("article_id", "language", F.col("summary").alias("reference"), "text",
+    return (p.select("article_id", "language", F.col("summary").alias("reference"), "text", "title",
                      F.explode(outs).alias("_o"))
-            .select("article_id", "language", "_o.model", "_o.generated", "reference", "text"))
+            .select("article_id", "language", "_o.model", "_o.generated", "reference", "text", "title"))
 
 
 def base_pages(t: Tables) -> DataFrame:
@@ -103,16 +108,16 @@ def base_pages(t: Tables) -> DataFrame:
 
 def lang_pages(t: Tables) -> DataFrame:
     """(language, title, doc_id, text): first document per (language, title)."""
-    a = articles(t).select("language", "title", "doc_id", "text")
-    return C.dedupe_first_seen(a.withColumn("_k", F.concat_ws(NL, "language", "title")),
-                               key="_k", order=("doc_id",)).drop("_k")
+    a = articles(t)
+    first = a.groupBy("language", "title").agg(F.min("doc_id").alias("doc_id"))  # ids only: texts are fetched last
+    return first.join(a.select("doc_id", "text"), "doc_id").select("language", "title", "doc_id", "text")
 
 
 def base_links(t: Tables, base_lang: str = "en") -> tuple[DataFrame, DataFrame]:
     """(base pages, language links).  One concept per source: its base page
     is the lowest-id base-language document; every other-language document
     of the source is a link (a later one overrides an earlier one)."""
-    a = articles(t).join(t.documents.select("doc_id", "source"), "doc_id")
+    a = sourced_articles(t).select("source", "language", "title", "doc_id")
     base = (a.filter(F.col("language") == base_lang)
             .groupBy("source").agg(F.min_by("title", "doc_id").alias("page")))
     links = (a.filter(F.col("language") != base_lang).join(base, "source")

@@ -5,7 +5,7 @@
 * split dataset      -- Parquet partitioned by language and split
 * comparison / judge result files -- one nested JSON document per file
 
-Every read declares its schema.  The per-file JSON layouts are read in one
+Every read declares its schema.  The per-record JSON layouts are read in one
 scan of ``*/*.json``; language and id come from ``_metadata.file_path``.
 Malformed files are not dropped silently: they are routed to a quarantine
 DataFrame next to the good rows.
@@ -19,16 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 INDEX_SCHEMA = "id STRING, titles MAP<STRING, STRING>, urls MAP<STRING, STRING>"
-ARTICLE_SCHEMA = "title STRING, text STRING, url STRING, pageid BIGINT, _corrupt_record STRING"
+ARTICLE_SCHEMA = "article_id STRING, title STRING, text STRING, url STRING, pageid BIGINT, _corrupt_record STRING"
 SUMMARY_SCHEMA = "article_id STRING, language STRING, summary STRING, title STRING, _corrupt_record STRING"
 COMPLETED_FILE = "_completed.json"
-# path layouts of one-record-per-file JSON: the reference's {language}/{id}.json,
-# or the distributed form Spark writes with partitionBy(language, id)
-LAYOUTS = {
-    "reference": (os.path.join("*", "*.json"), r"([^/]+)/([^/]+)\.json$"),
-    "partitioned": (os.path.join("language=*", "article_id=*", "*.json"),
-                    r"language=([^/]+)/article_id=([^/]+)/[^/]+\.json$"),
-}
+# "reference": one record per file at {language}/{id}.json; "lines": the distributed form,
+# JSON lines in language=*/ folders with the id in the record (files grow with bytes, not rows)
+LAYOUTS = ("reference", "lines")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -49,28 +45,32 @@ def read_article_index(spark: SparkSession, path: str, json_lines: bool = False)
     return spark.read.schema(INDEX_SCHEMA).option("multiLine", not json_lines).json(path)
 
 
-def _per_file_json(spark: SparkSession, root: str, schema: str, layout: str = "reference") -> DataFrame:
-    """One row per record file under ``root``, parsed with ``schema``.
+def _record_json(spark: SparkSession, root: str, schema: str, layout: str = "reference") -> DataFrame:
+    """One row per record under ``root``, parsed with ``schema``.
 
-    Files are read whole (``wholetext``) and parsed with ``from_json``; a
-    malformed file keeps its text in ``_corrupt_record``.  Language and id
-    come from the path.
+    In the reference layout files are read whole (``wholetext``), language and
+    id come from the path; in the lines layout a record is a line, its id is in
+    the record and its language is the folder's.  A malformed record keeps its
+    text in ``_corrupt_record``.
     """
-    glob, path_re = LAYOUTS[layout]
-    raw = (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json")
-           .text(os.path.join(root, glob))
+    if layout not in LAYOUTS:
+        raise ValueError(layout)
+    whole = layout == "reference"
+    raw = (spark.read.option("wholetext", whole).option("pathGlobFilter", "*.json")
+           .text(os.path.join(root, "*", "*.json") if whole else os.path.join(root, "language=*"))
            .withColumn("_path", F.col("_metadata.file_path"))
            .filter(~F.col("_path").endswith("/" + COMPLETED_FILE)))
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
-    return (raw.select("_path", parsed.alias("_j")).select("_path", "_j.*")
-            .withColumn("_language", F.regexp_extract("_path", path_re, 1))
-            .withColumn("_id", F.regexp_extract("_path", path_re, 2)))
+    rows = raw.select("_path", parsed.alias("_j")).select("_path", "_j.*")
+    place = r"([^/]+)/([^/]+)\.json$" if whole else r"language=([^/]+)/([^/]+)$"
+    return (rows.withColumn("_language", F.regexp_extract("_path", place, 1))
+            .withColumn("_id", F.regexp_extract("_path", place, 2) if whole else F.col("article_id")))
 
 
 def read_articles(spark: SparkSession, root: str, layout: str = "reference") -> tuple[DataFrame, DataFrame]:
     """(articles, quarantine).  Articles: (article_id, language, title, text,
     url) with absent keys as ""; quarantine: (path, record) of bad files."""
-    raw = _per_file_json(spark, root, ARTICLE_SCHEMA, layout)
+    raw = _record_json(spark, root, ARTICLE_SCHEMA, layout)
     good = raw.filter(F.col("_corrupt_record").isNull()).select(
         F.col("_id").alias("article_id"), F.col("_language").alias("language"),
         *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "text", "url")])
@@ -80,12 +80,12 @@ def read_articles(spark: SparkSession, root: str, layout: str = "reference") ->
 
 
 def read_summaries(spark: SparkSession, root: str, layout: str = "reference") -> tuple[DataFrame, DataFrame]:
-    """(summaries, quarantine): (article_id, language, summary) with a missing
-    ``summary`` key read as ""; the tracking file is skipped."""
-    raw = _per_file_json(spark, root, SUMMARY_SCHEMA, layout)
+    """(summaries, quarantine): (article_id, language, summary, title) with absent
+    keys as ""; the tracking file is skipped."""
+    raw = _record_json(spark, root, SUMMARY_SCHEMA, layout)
     good = raw.filter(F.col("_corrupt_record").isNull()).select(
         F.col("_id").alias("article_id"), F.col("_language").alias("language"),
-        F.coalesce(F.col("summary"), F.lit("")).alias("summary"))
+        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("summary", "title")])
     bad = raw.filter(F.col("_corrupt_record").isNotNull()).select(F.col("_path").alias("path"),
                                                                   F.col("_corrupt_record").alias("record"))
     return good, bad
@@ -117,10 +117,11 @@ comparisons ARRAY<STRUCT<index: BIGINT, title: STRING, text: STRING, reference_s
 """
 
 
-def read_comparisons(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
-    """First ``n`` comparison rows of comparison file(s), with "" defaults and
-    the run's config as columns."""
-    raw = spark.read.schema(COMPARISON_SCHEMA).option("multiLine", True).json(path)
+def read_comparisons(spark: SparkSession, path: str, n: int | None = None, json_lines: bool = False) -> DataFrame:
+    """First ``n`` comparison rows of each comparison document, with "" defaults and
+    the run's config as columns.  The reference writes one document per file;
+    ``json_lines=True`` reads one per line."""
+    raw = spark.read.schema(COMPARISON_SCHEMA).option("multiLine", not json_lines).json(path)
     ex = raw.select("config", F.posexplode("comparisons").alias("pos", "c"))
     if n is not None:
         ex = ex.filter(F.col("pos") < n)
@@ -135,14 +136,27 @@ JUDGE_SCHEMA = """
 model STRING,
 config MAP<STRING, STRING>,
 evaluation_results ARRAY<STRUCT<index: BIGINT, title: STRING, base_score: DOUBLE, finetuned_score: DOUBLE,
-                                explanation: STRING, improvement: DOUBLE>>
+                                explanation: STRING, improvement: DOUBLE>>,
+statistics STRUCT<average_base_score: DOUBLE, average_finetuned_score: DOUBLE, average_improvement: DOUBLE,
+                  win_rate: DOUBLE, tie_rate: DOUBLE, loss_rate: DOUBLE, valid_evaluations: BIGINT,
+                  total_evaluations: BIGINT, error: STRING>
 """
 
 
-def read_judge_results(spark: SparkSession, pattern: str) -> DataFrame:
-    """Many judge result files -> one row per judged pair, tagged with the
-    judge model, run config (language, subset, models) and file name."""
-    raw = spark.read.schema(JUDGE_SCHEMA).option("multiLine", True).json(pattern)
+def _judge_documents(spark: SparkSession, pattern: str, json_lines: bool) -> DataFrame:
+    return spark.read.schema(JUDGE_SCHEMA).option("multiLine", not json_lines).json(pattern)
+
+
+def read_judge_statistics(spark: SparkSession, pattern: str, json_lines: bool = False) -> DataFrame:
+    """The statistics of judge result documents: one row per run, with its config."""
+    return _judge_documents(spark, pattern, json_lines).select(F.col("model").alias("judge_model"), "config", "statistics.*")
+
+
+def read_judge_results(spark: SparkSession, pattern: str, json_lines: bool = False) -> DataFrame:
+    """Many judge result documents -> one row per judged pair, tagged with the
+    judge model, run config (language, subset, models) and file name.  The
+    reference writes one document per file; ``json_lines=True`` reads one per line."""
+    raw = _judge_documents(spark, pattern, json_lines)
     ex = raw.select("model", "config", F.col("_metadata.file_name").alias("file"),
                     F.explode("evaluation_results").alias("r"))
     return ex.select(F.col("model").alias("judge_model"), "file",

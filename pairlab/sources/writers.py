@@ -40,6 +40,11 @@ def write_index(df: DataFrame, path: str, mode: str = "overwrite", position: str
     index_table(df, position=position).write.mode(mode).json(path)
 
 
+def write_records(df: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """Whole records as JSON lines in a folder per language (``layout="lines"`` of the readers)."""
+    df.write.mode(mode).partitionBy("language").json(root)
+
+
 def write_summaries(df: DataFrame, root: str, mode: str = "append") -> None:
     """Summary rows by language; appends (idempotency comes from the
     anti-join in ``incremental_generate``)."""
@@ -52,13 +57,15 @@ def write_split_dataset(df: DataFrame, root: str, mode: str = "overwrite") -> No
 
 def run_metadata(df: DataFrame, config: dict, now: str, language: str = "language",
                  split: str | None = "split") -> DataFrame:
-    """One-row manifest: totals, languages, split ratios, fields, config, timestamp."""
-    aggs = [F.count(F.lit(1)).alias("total_rows"),
-            F.array_sort(F.collect_set(language)).alias("languages")]
-    if split:
-        for s in ("train", "validation", "test"):
-            aggs.append(F.count_if(F.col(split) == s).alias(f"n_{s}"))
-    m = df.agg(*aggs)
+    """One-row manifest: totals, languages, rows per language, split ratios, fields,
+    config, timestamp.  Rows are counted per language first; null languages count
+    in the totals only."""
+    sizes = ["n"] + ([f"n_{s}" for s in ("train", "validation", "test")] if split else [])
+    per = df.groupBy(F.col(language).alias("l")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(split) == c[2:]).alias(c) for c in sizes[1:]])
+    named = F.array_sort(F.collect_list(F.when(F.col("l").isNotNull(), F.struct("l", "n"))))
+    m = per.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias("total_rows" if c == "n" else c) for c in sizes],
+                F.array_sort(F.collect_list("l")).alias("languages"), F.map_from_entries(named).alias("article_counts"))
     if split:
         for s in ("train", "validation", "test"):
             m = m.withColumn(f"ratio_{s}", F.try_divide(F.col(f"n_{s}"), F.col("total_rows")))
@@ -104,7 +111,8 @@ def _rename(fs, src, dst) -> bool:
     return fs.rename(src, dst)
 
 
-def rewrite_or_copy(df: DataFrame, src: str, dst: str | None = None, fmt: str = "parquet") -> str:
+def rewrite_or_copy(df: DataFrame, src: str, dst: str | None = None, fmt: str = "parquet",
+                    partition_by: Sequence[str] = ()) -> str:
     """Write ``df`` to ``dst``; without ``dst`` replace ``src`` in place.
 
     Spark cannot overwrite a path it is reading, so the in-place case writes
@@ -112,11 +120,11 @@ def rewrite_or_copy(df: DataFrame, src: str, dst: str | None = None, fmt: str =
     file system API (a rename on the shared file system).
     """
     if dst:
-        df.write.mode("overwrite").format(fmt).save(dst)
+        df.write.mode("overwrite").partitionBy(*partition_by).format(fmt).save(dst)
         return dst
     spark: SparkSession = df.sparkSession
     staging = src.rstrip("/") + "._staging"
-    df.write.mode("overwrite").format(fmt).save(staging)
+    df.write.mode("overwrite").partitionBy(*partition_by).format(fmt).save(staging)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     sp, tp = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(staging)

@@ -171,3 +171,65 @@ def test_incremental_ingest_with_watermark(spark, tmp_path):
     q = INC.incremental_ingest(spark, src + "/*", schema, "name", ck, out, watermark=("ts", "1 hour"))
     q.awaitTermination()
     assert sorted(r["name"] for r in spark.read.parquet(out).collect()) == ["p1", "p2"]
+
+
+def test_record_lines_with_bad_line(spark, tmp_path):
+    root = str(tmp_path / "lines")
+    df = spark.createDataFrame([("a", "en", "T", "one\ntwo\r three", None), ("b", "fr", "", "x", "u")],
+                               "article_id string, language string, title string, text string, url string")
+    W.write_records(df, root)
+    with open(f"{root}/language=fr/more.json", "w", encoding="utf-8") as f:
+        f.write('{"article_id": "c", "text": "t"}\n{broken\n')
+    good, bad = R.read_articles(spark, root, layout="lines")
+    got = sorted((r.article_id, r.language, r.title, r.text, r.url) for r in good.collect())
+    assert got == [("a", "en", "T", "one\ntwo\r three", ""), ("b", "fr", "", "x", "u"), ("c", "fr", "", "t", "")]
+    assert [r.record for r in bad.collect()] == ["{broken"]
+    with pytest.raises(ValueError):
+        R.read_articles(spark, root, layout="other")
+
+
+def test_pair_dataset_from_files_to_files(spark, tmp_path):
+    from pairlab.plans import flagships as FL
+    at = lambda name: str(tmp_path / name)
+    a = spark.createDataFrame([(f"{i:02x}", l, f"t{i}", " " if i == 3 else f"text {i}", "u") for i in range(40) for l in ("en", "fr")],
+                              "article_id string, language string, title string, text string, url string")
+    s = a.selectExpr("article_id", "language", "case when article_id = '05' then '' else title end as summary", "title")
+    W.write_index(a.withColumnRenamed("article_id", "id"), at("index"))
+    W.write_records(a, at("articles"))
+    W.write_records(s, at("summaries"))
+    got = FL.build_pair_dataset_files(spark, at("index"), at("articles"), at("summaries"), at("out"), "now",
+                                      max_articles=30, per_language=20).collect()
+    assert sorted((r.article_id, r.language) for r in got) == sorted(
+        (f"{i:02x}", l) for i in range(22) if i not in (3, 5) for l in ("en", "fr"))
+    for lang in ("en", "fr"):
+        splits = [r.split for r in got if r.language == lang]
+        assert [splits.count(x) for x in ("train", "validation", "test")] == [16, 2, 2]
+    meta = spark.read.json(at("out/metadata")).first()
+    assert meta.total_rows == 40 and meta.article_counts.asDict() == {"en": 20, "fr": 20} and meta.fields == FL.FIELDS
+    assert json.loads(meta.config)["max_articles"] == 30
+
+
+def test_judge_documents(spark, tmp_path):
+    from pairlab.operators import generate as G
+    from pairlab.plans import flagships as FL
+    for lang, n in (("en", 3), ("fr", 1)):
+        _write(str(tmp_path / "cmp" / f"{lang}.json"), {"config": {"language": lang}, "comparisons": [
+            {"index": i, "title": f"t{i}", "reference_summary": "a b c", "base_model_summary": "x",
+             "finetuned_model_summary": "a b c" if i else "y"} for i in range(n)]})
+    stats = FL.judge_report_files(spark, str(tmp_path / "cmp"), str(tmp_path / "out"), G.overlap_judge(), "overlap", n=2,
+                                  json_lines=False)
+    got = {r.config["language"]: (r.valid_evaluations, r.win_rate, r.tie_rate) for r in stats.collect()}
+    assert got == {"en": (2, 0.5, 0.5), "fr": (1, 0.0, 1.0)}
+    back = R.read_judge_results(spark, str(tmp_path / "out"), json_lines=True)
+    assert sorted((r.language, r["index"]) for r in back.collect()) == [("en", 0), ("en", 1), ("fr", 0)]
+
+
+def test_clean_summary_files_in_place(spark, tmp_path):
+    from pairlab.plans import flagships as FL
+    root = str(tmp_path / "s")
+    df = spark.createDataFrame([("a", "en", "x\ny", "T"), ("b", "fr", "", "U")],
+                               "article_id string, language string, summary string, title string")
+    W.write_records(df, root)
+    assert FL.clean_summary_files(spark, root) == root
+    got = sorted(tuple(r) for r in R.read_summaries(spark, root, layout="lines")[0].collect())
+    assert got == [("a", "en", "x", "T"), ("b", "fr", "", "U")]
