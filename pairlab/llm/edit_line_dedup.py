@@ -126,7 +126,12 @@ def lines_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_ch
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
 
-def line_links(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def first_places(lines: DataFrame) -> DataFrame:
+    """``(h1, h2, first)``: where each distinct line stands first, pre-aggregated on digests."""
+    return cut_lineage(lines.groupBy("h1", "h2").agg(F.min("place").alias("first")))
+
+
+def line_links(lines: DataFrame, firsts: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Pairs of different texts within the distance: ``(a1, a2, a_place, b1, b2, b_place, edits)``, a first."""
     line = F.col("line")
     index, probe = index_keys(line, distance), probe_keys(line, distance)
@@ -143,7 +148,10 @@ def line_links(lines: DataFrame, distance: int = DISTANCE) -> DataFrame:
     pairs = cut_lineage(pairs)
     wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
     wanted = cut_lineage(wanted)
-    texts = (lines.join(wanted, F.col("h1") == F.col("w")).groupBy("h1", "h2", "line").agg(F.min("place").alias("place")))
+    # the text is taken where it stands first: a line that stands everywhere isn't one hot key
+    at = firsts.join(wanted, F.col("h1") == F.col("w")).select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "first")
+    here = (F.col("place") == F.col("first")) & (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2"))
+    texts = lines.select("place", "h1", "h2", "line").join(at, here).select("h1", "h2", "line", "place").distinct()
     texts = cut_lineage(texts)  # so that a line with very many candidates can be split in the joins
     side = lambda s: texts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("line").alias(f"{s}_line"), F.col("place").alias(f"{s}_place"))
     both = pairs.join(side("a"), F.col("a") == F.col("a1")).join(side("b"), F.col("b") == F.col("b1"))
@@ -160,12 +168,13 @@ def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", d
     if min_chars < 2 * (distance + 1):
         raise ValueError("min_chars must be at least 2 * (distance + 1)")
     lines = lines_of(docs, text, doc_id, min_chars)
-    links = cut_lineage(line_links(lines, distance))
+    firsts = first_places(lines)
+    links = cut_lineage(line_links(lines, firsts, distance))
     # links of each text, and whether one of its partners comes first
     linked = (links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.lit(False).alias("late"))
               .union(links.select("b1", "b2", F.lit(True))).groupBy("h1", "h2")
               .agg(F.count(F.lit(1)).alias("links"), F.max("late").alias("late")))
-    first = lines.groupBy("h1", "h2").agg(F.min("place").alias("first")).join(linked, ["h1", "h2"], "left")
+    first = firsts.join(linked, ["h1", "h2"], "left")
     first = first.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("late", F.lit(False)).alias("late"))
     first = cut_lineage(first)  # both sides of the join are plain shuffles, so a hot line can be split
     placed = lines.select("row", "pos", "place", "h1", "h2").join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
