@@ -10,10 +10,14 @@ never over a base span or another selected one.
 
 The trees are fitted on the driver on a bounded sample: feature rows of
 candidates of about ``sample_docs`` documents (chosen by hash of the id), at
-most ``sample_rows`` of them, labelled by whether a base rule accepts the span,
-and ``made_rows`` made examples: accepted formats rewritten the way people
-disguise them, and numbers that are no personal data.  Scoring is row by row in
-the tasks: no shuffle, memory bounded by a batch of texts.
+most ``sample_rows`` of them, and ``made_rows`` made examples: accepted formats
+rewritten the way people disguise them, and numbers that are no personal data.
+A candidate of a document is a positive if a base rule accepts the span and a
+negative only if a rule shows it to be something else (a failed checksum, a date,
+the end of a sentence); what no rule decides has no label and is left out, so
+personal data in the corpus never counts against itself.  Thresholds come from
+labelled rows that ``select`` can meet, so not from base spans.  Scoring is row
+by row in the tasks: no shuffle, memory bounded by a batch of texts.
 
 Defined results: a null or empty text has no spans; documents are judged row by
 row, whatever their ids; on an empty table only the made examples train the
@@ -22,6 +26,7 @@ trees; other columns pass through, those called like an output are replaced.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import random
 import re
@@ -148,6 +153,36 @@ def _iban_ok(s: str) -> bool:
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def ruled_out(text: str, kind: str, start: int, end: int) -> bool:
+    """Whether a rule shows the candidate to be something other than personal data."""
+    s = text[start:end]
+    if kind == "account":
+        return not _iban_ok(s)
+    if kind == "ip6":  # all eight groups must be there where nothing is left out
+        return s.count(":") != 7
+    if kind == "spelt_email":  # a sentence ends inside, or no domain ends like this
+        return re.search(r"\. [A-Z]", s) is not None or not re.split(r"[^A-Za-z0-9-]", s)[-1].isalpha()
+    if kind == "local_phone":
+        digits = _digits(s)
+        isbn = len(digits) == 13 and digits[:3] in ("978", "979") and sum(int(c) * (1, 3)[i % 2] for i, c in enumerate(digits)) % 10 == 0
+        return isbn or _date(s) or (len(digits) > 15 and not luhn(digits))  # too long for a phone, no card
+    return False
+
+
+_year_first = re.compile(r"(?:19|20)[0-9]{2}([./-])([0-9]{1,2})\1([0-9]{1,2})")
+_year_last = re.compile(r"([0-9]{1,2})([./-])([0-9]{1,2})\2(?:19|20)[0-9]{2}")
+_years = re.compile(r"(?:1[0-9]|20)[0-9]{2} ?[-/] ?(?:1[0-9]|20)[0-9]{2}")
+
+
+def _date(s: str) -> bool:
+    if m := _year_first.fullmatch(s):
+        return 1 <= int(m[2]) <= 12 and 1 <= int(m[3]) <= 31
+    if m := _year_last.fullmatch(s):
+        a, b = sorted((int(m[1]), int(m[3])))
+        return 1 <= a <= 12 and b <= 31
+    return _years.fullmatch(s) is not None
+
+
 def made_examples(n: int, seed: int = 8) -> list[tuple[str, Span, int]]:
     """Texts with one span each: disguised personal data (1) and other numbers (0)."""
     r = random.Random(seed)
@@ -186,10 +221,15 @@ def made_examples(n: int, seed: int = 8) -> list[tuple[str, Span, int]]:
 
 
 class Model:
-    """Boosted trees and a score threshold for each further kind."""
+    """Boosted trees and a score threshold for each further kind.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, precision: float = PRECISION):
+    Rows outside ``judged`` (all are in it by default) only train the trees.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, precision: float = PRECISION, judged: np.ndarray | None = None):
         held = np.arange(len(y)) % 3 == 0
+        if judged is not None:
+            held &= judged
         self.trees = BoostedTrees().fit(x[~held], y[~held])
         score = self.trees.score(x[held])
         self.held_out = (score, y[held], x[held][:, 0])
@@ -234,26 +274,47 @@ def _finder(model: Model):
     return find
 
 
+def _clear_of(spans: set[tuple[int, int]]):
+    """A test of whether a range overlaps none of the spans, in the logarithm of their number."""
+    ends, starts = [], []
+    for a, b in sorted(spans):  # joined to disjoint ranges
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def clear(a: int, b: int) -> bool:
+        i = bisect.bisect_right(ends, a)
+        return i == len(starts) or starts[i] >= b
+    return clear
+
+
 def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS,
         sample_rows: int = SAMPLE_ROWS, made_rows: int = MADE_ROWS) -> Model:
     def rows(batches):
         for b in batches:
             out = []
             for key, t in zip(b["key"], b["text"]):
-                base = set(base_spans(t))
-                plain = {s[1:] for s in base}
-                out += [(key, a, e, features(t, k, a, e), int((a, e) in plain)) for k, a, e in proposals(t)]
-            yield pd.DataFrame(out, columns=["key", "a", "e", "x", "y"])
+                plain = {s[1:] for s in base_spans(t)}
+                clear = _clear_of(plain)
+                for k, a, e in proposals(t):
+                    if (a, e) in plain:
+                        out.append((key, a, e, features(t, k, a, e), 1, False))
+                    elif clear(a, e) and ruled_out(t, k, a, e):
+                        out.append((key, a, e, features(t, k, a, e), 0, True))
+            yield pd.DataFrame(out, columns=["key", "a", "e", "x", "y", "judged"])
 
     share = max(1, docs.count() // sample_docs)
     picked = docs.select(F.xxhash64(doc_id).alias("key"), F.col(text).alias("text")).filter(
         F.col("text").isNotNull() & (F.pmod("key", F.lit(share)) == 0))
-    got = picked.mapInPandas(rows, "key long, a int, e int, x array<double>, y int").orderBy("key", "a", "e").limit(sample_rows).collect()
+    got = picked.mapInPandas(rows, "key long, a int, e int, x array<double>, y int, judged boolean").orderBy("key", "a", "e").limit(sample_rows).collect()
     made = [(features(t, *s), y) for t, s, y in made_examples(made_rows)]
     x = np.array([r.x for r in got] + [m[0] for m in made])
     y = np.array([r.y for r in got] + [m[1] for m in made])
+    judged = np.array([r.judged for r in got] + [True] * len(made))
     mixed = np.random.default_rng(8).permutation(len(y))
-    return Model(x[mixed], y[mixed])
+    return Model(x[mixed], y[mixed], judged=judged[mixed])
 
 
 def with_personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: Model | None = None) -> DataFrame:

@@ -312,6 +312,40 @@ def test_personal_data(spark):
     assert pii_boost.with_personal_data(df.limit(0)).count() == 0
 
 
+def test_personal_data_of_a_corpus_full_of_it(spark):
+    r = random.Random(5)
+    num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(3, 8)))
+    rows, want = [], {}
+    for i in range(400):
+        body = num(18)
+        parts = [("national_id", "SSN: ", f"{num(3)}-{num(2)}-{num(4)}"), ("account", "IBAN: ", f"DE{98 - int(body + '131400') % 97:02d}{body}"),
+                 ("spelt_email", "contact: ", f"{word()} [at] {word()} [dot] com")]
+        text, want[i] = f"{word()} ", set()
+        for kind, lead, span in parts:
+            text += lead
+            want[i].add(f"{kind}:{len(text)}:{len(text) + len(span)}")
+            text += f"{span}, {word()} {word()}. "
+        rows.append((i, text + f"Version 2019-05-{i % 28 + 1:02d}, ref DE00{num(18)}"))
+    found = {x.doc_id: set(x.spans.split(",")) for x in pii_boost.with_personal_data(frame(spark, rows)).collect()}
+    for kind in ("national_id", "account", "spelt_email"):
+        there = [s for i in want for s in want[i] if s.startswith(kind)]
+        assert sum(s in found[i] for i in want for s in want[i] if s.startswith(kind)) > 0.95 * len(there)
+    extra = [s for i in want for s in found[i] - want[i]]
+    assert len(extra) < 0.02 * 3 * len(rows), extra[:5]
+
+
+def test_personal_labels():
+    ruled = lambda kind, s: pii_boost.ruled_out(s, kind, 0, len(s))
+    for kind, s in [("account", "DE00370400440532013000"), ("ip6", "12:30:45:10"), ("spelt_email", "dinner at home. Then"), ("spelt_email", "is at version 2.15"),
+                    ("local_phone", "2019-05-13"), ("local_phone", "13.05.2019"), ("local_phone", "1914-1918"), ("local_phone", "978-3-16-148410-0"),
+                    ("local_phone", "9807915762804491")]:
+        assert ruled(kind, s), s
+    for kind, s in [("account", "DE89370400440532013000"), ("ip6", "1:2:3:4:5:6:7:8"), ("spelt_email", "bob at example dot com"),
+                    ("local_phone", "(555) 123-4567"), ("national_id", "123-45-6789")]:
+        assert not ruled(kind, s), s
+
+
 def test_boosted_trees_held_out():
     import numpy as np
     made = pii_boost.made_examples(4000, seed=1)
