@@ -4,6 +4,7 @@ Lines (split at line feeds) of at least ``min_chars`` characters take part; two
 duplicates if their texts differ in at most ``distance`` edits.  Of all lines in
 (document id, line number) order, a line goes if the same text stands earlier, or
 if a text within the distance has its first occurrence before this text's first.
+With ``short_lines`` the shorter lines that hold a word take part too, as equals only.
 
 * Distinct lines are found by a pre-aggregated group on two 64-bit digests; their
   texts aren't shuffled for it.
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from pairlab.llm.registry import query, read
 from pairlab.session import cut_lineage
 
-DISTANCE, MIN_CHARS = 1, 20
+# two edits: another year, a two-digit page number, a swapped pair of letters
+DISTANCE, MIN_CHARS = 2, 20
+_WORD = r"[^\x20\x09-\x0D]"
 SIGNATURE = "etaonisrhldu"  # letters whose parities make the signature
 OUT = ["n_lines", "n_removed", "n_links", "removed"]
 
@@ -116,12 +119,14 @@ def banded_distance(a: Column, b: Column, distance: int) -> Column:
     return F.when(gap > distance, gap.cast("bigint")).otherwise(found)
 
 
-def lines_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
+def lines_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS,
+             short_lines: bool = False) -> DataFrame:
     """``(row, pos, place, line, h1, h2)`` of the lines that take part; ``place`` orders them."""
     body = F.coalesce(F.col(text), F.lit(""))
     late = F.coalesce(F.col(doc_id).cast("decimal(38,0)"), F.lit(str(1 << 63)).cast("decimal(38,0)"))
     rows = docs.select(F.xxhash64(F.col(doc_id), body).alias("row"), late.alias("doc"), F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"))
-    return rows.filter(F.length("line") >= min_chars).select(
+    long = F.length("line") >= min_chars
+    return rows.filter(long | F.col("line").rlike(_WORD) if short_lines else long).select(
         "row", "pos", (F.col("doc") * (1 << 31) + F.col("pos")).cast("decimal(38,0)").alias("place"), "line",
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
@@ -131,9 +136,10 @@ def first_places(lines: DataFrame) -> DataFrame:
     return cut_lineage(lines.groupBy("h1", "h2").agg(F.min("place").alias("first")))
 
 
-def line_links(lines: DataFrame, firsts: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def line_links(lines: DataFrame, firsts: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
     """Pairs of different texts within the distance: ``(a1, a2, a_place, b1, b2, b_place, edits)``, a first."""
     line = F.col("line")
+    lines = lines.filter(F.length(line) >= min_chars)
     index, probe = index_keys(line, distance), probe_keys(line, distance)
     keys = [*(k.alias(f"i{n}") for n, k in enumerate(index)), *(k.alias(f"p{n}") for n, k in enumerate(probe))]
     # the keys depend on the line alone: any aggregate that keeps one will do, min of longs is hashed
@@ -163,13 +169,13 @@ def line_links(lines: DataFrame, firsts: DataFrame, distance: int = DISTANCE) ->
 
 
 def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE,
-                  min_chars: int = MIN_CHARS) -> DataFrame:
+                  min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
     """``(row, n_lines, n_removed, n_links, removed)`` for each row that has lines taking part."""
     if min_chars < 2 * (distance + 1):
         raise ValueError("min_chars must be at least 2 * (distance + 1)")
-    lines = lines_of(docs, text, doc_id, min_chars)
+    lines = lines_of(docs, text, doc_id, min_chars, short_lines)
     firsts = first_places(lines)
-    links = cut_lineage(line_links(lines, firsts, distance))
+    links = cut_lineage(line_links(lines, firsts, distance, min_chars))
     # links of each text, and whether one of its partners comes first
     linked = (links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.lit(False).alias("late"))
               .union(links.select("b1", "b2", F.lit(True))).groupBy("h1", "h2")
@@ -187,10 +193,10 @@ def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", d
 
 
 def with_line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE,
-                    min_chars: int = MIN_CHARS) -> DataFrame:
+                    min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
     """``docs`` with the text that stays, ``n_lines, n_removed, n_links`` and the ``removed`` line numbers."""
     keep = [c for c in docs.columns if c not in OUT]
-    found = removed_lines(docs, text, doc_id, distance, min_chars).withColumnRenamed("row", "__found")
+    found = removed_lines(docs, text, doc_id, distance, min_chars, short_lines).withColumnRenamed("row", "__found")
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(*keep, F.xxhash64(F.col(doc_id), body).alias("__row")).join(found, F.col("__row") == F.col("__found"), "left")
     rows = rows.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
@@ -202,5 +208,5 @@ def with_line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 @query("op10_edit_line_dedup")
 def op10_edit_line_dedup(spark, sf_dir):
-    out = with_line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = with_line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
     return out.select("doc_id", "n_lines", "n_removed", "n_links", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))

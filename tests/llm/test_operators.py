@@ -452,3 +452,12 @@ def test_line_dedup(spark, distance):
     out = edit_line_dedup.with_line_dedup(df, distance=distance, min_chars=8)
     assert rows_of(out, "doc_id", "text", "n_lines", "n_removed", "n_links", "removed") == sorted(want, key=repr)
     assert edit_line_dedup.with_line_dedup(df.limit(0)).count() == 0
+
+
+def test_line_dedup_of_the_query(spark, monkeypatch):
+    rows = [(1, "Annual report of the company 2019\nLes."), (2, "Annual report of the company 2021\nLes.\n \t\nLe."), (3, "Annual report of the company 2234\n \t"),
+            (4, "continued on page 17 of the " + "very " * 80 + "long report"), (5, "continued on page 42 of the " + "very " * 80 + "long report"),
+            (6, "the recieved wisdom of all times"), (7, "the received wisdom of all times")]
+    monkeypatch.setattr(edit_line_dedup, "read", lambda *_: frame(spark, rows))
+    got = {x.doc_id: (x.n_lines, x.n_removed, x.removed) for x in edit_line_dedup.op10_edit_line_dedup(spark, "").collect()}
+    assert got == {1: (2, 0, ""), 2: (3, 2, "0,1"), 3: (1, 0, ""), 4: (1, 0, ""), 5: (1, 1, "0"), 6: (1, 0, ""), 7: (1, 1, "0")}
