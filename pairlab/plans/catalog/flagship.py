@@ -40,10 +40,10 @@ complete as (select page from valid group by page having count(distinct lang) =
 firsts as (select page from base join complete using (page) order by category_rank, pos, page limit 2)
 select substr(md5(page), 1, 10) as article_id, page, lang as language, doc_id
 from valid where page in (select page from firsts)""", "", ("articles", "base_pages")))
-def build_parallel_corpus(t):
+def build_parallel_corpus(t, max_sets=2):
     base, links = FX.base_links(t)
     lp = FX.lang_pages(t)
-    return FL.build_parallel_corpus(FX.base_pages(t), links, lp, ["en", "fr", "de", "es"], max_sets=2)
+    return FL.build_parallel_corpus(FX.base_pages(t), links, lp, ["en", "fr", "de", "es"], max_sets=max_sets)
 
 
 @register("build_pair_dataset", rsql(f"""
@@ -57,7 +57,7 @@ select article_id, language, title, url, text, summary, n as n_language, b.total
 from (select *, ceil(n * cast({repr(0.1)} as double)) as nt
       from (select *, row_number() over (partition by language order by md5(concat('42:', article_id)), article_id) as r,
                    count(*) over (partition by language) as n, count(*) over () as total from capped) a) b""", "", ("pairs",)))
-def build_pair_dataset(t):
+def build_pair_dataset(t, max_articles=600, per_language=50):
     """Index, articles and summaries as files -> the dataset and its metadata as files."""
     base = _fresh(t, "pair_dataset")
     path = lambda name: os.path.join(base, name)
@@ -66,7 +66,7 @@ def build_pair_dataset(t):
     W.write_records(a.select("article_id", "language", "title", "text", "url"), path("articles"))
     W.write_records(FX.summaries(t), path("summaries"))
     d = FL.build_pair_dataset_files(t.spark, path("index"), path("articles"), path("summaries"), path("out"),
-                                    "2024-01-01T00:00:00", max_articles=600, per_language=50)
+                                    "2024-01-01T00:00:00", max_articles=max_articles, per_language=per_language)
     meta = t.spark.read.schema("total_rows bigint, article_counts map<string, bigint>").json(path("out/metadata"))
     sizes = meta.select(F.explode("article_counts").alias("language", "n_language"), F.col("total_rows").alias("n_all"))
     return d.join(sizes, "language")
