@@ -62,7 +62,9 @@ _card = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _run = re.compile(r"[(+]?[0-9](?:[ ().\-/]{0,2}[0-9])+")
 _piece = re.compile(r"[^ ]+")
-_spelt = re.compile(r"[A-Za-z0-9._+-]{1,64} ?(?:\[at\]|\(at\)| at ) ?[A-Za-z0-9-]{1,64}(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Za-z0-9-]{2,24}){1,4}")
+_at = re.compile(r" ?(?:\[at\]|\(at\)| at(?= ))", re.I | re.A)
+_spelt_local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._+-")
+_spelt_domain = re.compile(r" {0,2}[A-Z0-9-]{1,64}(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Z0-9-]{2,24}){1,4}", re.I | re.A)
 _ip6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
@@ -112,24 +114,37 @@ def _number_kind(s: str) -> str:
     return "national_id" if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", s) else "local_phone"
 
 
+def _spelt(text: str) -> Iterator[Span]:
+    """Spelt addresses around each mark for the at sign."""
+    for m in _at.finditer(text):
+        start = m.start()
+        while start > 0 and m.start() - start < 64 and text[start - 1] in _spelt_local:
+            start -= 1
+        if start < m.start() and (d := _spelt_domain.match(text, m.end())):
+            yield "spelt_email", start, d.end()
+
+
 def proposals(text: str) -> list[Span]:
     """Overlapping candidate spans of the further kinds."""
     found = []
     for m in _run.finditer(text):
-        pieces = [(m.start() + p.start(), m.start() + p.end()) for p in _piece.finditer(m.group())]
-        for i in range(len(pieces)):  # a piece and up to three that follow
-            for j in range(i, min(i + 4, len(pieces))):
-                a, b = pieces[i][0], pieces[j][1]
-                if b - a > 40:
+        pieces = [(m.start() + p.start(), m.start() + p.end(), len(_digits(p.group()))) for p in _piece.finditer(m.group())]
+        for i in range(len(pieces)):  # all ranges of pieces with 7 to 19 digits; each piece has one at least
+            a, digits = pieces[i][0], 0
+            for _, b, n in pieces[i:i + 19]:
+                digits += n
+                if digits > 19:
                     break
-                if 7 <= len(_digits(text[a:b])) <= 19:
+                if digits >= 7:
                     found.append((_number_kind(text[a:b]), a, b))
     if ":" in text:
         found += [("ip6", m.start(), m.end()) for m in _ip6.finditer(text)]
     found += [("account", m.start(), m.end()) for m in _iban.finditer(text)]
-    if " dot " in text or "[dot]" in text or "(dot)" in text or "[at]" in text or "(at)" in text:
-        found += [("spelt_email", m.start(), m.end()) for m in _spelt.finditer(text)]
-    return found
+    return found + list(_spelt(text))
+
+
+_more_before = re.compile(r"[0-9][ ().\-/]{1,2}\Z")
+_more_after = re.compile(r"[ ().\-/]{1,2}[0-9]")
 
 
 def features(text: str, kind: str, start: int, end: int) -> list[float]:
@@ -145,7 +160,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         s[:1] == "+", s[:1] == "(", "/" in s, "." in s, "-" in s, " " in s, "(" in s, iban, shape is not None,
         all(len(g) < 4 and int(g) < 256 for g in groups) if groups else False,
         bool(re.search(r"\b(19|20)[0-9]{2}\b", s)), before[-1:].isalnum(), after.isalnum(),
-        "[" in s, " at " in s, " dot " in s, *(any(h in before for h in words) for words in HINTS.values()))]
+        "[" in s, " at " in s.lower(), " dot " in s.lower(), ". " in s, s[-1:].isalpha(),
+        _more_before.search(text, max(0, start - 4), start) is not None, _more_after.match(text, end) is not None, *(any(h in before for h in words) for words in HINTS.values()))]
 
 
 def _iban_ok(s: str) -> bool:
@@ -193,17 +209,27 @@ def made_examples(n: int, seed: int = 8) -> list[tuple[str, Span, int]]:
     for i in range(n):
         good = i % 2 == 0
         kind = MORE_KINDS[(i // 2) % len(MORE_KINDS)]
-        hint = "other"
+        hint, sure, left, right = "other", kind == "national_id", "", ""  # sure: only the words before tell
         if kind == "spelt_email":
-            at, dot = r.choice([("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot ")])
-            span = f"{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'net', 'de'])}" if good else f"{word()} at {word()}. {word()}"
+            at, dot = r.choice([("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "."), (" at ", ".")])
+            sure = (at, dot) == (" at ", ".")
+            end = r.choice(["com", "org", "net", "de"])
+            span = f"{word()}{at}{word()}{dot}{end}" if good or sure else f"{word()} at {word()}. {word()}"
+            if r.random() < 0.2:
+                span = span.upper()
             hint = "email"
         elif kind == "ip6":
             span = ":".join(hexa() for _ in range(8)) if good else ":".join(num(2) for _ in range(4))
             hint = "ip"
         elif kind == "local_phone":
-            span = r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(3)}/{num(4)}{num(2)}"]) if good else r.choice(
+            sep = r.choice(" .-")
+            pairs = sep.join([f"0{r.randint(1, 9)}", *(num(2) for _ in range(4))])
+            span = r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(3)}/{num(4)}{num(2)}", pairs]) if good else r.choice(
                 [num(r.randint(7, 19)), f"{num(2)}.{num(2)}.20{num(2)}", f"20{num(2)}-{num(2)}-{num(2)}", f"{num(4)} {num(4)} {num(4)}", f"{num(3)}.{num(3)}.{num(3)}", f"{num(3)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}"])
+            if not good and r.random() < 0.3:  # a part of a phone number
+                whole = [f"0{r.randint(1, 9)}", *(num(2) for _ in range(4))]
+                a, b = r.choice([(0, 4), (1, 5)])
+                left, span, right = ("".join(f"{p} " for p in whole[:a]), " ".join(whole[a:b]), "".join(f" {p}" for p in whole[b:]))
             hint = "phone"
         elif kind == "national_id":
             span = f"{num(3)}-{num(2)}-{num(4)}"
@@ -213,10 +239,10 @@ def made_examples(n: int, seed: int = 8) -> list[tuple[str, Span, int]]:
             check = 98 - int(body + "131400") % 97  # country DE
             span = f"DE{check:02d}{body}" if good else f"{r.choice('ABCDEFGH')}{r.choice('JKLMNOP')}{num(18)}"
             hint = "account"
-        hinted = r.random() < (0.9 if good else 0.1) or (kind == "national_id" and good)
-        lead = r.choice(HINTS[hint if hinted and (good or kind != "national_id") else "other"]) if hinted or not good else word()
-        head = f"{word()} {word()} {lead}: "
-        out.append((f"{head}{span} {word()} {word()}.", (kind, len(head), len(head) + len(span)), int(good)))
+        hinted = r.random() < (0.9 if good or left or right else 0.1) or (sure and good)
+        lead = r.choice(HINTS[hint if hinted and (good or not sure) else "other"]) if hinted or not good else word()
+        head = f"{word()} {word()} {lead}: {left}"
+        out.append((f"{head}{span}{right} {word()} {word()}.", (kind, len(head), len(head) + len(span)), int(good)))
     return out
 
 

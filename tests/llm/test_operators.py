@@ -335,6 +335,30 @@ def test_personal_data_of_a_corpus_full_of_it(spark):
     assert len(extra) < 0.02 * 3 * len(rows), extra[:5]
 
 
+def test_personal_proposals():
+    whole = lambda t: {(k, t[a:b]) for k, a, b in pii_boost.proposals(t)}
+    assert ("local_phone", "01 23 45 67 89") in whole("tel 01 23 45 67 89.")
+    assert ("local_phone", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9") in whole("1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9")
+    for t in ("alice at example.com", "ALICE AT EXAMPLE DOT COM", "Bob (At) example [DOT] com", "bob[at]example.com"):
+        assert ("spelt_email", t) in whole(f"mail: {t}, thanks") and ("spelt_email", t) in whole(f"mail: {t}, thanks. A dot here")
+    r = random.Random(4)
+    for _ in range(300):  # against all ranges of pieces
+        t = "x" + "".join(r.choice(["1", "22", "333", " ", "-", ". "]) for _ in range(30)) + "x"
+        want = set()
+        for m in re.finditer(r"[(+]?[0-9]([ ().\-/]{0,2}[0-9])+", t):
+            cuts = [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer("[^ ]+", m[0])]
+            want |= {(a, b) for a, _ in cuts for _, b in cuts if a < b and 7 <= sum(c.isdigit() for c in t[a:b]) <= 19}
+        assert {(a, b) for _, a, b in pii_boost.proposals(t)} == want
+    assert len(pii_boost.proposals("1 " * 200_000)) < 13 * 200_000 and not pii_boost.proposals("a" * 300_000 + " at " * 50_000)
+
+
+def test_personal_data_written_otherwise(spark):
+    rows = [(1, "phone: 01 23 45 67 89, merci"), (2, "contact: alice at example.com, thanks"), (3, "contact: alice at example.com, thanks for the dot here"),
+            (4, "mail: ALICE AT EXAMPLE DOT COM, thanks"), (5, "we were at home. Then we left at noon. It was late.")]
+    got = {x.doc_id: x.spans for x in pii_boost.with_personal_data(frame(spark, rows)).collect()}
+    assert got == {1: "local_phone:7:21", 2: "spelt_email:9:29", 3: "spelt_email:9:29", 4: "spelt_email:6:30", 5: ""}
+
+
 def test_personal_labels():
     ruled = lambda kind, s: pii_boost.ruled_out(s, kind, 0, len(s))
     for kind, s in [("account", "DE00370400440532013000"), ("ip6", "12:30:45:10"), ("spelt_email", "dinner at home. Then"), ("spelt_email", "is at version 2.15"),
