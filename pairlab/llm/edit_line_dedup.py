@@ -19,7 +19,8 @@ With ``short_lines`` the shorter lines that hold a word take part too, as equals
   word for the band of ``2 * distance + 1`` diagonals) confirms each pair.
 
 Defined results: a null text has no lines; repeated rows, and rows with the same id in the
-same place of a line, keep or lose it alike; null ids order last, as one document;
+same place of a line, keep or lose it alike; null ids order last, by a digest of the text, so
+that of different rows without an id only the first keeps a line they share;
 an empty table gives no rows; other columns pass through.
 """
 
@@ -123,7 +124,9 @@ def lines_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_ch
              short_lines: bool = False) -> DataFrame:
     """``(row, pos, place, line, h1, h2)`` of the lines that take part; ``place`` orders them."""
     body = F.coalesce(F.col(text), F.lit(""))
-    late = F.coalesce(F.col(doc_id).cast("decimal(38,0)"), F.lit(str(1 << 63)).cast("decimal(38,0)"))
+    # without an id: a digest of the text, past every id
+    digest = F.xxhash64(body).cast("decimal(38,0)")
+    late = F.coalesce(F.col(doc_id).cast("decimal(38,0)"), (digest + F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("decimal(38,0)"))
     rows = docs.select(F.xxhash64(F.col(doc_id), body).alias("row"), late.alias("doc"), F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"))
     long = F.length("line") >= min_chars
     return rows.filter(long | F.col("line").rlike(_WORD) if short_lines else long).select(

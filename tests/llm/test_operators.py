@@ -485,3 +485,13 @@ def test_line_dedup_of_the_query(spark, monkeypatch):
     monkeypatch.setattr(edit_line_dedup, "read", lambda *_: frame(spark, rows))
     got = {x.doc_id: (x.n_lines, x.n_removed, x.removed) for x in edit_line_dedup.op10_edit_line_dedup(spark, "").collect()}
     assert got == {1: (2, 0, ""), 2: (3, 2, "0,1"), 3: (1, 0, ""), 4: (1, 0, ""), 5: (1, 1, "0"), 6: (1, 0, ""), 7: (1, 1, "0")}
+
+
+def test_lines_of_different_rows_without_an_id(spark):
+    head = "the header that stands on every first line"
+    rows = [(None, f"{head}\nbody of the text number {w}") for w in ("one", "twenty", "three hundred")] + [(None, "the only text that is repeated as a whole")] * 2
+    got = [(x.text, x.n_removed) for x in edit_line_dedup.with_line_dedup(frame(spark, rows), distance=1).collect()]
+    assert sum(head in t for t, _ in got) == 1 and sorted(n for _, n in got) == [0, 0, 0, 1, 1]
+    rows = [(2**63 - 1, head), *rows]  # every id comes before
+    got = [(x.doc_id, x.n_removed) for x in edit_line_dedup.with_line_dedup(frame(spark, rows), distance=1).collect()]
+    assert sorted(n for i, n in got if i is None) == [0, 0, 1, 1, 1] and (2**63 - 1, 0) in got
