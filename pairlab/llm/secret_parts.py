@@ -11,7 +11,8 @@ the roles in each scope (identity, secret, endpoint) are pre-aggregated.  A weak
 identifier is reported where a secret co-occurs, a weak token where an identity or
 an endpoint does, an endpoint where both an identity and a secret do.  Weak parts
 that overlap a base span are not reported; of overlapping weak parts the one that
-starts first stays (the earlier listed kind at the same start).
+starts first stays (the earlier listed kind at the same start), and one that is
+dropped for it hides no other.
 
 Only matches are shuffled, by document (id and text digest), never texts; the
 work is linear in the matches, and no pairs are emitted.
@@ -104,7 +105,19 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
               .when(k == "endpoint", F.col("has_identity") & F.col("has_secret")).otherwise(True))
     found = placed.groupBy("key", "kind", "rank", "base", "start", "end").agg(F.max(joined).alias("linked")).filter("linked")
     past = F.max(F.when(~F.col("base"), F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    return found.withColumn("past", past).filter("base or past is null or past <= start").select("key", "kind", "rank", "base", "start", "end")
+    # greedy in each run of overlapping parts, so that a dropped part hides no later one; no base span lies inside a run
+    opens = F.when(F.col("base") | past.isNull() | (past <= F.col("start")), 1).otherwise(0)
+    runs = (found.withColumn("opens", opens).withColumn("run", F.sum("opens").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("key", "run").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "base", "end"))).alias("parts")))
+
+    def take(so_far: Column, p: Column) -> Column:
+        stays = p["base"] | (p["start"] >= so_far["end"])
+        return F.struct(F.when(stays, p["end"]).otherwise(so_far["end"]).alias("end"),
+                        F.when(stays, F.concat(so_far["kept"], F.array(p))).otherwise(so_far["kept"]).alias("kept"))
+
+    none = F.struct(F.lit(-1).cast("bigint").alias("end"), F.slice("parts", 1, 0).alias("kept"))
+    kept = F.aggregate("parts", none, take, lambda a: a["kept"])
+    return runs.select("key", F.explode(kept).alias("p")).select("key", "p.kind", "p.rank", "p.base", "p.start", "p.end")
 
 
 def with_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scope: int = SCOPE) -> DataFrame:

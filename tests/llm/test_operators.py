@@ -63,6 +63,14 @@ def test_secret_weak_parts_need_complements(spark):
     assert got == {1: "", 2: "identity:0:8,key:9:33", 3: "", 4: "", 5: "endpoint:0:24,identity:25:33,key:34:58"}
 
 
+def test_secret_dropped_parts_hide_nothing(spark):
+    key = "Ab3dEf6hIj9kLm2nOp5qRs8t"
+    text = f"login=https://auth.example.com/?{key} user=bob"
+    at = text.index(key)
+    got = {x.doc_id: x.spans for x in secret_parts.with_secrets(frame(spark, [(1, text), (2, "nothing")])).collect()}
+    assert got == {1: f"identity:0:11,key:{at}:{at + 24},identity:{at + 25}:{at + 33}", 2: ""}
+
+
 # --- 2 chat
 def test_chat_escape_round_trip():
     r = random.Random(3)
