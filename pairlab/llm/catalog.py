@@ -6,6 +6,7 @@ from pairlab.llm import (  # noqa: F401
     edit_line_dedup,
     mixing,
     parse_dedup,
+    periodic_runs,
     pii_boost,
     repetition_quality,
     secret_parts,
