@@ -5,6 +5,7 @@ from pairlab.llm import (  # noqa: F401
     decontaminate,
     edit_line_dedup,
     mixing,
+    parity_join,
     parse_dedup,
     periodic_runs,
     pii_boost,
