@@ -2,6 +2,7 @@
 
 from pairlab.llm import (  # noqa: F401
     chat_windows,
+    collocations,
     decontaminate,
     edit_line_dedup,
     mixing,
