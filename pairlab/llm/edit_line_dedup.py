@@ -1,77 +1,94 @@
 """Line dedup by a segment-partition edit join (operator 10), DataFrame functions only.
 
 Lines (split at line feeds) of at least ``min_chars`` characters take part; two are
-duplicates if their texts differ in at most ``distance`` edits.  Of all lines in
+duplicates if their texts differ in at most ``distance`` (1 or 2) edits.  Of all lines in
 (document id, line number) order, a line goes if the same text stands earlier, or
 if a text within the distance has its first occurrence before this text's first.
 With ``short_lines`` the shorter lines that hold a word take part too, as equals only.
 
 * Distinct lines are found by a pre-aggregated group on two 64-bit digests; their
-  texts aren't shuffled for it.
-* A line of ``l`` characters is cut into ``distance + 1`` even segments; a line within
-  the distance holds one of them unchanged, shifted by as much as the edits before
-  and after it allow.  Index keys are (length, segment number, segment); probe keys are the
-  substrings at the possible places for each length down to ``l - distance``.
-* Candidates meet by an equi-join on the keys.  A signature (parities of the counts
-  of some letters) goes along: an edit changes two of its bits at most, so the join
-  itself drops pairs that can't be near.  Hot segments are split by the skew handling.
-* Candidate texts are fetched, and banded bit-parallel edit distance (one 64-bit
-  word for the band of ``2 * distance + 1`` diagonals) confirms each pair.
+  texts aren't shuffled for it.  The same group keeps their keys.
+* Lengths fall into classes of an eighth or so.  A line is cut into ``distance + 1`` segments
+  whose size is that of its class: the first, the last, and one between them.  Of two lines within
+  the distance one segment is unchanged; the first stands at the start, the last at the end, and where only
+  the one between is unchanged, one edit stands before it, so that it is found at
+  one of three places.  A line near the end of its class has keys in the next one too.
+* Only keys that several lines hold go on.  In each round every line that is not
+  decided meets the earliest lines of its keys that it hasn't met yet; banded
+  bit-parallel edit distance (one 64-bit word for the band) decides, and a line with
+  a partner leaves.  One partner is enough, so groups of near-equal lines never become pairs.
+* Keys that still hold undecided lines are refined: their lines are cut into ever more segments of
+  which all but ``distance`` are a key, so that what the lines share beside the hot
+  segment counts as well.  The last, finest keys are walked to their end.
+* Texts of the lines that meet others are fetched by an exact join, thinned out before by a bitmap of fixed size.
 
 Defined results: a null text has no lines; repeated rows, and rows with the same id in the
 same place of a line, keep or lose it alike; null ids order last, by a digest of the text, so
 that of different rows without an id only the first keeps a line they share;
-an empty table gives no rows; other columns pass through.
+an empty table gives no rows; other columns pass through, whatever their names (those named like a result give way).
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.llm.packing import packed, unpacked
 from pairlab.llm.registry import query, read
-from pairlab.session import cut_lineage
+from pairlab.session import scratch_path
 
 # two edits: another year, a two-digit page number, a swapped pair of letters
 DISTANCE, MIN_CHARS = 2, 20
 _WORD = r"[^\x20\x09-\x0D]"
-SIGNATURE = "etaonisrhldu"  # letters whose parities make the signature
-OUT = ["n_lines", "n_removed", "n_links", "removed"]
+OUT = ["n_lines", "n_removed", "removed"]
+REFINED = (8, 16)  # segments of the finer keys
+FIRST_ROUNDS = (1, 4)  # earliest lines of a key met in each round before it is refined
+BITMAP_BITS = 25  # 4 MB, see _thinned
 
 
-def segments(length: Column, distance: int) -> list[tuple[Column, Column]]:
-    """(start, size) of each of the ``distance + 1`` even segments, the longer ones last."""
-    k = distance + 1
-    base, long = F.floor(length / k), k - length % k  # segments from number ``long`` on have one more
-    return [((i * base + F.greatest(F.lit(0), i - long)).cast("int"), (base + (F.lit(i) >= long).cast("int")).cast("int")) for i in range(k)]
+def _integer(x: Column) -> Column:
+    return x.cast("int")
 
 
-def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length.cast("int"), F.lit(i), line.substr(start + 1, size))
+def length_class(length: Column) -> Column:
+    """The least length of the class: the four leading bits stay (classes are two wide at least)."""
+    low = F.greatest(F.lit(1), F.length(F.bin(length.cast("bigint"))) - 4)
+    return _integer(F.call_function("shiftleft", F.call_function("shiftright", length, low), low))
 
 
-def index_keys(line: Column, distance: int) -> list[Column]:
-    length = F.length(line)
-    return [_key(line, length, i, a, n) for i, (a, n) in enumerate(segments(length, distance))]
+def segment_keys(line: Column, of: Column, distance: int) -> list[Column]:
+    """Keys of a line in a class: its first and last segment, and what stands about the place of the one between."""
+    size = _integer(F.floor((of - distance) / (distance + 1)))
+    keys = [F.xxhash64(of, F.lit(0), line.substr(F.lit(1), size)), F.xxhash64(of, F.lit(1), line.substr(F.length(line) - size + 1, size))]
+    if distance == 2:
+        keys += [F.xxhash64(of, F.lit(2), line.substr(size + 1 + shift, size)) for shift in (-1, 0, 1)]
+    return keys
 
 
-def probe_keys(line: Column, distance: int) -> list[Column]:
-    keys = []
-    for shorter in range(distance + 1):
-        length = F.length(line) - shorter
-        for i, (a, n) in enumerate(segments(length, distance)):
-            # at most i edits before the segment, and distance - i after it
-            low, high = max(-i, shorter - (distance - i)), min(i, shorter + distance - i)
-            keys += [_key(line, length, i, a + s, n) for s in range(low, high + 1)]
-    return keys
+def refined_keys(line: Column, of: Column, distance: int, pieces: int) -> Column:
+    """Keys of all but ``distance`` of the pieces: the edits lie in pieces ``i`` and ``j``, what stands between them may be shifted by one."""
+    size = _integer(F.floor((of - distance) / pieces))
+    if distance == 1:
+        bad = [(i, i, 0) for i in range(pieces)]
+    else:
+        bad = [(i, j, shift) for i in range(pieces) for j in range(i + 1, pieces) for shift in ((0,) if j == i + 1 else (-1, 0, 1))]
+    choices = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(s).alias("s")) for i, j, s in bad))
+
+    def key(c: Column) -> Column:
+        tail = (pieces - 1 - c["j"]) * size
+        return F.xxhash64(of, F.lit(pieces), c["i"], c["j"], line.substr(F.lit(1), c["i"] * size),
+                          line.substr((c["i"] + 1) * size + c["s"] + 1, F.greatest(F.lit(0), (c["j"] - c["i"] - 1) * size)),
+                          line.substr(F.length(line) - tail + 1, tail))
+    return F.transform(choices, key)
 
 
-def _signature(line: Column) -> Column:
-    bits = [F.call_function("shiftleft", (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 2, F.lit(i))
-            for i, c in enumerate(SIGNATURE)]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits).cast("bigint")
+def in_classes(line: Column, distance: int, keys) -> Column:
+    """``keys(class)`` in the line's own class, and in the next if a partner may be there."""
+    own, next_ = length_class(F.length(line)), length_class(F.length(line) + distance)
+    return F.array_distinct(F.concat(keys(own), F.when(next_ > own, keys(next_)).otherwise(F.array().cast("array<bigint>"))))
 
 
 def _let(value: Column, use) -> Column:
@@ -120,96 +137,148 @@ def banded_distance(a: Column, b: Column, distance: int) -> Column:
     return F.when(gap > distance, gap.cast("bigint")).otherwise(found)
 
 
-def lines_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS,
-             short_lines: bool = False) -> DataFrame:
-    """``(row, pos, place, line, h1, h2)`` of the lines that take part; ``place`` orders them."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def lines_of(rows: DataFrame, min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
+    """``(r1, r2, pos, place, line, h1, h2)`` of the lines that take part; ``place`` orders them.
+
+    ``rows`` has ``doc_id`` and ``body``; ``r1, r2`` is a digest of a row.
+    """
     # without an id: a digest of the text, past every id
-    digest = F.xxhash64(body).cast("decimal(38,0)")
-    late = F.coalesce(F.col(doc_id).cast("decimal(38,0)"), (digest + F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("decimal(38,0)"))
-    rows = docs.select(F.xxhash64(F.col(doc_id), body).alias("row"), late.alias("doc"), F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"))
+    digest = F.xxhash64("body").cast("decimal(38,0)")
+    late = F.coalesce(F.col("doc_id").cast("decimal(38,0)"), (digest + F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("decimal(38,0)"))
+    each = rows.select(*_row_digest(), late.alias("doc"), F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"))
     long = F.length("line") >= min_chars
-    return rows.filter(long | F.col("line").rlike(_WORD) if short_lines else long).select(
-        "row", "pos", (F.col("doc") * (1 << 31) + F.col("pos")).cast("decimal(38,0)").alias("place"), "line",
+    return each.filter(long | F.col("line").rlike(_WORD) if short_lines else long).select(
+        "r1", "r2", "pos", (F.col("doc") * (1 << 31) + F.col("pos")).cast("decimal(38,0)").alias("place"), "line",
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), F.col("line")).alias("h2"))
 
 
-def first_places(lines: DataFrame) -> DataFrame:
-    """``(h1, h2, first)``: where each distinct line stands first, pre-aggregated on digests."""
-    return cut_lineage(lines.groupBy("h1", "h2").agg(F.min("place").alias("first")))
+def _row_digest() -> list[Column]:
+    return [F.xxhash64("doc_id", "body").alias("r1"), F.xxhash64(F.lit(1), "doc_id", "body").alias("r2")]
 
 
-def line_links(lines: DataFrame, firsts: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Pairs of different texts within the distance: ``(a1, a2, a_place, b1, b2, b_place, edits)``, a first."""
-    line = F.col("line")
-    lines = lines.filter(F.length(line) >= min_chars)
-    index, probe = index_keys(line, distance), probe_keys(line, distance)
-    keys = [*(k.alias(f"i{n}") for n, k in enumerate(index)), *(k.alias(f"p{n}") for n, k in enumerate(probe))]
-    # the keys depend on the line alone: any aggregate that keeps one will do, min of longs is hashed
-    once = (lines.select("h1", "h2", _signature(line).alias("sig"), *keys).groupBy("h1", "h2")
-            .agg(F.min("sig").alias("sig"), *(F.min(c).alias(c) for c in [*(f"i{n}" for n in range(len(index))), *(f"p{n}" for n in range(len(probe)))])))
-    once = cut_lineage(once)
-    left = once.select(F.col("h1").alias("a"), F.col("sig").alias("a_sig"), F.explode(F.array(*(f"i{n}" for n in range(len(index))))).alias("a_key"))
-    right = once.select(F.col("h1").alias("b"), F.col("sig").alias("b_sig"), F.explode(F.array(*(f"p{n}" for n in range(len(probe))))).alias("b_key"))
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a_sig").bitwiseXOR(F.col("b_sig"))) <= 2 * distance)
-    pairs = (left.join(right, (F.col("a_key") == F.col("b_key")) & near)
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    pairs = cut_lineage(pairs)
-    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
-    wanted = cut_lineage(wanted)
-    # the text is taken where it stands first: a line that stands everywhere isn't one hot key
-    at = firsts.join(wanted, F.col("h1") == F.col("w")).select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), "first")
-    here = (F.col("place") == F.col("first")) & (F.col("h1") == F.col("t1")) & (F.col("h2") == F.col("t2"))
-    texts = lines.select("place", "h1", "h2", "line").join(at, here).select("h1", "h2", "line", "place").distinct()
-    texts = cut_lineage(texts)  # so that a line with very many candidates can be split in the joins
-    side = lambda s: texts.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("line").alias(f"{s}_line"), F.col("place").alias(f"{s}_place"))
-    both = pairs.join(side("a"), F.col("a") == F.col("a1")).join(side("b"), F.col("b") == F.col("b1"))
-    both = both.withColumn("edits", banded_distance(F.col("a_line"), F.col("b_line"), distance)).filter(F.col("edits") <= distance)
-    first = F.col("a_place") < F.col("b_place")
-    pick = lambda x, y: [F.when(first, F.col(f"{x}{c}")).otherwise(F.col(f"{y}{c}")) for c in ("1", "2", "_place")]
-    names = ("1", "2", "_place")
-    return both.select(*(c.alias(f"a{n}") for c, n in zip(pick("a", "b"), names)), *(c.alias(f"b{n}") for c, n in zip(pick("b", "a"), names)), "edits")
-
-
-def removed_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE,
-                  min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
-    """``(row, n_lines, n_removed, n_links, removed)`` for each row that has lines taking part."""
+def _thinned(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The lines whose digest may be among the wanted ones: a bitmap of ``2 ** BITMAP_BITS`` bits, in pages of 4 KB."""
+    slot = F.col("h1").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
+    pages = (wanted.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("page"))
+             .agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(32767))).alias("bits")))
+    at = slot.bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substr("bits", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
+    # the broadcast is bounded: 2 ** BITMAP_BITS / 32768 pages
+    return lines.join(F.broadcast(pages), (F.shiftright(slot, 15) == F.col("page")) & held).select(*lines.columns)
+
+
+def late_lines(lines: DataFrame, firsts: DataFrame, written, distance: int = DISTANCE, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``(first, h1)`` of the distinct lines that have an earlier partner.
+
+    ``firsts`` has ``(h1, h2, first, keys)``; ``written(df, name)`` writes a table and reads it back.
+    A line is told by its first place and a digest: rows with the same id share their places.
+    """
+    node = F.struct("first", "h1").alias("node")
+    each = firsts.select("h1", F.explode("keys").alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("key")
+    members = each.join(shared, "key").join(firsts.select("h1", "first"), "h1").select("key", node)
+    members = written(members.withColumn("met", F.lit(None).cast(members.schema["node"].dataType)), "members")
+    wanted = written(members.select("node").distinct().join(firsts.select(node, "h2"), "node").select("node", "node.*", "h2"), "wanted")
+    at = wanted.select("node", "first", F.col("h1").alias("w1"), F.col("h2").alias("w2"))
+    here = (F.col("place") == F.col("first")) & (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))
+    near = lines.filter(F.length("line") >= min_chars)
+    texts = written(_thinned(near.select("place", "h1", "h2", "line"), wanted).join(at, here).select("node", "line").dropDuplicates(["node"]), "texts")
+
+    decided = members.select("node").limit(0)
+    turn = 0
+    for pieces in (None, *REFINED):
+        if pieces:
+            open_ = texts.join(members.select("node").distinct(), "node")
+            each = open_.select("node", F.explode(in_classes(F.col("line"), distance, lambda c: refined_keys(F.col("line"), c, distance, pieces))).alias("key"))
+            each = written(each, f"refined{pieces}")
+            shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("key")
+            members = written(each.join(shared, "key").select("key", "node", F.lit(None).cast(each.schema["node"].dataType).alias("met")), f"members{pieces}")
+        met = 0
+        while not members.isEmpty():
+            if pieces != REFINED[-1] and met == len(FIRST_ROUNDS):
+                break  # to be refined
+            quota = FIRST_ROUNDS[met] if met < len(FIRST_ROUNDS) else 4 ** met
+            turn, met = turn + 1, met + 1
+            members, found = _round(members, texts, decided, quota, distance, written, turn)
+            decided = written(decided.union(found).distinct(), f"decided{turn}")
+            members = _still_open(members, decided, written, turn)
+        if members.isEmpty():
+            break
+    return decided.select("node.*")
+
+
+def _round(members: DataFrame, texts: DataFrame, decided: DataFrame, quota: int, distance: int, written, turn: int) -> tuple[DataFrame, DataFrame]:
+    """Each undecided line meets the next ``quota`` lines of its keys that come before it."""
+    ahead = members.filter(F.col("met").isNull() | (F.col("node") > F.col("met")))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+    next_ = written(ahead.withColumn("at", place).filter(F.col("at") <= quota).select("key", F.col("node").alias("earlier")), f"next{turn}")
+    undecided = members.select("key", "node").join(decided, "node", "left_anti")
+    pairs = undecided.join(next_, "key").filter("earlier.first < node.first").select("node", "earlier").distinct()
+    both = pairs.join(texts, "node").join(texts.select(F.col("node").alias("earlier"), F.col("line").alias("other")), "earlier")
+    found = written(both.filter(banded_distance(F.col("line"), F.col("other"), distance) <= distance).select("node").distinct(), f"found{turn}")
+    reached = next_.groupBy("key").agg(F.max("earlier").alias("met"))
+    return members.select("key", "node").join(reached, "key").select("key", "node", "met"), found
+
+
+def _still_open(members: DataFrame, decided: DataFrame, written, turn: int) -> DataFrame:
+    """Members of the keys that hold an undecided line after one it hasn't met."""
+    known = members.join(decided.select("node", F.lit(True).alias("done")), "node", "left")
+    open_ = (known.groupBy("key").agg(F.max(F.when(F.col("done").isNull(), F.col("node.first"))).alias("last"),
+                                      F.min(F.when(F.col("node") > F.col("met"), F.col("node.first"))).alias("next"))
+             .filter("next < last").select("key"))
+    return written(members.join(open_, "key"), f"open{turn}")
+
+
+def removed_lines(rows: DataFrame, distance: int = DISTANCE, min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
+    """``(r1, r2, n_lines, n_removed, removed)`` for each row (``doc_id, body``) that has lines taking part."""
+    if distance not in (1, 2):
+        raise ValueError("distance must be 1 or 2")
     if min_chars < 2 * (distance + 1):
         raise ValueError("min_chars must be at least 2 * (distance + 1)")
-    lines = lines_of(docs, text, doc_id, min_chars, short_lines)
-    firsts = first_places(lines)
-    links = cut_lineage(line_links(lines, firsts, distance, min_chars))
-    # links of each text, and whether one of its partners comes first
-    linked = (links.select(F.col("a1").alias("h1"), F.col("a2").alias("h2"), F.lit(False).alias("late"))
-              .union(links.select("b1", "b2", F.lit(True))).groupBy("h1", "h2")
-              .agg(F.count(F.lit(1)).alias("links"), F.max("late").alias("late")))
-    first = firsts.join(linked, ["h1", "h2"], "left")
-    first = first.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("late", F.lit(False)).alias("late"))
-    first = cut_lineage(first)  # both sides of the join are plain shuffles, so a hot line can be split
-    placed = lines.select("row", "pos", "place", "h1", "h2").join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
-    gone = F.col("late") | (F.col("place") != F.col("first"))
+    spark = rows.sparkSession
+    folder = scratch_path(spark, f"lines-{uuid.uuid4().hex}")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    lines = lines_of(rows, min_chars, short_lines)
+    line, own = F.col("line"), length_class(F.length("line"))
+    next_ = length_class(F.length("line") + distance)
+    long = F.length(line) >= min_chars
+    keys = [F.when(long, k) for k in segment_keys(line, F.col("own"), distance)]
+    keys += [F.when(long & (F.col("next") > F.col("own")), k) for k in segment_keys(line, F.col("next"), distance)]
+    names = [f"k{n}" for n in range(len(keys))]
+    # the keys depend on the line alone: any aggregate that keeps one will do, min of longs is hashed
+    firsts = (lines.withColumns({"own": own, "next": next_}).select("h1", "h2", "place", *(k.alias(n) for k, n in zip(keys, names)))
+              .groupBy("h1", "h2").agg(F.min("place").alias("first"), *(F.min(n).alias(n) for n in names)))
+    firsts = written(firsts.select("h1", "h2", "first", F.array_distinct(F.array_compact(F.array(*names))).alias("keys")), "firsts")
+    late = late_lines(lines, firsts, written, distance, min_chars)
+    first = firsts.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first").join(late.select("first", F.col("h1").alias("f1"), F.lit(True).alias("late")), ["first", "f1"], "left")
+    first = written(first, "judged")  # both sides of the join are plain shuffles, so a hot line can be split
+    placed = lines.select("r1", "r2", "pos", "place", "h1", "h2").join(first, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
+    gone = F.col("late").isNotNull() | (F.col("place") != F.col("first"))
     # rows that are repeated as a whole hold each line as often
-    each = placed.groupBy("row", "pos").agg(F.max(gone).alias("gone"), F.max("links").alias("links"))
-    return each.groupBy("row").agg(
-        F.count(F.lit(1)).alias("n_lines"), F.count_if("gone").alias("n_removed"), F.sum("links").alias("n_links"),
-        F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("pos")))).alias("removed"))
+    return placed.groupBy("r1", "r2").agg(F.size(F.collect_set("pos")).cast("bigint").alias("n_lines"),
+                                          F.array_sort(F.collect_set(F.when(gone, F.col("pos")))).alias("removed"))
 
 
 def with_line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE,
                     min_chars: int = MIN_CHARS, short_lines: bool = False) -> DataFrame:
-    """``docs`` with the text that stays, ``n_lines, n_removed, n_links`` and the ``removed`` line numbers."""
-    keep = [c for c in docs.columns if c not in OUT]
-    found = removed_lines(docs, text, doc_id, distance, min_chars, short_lines).withColumnRenamed("row", "__found")
+    """``docs`` with the text that stays, ``n_lines, n_removed`` and the ``removed`` line numbers."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(*keep, F.xxhash64(F.col(doc_id), body).alias("__row")).join(found, F.col("__row") == F.col("__found"), "left")
+    rows = packed(docs, doc_id=F.col(doc_id), text=F.col(text), body=body)
+    found = removed_lines(rows.select("doc_id", "body"), distance, min_chars, short_lines).withColumnsRenamed({"r1": "f1", "r2": "f2"})
+    rows = rows.select("row", "text", *_row_digest()).join(found, (F.col("r1") == F.col("f1")) & (F.col("r2") == F.col("f2")), "left")
     rows = rows.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
-    left = F.filter(F.split(F.col(text), "\n", -1), lambda x, i: ~F.array_contains(F.col("removed"), i))
-    rows = rows.withColumn("__left", F.when(F.size("removed") == 0, F.col(text)).otherwise(F.array_join(left, "\n")))
-    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in OUT[:3]]
-    return rows.select(*(F.col("__left").alias(c) if c == text else F.col(c) for c in keep), *counts, "removed")
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("removed"), i))
+    rows = rows.withColumns({"left": F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(left, "\n")),
+                             "n_lines": F.coalesce("n_lines", F.lit(0)).cast("bigint"), "n_removed": F.size("removed").cast("bigint")})
+    return unpacked(rows, docs.columns, OUT, {text: F.col("left")})
 
 
 @query("op10_edit_line_dedup")
 def op10_edit_line_dedup(spark, sf_dir):
     out = with_line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)
-    return out.select("doc_id", "n_lines", "n_removed", "n_links", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+    return out.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
