@@ -16,7 +16,7 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_path(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -45,6 +45,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         jumped = stepped.join(roots, "up").select("node", F.least("up", "root").alias("component"), "old")
         turn += 1
         labels = _written(jumped.select("node", "component", (F.col("component") != F.col("old")).alias("moved")), f"{folder}/{turn}")
-        _delete(spark, f"{folder}/{turn - 1}")
+        delete_path(spark, f"{folder}/{turn - 1}")
         if labels.filter("moved").isEmpty():
             return labels.select("node", "component")

@@ -14,6 +14,34 @@ def texts(df):
     return {r.doc_id: r.text for r in df.collect()}
 
 
+def parts(line):
+    """A third of the line at either end, and all of that size about the middle."""
+    n = max(1, (len(line) - 4) // 3)
+    for size in range(max(1, n - 1), n + 1):
+        yield from ((0, line[:size]), (1, line[-size:]))
+        for at in range(max(0, len(line) // 3 - 6), len(line) // 3 + 7):
+            yield 2, line[at:at + size]
+
+
+def near_lines(line, thirds):
+    return {x for p in parts(line) for x in thirds.get(p, ()) if abs(len(x) - len(line)) <= 2} if len(line) >= 20 else ()
+
+
+def remember(line, lines, thirds):
+    if line not in lines:
+        lines.add(line)
+        if len(line) >= 20:
+            for p in parts(line):
+                thirds.setdefault(p, []).append(line)
+
+
+def test_line_dedup_takes_two_edits_and_equal_short_lines(spark):
+    texts_ = ["The meeting of the year 2019 took place\nLes.\nfirst", "The meeting of the year 2021 took place\nLes.\nsecond", "The meeting of the year 2234 took place\n \nfirst"]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts_)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = texts(P.line_dedup(spark, docs, ""))
+    assert got == {0: texts_[0], 1: "second", 2: "The meeting of the year 2234 took place\n "}
+
+
 def test_stages(spark):
     assert [n for n, _ in P.STAGES] == ["quality_rules", "line_dedup", "simhash_near_dedup", "decontamination", "mixing"]
     docs = read(spark, SF_SMALL, "documents")
@@ -28,21 +56,17 @@ def test_stages(spark):
     lined = P.line_dedup(spark, good, SF_SMALL).checkpoint()
     assert lined.schema == good.schema
     after = texts(lined)
-    seen, by_size = [], {}
+    seen, lines, thirds = [], set(), {}
     for i in sorted(kept):  # in order of first occurrence
         left = []
         for line in kept[i].split("\n"):
-            if len(line) < 20:
+            if not WORDS.search(line):
+                left.append(line)
+            elif line in lines or any(edits(x, line) <= 2 for x in near_lines(line, thirds)):
+                remember(line, lines, thirds)
+            else:
+                remember(line, lines, thirds)
                 left.append(line)
-                continue
-            near = [x for n in (len(line) - 1, len(line), len(line) + 1) for x in by_size.get(n, ())]
-            half = [x for x in near if x[:len(x) // 2 - 1] == line[:len(x) // 2 - 1] or x[-(len(x) // 2 - 1):] == line[-(len(x) // 2 - 1):]]
-            if line in near or any(edits(x, line) <= 1 for x in half):
-                if line not in near:
-                    by_size.setdefault(len(line), set()).add(line)
-                continue
-            by_size.setdefault(len(line), set()).add(line)
-            left.append(line)
         text = "\n".join(left)
         if WORDS.search(text) or text == kept[i]:
             seen.append(i)
