@@ -11,6 +11,8 @@ one's ``docs``.  All stages but the last return the columns they were given.
 4. decontamination: documents that hold a window of a benchmark item go.
 5. mixing: the documents the mix takes, with their number of repetitions.
 
+Each stage's output is removed when the next one's is written; the last one stays.
+
 Defined results: a document with a null text fails stage 1.  Given to a later stage
 directly, null and empty texts stay as they are in stages 2 and 4, are one group in
 stage 3 (fingerprint zero) and have size 0 in stage 5, so the mix doesn't take them.
@@ -26,13 +28,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlab.llm.components import delete_path
 from pairlab.llm.decontaminate import with_contamination
 from pairlab.llm.edit_line_dedup import with_line_dedup
 from pairlab.llm.mixing import mix
 from pairlab.llm.registry import read
 from pairlab.llm.repetition_quality import with_quality
 from pairlab.llm.simhash_tiles import simhash_groups
-from pairlab.session import scratch_path
+from pairlab.session import cut_lineage, scratch_path
 
 _TEXT = "text"
 
@@ -43,7 +46,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = with_line_dedup(docs.select(F.struct("*").alias("doc"), "doc_id", _TEXT))
+    rows = with_line_dedup(docs.select(F.struct("*").alias("doc"), "doc_id", _TEXT), short_lines=True)
     changed = F.size("removed") > 0
     rows = rows.filter(~changed | F.col(_TEXT).rlike(r"[^\x20\x09-\x0D]"))
     new = {_TEXT: F.col(_TEXT), "n_chars": F.when(changed, F.length(_TEXT)).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
@@ -53,11 +56,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash_groups(docs.select("doc_id", _TEXT))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
-    stays = groups.groupBy("component").agg(F.min_by(F.struct("doc_id", "digest"), order).alias("s")).select(
-        F.col("s.doc_id").alias("s_id"), F.col("s.digest").alias("s_digest"))
-    rows = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.md5(F.coalesce(F.col(_TEXT), F.lit(""))).alias("digest"))
-    kept = rows.join(stays, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("digest") == F.col("s_digest")), "left_semi")
-    return kept.dropDuplicates(["id", "digest"]).select("doc.*")
+    row = F.struct("doc_id", "digest")
+    least = groups.groupBy("component").agg(F.min_by(row, order).alias("s"))
+    copies = groups.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    stays = (least.select("s.*").join(copies.withColumnsRenamed({"doc_id": "c_id", "digest": "c_digest"}),
+                                      F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("digest") == F.col("c_digest")))
+             .select(F.md5(F.concat_ws(":", "digest", "doc_id")).alias("s_key"), "copies"))
+    stays = cut_lineage(stays)
+    key = F.md5(F.concat_ws(":", F.md5(F.coalesce(F.col(_TEXT), F.lit(""))), "doc_id"))
+    kept = docs.select(F.struct("*").alias("doc"), key.alias("key")).join(stays, F.col("key") == F.col("s_key"))
+    # only rows that stand there several times are shuffled again
+    once = kept.filter("copies = 1").select("doc")
+    return once.union(kept.filter("copies > 1").dropDuplicates(["key"]).select("doc")).select("doc.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -91,4 +101,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{place}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if k:
+            delete_path(spark, f"{place}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
