@@ -4,13 +4,13 @@ Phrases are 2 to ``longest`` words in a row within a piece of a text; per langua
 those found ``least`` times or more are scored by their weakest cut
 ``floor(1000 * a * n / (l * r))`` and dropped where a longer phrase is as frequent.
 
-* Every phrase of a frequent phrase is frequent.  Words are counted first, then pairs
-  of frequent words; of the rest each word position gives one record: the words
-  from there on, up to ``longest``, as far as all pairs are frequent.  Blocks of texts
-  count their own equal records before anything is shuffled.  "Frequent" is asked of a
-  bitmap of fixed size (``hash_filter``), which may let some others through: they
-  cost a record and fail the exact count later.
-* Counts of the shorter phrases are sums over the records that begin with them.
+* Every phrase of a frequent phrase is frequent.  Words are counted first, then hashes of pairs
+  of frequent words, then hashes of triples of frequent pairs; at last each word position gives
+  one record: the words from there on, up to ``longest``, as far as all pairs and triples are
+  frequent.  Blocks of texts count their own equal records before anything is shuffled.
+  "Frequent" is asked of bitmaps of fixed size (``hash_filter``), which like the hashes may let
+  some others through: they cost a record and fail the exact count of the records.
+* Counts of all phrases are sums over the records that begin with them.
 * The frequent phrases, with the empty phrase for a language's ``n``, are one stream in
   prefix order (words from the left), dealt to partitions by range.  There
   a phrase stands after all its beginnings, so a stack of at most ``longest`` counts
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairlab.llm.hash_filter import BITS, bitmap_of, may_hold
+from pairlab.llm.hash_filter import BITS, bitmap_of, may_hold, mixed
 from pairlab.llm.registry import query, read
 from pairlab.session import cut_lineage
 
@@ -85,14 +85,6 @@ def _coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return names, codes, end - np.arange(len(codes))
 
 
-def _hash(lang: str, words: list[bytes]) -> int:
-    """What ``phrase_hash`` gives: 64-bit hashes chained by their seeds."""
-    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    for w in words:
-        seed = xxhash.xxh64_intdigest(w, seed)
-    return seed
-
-
 def _rows(lang: str, names: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
     """Phrases given by one array of codes for each place (-1: none) with their counts."""
     table = np.stack(columns, 1) if columns else np.empty((len(counts), 0), np.int64)
@@ -105,45 +97,79 @@ def _rows(lang: str, names: np.ndarray, columns: list[np.ndarray], counts: np.nd
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, names, codes, _ in word_blocks(batches):
-        yield _rows(lang, names, [np.arange(len(names))], np.bincount(codes, minlength=len(names)))
-
-
-def _frequent(lang: str, names: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    seed = xxhash.xxh64_intdigest(lang.encode(), 42)
-    return may_hold(bitmap, np.array([xxhash.xxh64_intdigest(w, seed) for w in names], np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names.tolist(), pa.binary()).cast(pa.string()),
+                                          pa.array(np.bincount(codes, minlength=len(names)))], names=["lang", "word", "f"])
+
+
+class _Phrases:
+    """Pairs and triples of a block of texts, as far as the bitmaps hold their parts."""
+
+    def __init__(self, lang: str, names: np.ndarray, codes: np.ndarray, left: np.ndarray, words: np.ndarray):
+        seed = xxhash.xxh64_intdigest(lang.encode(), 42)  # as Spark's xxhash64(lang, word)
+        self.hash = np.array([xxhash.xxh64_intdigest(w, seed) for w in names], np.uint64)
+        self.codes, self.left = codes, left
+        good = np.r_[may_hold(words, self.hash)[codes], False] if len(codes) else np.zeros(1, bool)
+        self.at = np.flatnonzero(good[:-1] & good[1:] & (left > 1))  # where a pair of frequent words begins
+        self.pair, self.place, self.times = self._distinct(codes[self.at], codes[self.at + 1], len(names))
+        self.pair_hash = mixed(mixed(self.hash[self.pair[0]]) + self.hash[self.pair[1]])
+
+    @staticmethod
+    def _distinct(a: np.ndarray, b: np.ndarray, n: int):
+        each, place, times = np.unique(a * np.int64(n) + b, return_inverse=True, return_counts=True)
+        return (each // max(1, n), each % max(1, n)), place, times
+
+    def triples(self, pairs: np.ndarray) -> None:
+        """Keeps the frequent pairs and forms the triples of two of them in a row."""
+        n = len(self.codes)
+        kept = may_hold(pairs, self.pair_hash)[self.place]
+        self.pairs_on = np.zeros(n + 1, bool)
+        self.pairs_on[self.at[kept]] = True
+        number = np.zeros(n + 1, np.int64)
+        number[self.at] = self.place
+        self.three = np.flatnonzero(self.pairs_on[:-1] & self.pairs_on[1:])
+        first, second = number[self.three], number[self.three + 1]
+        (a, b), self.three_place, self.three_times = self._distinct(first, second, len(self.pair_hash))
+        self.three_hash = mixed(mixed(self.pair_hash[a]) + self.pair_hash[b])
+
+    def records(self, triples: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the frequent pairs, and how many words their records have."""
+        n = len(self.codes)
+        on = np.zeros(n + 1, bool)
+        on[self.three[may_hold(triples, self.three_hash)[self.three_place]]] = True
+        at = np.flatnonzero(self.pairs_on[:-1])
+        broken = np.flatnonzero(~on)
+        in_a_row = broken[np.searchsorted(broken, at)] - at
+        return at, np.minimum(in_a_row + 2, longest)
+
+
+def _hashes(hashes: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(times.astype(np.int64))], names=["hash", "f"])
 
 
-def _pairs(names: np.ndarray, codes: np.ndarray, left: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that begin a pair of frequent words, and the pair as one number."""
-    good = often[codes]
-    at = np.flatnonzero(good[:-1] & good[1:] & (left[:-1] > 1)) if len(codes) > 1 else np.empty(0, np.int64)
-    return at, codes[at] * np.int64(len(names)) + codes[at + 1] if len(at) else at
+def _count_pairs(words: np.ndarray) -> Callable:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, names, codes, left in word_blocks(batches):
+            block = _Phrases(lang, names, codes, left, words)
+            yield _hashes(block.pair_hash, block.times)
+    return work
 
 
-def _count_pairs(words: np.ndarray) -> Callable:
+def _count_triples(words: np.ndarray, pairs: np.ndarray) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, names, codes, left in word_blocks(batches):
-            _, pair = _pairs(names, codes, left, _frequent(lang, names, words))
-            pair, counts = np.unique(pair, return_counts=True)
-            yield _rows(lang, names, [pair // len(names), pair % len(names)] if len(names) else [], counts)
+            block = _Phrases(lang, names, codes, left, words)
+            block.triples(pairs)
+            yield _hashes(block.three_hash, block.three_times)
     return work
 
 
-def _count_records(words: np.ndarray, pairs: np.ndarray, longest: int) -> Callable:
+def _count_records(words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, longest: int) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, names, codes, left in word_blocks(batches):
-            at, pair = _pairs(names, codes, left, _frequent(lang, names, words))
-            if not len(at):
-                continue
-            each, place = np.unique(pair, return_inverse=True)
+            block = _Phrases(lang, names, codes, left, words)
+            block.triples(pairs)
+            at, size = block.records(triples, longest)
             n = len(names)
-            hashes = np.array([_hash(lang, [names[a], names[b]]) for a, b in zip((each // n).tolist(), (each % n).tolist())], np.uint64)
-            at = at[may_hold(pairs, hashes)[place]]
-            chain = np.zeros(len(codes) + 1, np.int64)  # pairs in a row from each position on
-            chain[at] = 1
-            broken = np.flatnonzero(chain == 0)
-            steps = broken[np.searchsorted(broken, at)] - at
-            at, size = at[steps >= 2], np.minimum(steps[steps >= 2] + 1, longest)
             columns = [np.where(size > k, codes[np.minimum(at + k, len(codes) - 1)], -1) for k in range(longest)]
             key = np.zeros(len(at), np.int64)
             for c in columns:  # one number for each record, step by step
@@ -153,25 +179,26 @@ def _count_records(words: np.ndarray, pairs: np.ndarray, longest: int) -> Callab
     return work
 
 
-def phrase_hash(words: int):
-    return F.xxhash64("lang", *(F.get("phrase", F.lit(k)) for k in range(words)))
-
-
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST,
                      word_bits: int = BITS, pair_bits: int = PAIR_BITS) -> DataFrame:
     """``(lang, phrase, f)`` of all phrases found ``least`` times or more, and the empty phrase with the number of words."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     total = F.sum("f").alias("f")
-    words = cut_lineage(rows.mapInArrow(_count_words, STREAM).groupBy("lang", "phrase").agg(total))
+    words = cut_lineage(rows.mapInArrow(_count_words, "lang string, word string, f bigint").groupBy("lang", "word").agg(total))
     all_ = words.groupBy("lang").agg(total).select("lang", F.array().cast("array<string>").alias("phrase"), "f")
     words = words.filter(F.col("f") >= least)
-    word_map = bitmap_of(words, phrase_hash(1), word_bits)
-    pairs = cut_lineage(rows.mapInArrow(_count_pairs(word_map), STREAM).groupBy("lang", "phrase").agg(total).filter(F.col("f") >= least))
-    pair_map = bitmap_of(pairs, phrase_hash(2), pair_bits)
-    records = rows.mapInArrow(_count_records(word_map, pair_map, longest), STREAM).groupBy("lang", "phrase").agg(total)
-    begun = records.select("lang", F.explode(F.transform(F.sequence(F.lit(3), F.size("phrase")), lambda k: F.slice("phrase", 1, k))).alias("phrase"), "f")
+    word_map = bitmap_of(words, F.xxhash64("lang", "word"), word_bits)
+
+    def often(work: Callable) -> np.ndarray:
+        counts = rows.mapInArrow(work, "hash bigint, f bigint").groupBy("hash").agg(total)
+        return bitmap_of(counts.filter(F.col("f") >= least), F.col("hash"), pair_bits)
+
+    pair_map = often(_count_pairs(word_map))
+    triple_map = often(_count_triples(word_map, pair_map))
+    records = cut_lineage(rows.mapInArrow(_count_records(word_map, pair_map, triple_map, longest), STREAM).groupBy("lang", "phrase").agg(total))
+    begun = records.select("lang", F.explode(F.transform(F.sequence(F.lit(2), F.size("phrase")), lambda k: F.slice("phrase", 1, k))).alias("phrase"), "f")
     longer = begun.groupBy("lang", "phrase").agg(total).filter(F.col("f") >= least)
-    return all_.unionByName(words).unionByName(pairs).unionByName(longer)
+    return all_.unionByName(words.select("lang", F.array("word").alias("phrase"), "f")).unionByName(longer)
 
 
 def _in_order(stream: DataFrame, order: str) -> tuple[DataFrame, dict[int, list], dict[int, tuple]]:

@@ -15,6 +15,17 @@ BITS = 25  # 4 MB
 _PAGE = 32768  # bits of one page of Spark's bitmap aggregate
 
 
+_M1, _M2, _ODD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers whose bits all depend on all (splitmix finaliser)."""
+    x = x + _ODD
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
 def bitmap_of(df: DataFrame, column: Column, bits: int = BITS) -> np.ndarray:
     """Bytes of the bitmap of a column of 64-bit hashes (``2 ** bits`` bits, however many rows)."""
     slot = column.bitwiseAND(F.lit((1 << bits) - 1))
