@@ -57,16 +57,17 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: S
 
     Output: by + ``{col}_p{q}`` (null for an empty group).
     """
-    from pairlab.operators.ranking import balanced_bucket, null_safe_join
+    from pairlab.operators.ranking import balanced_bucket, null_safe_join, with_bucket
     by = list(by)
     g = by + ["_c"]
     stacked = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in cols])).alias("_s"))
     v = stacked.select(*by, F.col("_s.c").alias("_c"), F.col("_s.x").alias("_x")).filter(F.col("_x").isNotNull())
     finite = v.filter(~F.isnan("_x") & (F.abs("_x") != float("inf")))
+    v = with_bucket(v, balanced_bucket(finite, "_x"), "_near")
     v = v.withColumn("_b", F.when(F.col("_x") == float("-inf"), F.lit(-1))
                      .when(F.isnan("_x") | (F.col("_x") == float("inf")), F.lit(1 << 40))
-                     .otherwise(balanced_bucket(finite, "_x")))
+                     .otherwise(F.col("_near"))).drop("_near")
     hist = v.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_nb"))
     wb = Window.partitionBy(*g).orderBy("_b")
     hist = (hist.withColumn("_before", F.coalesce(F.sum("_nb").over(wb.rowsBetween(Window.unboundedPreceding, -1)),

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,25 +66,54 @@ def numeric_bucket(df: DataFrame, order_col: str, buckets: int = NUMERIC_BUCKETS
     return F.coalesce(F.least(F.greatest(b, F.lit(0)), F.lit(buckets - 1)).cast("bigint"), F.lit(-1))
 
 
-def balanced_bucket(df: DataFrame, order_col: str, buckets: int = 1024) -> Column:
+@dataclass(frozen=True)
+class SplitBucket:
+    """A bucket given by split points that the plan itself works out (``with_bucket`` adds it to rows)."""
+
+    value: Column
+    points: Column
+    bits: int
+
+
+def balanced_bucket(df: DataFrame, order_col: str, buckets: int = 1024) -> SplitBucket:
     """Range bucket of a numeric order column by approximate quantiles.
 
-    One aggregation returns the ``buckets - 1`` split points (a bounded row), so
-    a heavy tail or an outlier doesn't put most rows into one bucket as equal
-    widths would.  They become constants: every branch of a plan that uses the
-    bucket sees the same ones.  Rows with equal values share a bucket.
+    The ``buckets - 1`` split points (a bounded array) are a scalar subquery of the plan:
+    nothing runs while the plan is built, and every branch of a query that uses
+    the bucket shares the one result.  A heavy tail or an outlier doesn't put most
+    rows into one bucket as equal widths would.  Rows with equal values share a bucket.
     """
     qs = [i / buckets for i in range(1, buckets)]
-    splits = df.agg(F.percentile_approx(F.col(order_col).cast("double"), qs, 20 * buckets).alias("s")).first()["s"]
-    splits = sorted({x for x in splits or [] if not math.isnan(x)})
-    if not splits:
-        return F.lit(0).cast("bigint")
-    # binary search: the number of split points below the value
-    points, x = F.array(*map(F.lit, splits)), F.col(order_col).cast("double")
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(splits).bit_length()))))
-    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
-        (at + step <= len(splits)) & (F.get(points, at + step - 1) < x), at + step).otherwise(at))
-    return F.when(x.isNull(), F.lit(-1)).otherwise(found).cast("bigint")  # nulls come first
+    value = F.col(order_col).cast("double")
+    found = df.agg(F.percentile_approx(F.when(~F.isnan(value), value), qs, 20 * buckets).alias("s"))
+    points = found.select(F.coalesce(F.array_sort(F.array_distinct("s")), F.array().cast("array<double>"))).scalar()
+    return SplitBucket(value, points, (buckets - 1).bit_length())
+
+
+def with_bucket(df: DataFrame, bucket: Column | SplitBucket, name: str = "_bucket") -> DataFrame:
+    if isinstance(bucket, SplitBucket):
+        # the points are a column of their own first: a higher-order function holds no subquery
+        found = split_bucket(bucket.value, F.col("_points"), bucket.bits)
+        return df.withColumn("_points", bucket.points).withColumn(name, found).drop("_points")
+    return df.withColumn(name, bucket)
+
+
+def _bucketed(df: DataFrame, bucket: Column | SplitBucket) -> DataFrame:
+    """``_bucket`` as a struct of the bucket, so that a null bucket equals itself in joins and comes first."""
+    return with_bucket(df, bucket, "_plain").withColumn("_bucket", F.struct(F.col("_plain").alias("v"))).drop("_plain")
+
+
+def split_bucket(value: Column, points: Column, bits: int) -> Column:
+    """The number of split points below the value (binary search); nulls come first."""
+    both = F.struct(value.alias("x"), points.alias("points"))
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(bits))))
+
+    def search(t: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+            (at + step <= F.size(t["points"])) & (F.get(t["points"], at + step - 1) < t["x"]), at + step).otherwise(at))
+
+    found = F.element_at(F.transform(F.array(both), search), 1)
+    return F.when(value.isNull(), F.lit(-1)).otherwise(found).cast("bigint")
 
 
 def group_key(col: str) -> Column:
@@ -105,7 +135,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right, reduce(lambda a, b: a & b, on), how).drop(*(f"_right_{k}" for k in keys))
 
 
-def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Column,
+def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Column | SplitBucket,
            name: str = "rank", limit: int | None = None, total: str | None = None,
            coarse: Callable[[Column], Column] | None = None) -> DataFrame:
     """Add ``name`` = exact 1-based row_number within ``by`` in ``order``.
@@ -123,15 +153,15 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Co
     ``total`` the group size is added as that column.  ``coarse`` gives a few
     classes of buckets (non-decreasing along the buckets): running sums are then
     taken over the classes and inside each, so that no task sees all buckets.
-    Null groups are groups of their own.
+    Null groups are groups of their own, a null bucket comes first.
     """
     with_keys, by = _with_keys(df, list(by))
     keys = by + ["_bucket"]
-    local = (with_keys.withColumn("_bucket", bucket)
+    local = (_bucketed(with_keys, bucket)
              .withColumn("_lr", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))))
     sizes = local.groupBy(*keys).agg(F.max("_lr").alias("_bucket_n"))
     if coarse:
-        sizes = sizes.withColumn("_class", coarse(F.col("_bucket")).cast("bigint"))
+        sizes = sizes.withColumn("_class", F.struct(coarse(F.col("_bucket.v")).cast("bigint").alias("v")))
         classes = sizes.groupBy(*by, "_class").agg(F.sum("_bucket_n").alias("_class_n"))
         wc = Window.partitionBy(*by).orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
         classes = classes.withColumn("_class_offset", F.coalesce(F.sum("_class_n").over(wc), F.lit(0)))
@@ -155,7 +185,7 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Co
     return out.drop("_bucket", "_offset", "_lr", *by)
 
 
-def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Column,
+def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucket: Column | SplitBucket,
                 value: str, how: str = "max", name: str | None = None,
                 inclusive: bool = False) -> DataFrame:
     """Running aggregate of ``value`` over earlier rows in ``order``.
@@ -172,7 +202,7 @@ def prefix_scan(df: DataFrame, by: Sequence[str], order: Sequence[Column], bucke
     agg = {"max": F.max, "min": F.min, "sum": F.sum}[how]
     end = 0 if inclusive else -1
     wi = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
-    local = with_keys.withColumn("_bucket", bucket).withColumn("_inner", agg(value).over(wi))
+    local = _bucketed(with_keys, bucket).withColumn("_inner", agg(value).over(wi))
     per_bucket = local.groupBy(*keys).agg(agg(value).alias("_bv"))
     wb = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_bucket.withColumn("_carry", agg("_bv").over(wb)).select(*keys, "_carry")

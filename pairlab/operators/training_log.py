@@ -11,20 +11,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlab.operators.ranking import balanced_bucket, null_safe_join, prefix_scan
+from pairlab.operators.ranking import prefix_scan
+from pairlab.operators.scan import STEPS_PER_BUCKET, bucketed, scan_buckets, step_bucket
 
 
 def running_best(log: DataFrame, by: Sequence[str] = ("run", "metric"), step: str = "step",
-                 value: str = "value", start: float = 0.0, two_level: bool = True) -> DataFrame:
+                 value: str = "value", start: float = 0.0, two_level: bool = True,
+                 steps_per_bucket: int = STEPS_PER_BUCKET) -> DataFrame:
     """Best-so-far before each step (starting at ``start``); ``improved`` when
     the value is strictly greater; ``best`` is the best including the step.
 
     ``two_level=True`` computes the running max per step bucket first, so a
     very long run is scanned by many tasks (``pairlab.operators.ranking``).
+    Steps are dense numbers, so buckets are ranges of equal width.
     """
     by = list(by)
     if two_level:
-        s = prefix_scan(log, by, [F.col(step)], balanced_bucket(log, step), value, "max", name="_prev")
+        s = prefix_scan(log, by, [F.col(step)], step_bucket(F.col(step), steps_per_bucket), value, "max", name="_prev")
     else:
         w = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
         s = log.withColumn("_prev", F.max(value).over(w))
@@ -51,100 +54,68 @@ def best_checkpoint(log: DataFrame, by: Sequence[str] = ("run", "metric"), step:
 
 def early_stop_step(log: DataFrame, by: Sequence[str] = ("run", "metric"), step: str = "step",
                     value: str = "value", patience: int = 3, threshold: float = 0.01,
-                    mode: str = "min", rows_per_bucket: int = 100_000) -> DataFrame:
+                    mode: str = "min", steps_per_bucket: int = STEPS_PER_BUCKET) -> DataFrame:
     """First step at which ``patience`` consecutive evaluations failed to
     improve the best by more than ``threshold`` (null if training never
     stops), the best value at that point, and the number of evaluations.
 
     The rule is sequential (the best moves only on an improvement), but its
     state is small: how many evaluations ago the last improvement happened
-    (1..patience), or "not started" / "stopped".  Each evaluation is a
-    transition table over those states, computed from a window of the
-    ``patience`` previous values; tables compose associatively.  So:
-
-    1. per row: transition table (window of p previous values, bounded);
-    2. per (run, step bucket): composed table (bucket size is bounded by
-       ``rows_per_bucket``);
-    3. per run: entry state of every bucket by folding the bucket tables
-       (one small row per bucket);
-    4. per bucket: replay from its entry state to find the stopping step.
-
-    A run holding a third of the log is therefore processed by many tasks.
+    (1..patience), "not started" or "stopped".  An evaluation is a table of such states,
+    worked out from the ``patience`` values before it, and tables compose associatively.
+    Two scans over buckets of steps (``pairlab.operators.scan``) do it:
+
+    1. the last ``patience`` values before each bucket (the tail carried over);
+    2. the state each bucket is entered in: its table is the fold of its
+       evaluations from every state at once;
+
+    then each bucket is replayed once from its state.  A run holding a third of
+    the log is spread over tasks, the log is read and shuffled once, and nothing runs while
+    the plan is built.
     """
-    from pairlab.operators.ranking import numeric_bucket, ranked
     by = list(by)
     p = patience
     stop = p + 1
     sign = 1.0 if mode == "min" else -1.0
-    base = log.select(*by, F.col(step).alias("_s"), (F.col(value) * sign).cast("double").alias("_v"))
-    # dense position per run (two-level rank), then the p previous values by
-    # an explode + group on (run, position): no window over a whole run
-    pos = ranked(base, by, [F.col("_s")], balanced_bucket(base, "_s"), name="_pos")
-    lagged = (pos.select(*by, "_v", F.explode(F.sequence(F.lit(1), F.lit(p))).alias("_d"), "_pos")
-              .select(*by, (F.col("_pos") + F.col("_d")).alias("_pos"), "_d", "_v")
-              .groupBy(*by, "_pos")
-              .agg(F.sort_array(F.collect_list(F.struct((-F.col("_d")).alias("k"), F.col("_v").alias("v"))))
-                   .alias("_l")))
-    rows = (null_safe_join(pos, lagged, by + ["_pos"], "left")
-            .withColumn("_prev", F.coalesce(F.transform("_l", lambda e: e["v"]), F.array().cast("array<double>")))
-            .drop("_l"))
-
-    def table(prev: Column, cur: Column) -> Column:
-        entries = [F.lit(1)]  # state 0: first evaluation is an improvement
-        for st in range(1, p + 1):
-            best = F.get(prev, F.size(prev) - st)
-            improved = (F.size(prev) >= st) & ((best - cur) > threshold)
-            entries.append(F.when(improved, F.lit(1)).otherwise(F.lit(st + 1 if st < p else stop)))
-        entries.append(F.lit(stop))
-        return F.array(*entries)
-
-    rows = rows.withColumn("_t", table(F.col("_prev"), F.col("_v")))
-    rows = rows.withColumn("_b", numeric_bucket(rows, "_pos", rows_per_bucket=rows_per_bucket))
-
-    def compose(f: Column, g: Column) -> Column:  # g after f
-        return F.transform(f, lambda x: F.get(g, x))
-
-    ident = F.array(*[F.lit(i) for i in range(p + 2)])
-    per_bucket = (rows.groupBy(*by, "_b")
-                  .agg(F.sort_array(F.collect_list(F.struct("_s", "_t"))).alias("_ts"))
-                  .select(*by, "_b", F.aggregate("_ts", ident, lambda acc, r: compose(acc, r["_t"])).alias("_f")))
-    # entry state of each bucket: fold the (small) bucket tables of a run in order
-    runs = per_bucket.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_b", "_f"))).alias("_bf"))
-    init = F.struct(F.lit(0).alias("state"),
-                    F.array().cast("array<struct<_b:bigint,entry:int>>").alias("entries"))
-    folded = runs.select(*by, F.aggregate(
-        "_bf", init,
-        lambda acc, r: F.struct(F.get(r["_f"], acc["state"]).alias("state"),
-                                F.concat(acc["entries"], F.array(F.struct(r["_b"].alias("_b"),
-                                                                          acc["state"].alias("entry"))))
-                                .alias("entries"))).alias("_e"))
-    entries = folded.select(*by, F.explode("_e.entries").alias("_x")).select(*by, "_x._b", F.col("_x.entry").alias("_entry"))
-    # replay each bucket from its entry state: first stop and the best value so far
-    with_entry = null_safe_join(rows, entries, by + ["_b"])
-    replay = with_entry.groupBy(*by, "_b", "_entry").agg(
-        F.sort_array(F.collect_list(F.struct("_pos", "_s", "_v", "_prev"))).alias("_r"))
-
-    def step_fn(acc, r):
-        s_ = acc["state"]
-        prev = r["_prev"]
-        best_before = F.when((s_ >= 1) & (s_ <= p), F.get(prev, F.size(prev) - s_))
-        best = F.coalesce(acc["best"], best_before)
-        improved = (s_ == 0) | ((s_ >= 1) & (s_ <= p) & ((best_before - r["_v"]) > threshold))
-        nxt = (F.when(s_ == stop, F.lit(stop)).when(improved, F.lit(1))
-               .when(s_ < p, s_ + 1).otherwise(F.lit(stop)))
-        stopped_here = (s_ != stop) & (nxt == stop)
-        new_best = F.when(s_ == stop, acc["best"]).when(improved, r["_v"]).otherwise(best)
-        return F.struct(nxt.alias("state"), new_best.alias("best"),
-                        F.coalesce(acc["stop"], F.when(stopped_here, r["_s"].cast("bigint"))).alias("stop"))
-
-    start = F.struct(F.col("_entry").alias("state"), F.lit(None).cast("double").alias("best"),
-                     F.lit(None).cast("bigint").alias("stop"))
-    per = replay.select(*by, "_b", F.aggregate("_r", start, step_fn).alias("_o"),
-                        F.size("_r").alias("_n"))
+    rows = log.select(*by, F.col(step).alias("_s"), (F.col(value) * sign).cast("double").alias("_v"))
+    held = bucketed(rows, by, [F.col("_s"), F.col("_v")], step_bucket(F.col("_s"), steps_per_bucket), [F.col("_s").alias("s"), F.col("_v").alias("v")])
+    held = held.withColumn("_values", F.transform("entries", lambda e: e["v"]))
+
+    def tail(values: Column) -> Column:
+        n = F.size(values)
+        return F.slice(values, F.greatest(n - p + 1, F.lit(1)), F.lit(p))
+
+    held = scan_buckets(held, by, lambda _: tail(F.col("_values")), F.array().cast("array<double>"), lambda a, b: tail(F.concat(a, b)), "_tail")
+    # value k evaluations before the i-th of the bucket
+    held = held.withColumn("_all", F.concat("_tail", "_values"))
+    at = F.size("_tail")
+
+    def back(i: Column, k: Column) -> Column:
+        return F.when(at + i >= k, F.get(F.col("_all"), at + i - k))
+
+    def next_state(state: Column, i: Column) -> Column:
+        running = (state >= 1) & (state <= p)
+        improved = (state == 0) | (running & ((back(i, state) - F.get(F.col("_values"), i)) > threshold))
+        return F.when(state == stop, F.lit(stop)).when(improved, F.lit(1)).when(state < p, state + 1).otherwise(F.lit(stop))
+
+    every = F.array(*(F.lit(i) for i in range(p + 2)))
+    places = F.sequence(F.lit(0), F.size("_values") - 1)
+    held = scan_buckets(held, by, lambda _: F.aggregate(places, every, lambda states, i: F.transform(states, lambda s: next_state(s, i))),
+                        every, lambda f, g: F.transform(f, lambda x: F.get(g, x)), "_entered")
+
+    def replay(acc: Column, i: Column) -> Column:
+        state, v = acc["state"], F.get(F.col("_values"), i)
+        then = next_state(state, i)
+        best = F.when(state == stop, acc["best"]).when(then == 1, v).otherwise(F.coalesce(acc["best"], back(i, state)))
+        here = F.when((state != stop) & (then == stop), F.get(F.col("entries"), i)["s"].cast("bigint"))
+        return F.struct(then.alias("state"), best.alias("best"), F.coalesce(acc["stop"], here).alias("stop"))
+
+    start = F.struct(F.get(F.col("_entered"), F.lit(0)).alias("state"), F.lit(None).cast("double").alias("best"), F.lit(None).cast("bigint").alias("stop"))
+    per = held.select(*by, "_bucket", F.aggregate(places, start, replay).alias("_o"), F.size("_values").alias("_n"))
     return (per.groupBy(*by)
             .agg(F.min("_o.stop").alias("stop_step"),
-                 F.min_by("_o.best", F.when(F.col("_o.stop").isNotNull(), F.col("_b"))).alias("_best_stop"),
-                 F.max_by("_o.best", "_b").alias("_best_end"),
+                 F.min_by("_o.best", F.when(F.col("_o.stop").isNotNull(), F.col("_bucket"))).alias("_best_stop"),
+                 F.max_by("_o.best", "_bucket").alias("_best_end"),
                  F.sum("_n").cast("bigint").alias("n_evals"))
             .select(*by, "stop_step",
                     (F.when(F.col("stop_step").isNotNull(), F.col("_best_stop"))

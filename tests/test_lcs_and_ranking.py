@@ -100,7 +100,7 @@ def test_early_stop_matches_sequential_fold(spark):
         want[run] = _py_early_stop(vals, 3, 0.01)
     df = spark.createDataFrame(rows, "run long, metric string, step long, value double")
     got = {r["run"]: (r["stop_step"], r["best_value"])
-           for r in early_stop_step(df, patience=3, threshold=0.01, rows_per_bucket=7).collect()}
+           for r in early_stop_step(df, patience=3, threshold=0.01, steps_per_bucket=7).collect()}
     for run, (stop, best) in want.items():
         assert got[run][0] == stop
         assert abs(got[run][1] - best) < 1e-9
