@@ -1,23 +1,28 @@
 """Training-example construction: vocabulary, token ids, masked labels,
 length buckets.
 
-Tokenisation is ``explode`` + an equi-join with the vocabulary (Spark picks a
-broadcast when the vocabulary is measured small, otherwise a shuffle join
-whose hot tokens are split by AQE's skew handling) + an ordered
-``collect_list`` per row: the per-row group is one document's tokens.
+Tokenisation makes one row per (text, distinct token) with its positions + an
+equi-join with the vocabulary (Spark picks a broadcast when the vocabulary is
+measured small, otherwise a shuffle join whose hot tokens are split by AQE's skew
+handling) + one group per text that puts the ids back in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions import arrays as A
 from pairlab.functions.text import token_len
 from pairlab.functions.tokenizers import tokens
+from pairlab.operators.radix import descending, radix_prefixes
 from pairlab.operators.ranking import ranked
+from pairlab.session import cut_lineage
 
 PAD, UNK = "<pad>", "<unk>"
 PAD_ID, UNK_ID = 0, 1
@@ -28,32 +33,55 @@ def build_vocab(df: DataFrame, col: str = "text", tokenizer: str = "wordpunct")
     """(token, id, n): ids by descending count then token, after the special
     tokens ``<pad>``=0 and ``<unk>``=1.
 
-    Counting is a partial aggregate; the global ranking is two-level with
-    buckets (count class, token prefix) so the long tail of rare tokens is
-    ranked by many tasks.
+    Counting is a partial aggregate; the global ranking is two-level.  Its buckets
+    are the leaves of a trie over (descending count, token) that is split by
+    measured counts, so neither the long tail of tokens seen once nor
+    tokens that share a start fall into one task.
     """
-    counts = (df.select(F.explode(tokens(F.col(col), tokenizer)).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    bucket = F.struct((-F.col("n")).alias("neg_n"), F.substring("token", 1, 2).alias("prefix"))
-    # classes of counts by powers of two: at most 64
-    r = ranked(counts, [], [F.col("n").desc(), F.col("token")], bucket, name="_r",
-               coarse=lambda b: -F.floor(F.log2(-b["neg_n"])))
+    counts = cut_lineage(df.select(F.explode(tokens(F.col(col), tokenizer)).alias("token"))
+                         .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    keyed = radix_prefixes(counts.withColumn("_k", descending("n", "token")), "_k", name="_leaf")
+    r = ranked(keyed.drop("_k"), [], [F.col("n").desc(), F.col("token")], F.col("_leaf"), name="_r")
     return r.select("token", (F.col("_r") - 1 + N_SPECIAL).cast("int").alias("id"), "n")
 
 
+def _distinct_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, tokens) -> (row, token, positions), one row per distinct token of a row; (row, null, []) without tokens."""
+    for batch in batches:
+        lists = batch.column(1)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        parents = np.repeat(np.arange(len(lengths)), lengths)
+        place = np.arange(len(parents)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        words = pc.list_flatten(lists).dictionary_encode()
+        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(parents * np.int64(len(words.dictionary) + 1) + codes, kind="stable")
+        parents, codes, place = parents[order], codes[order], place[order]
+        starts = np.flatnonzero(np.r_[True, (parents[1:] != parents[:-1]) | (codes[1:] != codes[:-1])][: len(codes)])
+        offsets = pa.array(np.r_[starts, len(codes)].astype(np.int32))
+        none = np.flatnonzero(lengths == 0)
+        rows = batch.column(0).take(pa.array(np.r_[parents[starts], none]))
+        token = pa.concat_arrays([words.dictionary.take(pa.array(codes[starts])).cast(pa.string()), pa.nulls(len(none), pa.string())])
+        positions = pa.concat_arrays([pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32))),
+                                      pa.array([[]] * len(none), pa.list_(pa.int32()))])
+        yield pa.RecordBatch.from_arrays([rows, token, positions], names=["row", "token", "positions"])
+
+
 def tokenize(df: DataFrame, keys: Sequence[str], col: str, vocab: DataFrame, max_len: int | None = None,
-             tokenizer: str = "wordpunct", out: str = "input_ids") -> DataFrame:
+             tokenizer: str = "wordpunct", out: str = "input_ids", carry: Sequence[str] = ()) -> DataFrame:
     """keys + ``out`` (ARRAY<INT>): token ids in text order, cut to
-    ``max_len``; unknown tokens map to ``<unk>``."""
-    keys = list(keys)
+    ``max_len``; unknown tokens map to ``<unk>``.  ``carry`` names small columns
+    of a row that go along."""
+    keys, carry = list(keys), list(carry)
     toks = tokens(F.col(col), tokenizer)
-    if max_len is not None:  # cut before exploding: only kept tokens become rows
+    if max_len is not None:  # only kept tokens become rows
         toks = F.slice(toks, 1, max_len)
-    ex = df.select(*keys, F.posexplode_outer(toks).alias("pos", "token"))
-    j = ex.join(vocab.select("token", "id"), "token", "left")
-    tid = F.when(F.col("token").isNull(), F.lit(None)).otherwise(F.coalesce(F.col("id"), F.lit(UNK_ID)))
-    g = j.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("pos"), tid.alias("id")))).alias("_s"))
-    return g.select(*keys, F.transform(F.filter("_s", lambda s: s["id"].isNotNull()), lambda s: s["id"]).alias(out))
+    rows = df.select(F.struct(*keys, *carry).alias("row"), toks.alias("tokens"))
+    each = rows.mapInArrow(_distinct_tokens, f"row {rows.schema['row'].dataType.simpleString()}, token string, positions array<int>")
+    j = each.join(vocab.select("token", "id"), "token", "left")
+    j = j.select("row.*", F.coalesce("id", F.lit(UNK_ID)).alias("_id"), "positions")
+    g = j.groupBy(*keys).agg(*(F.first(c).alias(c) for c in carry), F.collect_list(F.struct("positions", "_id")).alias("_s"))
+    placed = F.flatten(F.transform("_s", lambda s: F.transform(s["positions"], lambda p: F.struct(p.alias("pos"), s["_id"].alias("id")))))
+    return g.select(*keys, *carry, F.transform(F.sort_array(placed), lambda s: s["id"]).alias(out))
 
 
 def decode(df: DataFrame, keys: Sequence[str], ids: str, vocab: DataFrame, out: str = "text",
@@ -73,9 +101,8 @@ def mask_prompt_labels(df: DataFrame, keys: Sequence[str], prompt: str, full: st
     """input_ids = tok(full)[:max_len + max_target]; labels mask the first
     len(tok(prompt)[:max_len]) positions with -100; attention mask of ones."""
     keys = list(keys)
-    ids = tokenize(df, keys, full, vocab, max_len + max_target, tokenizer, "input_ids")
-    p = df.select(*keys, F.least(token_len(F.col(prompt), tokenizer), F.lit(max_len)).cast("int").alias("_p"))
-    j = ids.join(p, keys)
+    p = F.least(token_len(F.col(prompt), tokenizer), F.lit(max_len)).cast("int")
+    j = tokenize(df.withColumn("_p", p), keys, full, vocab, max_len + max_target, tokenizer, "input_ids", ["_p"])
     return j.select(*keys, "input_ids", A.attention_mask("input_ids").alias("attention_mask"),
                     A.mask_prompt_labels("input_ids", "_p").alias("labels"))
 
