@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.functions import text as T
-from pairlab.operators.ranking import balanced_bucket, hex_bucket, ranked, seeded_key
+from pairlab.operators.key_filter import filtered_anti_join
+from pairlab.operators.ranking import balanced_bucket, hex_bucket, null_safe_join, ranked, seeded_key
 
 
 # ---------------------------------------------------------------- filters
@@ -92,14 +93,20 @@ def join_audit_counts(audit: DataFrame, by: Sequence[str] = ("language",)) -> Da
     return audit.groupBy(*by, "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def resume_anti_join(df: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key was not processed yet (left anti join)."""
-    return df.join(done.select(*keys).distinct(), list(keys), "left_anti")
+def resume_anti_join(df: DataFrame, done: DataFrame, keys: Sequence[str], pages: DataFrame | None = None) -> DataFrame:
+    """Rows whose key was not processed yet (left anti join; a null key equals a null key).
+
+    With ``pages``, the stored filter of the done keys (``key_filter``), only
+    rows that may be done meet the done keys.
+    """
+    if pages is not None:
+        return filtered_anti_join(df, done, keys, pages)
+    return null_safe_join(df, done.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def pending_keys(index: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Index keys minus completed keys (set difference on the key columns)."""
-    return index.select(*keys).distinct().join(done.select(*keys), list(keys), "left_anti")
+def pending_keys(index: DataFrame, done: DataFrame, keys: Sequence[str], pages: DataFrame | None = None) -> DataFrame:
+    """Index keys minus completed keys (set difference on the key columns, nulls included)."""
+    return resume_anti_join(index.select(*keys).distinct(), done, keys, pages)
 
 
 def zip_by_position(left: DataFrame, right: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -234,18 +241,21 @@ def seeded_order(df: DataFrame, seed: int, key: str, name: str = "_h") -> DataFr
     return df.withColumn(name, seeded_key(key, seed))
 
 
-def seeded_sample(df: DataFrame, n: int, seed: int, key: str,
+def seeded_sample(df: DataFrame, n: int, seed: int, key: str | Sequence[str],
                   predicate: Column | None = None) -> DataFrame:
     """Seeded shuffle, keep the first ``n`` rows that pass ``predicate``.
 
-    The order is md5("{seed}:{key}") -- reproducible in any engine.  The
+    The order is md5("{seed}:{key}") of the first key, then all keys, then the other
+    columns -- reproducible in any engine, and total but for equal rows.  The
     limit is the feature (a sample of n rows): a top-n, bounded per task.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     d = df.filter(predicate) if predicate is not None else df
-    return seeded_order(d, seed, key).orderBy("_h", key).limit(n).drop("_h")
+    rest = [f.name for f in df.schema.fields if f.name not in keys and "map<" not in f.dataType.simpleString()]
+    return seeded_order(d, seed, keys[0]).orderBy("_h", *keys, *(f"`{c}`" for c in rest)).limit(n).drop("_h")
 
 
-def sample_without_replacement(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+def sample_without_replacement(df: DataFrame, n: int, seed: int, key: str | Sequence[str]) -> DataFrame:
     """min(n, size) distinct rows in seeded order."""
     return seeded_sample(df, n, seed, key)
 

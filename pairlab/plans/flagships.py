@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlab.operators import profile as PR
+from pairlab.session import cut_lineage
 
 
 def profile_corpus(dataset: DataFrame, by=("language", "split"), tokenizer: str = "wordpunct",
@@ -149,8 +150,9 @@ def evaluate_models(df: DataFrame, generators: dict, keys, prompt: str = "prompt
     from pairlab.operators.ranking import null_safe_join
     from pairlab.sources import writers as W
     W.write_metrics_csv(report, os.path.join(out, "metrics"))
-    shown = C.sample_without_replacement(df.select(*keys, prompt, reference), n_examples, seed, keys[0])
-    shown = shown.select(*keys, T.truncate_always_ellipsis(prompt, 1000).alias("source"), F.col(reference).alias("reference"))
+    shown = C.sample_without_replacement(df.select(*keys, prompt, reference), n_examples, seed, keys)
+    # a few rows, worked out once
+    shown = cut_lineage(shown.select(*keys, T.truncate_always_ellipsis(prompt, 1000).alias("source"), F.col(reference).alias("reference")))
     outputs = M.side_by_side(null_safe_join(gen.drop(reference), shown.select(*keys), keys), keys, list(generators))
     outputs = outputs.select(*keys, *[F.col(m).alias(f"summary_{m}") for m in generators])
     null_safe_join(shown, outputs, keys).write.mode("overwrite").json(os.path.join(out, "examples"))
