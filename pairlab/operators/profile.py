@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pairlab.functions import text as T
 
 PCTS = (0.5, 0.95, 0.99)
+POINT_BITS = 8  # 255 split points for each group and column
 
 
 def length_features(df: DataFrame, text: str = "text", summary: str = "summary",
@@ -40,7 +41,8 @@ def _pct(x: str, qs: Sequence[float], approx: bool) -> Column:
     return F.percentile(F.col(x), F.array(*[F.lit(q) for q in qs]))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: Sequence[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: Sequence[float],
+                    points: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles by histogram selection.
 
     ``percentile`` keeps one map entry per distinct value and group, which
@@ -55,16 +57,24 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], cols: Sequence[str], qs: S
        row) and running counts over their distinct values give the exact
        order statistics, interpolated as numpy / pandas do.
 
+    ``points`` gives the range buckets' split points where they are known: a table
+    (by, ``_c``, ``points``) of one row per group and column, bounded in length.  Otherwise
+    they are a scalar subquery over the values.
+
     Output: by + ``{col}_p{q}`` (null for an empty group).
     """
-    from pairlab.operators.ranking import balanced_bucket, null_safe_join, with_bucket
+    from pairlab.operators.ranking import balanced_bucket, null_safe_join, split_bucket, with_bucket
     by = list(by)
     g = by + ["_c"]
     stacked = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in cols])).alias("_s"))
     v = stacked.select(*by, F.col("_s.c").alias("_c"), F.col("_s.x").alias("_x")).filter(F.col("_x").isNotNull())
     finite = v.filter(~F.isnan("_x") & (F.abs("_x") != float("inf")))
-    v = with_bucket(v, balanced_bucket(finite, "_x"), "_near")
+    if points is not None:
+        v = null_safe_join(v, points.select(*g, "points"), g, "left")
+        v = v.withColumn("_near", split_bucket(F.col("_x"), F.coalesce("points", F.array().cast("array<double>")), POINT_BITS)).drop("points")
+    else:
+        v = with_bucket(v, balanced_bucket(finite, "_x"), "_near")
     v = v.withColumn("_b", F.when(F.col("_x") == float("-inf"), F.lit(-1))
                      .when(F.isnan("_x") | (F.col("_x") == float("inf")), F.lit(1 << 40))
                      .otherwise(F.col("_near"))).drop("_near")
@@ -112,7 +122,6 @@ def length_stats(df: DataFrame, by: Sequence[str] = ("language", "split"), text:
     mean/median/min/max, compression mean/median (tokens, words), count
     (and ``more_percentiles`` of the token lengths and the copied-lead ratio in
     the same aggregation when asked)."""
-    pcts = [*PCTS, *more_percentiles]
     f = length_features(df, text, summary, tokenizer)
     if with_copy_ratio:
         f = f.withColumn("_copied", T.copied_lead_flag(text, summary).cast("double"))
@@ -120,8 +129,21 @@ def length_stats(df: DataFrame, by: Sequence[str] = ("language", "split"), text:
         # the exact ratio medians take more passes over the features: compute
         # the per-row numbers once (texts dropped) and checkpoint them reliably
         from pairlab.session import cut_lineage
-        f = cut_lineage(f.select(*by, *[c for c in f.columns if c.endswith(("_tokens", "_words", "_ratio"))
-                                        or c == "_copied"]))
+        f = cut_lineage(f.select(*by, *feature_columns(f)))
+    return stats_of_features(f, by, approx, with_copy_ratio, more_percentiles)
+
+
+def feature_columns(f: DataFrame) -> list[str]:
+    return [c for c in f.columns if c.endswith(("_tokens", "_words", "_ratio")) or c == "_copied"]
+
+
+RATIOS = ("token_compression_ratio", "word_compression_ratio")
+
+
+def stats_of_features(f: DataFrame, by: Sequence[str] = ("language", "split"), approx: bool = False, with_copy_ratio: bool = False,
+                      more_percentiles: Sequence[float] = (), points: DataFrame | None = None) -> DataFrame:
+    """``length_stats`` of rows whose features are there already; ``points`` as in ``exact_quantiles``."""
+    pcts = [*PCTS, *more_percentiles]
     aggs = [F.count(F.lit(1)).alias("count")]
     if with_copy_ratio:
         aggs.append(F.avg("_copied").alias("copy_ratio"))
@@ -140,7 +162,7 @@ def length_stats(df: DataFrame, by: Sequence[str] = ("language", "split"), text:
     if not approx:
         # ratios are doubles with about one distinct value per row: their exact
         # medians come from a rank, not from a per-group value map
-        med = exact_quantiles(f, by, ["token_compression_ratio", "word_compression_ratio"], [0.5])
+        med = exact_quantiles(f, by, RATIOS, [0.5], points)
         med = med.select(*by, F.array("token_compression_ratio_p50").alias("_cmp_tokens_p"),
                          F.array("word_compression_ratio_p50").alias("_cmp_words_p"))
         from pairlab.operators.ranking import null_safe_join

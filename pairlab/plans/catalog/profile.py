@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from pairlab.functions import text as T
 from pairlab.operators import corpus as C
 from pairlab.operators import profile as PR
+from pairlab.operators.profile_state import ProfileState
 from pairlab.plans import fixtures as FX
 from pairlab.plans.catalog import sqlbits as Q
 from pairlab.plans.catalog.base import register, rsql
+from pairlab.plans.catalog.io import _fresh
 
 
 @register("length_stats", rsql(Q.LENGTH_STATS, Q.STATS_DOUBLES, ("dataset",)))
@@ -118,13 +122,28 @@ def length_scatter_sample(t):
     return PR.length_scatter_sample(d, "text_tokens", "summary_tokens", 100, 7, "article_id")
 
 
-@register("profile_corpus", rsql(f"""
+_PROFILE = rsql(f"""
 select s.*, p.* exclude (language, split), c.copy_ratio, r.max_input_length, r.max_target_length, r.total_length
 from ({Q.LENGTH_STATS}) s join ({Q.COPY_RATIO}) c on s.language = c.language and s.split = c.split
 join (select language, split, {', '.join(f"quantile_cont({c}, 0.{q}) as {c}_{n}" for c, q, n in _MORE)}
       from ({Q.STATS_FEATURES}) f group by language, split) p on s.language = p.language and s.split = p.split
 cross join ({_RECOMMENDED}) r""",
-        ",".join([Q.STATS_DOUBLES, "copy_ratio", *(f"{c}_{n}" for c, _, n in _MORE)]), ("dataset",)))
+        ",".join([Q.STATS_DOUBLES, "copy_ratio", *(f"{c}_{n}" for c, _, n in _MORE)]), ("dataset",))
+
+
+@register("profile_corpus", _PROFILE)
 def profile_corpus(t):
     from pairlab.plans.flagships import profile_corpus as pc
     return pc(FX.dataset(t))
+
+
+@register("profile_corpus_incremental", _PROFILE)
+def profile_corpus_incremental(t):
+    """The dataset arrives as files in two parts; each run reads the new files and merges its state."""
+    base = _fresh(t, "profile_state")
+    root, state = os.path.join(base, "data"), ProfileState(t.spark, os.path.join(base, "state"))
+    rows = FX.dataset(t).select("language", "split", "text", "summary")
+    for part in (F.col("split") == "train", F.col("split") != "train"):
+        rows.filter(part).write.mode("append").parquet(root)
+        state.add(root, "language string, split string, text string, summary string")
+    return state.profile()
