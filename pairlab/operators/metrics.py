@@ -26,9 +26,12 @@ whole texts (no token cap).  Only the two token arrays cross into Python.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -398,38 +401,101 @@ def metric_grid_improvement(grid: DataFrame) -> DataFrame:
 
 # ----------------------------------------------------------------- embedding score
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0).cast("double"), lambda s, v: s + v)
+VECTOR_TILE = 1024  # vectors of each side in one matrix product
 
 
-def _unit(v: Column) -> Column:
-    d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(_dot(d, d))
-    return F.transform(d, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def embedding_match_score(vectors: DataFrame, pair: str = "pair_id", side: str = "side",
+def greedy_match(cand: np.ndarray, ref: np.ndarray, tile: int = VECTOR_TILE) -> tuple[float, float]:
+    """Mean over the rows of each side of the greatest cosine with a row of the other; 0.0 if a side is empty.
+
+    Similarities are matrix products of ``tile`` by ``tile`` rows; only the
+    running maxima of rows and columns outlive a tile.
+    """
+    if not len(cand) or not len(ref):
+        return 0.0, 0.0
+    cand, ref = _unit_rows(cand), _unit_rows(ref)
+    rows, columns = np.full(len(cand), -np.inf), np.full(len(ref), -np.inf)
+    for i in range(0, len(cand), tile):
+        for j in range(0, len(ref), tile):
+            sims = cand[i:i + tile] @ ref[j:j + tile].T
+            np.maximum(rows[i:i + tile], sims.max(1), out=rows[i:i + tile])
+            np.maximum(columns[j:j + tile], sims.max(0), out=columns[j:j + tile])
+    return float(rows.mean()), float(columns.mean())
+
+
+def _matched(tile: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, which side, vector) sorted by row -> (row, emb_p, emb_r); a pair may go on in the next batch."""
+        key, held = None, ([], [], [])
+
+        def parts(batch: pa.RecordBatch):
+            """Stretches of one side of one pair: (row, side, matrix)."""
+            row, which, vec = batch.columns
+            changed = np.zeros(len(row), bool)
+            for field in row.flatten():
+                same = pc.equal(field.slice(1), field.slice(0, len(field) - 1))
+                nulls = pc.and_(pc.is_null(field.slice(1)), pc.is_null(field.slice(0, len(field) - 1)))
+                changed[1:] |= ~pc.or_(pc.fill_null(same, False), nulls).to_numpy(zero_copy_only=False)
+            of = which.to_numpy(zero_copy_only=False)
+            changed[1:] |= of[1:] != of[:-1]
+            starts = np.r_[0, np.flatnonzero(changed)]
+            lengths = pc.fill_null(pc.list_value_length(vec), 0).to_numpy(zero_copy_only=False)
+            flat, ends = pc.list_flatten(vec).to_numpy(zero_copy_only=False).astype(np.float64), np.r_[0, np.cumsum(lengths)]
+            for a, b in zip(starts, np.r_[starts[1:], len(row)]):
+                # rows without a vector count as zero vectors
+                width = int(lengths[a:b].max(initial=0))
+                m = np.zeros((b - a, width))
+                whole = lengths[a:b] == width
+                if (~whole & (lengths[a:b] > 0)).any():
+                    raise ValueError("vectors of one pair differ in length")
+                m[whole] = flat[ends[a]:ends[b]].reshape(-1, width) if width else 0.0
+                yield row[a].as_py(), int(of[a]), m
+
+        def done(k, sides):
+            width = max((m.shape[1] for x in sides[:2] for m in x), default=0)
+            # a stretch of missing vectors has no width of its own
+            mats = [np.concatenate([m if m.shape[1] else np.zeros((len(m), width)) for m in x]) if x else np.zeros((0, width)) for x in sides[:2]]
+            return k, *greedy_match(*mats, tile)
+
+        def given(found):
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], pa.float64()),
+                                               pa.array([f[2] for f in found], pa.float64())], names=["row", "emb_p", "emb_r"])
+
+        kind = None
+        for batch in batches:
+            kind, found = batch.schema.field(0).type, []
+            if not batch.num_rows:
+                continue
+            for k, of, m in parts(batch):
+                if key is not None and k != key:
+                    found.append(done(key, held))
+                    held = ([], [], [])
+                key = k
+                held[of].append(m)
+            yield given(found)
+        if key is not None:
+            yield given([done(key, held)])
+    return work
+
+
+def embedding_match_score(vectors: DataFrame, pair: str | Sequence[str] = "pair_id", side: str = "side",
                           pos: str = "pos", vec: str = "embedding", cand: str = "cand",
-                          ref: str = "ref") -> DataFrame:
+                          ref: str = "ref", tile: int = VECTOR_TILE) -> DataFrame:
     """Greedy max-cosine P/R/F per pair on precomputed token vectors.
 
     A pair with an empty side scores 0.0.  P = mean over candidate tokens of the max cosine to any reference token,
-    R symmetric, F harmonic mean.  Each pair's tokens are gathered into one
-    array per side, in one group (a pair is one summary pair: bounded by its token count),
-    then the maxima are HOF loops -- no candidate x reference rows emitted.
+    R symmetric, F harmonic mean.  Rows are brought together by pair and streamed
+    through an Arrow step that multiplies bounded tiles of the two sides (a pair is one
+    summary pair: its vectors, not its products, are held).
     """
-    u = vectors.select(pair, side, pos, _unit(F.col(vec)).alias("_u"))
-    def of(name: str) -> Column:
-        got = F.sort_array(F.collect_list(F.when(F.col(side) == name, F.struct(pos, "_u"))))
-        return F.transform(got, lambda s: s["_u"])
-
-    j = u.groupBy(pair).agg(of(cand).alias("_c"), of(ref).alias("_r"))
-
-    def greedy(xs: Column, ys: Column) -> Column:
-        best = F.transform(xs, lambda x: F.aggregate(ys, F.lit(-2.0).cast("double"),
-                                                     lambda m, y: F.greatest(m, _dot(x, y))))
-        total = F.aggregate(best, F.lit(0.0).cast("double"), lambda s, v: s + v)
-        return F.when((F.size(xs) == 0) | (F.size(ys) == 0), F.lit(0.0)).otherwise(total / F.nullif(F.size(xs), F.lit(0)))
-
-    out = j.select(pair, greedy(F.col("_c"), F.col("_r")).alias("emb_p"), greedy(F.col("_r"), F.col("_c")).alias("emb_r"))
-    return out.withColumn("emb_f", _f1(F.col("emb_p"), F.col("emb_r")))
+    keys = [pair] if isinstance(pair, str) else list(pair)
+    which = F.when(F.col(side) == cand, 0).when(F.col(side) == ref, 1).otherwise(2)  # others tell only that there is such a pair
+    rows = vectors.select(F.struct(*keys).alias("row"), which.alias("which"), F.col(pos).alias("pos"), F.col(vec).cast("array<double>").alias("vec"))
+    sorted_ = rows.repartition("row").sortWithinPartitions("row", "which", "pos").select("row", "which", "vec")
+    kind = rows.schema["row"].dataType.simpleString()
+    found = sorted_.mapInArrow(_matched(tile), f"row {kind}, emb_p double, emb_r double")
+    return found.select("row.*", "emb_p", "emb_r").withColumn("emb_f", _f1(F.col("emb_p"), F.col("emb_r")))

@@ -390,9 +390,24 @@ join (select model, coalesce(avg(rougeLsum_f), 0.0) as rougeLsum_f from ({lcs_su
   using (model)"""
 
 
-@register("evaluation_report", rsql(report_sql("generations"),
-                                    rouge_doubles() + ",rougeL_f,rougeLsum_f," + _LEN_D, ("generations",)))
+_EMB_SQL = """
+select model, avg(coalesce(emb_p, 0.0)) as emb_p, avg(coalesce(emb_r, 0.0)) as emb_r, avg(coalesce(emb_f, 0.0)) as emb_f
+from generations left join
+  (select article_id, language, model, p as emb_p, r as emb_r, case when p + r > 0 then 2.0 * p * r / (p + r) else 0.0 end as emb_f
+   from (select article_id, language, model, avg(m) as p from (
+           select a.article_id, a.language, a.model, a.pos, max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])) as m
+           from generation_vectors a join generation_vectors b using (article_id, language, model)
+           where a.side = 'cand' and b.side = 'ref' group by all) x group by all) x
+   join (select article_id, language, model, avg(m) as r from (
+           select a.article_id, a.language, a.model, b.pos, max(list_cosine_similarity(a.embedding::double[], b.embedding::double[])) as m
+           from generation_vectors a join generation_vectors b using (article_id, language, model)
+           where a.side = 'cand' and b.side = 'ref' group by all) y group by all) y using (article_id, language, model)) s
+  using (article_id, language, model) group by model"""
+
+
+@register("evaluation_report", rsql(f"select r.*, e.* exclude (model) from ({report_sql('generations')}) r join ({_EMB_SQL}) e using (model)",
+                                    rouge_doubles() + ",rougeL_f,rougeLsum_f,emb_p,emb_r,emb_f," + _LEN_D, ("generations", "generation_vectors")))
 def evaluation_report(t):
-    """One row per model: mean ROUGE-1/2 (P/R/F), L and Lsum (F) and the length metrics."""
+    """One row per model: mean ROUGE-1/2 (P/R/F), L and Lsum (F), the length metrics and the embedding match P/R/F."""
     from pairlab.plans.flagships import evaluation_report as er
-    return er(FX.generations(t), with_lcs=True)
+    return er(FX.generations(t), with_lcs=True, vectors=FX.generation_vectors(t))

@@ -185,6 +185,20 @@ def token_vectors(t: Tables, pair_width: int = 20) -> DataFrame:
                     F.col("vec_id").alias("pos"), "embedding")
 
 
+def generation_vectors(t: Tables) -> DataFrame:
+    """Token vectors of the generations and their references: a word's vector is
+    the row of ``embeddings`` that its characters pick (a stand-in for a model's
+    embedding table, looked up by an equi-join)."""
+    from pairlab.functions.tokenizers import tokens
+    g = generations(t).select("article_id", "language", "model", F.explode(F.array(
+        F.struct(F.lit("cand").alias("side"), F.col("generated").alias("t")), F.struct(F.lit("ref").alias("side"), F.col("reference").alias("t")))).alias("s"))
+    w = g.select("article_id", "language", "model", "s.side", F.posexplode(tokens(F.col("s.t"), "word")).alias("pos", "w"))
+    n = t.embeddings.agg(F.count(F.lit(1))).scalar()
+    pick = (F.ascii("w") * 131 + F.length("w") * 17 + F.ascii(F.substring("w", -1, 1)) * 29) % n
+    return (w.withColumn("vec_id", pick).join(t.embeddings.select("vec_id", "embedding"), "vec_id")
+            .select("article_id", "language", "model", "side", "pos", "embedding"))
+
+
 def build(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     return globals()[name](t)
@@ -262,12 +276,19 @@ where u.role = 'user' and a.role = 'assistant'""",
 select cast(floor(vec_id / 20) as bigint) as pair_id,
        case when label % 2 = 0 then 'cand' else 'ref' end as side, vec_id as pos, embedding
 from embeddings""",
+    "generation_vectors": """
+select article_id, language, model, side, pos, embedding
+from (select article_id, language, model, side, unnest(ws) as w, unnest(range(0, len(ws))) as pos
+      from (select article_id, language, model, 'cand' as side, regexp_extract_all(lower(generated), '[\\p{L}\\p{N}]+') as ws from generations
+            union all
+            select article_id, language, model, 'ref', regexp_extract_all(lower(reference), '[\\p{L}\\p{N}]+') from generations) a) b
+join embeddings on vec_id = (unicode(w) * 131 + length(w) * 17 + unicode(right(w, 1)) * 29) % (select count(*) from embeddings)""",
 }
 
 # dependency order for CTEs
 _ORDER = ["articles", "summaries", "pairs", "dataset", "generations", "base_pages", "judge_responses",
-          "metric_log", "generation_log", "turn_pairs", "token_vectors"]
-_DEPS = {"pairs": ["articles", "summaries"], "generations": ["pairs"], "dataset": ["pairs"]}
+          "metric_log", "generation_log", "turn_pairs", "token_vectors", "generation_vectors"]
+_DEPS = {"pairs": ["articles", "summaries"], "generations": ["pairs"], "generation_vectors": ["generations"], "dataset": ["pairs"]}
 
 
 def _closure(names):

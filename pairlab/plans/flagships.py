@@ -22,18 +22,28 @@ def profile_corpus(dataset: DataFrame, by=("language", "split"), tokenizer: str
 
 
 def evaluation_report(gen: DataFrame, keys=("article_id", "language", "model"), by=("model",),
-                      with_lcs: bool = True) -> DataFrame:
+                      with_lcs: bool = True, vectors: DataFrame | None = None) -> DataFrame:
     """One row per model: mean ROUGE-1/2 (P/R/F; L and Lsum F when ``with_lcs``)
     plus mean and median lengths, their ratio and correlation.  Per-pair scores
     come from one Arrow step and are aggregated per model (partial
-    aggregation), then the small per-model results are joined."""
+    aggregation), then the small per-model results are joined.
+
+    With ``vectors`` (keys, ``side``, ``pos``, ``embedding``: token vectors of the
+    generated texts, side ``cand``, and the references, side ``ref``) the mean embedding
+    P/R/F comes along; a pair without vectors scores 0.0."""
     from pairlab.operators import metrics as M
     from pairlab.operators.ranking import null_safe_join
     keys, by = list(keys), list(by)
     scores = M.rouge_all(gen, keys, (1, 2), with_lcs, with_lcs)
     metrics = [f"rouge{n}_{x}" for n in (1, 2) for x in "prf"] + (["rougeL_f", "rougeLsum_f"] if with_lcs else [])
     means = M.mean_rouge(scores, by, metrics).drop("n_rows")
-    return null_safe_join(means, PR.summary_length_metrics(gen, by), by)
+    report = null_safe_join(means, PR.summary_length_metrics(gen, by), by)
+    if vectors is None:
+        return report
+    emb = ["emb_p", "emb_r", "emb_f"]
+    matched = M.embedding_match_score(vectors, keys)
+    each = null_safe_join(gen.select(*keys), matched, keys, "left")
+    return null_safe_join(report, each.groupBy(*by).agg(*(F.avg(F.coalesce(c, F.lit(0.0))).alias(c) for c in emb)), by)
 
 
 def build_parallel_corpus(pages: DataFrame, links: DataFrame, lang_pages: DataFrame, languages,
