@@ -140,14 +140,15 @@ def resolve_langlinks(base: DataFrame, links: DataFrame, pages: DataFrame) -> Da
 
 def parallel_complete(df: DataFrame, languages: Sequence[str], id_col: str = "id",
                       lang_col: str = "language", text: str = "text",
-                      min_len: int = 1000) -> DataFrame:
+                      min_len: int = 1000, length: str | None = None) -> DataFrame:
     """Relational division: ids having a valid row in *every* language.
 
     ``count(distinct language)`` per id is a partial aggregate (map-side),
-    then the qualifying ids are semi-joined back.
+    then the qualifying ids are semi-joined back.  ``length`` names a column that
+    holds the text's length already, so that texts needn't ride along.
     """
     langs = list(languages)
-    valid = df.filter(F.col(lang_col).isin(langs) & (F.length(text) >= min_len))
+    valid = df.filter(F.col(lang_col).isin(langs) & ((F.col(length) if length else F.length(text)) >= min_len))
     ok = (valid.groupBy(id_col).agg(F.count_distinct(lang_col).alias("_nl"))
           .filter(F.col("_nl") == len(langs)).select(id_col))
     return valid.join(ok, id_col, "left_semi")

@@ -36,28 +36,23 @@ foreign_rows as (select b.page, b.lang, p.doc_id, p.text from best b join lpt p
 own as (select b.page, 'en' as lang, p.doc_id, p.text from base b join lpt p on p.language = 'en' and p.title = b.page),
 r as (select * from foreign_rows union all select * from own),
 valid as (select * from r where lang in ('en', 'fr', 'de', 'es') and length(text) >= 1000),
-complete as (select page from valid group by page having count(distinct lang) = 4),
-firsts as (select page from base join complete using (page) order by category_rank, pos, page limit 2)
+complete as (select page from valid group by page having count(distinct lang) = 4)
 select substr(md5(page), 1, 10) as article_id, page, lang as language, doc_id
-from valid where page in (select page from firsts)""", "", ("articles", "base_pages")))
-def build_parallel_corpus(t, max_sets=2):
+from valid where page in (select page from complete)""", "", ("articles", "base_pages")))
+def build_parallel_corpus(t):
     base, links = FX.base_links(t)
-    lp = FX.lang_pages(t)
-    return FL.build_parallel_corpus(FX.base_pages(t), links, lp, ["en", "fr", "de", "es"], max_sets=max_sets)
+    lp = FX.lang_pages(t, lengths_only=True)
+    return FL.build_parallel_corpus(FX.base_pages(t), links, lp, ["en", "fr", "de", "es"])
 
 
 @register("build_pair_dataset", rsql(f"""
-with ids as (select distinct article_id from articles order by article_id limit 600),
-capped as (select * from (select *, row_number() over (partition by language order by article_id) as rk from pairs
-                          where article_id in (select article_id from ids))
-           where rk <= 50)
 select article_id, language, title, url, text, summary, n as n_language, b.total as n_all,
        case when r <= nt then 'test' when r <= nt + ceil((n - nt) * cast({repr(0.1 / 0.9)} as double))
             then 'validation' else 'train' end as split
 from (select *, ceil(n * cast({repr(0.1)} as double)) as nt
       from (select *, row_number() over (partition by language order by md5(concat('42:', article_id)), article_id) as r,
-                   count(*) over (partition by language) as n, count(*) over () as total from capped) a) b""", "", ("pairs",)))
-def build_pair_dataset(t, max_articles=600, per_language=50):
+                   count(*) over (partition by language) as n, count(*) over () as total from pairs) a) b""", "", ("pairs",)))
+def build_pair_dataset(t):
     """Index, articles and summaries as files -> the dataset and its metadata as files."""
     base = _fresh(t, "pair_dataset")
     path = lambda name: os.path.join(base, name)
@@ -66,7 +61,7 @@ def build_pair_dataset(t, max_articles=600, per_language=50):
     W.write_records(a.select("article_id", "language", "title", "text", "url"), path("articles"))
     W.write_records(FX.summaries(t), path("summaries"))
     d = FL.build_pair_dataset_files(t.spark, path("index"), path("articles"), path("summaries"), path("out"),
-                                    "2024-01-01T00:00:00", max_articles=max_articles, per_language=per_language)
+                                    "2024-01-01T00:00:00")
     meta = t.spark.read.schema("total_rows bigint, article_counts map<string, bigint>").json(path("out/metadata"))
     sizes = meta.select(F.explode("article_counts").alias("language", "n_language"), F.col("total_rows").alias("n_all"))
     return d.join(sizes, "language")

@@ -106,9 +106,13 @@ def base_pages(t: Tables) -> DataFrame:
                     F.col("lang").alias("language"))
 
 
-def lang_pages(t: Tables) -> DataFrame:
-    """(language, title, doc_id, text): first document per (language, title)."""
+def lang_pages(t: Tables, lengths_only: bool = False) -> DataFrame:
+    """(language, title, doc_id, text): first document per (language, title); with
+    ``lengths_only`` the length ``n_text`` in the text's place, in one aggregation."""
     a = articles(t)
+    if lengths_only:
+        first = F.min_by(F.struct("doc_id", F.length("text").cast("bigint").alias("n_text")), "doc_id")
+        return a.groupBy("language", "title").agg(first.alias("f")).select("language", "title", "f.doc_id", "f.n_text")
     first = a.groupBy("language", "title").agg(F.min("doc_id").alias("doc_id"))  # ids only: texts are fetched last
     return first.join(a.select("doc_id", "text"), "doc_id").select("language", "title", "doc_id", "text")
 

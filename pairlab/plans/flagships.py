@@ -58,7 +58,7 @@ def build_parallel_corpus(pages: DataFrame, links: DataFrame, lang_pages: DataFr
 
     ``pages``: (name, category, category_rank, pos, namespace, language);
     ``links``: (page, lang, target, position); ``lang_pages``: (language,
-    title, doc_id, text).
+    title, doc_id, n_text), ``n_text`` being the length of the text.
     """
     from pairlab.functions import text as T
     from pairlab.operators import corpus as C
@@ -71,8 +71,8 @@ def build_parallel_corpus(pages: DataFrame, links: DataFrame, lang_pages: DataFr
     own = base.select("page", F.lit(base_lang).alias("lang"), F.col("page").alias("target"),
                       F.lit(-1).cast("bigint").alias("position"))
     all_links = links.select("page", "lang", "target", F.col("position").cast("bigint")).unionByName(own)
-    rows = C.resolve_langlinks(base, all_links, lang_pages).select("page", "lang", "doc_id", "text")
-    sets = C.parallel_complete(rows, languages, id_col="page", lang_col="lang", min_len=min_len)
+    rows = C.resolve_langlinks(base, all_links, lang_pages).select("page", "lang", "doc_id", "n_text")
+    sets = C.parallel_complete(rows, languages, id_col="page", lang_col="lang", min_len=min_len, length="n_text")
     if max_sets is not None:
         first = C.limit_in_order(base.join(sets.select("page").distinct(), "page", "left_semi"),
                                  max_sets, ["category_rank", "pos", "page"]).select("page")

@@ -1,41 +1,50 @@
-"""The flagships without their limits, on whole tables, and the limits themselves."""
+"""The limits that the flagships take as arguments (the registered queries have none)."""
+
+import os
 
-import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from pairlab.plans import fixtures as FX
+from pairlab.plans import flagships as FL
 from pairlab.plans.catalog import ORACLE
 from pairlab.plans.catalog import flagship as FS
+from pairlab.sources import writers as W
 from pairlab.sources.tables import Tables
 from tests.conftest import SF_SMALL
-from tests.test_oracle import TABLES, _rows
 
 
 @pytest.fixture(scope="module")
-def con():
-    c = duckdb.connect()
-    for t in TABLES:
-        c.execute(f"create view {t} as select * from read_parquet('{SF_SMALL}/{t}.parquet')")
-    return c
-
-
-def whole_sql(name, *limits):
-    """The query's SQL without these limits."""
-    sql = ORACLE[name]
-    for limit in limits:
-        assert sql.count(limit) == 1
-        sql = sql.replace(limit, "")
-    return sql
-
-
-def test_pair_dataset_of_whole_tables(spark, con):
-    got = FS.build_pair_dataset(Tables(spark, SF_SMALL), max_articles=None, per_language=None).toPandas()
-    want = con.execute(whole_sql("build_pair_dataset", " limit 600", "where rk <= 50")).df()
-    assert len(got) > len(con.execute(ORACLE["build_pair_dataset"]).df()) and _rows(got) == _rows(want)
-
-
-def test_parallel_corpus_of_whole_tables(spark, con):
-    whole = FS.build_parallel_corpus(Tables(spark, SF_SMALL), max_sets=None).toPandas()
-    want = con.execute(whole_sql("build_parallel_corpus", " limit 2")).df()
-    assert _rows(whole) == _rows(want)
-    first = FS.build_parallel_corpus(Tables(spark, SF_SMALL), max_sets=1).toPandas()
-    assert first["page"].nunique() == min(1, whole["page"].nunique()) and set(first["doc_id"]) <= set(whole["doc_id"])
+def tables(spark):
+    return Tables(spark, SF_SMALL)
+
+
+def test_registered_flagships_have_no_limit():
+    for name in ("build_pair_dataset", "build_parallel_corpus"):
+        assert "limit" not in ORACLE[name].lower()
+
+
+def test_pair_dataset_limits(spark, tables, tmp_path):
+    a = FX.articles(tables)
+    path = lambda name: os.path.join(str(tmp_path), name)
+    W.write_index(a.select(F.col("article_id").alias("id"), "language", "title", "url"), path("index"))
+    W.write_records(a.select("article_id", "language", "title", "text", "url"), path("articles"))
+    W.write_records(FX.summaries(tables), path("summaries"))
+    pairs = [(r.language, r.article_id) for r in FX.pairs(tables).select("language", "article_id").collect()]
+    ids = sorted(r.article_id for r in a.select("article_id").collect())
+    for first, each in ((60, None), (None, 5), (60, 5)):
+        out = path(f"out{first}-{each}")
+        d = FL.build_pair_dataset_files(spark, path("index"), path("articles"), path("summaries"), out, "2024-01-01T00:00:00", max_articles=first, per_language=each)
+        known, want = set(ids if first is None else ids[:first]), set()
+        for lang in {x for x, _ in pairs}:
+            want |= {(lang, i) for i in sorted(i for x, i in pairs if x == lang and i in known)[:each]}
+        assert {(r.language, r.article_id) for r in d.collect()} == want
+
+
+def test_parallel_corpus_limit(spark, tables):
+    whole = FS.build_parallel_corpus(tables).toPandas()
+    base, links = FX.base_links(tables)
+    pages = FX.lang_pages(tables).select("language", "title", "doc_id", F.length("text").alias("n_text"))
+    for n in (1, 2):
+        first = FL.build_parallel_corpus(FX.base_pages(tables), links, pages, ["en", "fr", "de", "es"], max_sets=n).toPandas()
+        assert first["page"].nunique() == min(n, whole["page"].nunique()) and set(first["doc_id"]) <= set(whole["doc_id"])
