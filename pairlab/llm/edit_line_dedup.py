@@ -17,9 +17,12 @@ With ``short_lines`` the shorter lines that hold a word take part too, as equals
   decided meets the earliest lines of its keys that it hasn't met yet; banded
   bit-parallel edit distance (one 64-bit word for the band) decides, and a line with
   a partner leaves.  One partner is enough, so groups of near-equal lines never become pairs.
+  The join itself drops pairs whose signatures (64 parities of hashed pairs of neighbouring
+  characters, of which an edit changes four at most) differ too much.
 * Keys that still hold undecided lines are refined: their lines are cut into ever more segments of
   which all but ``distance`` are a key, so that what the lines share beside the hot
-  segment counts as well.  The last, finest keys are walked to their end.
+  segment counts as well.  The last, finest keys are walked to their end, with ever
+  more lines a round.
 * Texts of the lines that meet others are fetched by an exact join, thinned out before by a bitmap of fixed size.
 
 Defined results: a null text has no lines; repeated rows, and rows with the same id in the
@@ -45,7 +48,8 @@ DISTANCE, MIN_CHARS = 2, 20
 _WORD = r"[^\x20\x09-\x0D]"
 OUT = ["n_lines", "n_removed", "removed"]
 REFINED = (8, 16)  # segments of the finer keys
-FIRST_ROUNDS = (1, 4)  # earliest lines of a key met in each round before it is refined
+FIRST_ROUND = 16  # earliest lines of a key met before it is refined
+GROWTH = 8  # times as many in each further round of the finest keys
 BITMAP_BITS = 25  # 4 MB, see _thinned
 
 
@@ -85,6 +89,15 @@ def refined_keys(line: Column, of: Column, distance: int, pieces: int) -> Column
     return F.transform(choices, key)
 
 
+def signature(line: Column) -> Column:
+    """Parities of the hashes of all pairs of neighbouring characters."""
+    def of(chars: Column) -> Column:
+        pairs = F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: F.xxhash64(a, b))
+        flip = lambda acc, h: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int")))
+        return F.aggregate(pairs, F.lit(0).cast("bigint"), flip)
+    return F.element_at(F.transform(F.array(F.split(line, "")), of), 1)
+
+
 def in_classes(line: Column, distance: int, keys) -> Column:
     """``keys(class)`` in the line's own class, and in the next if a partner may be there."""
     own, next_ = length_class(F.length(line)), length_class(F.length(line) + distance)
@@ -177,32 +190,34 @@ def late_lines(lines: DataFrame, firsts: DataFrame, written, distance: int = DIS
     node = F.struct("first", "h1").alias("node")
     each = firsts.select("h1", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("key")
-    members = each.join(shared, "key").join(firsts.select("h1", "first"), "h1").select("key", node)
-    members = written(members.withColumn("met", F.lit(None).cast(members.schema["node"].dataType)), "members")
-    wanted = written(members.select("node").distinct().join(firsts.select(node, "h2"), "node").select("node", "node.*", "h2"), "wanted")
+    held = written(each.join(shared, "key").join(firsts.select("h1", "first"), "h1").select("key", node), "held")
+    wanted = written(held.select("node").distinct().join(firsts.select(node, "h2"), "node").select("node", "node.*", "h2"), "wanted")
     at = wanted.select("node", "first", F.col("h1").alias("w1"), F.col("h2").alias("w2"))
     here = (F.col("place") == F.col("first")) & (F.col("h1") == F.col("w1")) & (F.col("h2") == F.col("w2"))
     near = lines.filter(F.length("line") >= min_chars)
-    texts = written(_thinned(near.select("place", "h1", "h2", "line"), wanted).join(at, here).select("node", "line").dropDuplicates(["node"]), "texts")
+    texts = _thinned(near.select("place", "h1", "h2", "line"), wanted).join(at, here).select("node", "line").dropDuplicates(["node"])
+    texts = written(texts.withColumn("sig", signature(F.col("line"))), "texts")
+    unmet = F.lit(None).cast(held.schema["node"].dataType).alias("met")
+    members = written(held.join(texts.select("node", "sig"), "node").select("key", "node", "sig", unmet), "members")
 
     decided = members.select("node").limit(0)
     turn = 0
     for pieces in (None, *REFINED):
         if pieces:
             open_ = texts.join(members.select("node").distinct(), "node")
-            each = open_.select("node", F.explode(in_classes(F.col("line"), distance, lambda c: refined_keys(F.col("line"), c, distance, pieces))).alias("key"))
+            each = open_.select("node", "sig", F.explode(in_classes(F.col("line"), distance, lambda c: refined_keys(F.col("line"), c, distance, pieces))).alias("key"))
             each = written(each, f"refined{pieces}")
             shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("key")
-            members = written(each.join(shared, "key").select("key", "node", F.lit(None).cast(each.schema["node"].dataType).alias("met")), f"members{pieces}")
-        met = 0
+            members = written(each.join(shared, "key").select("key", "node", "sig", unmet), f"members{pieces}")
+        quota = FIRST_ROUND
         while not members.isEmpty():
-            if pieces != REFINED[-1] and met == len(FIRST_ROUNDS):
-                break  # to be refined
-            quota = FIRST_ROUNDS[met] if met < len(FIRST_ROUNDS) else 4 ** met
-            turn, met = turn + 1, met + 1
+            turn += 1
             members, found = _round(members, texts, decided, quota, distance, written, turn)
             decided = written(decided.union(found).distinct(), f"decided{turn}")
             members = _still_open(members, decided, written, turn)
+            if pieces != REFINED[-1]:
+                break  # to be refined
+            quota *= GROWTH
         if members.isEmpty():
             break
     return decided.select("node.*")
@@ -212,13 +227,15 @@ def _round(members: DataFrame, texts: DataFrame, decided: DataFrame, quota: int,
     """Each undecided line meets the next ``quota`` lines of its keys that come before it."""
     ahead = members.filter(F.col("met").isNull() | (F.col("node") > F.col("met")))
     place = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-    next_ = written(ahead.withColumn("at", place).filter(F.col("at") <= quota).select("key", F.col("node").alias("earlier")), f"next{turn}")
-    undecided = members.select("key", "node").join(decided, "node", "left_anti")
-    pairs = undecided.join(next_, "key").filter("earlier.first < node.first").select("node", "earlier").distinct()
-    both = pairs.join(texts, "node").join(texts.select(F.col("node").alias("earlier"), F.col("line").alias("other")), "earlier")
+    next_ = written(ahead.withColumn("at", place).filter(F.col("at") <= quota).select("key", F.col("node").alias("earlier"), F.col("sig").alias("other_sig")), f"next{turn}")
+    undecided = members.select("key", "node", "sig").join(decided, "node", "left_anti")
+    close = F.bit_count(F.col("sig").bitwiseXOR(F.col("other_sig"))) <= 4 * distance
+    pairs = undecided.alias("x").join(next_.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("earlier.first") < F.col("node.first")) & close)
+    pairs = pairs.select("node", "earlier").distinct()
+    both = pairs.join(texts.select("node", "line"), "node").join(texts.select(F.col("node").alias("earlier"), F.col("line").alias("other")), "earlier")
     found = written(both.filter(banded_distance(F.col("line"), F.col("other"), distance) <= distance).select("node").distinct(), f"found{turn}")
     reached = next_.groupBy("key").agg(F.max("earlier").alias("met"))
-    return members.select("key", "node").join(reached, "key").select("key", "node", "met"), found
+    return members.select("key", "node", "sig").join(reached, "key").select("key", "node", "sig", "met"), found
 
 
 def _still_open(members: DataFrame, decided: DataFrame, written, turn: int) -> DataFrame:

@@ -45,6 +45,7 @@ def test_similar_lines_share_a_key(spark, distance):
     for keys in (lambda x: (lambda c: F.array(*E.segment_keys(x, c, distance))), lambda x: (lambda c: E.refined_keys(x, c, distance, 8)), lambda x: (lambda c: E.refined_keys(x, c, distance, 16))):
         shared = F.arrays_overlap(E.in_classes(F.col("a"), distance, keys(F.col("a"))), E.in_classes(F.col("b"), distance, keys(F.col("b"))))
         assert df.filter(~shared).count() == 0
+    assert df.filter(F.bit_count(E.signature(F.col("a")).bitwiseXOR(E.signature(F.col("b")))) > 4 * distance).count() == 0
 
 
 def test_templates_and_near_equal_groups(spark):
@@ -54,6 +55,11 @@ def test_templates_and_near_equal_groups(spark):
     lines += [changed(rng, lines[k], rng.randint(1, 3)) for k in range(0, 150, 5)]
     base = "a line of some length that stands in very many documents, nearly the same"
     lines += [changed(rng, base, rng.randint(0, 2)) for _ in range(150)]
+    words = "every copy of this line has one other word in the place of one of its own".split()
+    for _ in range(120):
+        own = list(words)
+        own[rng.randrange(len(own))] = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+        lines.append(" ".join(own))
     rng.shuffle(lines)
     lines = list(dict.fromkeys(lines))
     docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
