@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as TT
 
 from pairlab.functions import arrays as A
 from pairlab.functions.text import token_len
@@ -76,7 +77,7 @@ def tokenize(df: DataFrame, keys: Sequence[str], col: str, vocab: DataFrame, max
     if max_len is not None:  # only kept tokens become rows
         toks = F.slice(toks, 1, max_len)
     rows = df.select(F.struct(*keys, *carry).alias("row"), toks.alias("tokens"))
-    each = rows.mapInArrow(_distinct_tokens, f"row {rows.schema['row'].dataType.simpleString()}, token string, positions array<int>")
+    each = rows.mapInArrow(_distinct_tokens, TT.StructType([rows.schema["row"]]).add("token", TT.StringType()).add("positions", TT.ArrayType(TT.IntegerType())))
     j = each.join(vocab.select("token", "id"), "token", "left")
     j = j.select("row.*", F.coalesce("id", F.lit(UNK_ID)).alias("_id"), "positions")
     g = j.groupBy(*keys).agg(*(F.first(c).alias(c) for c in carry), F.collect_list(F.struct("positions", "_id")).alias("_s"))

@@ -496,6 +496,5 @@ def embedding_match_score(vectors: DataFrame, pair: str | Sequence[str] = "pair_
     which = F.when(F.col(side) == cand, 0).when(F.col(side) == ref, 1).otherwise(2)  # others tell only that there is such a pair
     rows = vectors.select(F.struct(*keys).alias("row"), which.alias("which"), F.col(pos).alias("pos"), F.col(vec).cast("array<double>").alias("vec"))
     sorted_ = rows.repartition("row").sortWithinPartitions("row", "which", "pos").select("row", "which", "vec")
-    kind = rows.schema["row"].dataType.simpleString()
-    found = sorted_.mapInArrow(_matched(tile), f"row {kind}, emb_p double, emb_r double")
+    found = sorted_.mapInArrow(_matched(tile), T.StructType([rows.schema["row"]]).add("emb_p", T.DoubleType()).add("emb_r", T.DoubleType()))
     return found.select("row.*", "emb_p", "emb_r").withColumn("emb_f", _f1(F.col("emb_p"), F.col("emb_r")))
