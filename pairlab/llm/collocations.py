@@ -47,6 +47,7 @@ from pairlab.session import cut_lineage
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 PAIR_BITS = BITS + 2
+COUNT_BITS = 40  # of the hashes that are counted: shorter ones let more through, results stay
 BLOCK_BYTES = 4 << 20  # of text counted at once
 # lower case, piece ends as line feeds, tabs as spaces
 TABLE = bytes(10 if c in b".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -143,6 +144,7 @@ class _Phrases:
 
 
 def _hashes(hashes: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    hashes = hashes & np.uint64((1 << COUNT_BITS) - 1)
     return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(times.astype(np.int64))], names=["hash", "f"])
 
 
