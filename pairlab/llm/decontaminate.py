@@ -7,14 +7,14 @@ the end of the current window; where the shift is zero, the hash of the window's
 suffix names a bucket of patterns, and comparing the words directly confirms an
 occurrence.  Words are compared as numbers of the benchmark's own vocabulary.
 
-The benchmark goes to the tasks in blocks of at most ``block_words`` words (a
-documented bound, checked by counting), one pass over the documents for each
-block; a pass adds the hit spans and item ids of its block to the row, so any
-number of blocks gives whole results without a shuffle.  A block is a set of
-items by hash of the id; an item is never split.
+The benchmark goes to the tasks in blocks cut by running counts of characters, at most
+``block_words`` words and one item each (an item is never split), one pass over the
+documents for each block; a pass adds the hit spans and item ids of its block to
+the row and is written before the next block is read, so driver and tasks hold one block's
+tables at a time, however large the benchmark.
 
 Defined results: a null or blank text has no words and no hits; benchmark rows
-with a null id or without words are no patterns; rows with the same id are one
+without words are no patterns, those with a null id hit without a name; rows with the same id are one
 item; an empty benchmark hits nothing; document rows are judged one by one,
 whatever their ids; other columns pass through, those called like an output
 are replaced.
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,7 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlab.llm.packing import packed, unpacked
 from pairlab.llm.registry import query, read
+from pairlab.operators.ranking import prefix_scan
+from pairlab.session import scratch_path
 
 WINDOW = 10
 BLOCK = 2  # words in a block of the shift table
@@ -49,14 +53,14 @@ def words_of(text: str | None) -> list[str]:
 class Patterns:
     """Shift tables and suffix buckets of one block of benchmark items."""
 
-    def __init__(self, items: Iterable[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int = WINDOW):
         self.vocabulary: dict[str, int] = {}
         owners: dict[tuple[int, ...], set[str]] = {}
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text)]
             size = min(window, len(ids))
             for i in range(len(ids) - size + 1) if size else ():
-                owners.setdefault(tuple(ids[i:i + size]), set()).add(item)
+                owners.setdefault(tuple(ids[i:i + size]), set()).update([] if item is None else [item])
         self.by_length = {}
         for size in sorted({len(p) for p in owners}):
             mine = {p: sorted(o) for p, o in owners.items() if len(p) == size}
@@ -125,20 +129,30 @@ def _searcher(patterns: Patterns):
 def with_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW,
                        block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with ``n_words, n_hit, n_items, items_sha256, contaminated, item_ids``."""
-    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("item_id").cast("string").alias("item"), "text")
+    items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+    spark = docs.sparkSession
+    folder = scratch_path(spark, f"decontaminate-{uuid.uuid4().hex}")
     # a word and the mark after it take two characters at least
+    blocks = 2 * block_words
     chars = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    blocks = max(1, -(-chars // (2 * block_words)))
-    keep = [c for c in docs.columns if c not in OUT]
+    if chars > blocks:
+        spread = F.xxhash64("item", "text")
+        sized = items.withColumns({"chars": F.length("text") + 1, "spread": spread})
+        sized = prefix_scan(sized, [], [F.col("spread"), F.col("item"), F.col("text")], F.shiftright("spread", 52), "chars", "sum", "before")
+        sized.select("item", "text", F.floor(F.coalesce("before", F.lit(0)) / blocks).cast("int").alias("block")).write.partitionBy("block").parquet(f"{folder}/items")
+        items = spark.read.parquet(f"{folder}/items")
     state = F.struct(F.lit(0).cast("bigint").alias("n_words"), F.array().cast("array<int>").alias("spans"),
                      F.array().cast("array<string>").alias("items"))
-    out = docs.select(*keep, F.col(text).alias("__text")).withColumn("__f", state)
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else items
-        patterns = Patterns(((r.item, r.text) for r in part.toLocalIterator()), window)
-        out = out.withColumn("__f", _searcher(patterns)("__text", "__f"))
-    return out.select(*keep, "__f").select(*keep, *_summary(F.col("__f")))
+    out = packed(docs, text=F.col(text), f=state)
+    n = -(-chars // blocks) or 1
+    for k in range(n):
+        part = items.filter(F.col("block") == k) if n > 1 else items
+        patterns = Patterns(((r.item, r.text) for r in part.select("item", "text").toLocalIterator()), window)
+        out = out.withColumn("f", _searcher(patterns)("text", "f"))
+        if k < n - 1:  # written, so that only one block's tables are alive
+            out.write.parquet(f"{folder}/pass{k}")
+            out = spark.read.parquet(f"{folder}/pass{k}")
+    return unpacked(out.select("row", *_summary(F.col("f"))), docs.columns, OUT)
 
 
 def _summary(f) -> list:
@@ -153,7 +167,7 @@ def _summary(f) -> list:
 _SQL = f"""
 with low as (select 'd' as side, doc_id as id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
              union all
-             select 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark where item_id is not null),
+             select 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') from benchmark),
 e as (select side, id, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from low),
 w as (select side, id, len(ws) as n, unnest(ws) as w, generate_subscripts(ws, 1) as i from e),
 sizes as (select distinct least({WINDOW}, n) as m from w where side = 'b'),

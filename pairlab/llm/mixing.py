@@ -7,23 +7,30 @@ the clamped sources come first, so one pass of prefix sums over the table of
 sources (one row per source) finds the fixed point; the comparison is exact
 (decimals).  Inside a source every document is taken a whole number of times,
 and a seeded order decides which ones are taken once more: documents fall into
-4096 buckets by the head of a seeded digest, bucket sums are pre-aggregated and
+4096 buckets by the head of a seeded digest of id and text, bucket sums are pre-aggregated and
 prefix-summed, so only the one bucket in which the remainder runs out is
-ordered row by row.  A source holding a third of all rows is thus spread over
+ordered, by digests and sizes alone.  What comes out of it is one digest per source, below
+which documents are taken once more: texts are compared with it where they are, without
+a shuffle.  A source holding a third of all rows is thus spread over
 all tasks.  The words taken miss the target by half a document at most.
 
 Defined results: a null text has size 0; a null source is a source (the last);
 a source without words has target 0; rows with equal or null ids are documents
-of their own, equal ones are ordered by size; an empty table gives no rows;
+of their own, told apart by their texts; of rows that are equal in both as many are taken once
+more as the target asks for; an empty table gives no rows;
 other columns pass through, those called like an output are replaced.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.llm.packing import packed, unpacked
 from pairlab.llm.registry import BLANKS, query, read
+from pairlab.session import scratch_path
 
 SEED = "mix-1"
 WEIGHTS = (5, 2, 1)
@@ -76,14 +83,34 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, text: str = "text", d
     ``weights`` is a ``(source, weight)`` table of positive whole weights;
     without it the default weights repeat over the sources by code point.
     """
-    keep = [c for c in docs.columns if c not in OUT]
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(doc_id).cast("string")))
-    rows = (docs.withColumn("__size", word_count(F.col(text))).withColumn("__h", digest)
-            .select(*keep, "__size", "__h", F.substring("__h", 1, BUCKET_DIGITS).alias("__b"),
-                    F.col(source).alias("__source")))
-    buckets = (docs.select(F.col(source).alias("source"), F.substring(digest, 1, BUCKET_DIGITS).alias("bucket"),
-                           word_count(F.col(text)).alias("size"))
-               .groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
+    body = F.md5(F.coalesce(F.col(text), F.lit("")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), body))
+    rows = packed(docs, source=F.col(source), size=word_count(F.col(text)), h=digest)
+    light = rows.select("source", "size", "h", F.substring("h", 1, BUCKET_DIGITS).alias("bucket"))
+    cuts = _cuts(light, weights, max_epochs, docs.sparkSession)
+    c = cuts.select(F.col("source").alias("c_source"), "source_size", "target", "whole", "cut", "at_cut")
+    joined = rows.join(c, F.col("source").eqNullSafe(F.col("c_source")))
+
+    def out(df: DataFrame, more) -> DataFrame:
+        df = df.withColumn("repeats", F.col("whole") + more.cast("bigint"))
+        df = df.select("row", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+        return unpacked(df, docs.columns, OUT)
+
+    below = F.col("h") < F.col("cut")
+    if cuts.filter("at_cut > 0").isEmpty():
+        return out(joined, below)
+    # equal rows of which some are taken once more
+    tied = (F.col("h") == F.col("cut")) & (F.col("at_cut") > 0)
+    place = F.row_number().over(Window.partitionBy("source", "h").orderBy("h"))
+    return out(joined.filter(~tied), below).unionByName(out(joined.filter(tied).withColumn("place", place), F.col("place") <= F.col("at_cut")))
+
+
+def _cuts(light: DataFrame, weights: DataFrame | None, max_epochs: int, spark) -> DataFrame:
+    """``(source, source_size, target, whole, cut, at_cut)``, one row per source, as a table.
+
+    Documents below the digest ``cut`` are taken ``whole + 1`` times, ``at_cut`` of those at it, the others ``whole`` times.
+    """
+    buckets = light.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     sizes = buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))
     shares = weigh_by_order(sizes.select("source")) if weights is None else weights.select("source", "weight")
     shares = shares.withColumnRenamed("source", "w_source")
@@ -93,26 +120,35 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, text: str = "text", d
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     b = buckets.withColumn("before", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)))
     p = plan.select(F.col("source").alias("p_source"), "source_size", "target", "whole", "extra")
-    b = b.join(p, F.col("source").eqNullSafe(F.col("p_source"))).select(
-        F.col("source").alias("__b_source"), F.col("bucket").alias("__bucket"), F.col("before").alias("__before"),
-        F.col("bucket_size").alias("__in"), "source_size", "target", F.col("whole").alias("__whole"), F.col("extra").alias("__extra"))
-    joined = rows.join(b, F.col("__source").eqNullSafe(F.col("__b_source")) & (F.col("__b") == F.col("__bucket")))
-    end = F.col("__before") + F.col("__in")
-    below = end <= F.col("__extra")
-    above = F.col("__before") >= F.col("__extra")
-    edge = joined.filter(~below & ~above)
-    rest = joined.filter(below | above).withColumn("__more", below)
-    order = Window.partitionBy("__source", "__b").orderBy("__h", F.col(doc_id).asc_nulls_last(), "__size")
-    reach = F.col("__before") + F.coalesce(F.sum("__size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = edge.withColumn("__more", (2 * reach + F.col("__size")).cast("double") <= 2 * F.col("__extra"))
-    both = rest.unionByName(edge).withColumn("repeats", F.col("__whole") + F.col("__more").cast("bigint"))
-    return both.select(*keep, F.col("__size").alias("size"), "source_size", "target",
-                       (F.col("__size") * F.col("repeats")).alias("taken"), "repeats")
+    b = b.join(p, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
+    folder = scratch_path(spark, f"mix-{uuid.uuid4().hex}")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    inside = (F.col("before") < F.col("extra")) & (F.col("before") + F.col("bucket_size") > F.col("extra"))
+    b = written(b.groupBy("source").agg(*(F.first(c).alias(c) for c in ("source_size", "target", "whole", "extra")),
+                                        F.min(F.when(F.col("before") >= F.col("extra"), F.col("bucket"))).alias("next"),
+                                        F.min(F.when(inside, F.struct("bucket", "before"))).alias("edge")), "sources")
+    edge = b.filter("edge is not null").select(F.col("source").alias("e_source"), F.col("edge.bucket").alias("e_bucket"), F.col("edge.before").alias("before"), "extra")
+    held = (light.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("e_bucket")))
+            .groupBy("source", "h", "size", "before", "extra").agg(F.count(F.lit(1)).alias("copies")))
+    order = Window.partitionBy("source").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(order), F.lit(0))
+    first = (2 * F.col("reach") + F.col("size")).cast("double") <= 2 * F.col("extra")  # the middle of the first copy lies below
+    fits = F.floor((F.col("extra") - F.col("reach") - F.col("size") / 2) / F.nullif(F.col("size"), F.lit(0))) + 1
+    taken = F.when(~first, 0).otherwise(F.greatest(F.lit(1), F.least(F.col("copies"), F.coalesce(fits, F.col("copies")))))
+    ends = held.withColumn("reach", reach).withColumn("taken", taken).filter("taken < copies")
+    ends = ends.groupBy(F.col("source").alias("e_source")).agg(F.min(F.struct("h", "taken")).alias("end"))
+    cuts = b.join(ends, F.col("source").eqNullSafe(F.col("e_source")), "left")
+    return written(cuts.select("source", "source_size", "target", "whole", F.coalesce("end.h", "next", F.lit("g")).alias("cut"),
+                               F.coalesce("end.taken", F.lit(0)).cast("bigint").alias("at_cut")), "cuts")
 
 
 _SQL = f"""
 with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
-                  md5('{SEED}' || coalesce(':' || doc_id::varchar, '')) as h from documents),
+                  md5('{SEED}:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as h from documents),
 s as (select source, sum(size)::hugeint as n, row_number() over (order by source collate "C" nulls last) as k from d group by source),
 w as (select source, n, case (k - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight from s),
 p as (select *, 3 * n as cap, sum(n) over () as total, sum(weight) over () as weights,

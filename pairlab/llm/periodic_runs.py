@@ -35,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlab.llm.packing import ROW, packed, unpacked
 from pairlab.llm.registry import WORD, query, read
@@ -42,7 +43,7 @@ from pairlab.llm.registry import WORD, query, read
 MIN_WORDS, REPEATS = 6, 4
 BLOCK_WORDS = 1 << 17
 OUT = ["n_words", "runs", "collapsed"]
-RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
+RUNS = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "period")]))
 
 
 def substring_ranks(ids: np.ndarray, depth: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -200,10 +201,6 @@ def _judged(texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int, int]],
     return out
 
 
-def _column_type(name: str, of: str) -> str:
-    return f"`{name}` {of}"
-
-
 def with_runs(docs: DataFrame, text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with ``n_words``, ``runs`` (by start, then period) and the ``collapsed`` text.
 
@@ -229,7 +226,7 @@ def with_runs(docs: DataFrame, text: str = "text", block_words: int = BLOCK_WORD
                 names=[ROW, *OUT])
 
     rows = packed(docs, text=F.col(text).cast("string"))
-    schema = ", ".join([_column_type(ROW, rows.schema[ROW].dataType.simpleString()), "n_words bigint", f"runs {RUNS}", "collapsed string"])
+    schema = T.StructType([rows.schema[ROW]]).add("n_words", T.LongType()).add("runs", RUNS).add("collapsed", T.StringType())
     return unpacked(rows.mapInArrow(work, schema), docs.columns, OUT)
 
 

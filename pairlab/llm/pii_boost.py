@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.llm.boosting import BoostedTrees, precise_threshold
+from pairlab.llm.packing import packed, unpacked
 from pairlab.llm.registry import query, read
 
 SAMPLE_DOCS, SAMPLE_ROWS, MADE_ROWS = 2_000, 20_000, 4_000
@@ -345,9 +346,9 @@ def fit(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sample_docs
 
 def with_personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: Model | None = None) -> DataFrame:
     """``docs`` with the base counts, ``base_sha256`` and ``spans`` (``kind:start:end`` by kind, then start)."""
-    keep = [c for c in docs.columns if c not in FOUND.names or c == text]
-    found: Column = _finder(model or fit(docs, text, doc_id))(F.col(text))
-    return docs.select(*keep, found.alias("__f")).select(*keep, *(F.col(f"__f.{c}").alias(c) for c in FOUND.names))
+    found: Column = _finder(model or fit(docs, text, doc_id))(F.col("text"))
+    rows = packed(docs, text=F.col(text)).select("row", found.alias("f")).select("row", *(F.col(f"f.{c}").alias(c) for c in FOUND.names))
+    return unpacked(rows, docs.columns, FOUND.names)
 
 
 @query("op8_personal_data")

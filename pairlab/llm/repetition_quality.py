@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlab.llm.packing import packed, unpacked
 from pairlab.llm.registry import WORD, query, read
 
 # fixed values of the base rules
@@ -119,15 +120,13 @@ def measures(texts: pd.Series) -> pd.DataFrame:
 
 def with_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measures, ``base_failed`` and ``kept``; one row in, one row out."""
-    clean = docs.drop(*FIELDS, "base_failed", "kept", "__m") if text not in FIELDS else docs
-    out = clean.withColumn("__m", measures(F.col(text)))
-    out = out.select(*clean.columns, *(F.col(f"__m.{c}").alias(c) for c in FIELDS))
+    out = packed(docs, text=F.col(text)).select("row", measures("text").alias("m")).select("row", *(F.col(f"m.{c}").alias(c) for c in FIELDS))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     worse = 100 * F.col("dup_line_chars") > MAX_LINE_PERCENT * F.col("word_chars")
     worse = worse | (100 * F.col("n_symbols") > MAX_SYMBOLS_PER_100_WORDS * F.col("n_words"))
     for n, most in MAX_GRAM_PERCENT.items():
         worse = worse | (100 * F.col(f"dup_gram_chars_{n}") > most * F.col("word_chars"))
-    return out.withColumn("base_failed", base).withColumn("kept", ~base & ~worse)
+    return unpacked(out.withColumn("base_failed", base).withColumn("kept", ~base & ~worse), docs.columns, [*FIELDS, "base_failed", "kept"])
 
 
 def _sql() -> str:

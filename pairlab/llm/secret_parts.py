@@ -27,7 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.llm.packing import packed, unpacked
 from pairlab.llm.registry import query, read
+from pairlab.session import cut_lineage
 
 SCOPE = 400
 OUT = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
@@ -79,8 +81,8 @@ def parts_of(keyed: DataFrame) -> DataFrame:
     rows = (keyed.select("key", F.explode(each).alias("e")).filter("e.found is not null")
             .select("key", "e.kind", F.posexplode("e.found").alias("i", "m"))
             .select("key", "kind", "i", "m.gap", F.coalesce("m.size", F.lit(0)).alias("size"), "m.part"))
-    # one set of matches for rows with equal id and text; all steps below keep this partitioning
-    rows = rows.repartition("key").dropDuplicates(["key", "kind", "i"])
+    # one set of matches for rows with equal id and text, combined before the shuffle; all steps below keep the second partitioning
+    rows = rows.dropDuplicates(["key", "kind", "i"]).repartition("key")
     before = Window.partitionBy("key", "kind").orderBy("i")
     end = F.sum(F.col("gap") + F.col("size")).over(before.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
@@ -122,20 +124,22 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def with_secrets(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", scope: int = SCOPE) -> DataFrame:
     """``docs`` with the base counts, ``base_sha256`` and ``spans`` (``kind:start:end`` by start, then kind)."""
-    keep = [c for c in docs.columns if c not in OUT]
     whole = F.coalesce(F.col(text), F.lit(""))
-    key = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(":"), whole))
+    told = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    # the length of the id keeps ids with colons apart
+    key = F.md5(F.concat_ws(":", F.when(F.col(doc_id).isNull(), F.lit("null")).otherwise(F.length(told).cast("string")), told, whole))
     found = linked(parts_of(docs.select(key.alias("key"), whole.alias("text"))), scope)
     label = F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string"))
     span = F.struct("start", "rank", label.alias("label"))
     joined = lambda c: F.array_join(F.transform(F.array_sort(c), lambda s: s["label"]), ",")
     found = found.groupBy("key").agg(
         *(F.count_if(F.col("kind") == b).alias(f"n_{b}") for b in BASE),
-        joined(F.collect_list(F.when(F.col("base"), span))).alias("__base_spans"), joined(F.collect_list(span)).alias("spans"))
-    found = found.withColumnRenamed("key", "__key")
-    rows = docs.select(*keep, key.alias("__row")).join(found, F.col("__row") == F.col("__key"), "left")
-    return rows.select(*keep, *(F.coalesce(f"n_{b}", F.lit(0)).cast("bigint").alias(f"n_{b}") for b in BASE),
-                       F.sha2(F.coalesce("__base_spans", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+        joined(F.collect_list(F.when(F.col("base"), span))).alias("base_spans"), joined(F.collect_list(span)).alias("spans"))
+    found = cut_lineage(found.withColumnRenamed("key", "found"))  # a plain shuffle in the join, so that a hot row can be split
+    rows = packed(docs, own=key).join(found, F.col("own") == F.col("found"), "left")
+    rows = rows.select("row", *(F.coalesce(f"n_{b}", F.lit(0)).cast("bigint").alias(f"n_{b}") for b in BASE),
+                       F.sha2(F.coalesce("base_spans", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return unpacked(rows, docs.columns, OUT)
 
 
 @query("op1_secret_scan")

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlab.llm.packing import packed, unpacked
 from pairlab.llm.registry import query, read
 
 # fixed values of the query's rules: verdict, host, path
@@ -61,13 +62,12 @@ def expressions(host: Column, path: Column, labels: int, slashes: int) -> Column
 
 def with_verdict(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with ``host, path, rule, verdict``; ``rules`` is ``(verdict, host, path)``."""
-    keep = [c for c in pages.columns if c not in OUT]
     rules = rules.select("verdict", "host", "path").filter("host is not null and path is not null").distinct()
     most = rules.agg(F.max(_count(F.col("host"), ".") + 1), F.max(_count(F.col("path"), "/"))).first()
     digest = F.sha2(F.concat("r_host", _filed(F.col("r_path"))), 256)
     book = (rules.select(F.col("verdict").alias("r_verdict"), F.col("host").alias("r_host"), F.col("path").alias("r_path"))
             .withColumn("r_digest", digest).withColumn("r_short", F.substring("r_digest", 1, SHORT)))
-    rows = pages.select(*keep, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    rows = packed(pages, host=host_of(F.col(url)), path=path_of(F.col(url)))
     places = rows.select("host", "path").distinct()
     found = (places.select("host", "path", F.explode(expressions(F.col("host"), F.col("path"), most[0] or 1, most[1] or 0)).alias("e"))
              .withColumn("digest", F.sha2("e", 256)).withColumn("short", F.substring("digest", 1, SHORT)).drop("e"))
@@ -76,9 +76,10 @@ def with_verdict(pages: DataFrame, rules: DataFrame, url: str = "url", default:
     best = fits.groupBy("host", "path").agg(F.max_by(
         F.struct(rule.alias("rule"), F.col("r_verdict").alias("verdict")),
         F.struct(F.length(rule), F.length("r_host"), F.col("r_verdict") == "block")).alias("best"))
-    best = best.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("best").alias("__best"))
-    return (rows.join(best, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
-            .select(*keep, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict")))
+    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best")
+    rows = (rows.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
+            .select("row", "host", "path", "best.rule", F.coalesce("best.verdict", F.lit(default)).alias("verdict")))
+    return unpacked(rows, pages.columns, OUT)
 
 
 def rule_table(spark: SparkSession, rules=tuple(RULES)) -> DataFrame:
