@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pairlab.functions import text as T
 from pairlab.operators.key_filter import filtered_anti_join
 from pairlab.operators.ranking import balanced_bucket, hex_bucket, null_safe_join, ranked, seeded_key
+from pairlab.sources.layout import any_null, not_null
 
 
 # ---------------------------------------------------------------- filters
@@ -101,7 +102,11 @@ def resume_anti_join(df: DataFrame, done: DataFrame, keys: Sequence[str], pages:
     """
     if pages is not None:
         return filtered_anti_join(df, done, keys, pages)
-    return null_safe_join(df, done.select(*keys).distinct(), list(keys), "left_anti")
+    # keys without nulls join by plain equality, which co-partitioned tables do without a shuffle
+    keys = list(keys)
+    done = done.select(*keys)
+    plain = not_null(df, keys).join(not_null(done, keys), keys, "left_anti").select(*df.columns)
+    return plain.unionByName(null_safe_join(any_null(df, keys), any_null(done, keys).distinct(), keys, "left_anti"))
 
 
 def pending_keys(index: DataFrame, done: DataFrame, keys: Sequence[str], pages: DataFrame | None = None) -> DataFrame:

@@ -119,11 +119,12 @@ def length_buckets(df: DataFrame, length: str, size: int, multiple: int = 8, by:
     from pairlab.operators.ranking import balanced_bucket
     by = list(by)
     order = [F.col(length)] + ([F.col(key)] if key else [])
-    # many rows share a length: the bucket also splits a length by key prefix
+    # many rows share a length: the bucket also splits a length by key prefix; a class is one length,
+    # so that a window holds the prefixes of one length or the lengths, never both
     bucket = (F.struct(F.col(length).cast("bigint").alias("len"), F.substring(F.col(key).cast("string"), 1, 3).alias("k"))
               if key else balanced_bucket(df, length))
     r = ranked(df, by, order, bucket, name="_pos",
-               coarse=(lambda b: F.floor(F.log2(F.greatest(b["len"], F.lit(0)) + 1))) if key else None)
+               coarse=(lambda b: b["len"]) if key else None)
     b = r.withColumn("batch", F.floor((F.col("_pos") - 1) / size).cast("bigint"))
     agg = b.groupBy(*by, "batch").agg(F.count(F.lit(1)).alias("rows"), F.max(length).alias("max_len"),
                                       F.sum(length).alias("total_len"))

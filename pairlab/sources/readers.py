@@ -5,8 +5,8 @@
 * split dataset      -- Parquet partitioned by language and split
 * comparison / judge result files -- one nested JSON document per file
 
-Every read declares its schema.  The per-record JSON layouts are read in one
-scan of ``*/*.json``; language and id come from ``_metadata.file_path``.
+Every read declares its schema.  Record files are listed by language and id and
+packed by size (``record_files``); language and id come from their paths.
 Malformed files are not dropped silently: they are routed to a quarantine
 DataFrame next to the good rows.
 """
@@ -14,10 +14,13 @@ DataFrame next to the good rows.
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairlab.sources.record_files import reachable, record_files
+
 INDEX_SCHEMA = "id STRING, titles MAP<STRING, STRING>, urls MAP<STRING, STRING>"
 ARTICLE_SCHEMA = "article_id STRING, title STRING, text STRING, url STRING, pageid BIGINT, _corrupt_record STRING"
 SUMMARY_SCHEMA = "article_id STRING, language STRING, summary STRING, title STRING, _corrupt_record STRING"
@@ -45,47 +48,55 @@ def read_article_index(spark: SparkSession, path: str, json_lines: bool = False)
     return spark.read.schema(INDEX_SCHEMA).option("multiLine", not json_lines).json(path)
 
 
-def _record_json(spark: SparkSession, root: str, schema: str, layout: str = "reference") -> DataFrame:
+def _record_json(spark: SparkSession, root: str, schema: str, layout: str = "reference",
+                 languages: Sequence[str] | None = None, ids: Sequence[str] | None = None) -> DataFrame:
     """One row per record under ``root``, parsed with ``schema``.
 
-    In the reference layout files are read whole (``wholetext``), language and
-    id come from the path; in the lines layout a record is a line, its id is in
-    the record and its language is the folder's.  A malformed record keeps its
-    text in ``_corrupt_record``.
+    In the reference layout files are read whole, language and id come from the
+    path (``record_files``; by Spark's text source where only Spark reaches the store); in the lines
+    layout a record is a line, its id is in the record and its language is the folder's.
+    A malformed record keeps its text in ``_corrupt_record``.
     """
     if layout not in LAYOUTS:
         raise ValueError(layout)
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    if layout == "reference" and reachable(root):
+        raw = record_files(spark, root, languages, ids)
+        return raw.select(F.col("path").alias("_path"), F.col("language").alias("_language"), F.col("id").alias("_id"), parsed.alias("_j")).select(
+            "_path", "_language", "_id", "_j.*")
     whole = layout == "reference"
     raw = (spark.read.option("wholetext", whole).option("pathGlobFilter", "*.json")
            .text(os.path.join(root, "*", "*.json") if whole else os.path.join(root, "language=*"))
            .withColumn("_path", F.col("_metadata.file_path"))
            .filter(~F.col("_path").endswith("/" + COMPLETED_FILE)))
-    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     rows = raw.select("_path", parsed.alias("_j")).select("_path", "_j.*")
     place = r"([^/]+)/([^/]+)\.json$" if whole else r"language=([^/]+)/([^/]+)$"
-    return (rows.withColumn("_language", F.regexp_extract("_path", place, 1))
+    rows = (rows.withColumn("_language", F.regexp_extract("_path", place, 1))
             .withColumn("_id", F.regexp_extract("_path", place, 2) if whole else F.col("article_id")))
+    if languages is not None:
+        rows = rows.filter(F.col("_language").isin(list(languages)))
+    return rows if ids is None else rows.filter(F.col("_id").isin(list(ids)))
 
 
-def read_articles(spark: SparkSession, root: str, layout: str = "reference") -> tuple[DataFrame, DataFrame]:
+def read_articles(spark: SparkSession, root: str, layout: str = "reference", languages: Sequence[str] | None = None,
+                  ids: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(articles, quarantine).  Articles: (article_id, language, title, text,
-    url) with absent keys as ""; quarantine: (path, record) of bad files."""
-    raw = _record_json(spark, root, ARTICLE_SCHEMA, layout)
-    good = raw.filter(F.col("_corrupt_record").isNull()).select(
-        F.col("_id").alias("article_id"), F.col("_language").alias("language"),
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "text", "url")])
-    bad = raw.filter(F.col("_corrupt_record").isNotNull()).select(F.col("_path").alias("path"),
-                                                                  F.col("_corrupt_record").alias("record"))
-    return good, bad
+    url) with absent keys as ""; quarantine: (path, record) of bad files.
+    ``languages`` and ``ids`` restrict what is listed and opened."""
+    return _good_and_bad(_record_json(spark, root, ARTICLE_SCHEMA, layout, languages, ids), ("title", "text", "url"))
 
 
-def read_summaries(spark: SparkSession, root: str, layout: str = "reference") -> tuple[DataFrame, DataFrame]:
+def read_summaries(spark: SparkSession, root: str, layout: str = "reference", languages: Sequence[str] | None = None,
+                   ids: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(summaries, quarantine): (article_id, language, summary, title) with absent
     keys as ""; the tracking file is skipped."""
-    raw = _record_json(spark, root, SUMMARY_SCHEMA, layout)
+    return _good_and_bad(_record_json(spark, root, SUMMARY_SCHEMA, layout, languages, ids), ("summary", "title"))
+
+
+def _good_and_bad(raw: DataFrame, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     good = raw.filter(F.col("_corrupt_record").isNull()).select(
         F.col("_id").alias("article_id"), F.col("_language").alias("language"),
-        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("summary", "title")])
+        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in fields])
     bad = raw.filter(F.col("_corrupt_record").isNotNull()).select(F.col("_path").alias("path"),
                                                                   F.col("_corrupt_record").alias("record"))
     return good, bad
