@@ -19,10 +19,10 @@ With ``short_lines`` the shorter lines that hold a word take part too, as equals
   a partner leaves.  One partner is enough, so groups of near-equal lines never become pairs.
   The join itself drops pairs whose signatures (64 parities of hashed pairs of neighbouring
   characters, of which an edit changes four at most) differ too much.
-* Keys that still hold undecided lines are refined: their lines are cut into ever more segments of
-  which all but ``distance`` are a key, so that what the lines share beside the hot
-  segment counts as well.  The last, finest keys are walked to their end, with ever
-  more lines a round.
+* Rounds take ever more lines, until every undecided line has met all earlier ones of its keys.
+  Keys with very many lines left after their first round are refined instead: their lines are
+  cut into more segments of which all but ``distance`` are a key, so that what
+  they share beside the hot segment counts as well; then again, into still more.
 * Texts of the lines that meet others are fetched by an exact join, thinned out before by a bitmap of fixed size.
 
 Defined results: a null text has no lines; repeated rows, and rows with the same id in the
@@ -48,8 +48,9 @@ DISTANCE, MIN_CHARS = 2, 20
 _WORD = r"[^\x20\x09-\x0D]"
 OUT = ["n_lines", "n_removed", "removed"]
 REFINED = (8, 16)  # segments of the finer keys
-FIRST_ROUND = 16  # earliest lines of a key met before it is refined
-GROWTH = 8  # times as many in each further round of the finest keys
+FIRST_ROUND = 16  # earliest lines of a key met in the first round
+GROWTH = 8  # times as many in each further one
+REFINE_ABOVE = 4096  # lines left with a key; up to there meeting them is cheaper than their finer keys
 BITMAP_BITS = 25  # 4 MB, see _thinned
 
 
@@ -209,15 +210,16 @@ def late_lines(lines: DataFrame, firsts: DataFrame, written, distance: int = DIS
             each = written(each, f"refined{pieces}")
             shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1").select("key")
             members = written(each.join(shared, "key").select("key", "node", "sig", unmet), f"members{pieces}")
-        quota = FIRST_ROUND
+        hot, quota = members.limit(0), FIRST_ROUND
         while not members.isEmpty():
             turn += 1
             members, found = _round(members, texts, decided, quota, distance, written, turn)
             decided = written(decided.union(found).distinct(), f"decided{turn}")
             members = _still_open(members, decided, written, turn)
-            if pieces != REFINED[-1]:
-                break  # to be refined
+            if quota == FIRST_ROUND and pieces != REFINED[-1]:
+                hot, members = members.filter(F.col("left") > REFINE_ABOVE), members.filter(F.col("left") <= REFINE_ABOVE)
             quota *= GROWTH
+        members = hot
         if members.isEmpty():
             break
     return decided.select("node.*")
@@ -239,11 +241,12 @@ def _round(members: DataFrame, texts: DataFrame, decided: DataFrame, quota: int,
 
 
 def _still_open(members: DataFrame, decided: DataFrame, written, turn: int) -> DataFrame:
-    """Members of the keys that hold an undecided line after one it hasn't met."""
+    """Members of the keys that hold an undecided line after one it hasn't met; ``left``: how many the key has."""
     known = members.join(decided.select("node", F.lit(True).alias("done")), "node", "left")
     open_ = (known.groupBy("key").agg(F.max(F.when(F.col("done").isNull(), F.col("node.first"))).alias("last"),
-                                      F.min(F.when(F.col("node") > F.col("met"), F.col("node.first"))).alias("next"))
-             .filter("next < last").select("key"))
+                                      F.min(F.when(F.col("node") > F.col("met"), F.col("node.first"))).alias("next"),
+                                      F.count(F.lit(1)).alias("left"))
+             .filter("next < last").select("key", "left"))
     return written(members.join(open_, "key"), f"open{turn}")
 
 

@@ -48,8 +48,10 @@ def test_similar_lines_share_a_key(spark, distance):
     assert df.filter(F.bit_count(E.signature(F.col("a")).bitwiseXOR(E.signature(F.col("b")))) > 4 * distance).count() == 0
 
 
-def test_templates_and_near_equal_groups(spark):
+@pytest.mark.parametrize("refine_above", [4096, 30])
+def test_templates_and_near_equal_groups(spark, monkeypatch, refine_above):
     """Lines of a template with long numbers hold one hot segment and few links; near-equal lines are all links."""
+    monkeypatch.setattr(E, "REFINE_ABOVE", refine_above)
     rng = random.Random(4)
     lines = [f"the order with the number {rng.randrange(10 ** 7):07d} was sent to the customer" for _ in range(150)]
     lines += [changed(rng, lines[k], rng.randint(1, 3)) for k in range(0, 150, 5)]
