@@ -9,8 +9,9 @@ ordered by population count so that tiles whose counts differ by more than the
 radius are skipped.  ``segments`` changes only the number of keys (more for
 larger corpora), never the result.
 
-A key with more than ``tile`` fingerprints is dealt into tiles by hash, and each
-pair of tiles is a unit of work of its own, so no task compares a whole hot key.
+A key with more than ``tile`` fingerprints is dealt into tiles by population count
+(and by hash where one count has many), and each pair of tiles whose counts lie within the
+radius is a unit of work of its own, so no task compares a whole hot key.
 A unit emits a spanning forest of its links (at most one row for each
 fingerprint), not the pairs.  Exact copies are one fingerprint from the start.
 Links go through connected components with checkpoints.
@@ -142,14 +143,22 @@ def _links(radius: int):
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, tile: int = TILE) -> DataFrame:
     """Distinct ``(fp)`` -> ``(a, b)``: links that join all fingerprints within the radius."""
-    rows = distinct.select("fp", F.explode(_keys(F.col("fp"), segments, radius)).alias("key")).select("fp", "key.t", "key.k")
-    hot = (rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
-           .select("t", "k", F.ceil(F.col("n") * 2 / tile).cast("int").alias("tiles")))
-    rows = rows.join(hot, ["t", "k"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    mine = F.pmod(F.xxhash64("fp", F.lit("tile")), F.col("tiles")).cast("int")
-    other = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("i"), F.greatest(F.col("mine"), o).alias("j")))
-    units = (rows.withColumn("mine", mine).select("fp", "t", "k", F.explode(other).alias("pair"))
-             .select("fp", F.xxhash64("t", "k", "pair.i", "pair.j").alias("unit"), F.bit_count("fp").alias("ones")))
+    rows = distinct.select("fp", F.bit_count("fp").alias("ones"), F.explode(_keys(F.col("fp"), segments, radius)).alias("key")).select("fp", "ones", "key.t", "key.k")
+    # tiles of a hot key: its fingerprints by population count, and by hash where one count has many
+    shares = F.struct("ones", F.ceil(F.col("n") * 2 / tile).cast("int").alias("tiles"))
+    hot = (rows.groupBy("t", "k", "ones").agg(F.count(F.lit(1)).alias("n")).groupBy("t", "k")
+           .agg(F.sum("n").alias("all"), F.collect_list(shares).alias("shares")).filter(F.col("all") > tile).select("t", "k", "shares"))
+    rows = rows.join(hot, ["t", "k"], "left")
+    own = F.element_at(F.filter("shares", lambda x: x["ones"] == F.col("ones")), 1)["tiles"]
+    rows = rows.withColumn("mine", F.struct(F.col("ones").alias("ones"), F.pmod(F.xxhash64("fp", F.lit("tile")), own).cast("int").alias("part")))
+    # only tiles whose counts lie within the radius meet
+    near = F.filter("shares", lambda x: F.abs(x["ones"] - F.col("ones")) <= radius)
+    others = F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), x["tiles"] - 1), lambda i: F.struct(x["ones"].alias("ones"), i.alias("part")))))
+    pairs = F.transform(others, lambda o: F.struct(F.least(F.col("mine"), o).alias("i"), F.greatest(F.col("mine"), o).alias("j")))
+    one = F.struct(F.lit(-1).alias("ones"), F.lit(0).alias("part"))
+    pairs = F.coalesce(pairs, F.array(F.struct(one.alias("i"), one.alias("j"))))
+    units = (rows.select("fp", "ones", "t", "k", F.explode(pairs).alias("pair"))
+             .select("fp", F.xxhash64("t", "k", "pair.i", "pair.j").alias("unit"), "ones"))
     return (units.repartition("unit").sortWithinPartitions("unit", "ones", "fp")
             .mapInPandas(_links(radius), "a long, b long").distinct())
 
