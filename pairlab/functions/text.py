@@ -156,6 +156,9 @@ INFOBOX_MARKER = "{{Infobox"
 INFOBOX_WINDOW = 500
 FILM_INDICATOR_LIMIT = 10
 BULLET_LIMIT = 15
+INFOBOX_ISSUE = "Article starts with an infobox"
+FILM_ISSUE = "Article may be primarily filmography (indicators: {n})"
+BULLET_ISSUE = "Article has many bullet points ({n})"
 
 
 def film_indicator_count(x: ColLike) -> Column:
@@ -172,14 +175,11 @@ def article_quality_issues(x: ColLike) -> Column:
     c = _c(x)
     films = film_indicator_count(c)
     stars = count_occurrences(c, "*")
+    counted = lambda issue, n: F.replace(F.lit(issue), F.lit("{n}"), n.cast("string"))
     return F.array_compact(F.array(
-        F.when(F.left(c, F.lit(INFOBOX_WINDOW)).contains(INFOBOX_MARKER),
-               F.lit("Article starts with an infobox")),
-        F.when(films > FILM_INDICATOR_LIMIT,
-               F.concat(F.lit("Article may be primarily filmography (indicators: "),
-                        films.cast("string"), F.lit(")"))),
-        F.when(stars > BULLET_LIMIT,
-               F.concat(F.lit("Article has many bullet points ("), stars.cast("string"), F.lit(")"))),
+        F.when(F.left(c, F.lit(INFOBOX_WINDOW)).contains(INFOBOX_MARKER), F.lit(INFOBOX_ISSUE)),
+        F.when(films > FILM_INDICATOR_LIMIT, counted(FILM_ISSUE, films)),
+        F.when(stars > BULLET_LIMIT, counted(BULLET_ISSUE, stars)),
     ))
 
 

@@ -30,31 +30,25 @@ def table_path(sf_dir: str, name: str) -> str:
 TEXT_TABLES = {"documents", "conversations", "pages", "benchmark", "embeddings"}
 
 
-def load_table(spark: SparkSession, sf_dir: str, name: str, rebalance: bool | None = None) -> DataFrame:
+SPLITS = "spark.pairlab.textSplits"
+
+
+def load_table(spark: SparkSession, sf_dir: str, name: str, splits: int | None = None) -> DataFrame:
     """Read one driver table with its declared schema.
 
     A Parquet file written as a single row group is read by one task however
     it is split, so every per-row text step before the first shuffle would
-    run in one task.  Text tables whose scan yields fewer input partitions
-    than the cluster's default parallelism are therefore rebalanced
-    (round-robin) right after the scan; large inputs with many splits are
-    left alone (no extra shuffle).
+    run in one task.  A caller who has such files asks for ``splits`` (or sets
+    ``spark.pairlab.textSplits``): text tables are then dealt into that many
+    partitions right after the scan.  Without it the scan is left as it is.
     """
     reader = spark.read
     if name in SCHEMAS:
         reader = reader.schema(SCHEMAS[name])
     df = reader.parquet(table_path(sf_dir, name))
-    if rebalance is None:
-        rebalance = name in TEXT_TABLES
-    if rebalance:
-        try:
-            want = spark.sparkContext.defaultParallelism
-            have = df.rdd.getNumPartitions()
-        except Exception:  # no RDD access (e.g. a remote session): leave the scan as is
-            return df
-        if have < want:
-            df = df.repartition(want)
-    return df
+    if splits is None and name in TEXT_TABLES:
+        splits = int(spark.conf.get(SPLITS, "0"))
+    return df.repartition(splits) if splits else df
 
 
 class Tables:
