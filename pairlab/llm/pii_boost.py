@@ -28,8 +28,10 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import ipaddress
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,12 +49,26 @@ PRECISION = 0.99
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("spelt_email", "ip6", "local_phone", "national_id", "account")
 KINDS = BASE_KINDS + MORE_KINDS
-# words that go before personal data of some kind, and before other numbers
+# words that go before personal data of some kind, and before other numbers, in English, German, French and Spanish
 HINTS = {
-    "email": ("mail", "contact", "write to"), "ip": ("ip", "host", "address", "server"),
-    "card": ("card", "visa", "credit", "payment"), "phone": ("phone", "call", "tel", "mobile", "fax", "reach"),
-    "id": ("ssn", "social", "passport", "national", "id"), "account": ("iban", "account", "bank"),
-    "other": ("version", "isbn", "order", "page", "article", "section", "price", "ref", "serial", "part", "year"),
+    "email": ("mail", "contact", "write to", "kontakt", "schreib", "contacto", "correo", "courriel", "escrib", "écri"),
+    "ip": ("ip", "host", "address", "server", "adresse", "rechner", "serveur", "servidor", "dirección", "direccion"),
+    "card": ("card", "visa", "credit", "payment", "karte", "carte", "tarjeta"),
+    "phone": ("phone", "call", "tel", "mobile", "fax", "reach", "anruf", "handy", "rufnummer", "appel", "portable", "móvil", "movil", "llam"),
+    "id": ("ssn", "social", "passport", "national", "id", "steuer", "ausweis", "versicherung", "numéro", "numero", "identi", "pass", "seguridad", "sécurité", "dni", "nif"),
+    "account": ("iban", "account", "bank", "konto", "überweis", "compte", "virement", "cuenta", "banco", "transfer"),
+    "other": ("version", "isbn", "order", "page", "article", "section", "price", "ref", "serial", "part", "year", "seite", "bestell", "preis", "commande", "prix",
+              "pedido", "página", "precio", "artikel", "artículo", "jahr", "année", "año"),
+}
+NEIGHBOURS = 24  # classes of hashed words just before a candidate
+# Characters of an account number (IBAN) by country, as registered.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20,
 }
 Span = tuple[str, int, int]
 
@@ -66,8 +82,8 @@ _piece = re.compile(r"[^ ]+")
 _at = re.compile(r" ?(?:\[at\]|\(at\)| at(?= ))", re.I | re.A)
 _spelt_local = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._+-")
 _spelt_domain = re.compile(r" {0,2}[A-Z0-9-]{1,64}(?: ?(?:\[dot\]|\(dot\)| dot |\.) ?[A-Z0-9-]{2,24}){1,4}", re.I | re.A)
-_ip6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
-_iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_ip6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:|:(?=:))[0-9A-Fa-f:]{0,34}(?:[0-9A-Fa-f]|::)(?![0-9A-Za-z:])")
+_iban = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
 
 def luhn(digits: str) -> bool:
@@ -139,7 +155,7 @@ def proposals(text: str) -> list[Span]:
                 if digits >= 7:
                     found.append((_number_kind(text[a:b]), a, b))
     if ":" in text:
-        found += [("ip6", m.start(), m.end()) for m in _ip6.finditer(text)]
+        found += [("ip6", m.start(), m.end()) for m in _ip6.finditer(text) if m.group().count(":") > 2 or "::" in m.group()]
     found += [("account", m.start(), m.end()) for m in _iban.finditer(text)]
     return found + list(_spelt(text))
 
@@ -153,21 +169,40 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     before, after = text[max(0, start - 40):start].lower(), text[end:end + 1]
     marks = [c for c in s if not c.isalnum()]
     groups = re.findall(r"[0-9]+", s)
-    iban = _iban_ok(s) if kind == "account" else False
+    checked = _iban_ok(s) if kind == "account" else _ip6_ok(s) if kind == "ip6" else False
+    near = _word_before(text, start)
     shape = re.fullmatch(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|\(?0[0-9]{2,4}\)?[ /.-][0-9]{3,4}[ .-]?[0-9]{3,5}", s)
     return [float(x) for x in (
         KINDS.index(kind), len(s), len(digits), len(marks), len(set(marks)), len(set(digits)), len(groups),
         max(map(len, groups), default=0), min(map(len, groups), default=0), luhn(digits) if digits else False,
-        s[:1] == "+", s[:1] == "(", "/" in s, "." in s, "-" in s, " " in s, "(" in s, iban, shape is not None,
+        s[:1] == "+", s[:1] == "(", "/" in s, "." in s, "-" in s, " " in s, "(" in s, checked, shape is not None,
         all(len(g) < 4 and int(g) < 256 for g in groups) if groups else False,
         bool(re.search(r"\b(19|20)[0-9]{2}\b", s)), before[-1:].isalnum(), after.isalnum(),
         "[" in s, " at " in s.lower(), " dot " in s.lower(), ". " in s, s[-1:].isalpha(),
-        _more_before.search(text, max(0, start - 4), start) is not None, _more_after.match(text, end) is not None, *(any(h in before for h in words) for words in HINTS.values()))]
+        _more_before.search(text, max(0, start - 4), start) is not None, _more_after.match(text, end) is not None, *(any(h in before for h in words) for words in HINTS.values()),
+        *(near == k + 1 for k in range(NEIGHBOURS)))]
+
+
+def _ip6_ok(s: str) -> bool:
+    """Eight groups, or fewer with one run of zero groups left out."""
+    try:
+        return int(ipaddress.IPv6Address(s)) > 1
+    except ValueError:
+        return False
+
+
+def _word_before(text: str, start: int) -> int:
+    """Class of the word just before a candidate, 0 if there is none: context beyond the listed words."""
+    m = _last_word.search(text, max(0, start - 40), start)
+    return 1 + zlib.crc32(m.group(1).lower().encode()) % NEIGHBOURS if m else 0
+
+
+_last_word = re.compile(r"([^\W\d_]+)[^\w\n]*\Z")
 
 
 def _iban_ok(s: str) -> bool:
     s = s.replace(" ", "")
-    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    return len(s) == IBAN_LENGTHS.get(s[:2]) and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
 def ruled_out(text: str, kind: str, start: int, end: int) -> bool:
@@ -175,8 +210,8 @@ def ruled_out(text: str, kind: str, start: int, end: int) -> bool:
     s = text[start:end]
     if kind == "account":
         return not _iban_ok(s)
-    if kind == "ip6":  # all eight groups must be there where nothing is left out
-        return s.count(":") != 7
+    if kind == "ip6":
+        return not _ip6_ok(s)
     if kind == "spelt_email":  # a sentence ends inside, or no domain ends like this
         return re.search(r"\. [A-Z]", s) is not None or not re.split(r"[^A-Za-z0-9-]", s)[-1].isalpha()
     if kind == "local_phone":
@@ -200,12 +235,42 @@ def _date(s: str) -> bool:
     return _years.fullmatch(s) is not None
 
 
-def made_examples(n: int, seed: int = 8) -> list[tuple[str, Span, int]]:
-    """Texts with one span each: disguised personal data (1) and other numbers (0)."""
+# sentences around a span, by family: the trees never see the second one
+FAMILIES = (
+    ("{w} {w} {h}: {x} {w} {w}.", "{w}, {h} {x}", "{h}={x}; {w} {w}", "{w} {w} ({h} {x}) {w}."),
+    ("{w} {w} {w}. {h} - {x}, {w} {w} {w}", "{w}\n{h}\t{x}\n{w} {w}", "«{h}» {x}! {w}"),
+)
+COUNTRIES = (("DE", "FR", "GB", "NO", "AT", "PL", "IT", "BE", "CH", "SE", "PT", "FI", "GR"), ("ES", "NL", "LU", "DK", "IE", "CZ", "HU", "MT"))
+
+
+def _account(r: random.Random, country: str) -> str:
+    """An account number of the country's length with true check digits."""
+    body = "".join(r.choice("0123456789") for _ in range(IBAN_LENGTHS[country] - 4))
+    if r.random() < 0.3:
+        body = "".join(r.choice("ABCDEFGHKLMNP") for _ in range(4)) + body[4:]
+    check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+    s = f"{country}{check:02d}{body}"
+    return " ".join(s[k:k + 4] for k in range(0, len(s), 4)) if r.random() < 0.4 else s
+
+
+def _address6(r: random.Random) -> str:
+    groups = [f"{r.randrange(1 << 16):{r.choice(['x', '04x'])}}" for _ in range(8)]
+    if r.random() < 0.5:
+        return ":".join(groups)
+    a = r.randint(0, 5)
+    return ":".join(groups[:a]) + "::" + ":".join(groups[a + r.randint(2, 8 - a):])
+
+
+def made_examples(n: int, seed: int = 8, family: int = 0) -> list[tuple[str, Span, int]]:
+    """Texts with one span each: disguised personal data (1) and other numbers (0).
+
+    Families differ in the sentences, in the countries of account numbers and in which half of
+    the words before a span they use.
+    """
     r = random.Random(seed)
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 9)))
-    hexa = lambda: "".join(r.choice("0123456789abcdef") for _ in range(4))
+    hints = {k: words[family::2] for k, words in HINTS.items()}
     out = []
     for i in range(n):
         good = i % 2 == 0
@@ -214,19 +279,21 @@ def made_examples(n: int, seed: int = 8) -> list[tuple[str, Span, int]]:
         if kind == "spelt_email":
             at, dot = r.choice([("[at]", "[dot]"), ("(at)", "(dot)"), (" at ", " dot "), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "."), (" at ", ".")])
             sure = (at, dot) == (" at ", ".")
-            end = r.choice(["com", "org", "net", "de"])
+            end = r.choice(["com", "org", "net", "de", "fr", "es"])
             span = f"{word()}{at}{word()}{dot}{end}" if good or sure else f"{word()} at {word()}. {word()}"
             if r.random() < 0.2:
                 span = span.upper()
             hint = "email"
         elif kind == "ip6":
-            span = ":".join(hexa() for _ in range(8)) if good else ":".join(num(2) for _ in range(4))
+            span = _address6(r) if good else r.choice([":".join(num(2) for _ in range(4)), ":".join(num(2) for _ in range(3)) + "::" + num(5)[:4] + ":0:0:0:0:0"])
             hint = "ip"
         elif kind == "local_phone":
             sep = r.choice(" .-")
             pairs = sep.join([f"0{r.randint(1, 9)}", *(num(2) for _ in range(4))])
-            span = r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(3)}/{num(4)}{num(2)}", pairs]) if good else r.choice(
-                [num(r.randint(7, 19)), f"{num(2)}.{num(2)}.20{num(2)}", f"20{num(2)}-{num(2)}-{num(2)}", f"{num(4)} {num(4)} {num(4)}", f"{num(3)}.{num(3)}.{num(3)}", f"{num(3)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}"])
+            threes = " ".join(num(3) for _ in range(3))
+            span = r.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(3)}/{num(4)}{num(2)}", pairs, f"0{num(3)} {num(7)}"]) if good else r.choice(
+                [num(r.randint(7, 19)), f"{num(2)}.{num(2)}.20{num(2)}", f"20{num(2)}-{num(2)}-{num(2)}", f"{num(4)} {num(4)} {num(4)}", f"{num(3)}.{num(3)}.{num(3)}",
+                 f"{num(3)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}", threes])
             if not good and r.random() < 0.3:  # a part of a phone number
                 whole = [f"0{r.randint(1, 9)}", *(num(2) for _ in range(4))]
                 a, b = r.choice([(0, 4), (1, 5)])
@@ -236,14 +303,19 @@ def made_examples(n: int, seed: int = 8) -> list[tuple[str, Span, int]]:
             span = f"{num(3)}-{num(2)}-{num(4)}"
             hint = "id"
         else:
-            body = num(18)
-            check = 98 - int(body + "131400") % 97  # country DE
-            span = f"DE{check:02d}{body}" if good else f"{r.choice('ABCDEFGH')}{r.choice('JKLMNOP')}{num(18)}"
+            country = r.choice(COUNTRIES[family])
+            span = _account(r, country)
+            if not good:  # one digit off, another length, or no such country
+                k = r.randrange(len(span) - 1, 3, -1)
+                off = "".join(str((int(c) + 1) % 10) if j == k and c.isdigit() else c for j, c in enumerate(span))
+                span = r.choice([off if off != span else span[:3] + str((int(span[3]) + 1) % 10) + span[4:], f"{r.choice('ABCDEFGH')}Q{num(18)}"])
             hint = "account"
         hinted = r.random() < (0.9 if good or left or right else 0.1) or (sure and good)
-        lead = r.choice(HINTS[hint if hinted and (good or not sure) else "other"]) if hinted or not good else word()
-        head = f"{word()} {word()} {lead}: {left}"
-        out.append((f"{head}{span}{right} {word()} {word()}.", (kind, len(head), len(head) + len(span)), int(good)))
+        lead = r.choice(hints[hint if hinted and (good or not sure) else "other"]) if hinted or not good else word()
+        head, tail = r.choice(FAMILIES[family]).split("{x}")
+        fill = lambda t: re.sub(r"\{w\}", lambda _: word(), t).replace("{h}", lead)
+        head = fill(head) + left
+        out.append((f"{head}{span}{right}{fill(tail)}", (kind, len(head), len(head) + len(span)), int(good)))
     return out
 
 
