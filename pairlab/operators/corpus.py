@@ -211,7 +211,7 @@ def cap_per_group(df: DataFrame, k: int, by: Sequence[str], order: Sequence[str]
     """First ``k`` rows per group in ``order`` (exact, with a rank column)."""
     order_cols = [F.col(c) for c in order]
     if bucket is None:
-        bucket = balanced_bucket(df, order[0])
+        bucket = balanced_bucket(df, order[0], then=order[1:])
     return ranked(df, by, order_cols, bucket, name=name, limit=k)
 
 
@@ -316,6 +316,6 @@ def batch_assign(df: DataFrame, size: int, order: Sequence[str], by: Sequence[st
                  name: str = "batch") -> DataFrame:
     """Consecutive batches of ``size`` rows in index order (exact)."""
     order_cols = [F.col(c) for c in order]
-    bucket = balanced_bucket(df, order[0])
+    bucket = balanced_bucket(df, order[0], then=order[1:])
     r = ranked(df, list(by), order_cols, bucket, name="_pos")
     return r.withColumn(name, F.floor((F.col("_pos") - 1) / size).cast("bigint")).drop("_pos")

@@ -24,6 +24,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # 16 bits of a hex hash -> 65,536 buckets per group.
 HASH_BUCKET_HEX = 4
@@ -73,28 +74,37 @@ class SplitBucket:
     value: Column
     points: Column
     bits: int
+    then: SplitBucket | None = None  # inside buckets of one value
 
 
-def balanced_bucket(df: DataFrame, order_col: str, buckets: int = 1024) -> SplitBucket:
+def balanced_bucket(df: DataFrame, order_col: str, buckets: int = 1024, then: Sequence[str] = ()) -> SplitBucket:
     """Range bucket of a numeric order column by approximate quantiles.
 
     The ``buckets - 1`` split points (a bounded array) are a scalar subquery of the plan:
     nothing runs while the plan is built, and every branch of a query that uses
     the bucket shares the one result.  A heavy tail or an outlier doesn't put most
-    rows into one bucket as equal widths would.  Rows with equal values share a bucket.
+    rows into one bucket as equal widths would.  A split point's own value is a bucket of
+    its own, so a value that many rows share is one; ``then`` names the next order columns, by the
+    first of which (if it is a number) such buckets are split again.
     """
     qs = [i / buckets for i in range(1, buckets)]
     value = F.col(order_col).cast("double")
     found = df.agg(F.percentile_approx(F.when(~F.isnan(value), value), qs, 20 * buckets).alias("s"))
     points = found.select(F.coalesce(F.array_sort(F.array_distinct("s")), F.array().cast("array<double>"))).scalar()
-    return SplitBucket(value, points, (buckets - 1).bit_length())
+    next_ = balanced_bucket(df, then[0], buckets) if then and isinstance(df.schema[then[0]].dataType, T.NumericType) else None
+    return SplitBucket(value, points, (buckets - 1).bit_length(), next_)
 
 
 def with_bucket(df: DataFrame, bucket: Column | SplitBucket, name: str = "_bucket") -> DataFrame:
     if isinstance(bucket, SplitBucket):
         # the points are a column of their own first: a higher-order function holds no subquery
         found = split_bucket(bucket.value, F.col("_points"), bucket.bits)
-        return df.withColumn("_points", bucket.points).withColumn(name, found).drop("_points")
+        df = df.withColumn("_points", bucket.points).withColumn(name, found).drop("_points")
+        if bucket.then is None:
+            return df
+        df = with_bucket(df, bucket.then, "_then")
+        # odd buckets hold one value, along which the next order column ascends
+        return df.withColumn(name, F.struct(F.col(name).alias("a"), F.when(F.col(name) % 2 == 1, F.col("_then")).alias("b"))).drop("_then")
     return df.withColumn(name, bucket)
 
 
@@ -104,13 +114,15 @@ def _bucketed(df: DataFrame, bucket: Column | SplitBucket) -> DataFrame:
 
 
 def split_bucket(value: Column, points: Column, bits: int) -> Column:
-    """The number of split points below the value (binary search); nulls come first."""
+    """Twice the number of split points below the value (binary search), one more at a split point; nulls come first."""
     both = F.struct(value.alias("x"), points.alias("points"))
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(bits))))
 
     def search(t: Column) -> Column:
-        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
             (at + step <= F.size(t["points"])) & (F.get(t["points"], at + step - 1) < t["x"]), at + step).otherwise(at))
+        both = F.array(F.struct(below.alias("n"), t["points"].alias("points"), t["x"].alias("x")))
+        return F.element_at(F.transform(both, lambda s: 2 * s["n"] + F.coalesce(F.get(s["points"], s["n"]) == s["x"], F.lit(False)).cast("int")), 1)
 
     found = F.element_at(F.transform(F.array(both), search), 1)
     return F.when(value.isNull(), F.lit(-1)).otherwise(found).cast("bigint")

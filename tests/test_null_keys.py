@@ -55,6 +55,15 @@ def test_heavy_tail_is_balanced(spark):
     assert biggest < 3 * 20000 / 64
 
 
+def test_ties_of_the_first_column_are_split_by_the_next(spark):
+    df = spark.range(30000).selectExpr("id % 3 as a", "cast(id * 7919 % 30011 as double) as b", "'x' as c")
+    bucket = R.balanced_bucket(df, "a", 64, then=["b", "c"])
+    assert R.with_bucket(df, bucket, "k").groupBy("k").count().agg(F.max("count")).first()[0] < 3 * 10000 / 64
+    got = C.batch_assign(df, 100, ["a", "b"]).withColumn("want", F.floor((F.row_number().over(Window.orderBy("a", "b")) - 1) / 100))
+    assert got.count() == 30000 and got.filter("batch <> want").count() == 0
+    assert C.batch_assign(df, 100, ["a", "c"]).groupBy("batch").count().agg(F.max("count"), F.count("*")).first()[:] == (100, 300)
+
+
 def test_pairs_with_an_empty_side_score_zero(spark):
     v = spark.createDataFrame([(1, "cand", 0, [1.0, 0.0]), (1, "ref", 0, [1.0, 0.0]), (2, "cand", 0, [1.0, 0.0]), (3, "ref", 0, [0.0, 1.0])],
                               "pair_id bigint, side string, pos int, embedding array<double>")
