@@ -41,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairlab.functions.pieces import pieces
 from pairlab.llm.components import connected_components
 from pairlab.llm.hash_filter import bitmap_of, may_hold
 from pairlab.llm.registry import query, read
@@ -161,7 +162,7 @@ def small_sketch(x: np.ndarray, layout: int) -> bytes:
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, ta, tb, text) -> the same without the text, then set size, digest and keys."""
     longs = pa.list_(pa.int64())
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in pieces(whole)):
         sets = shingle_sets(batch.column(3).cast(pa.binary()).to_pylist())
         keys = [sketch_keys(x) for x in sets]
         h1 = np.array([mix(x).sum(dtype=np.uint64) for x in sets], np.uint64)
@@ -200,7 +201,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text) -> (node, n, shingles, own and upper small sketch)."""
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in pieces(whole)):
         sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
         own = [int(np.searchsorted(bands(), max(1, len(x)), "right")) - 1 for x in sets]
         yield pa.RecordBatch.from_arrays(
