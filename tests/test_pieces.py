@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import pairlab.llm.parity_join as J
 from pairlab.functions.pieces import pieces
 from pairlab.functions.tokenizers import tokenizer_udf
+from pairlab.operators import examples as X
 
 rng = random.Random(5)
 WORDS = [f"w{rng.randrange(10 ** 6)}" for _ in range(30000)]
@@ -47,3 +48,14 @@ def test_signatures_and_sets_hold_one_piece():
     assert same[0].combine_chunks().equals(same[1].combine_chunks())
     assert peak_mb(J._signatures(iter([whole]))) < 30
     assert peak_mb(J._sets(iter([whole.select(["doc_id", "text"])]))) < 30
+
+
+def test_distinct_tokens_hold_one_piece():
+    batch = pa.RecordBatch.from_arrays([pa.array([{"k": k} for k in range(len(TOKENS))]), pa.array(TOKENS)], names=["row", "tokens"])
+    got = [(r["row"]["k"], r["token"], r["positions"]) for b in X._distinct_tokens(iter([batch])) for r in b.to_pylist()]
+    texts = [[None] * len(t) for t in TOKENS]
+    for k, token, positions in got:
+        for p in positions:
+            texts[k][p] = token
+    assert texts == TOKENS and len(got) == sum(len(set(t)) for t in TOKENS)
+    assert peak_mb(X._distinct_tokens(iter([batch]))) < 8
