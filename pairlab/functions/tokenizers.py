@@ -17,13 +17,15 @@ DuckDB oracle can reproduce them):
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairlab.functions.pieces import pieces
+
 PATTERNS = {
     "whitespace": r"\S+",
     "word": r"[\p{L}\p{N}]+",
@@ -52,16 +54,19 @@ def tokens(x: Column, tokenizer: str = "wordpunct", lowercase: bool | None = Non
 
 
 def tokenizer_udf(fn: Callable[[str], list[str]], name: str | None = None):
-    """Wrap a per-text Python tokenizer as an Arrow-batched pandas UDF.
+    """Wrap a per-text Python tokenizer as an Arrow UDF.
 
     ``fn`` is applied inside the Python worker to each text of an Arrow
-    batch (a segmenter, a subword model...).  When ``name`` is given the
+    batch (a segmenter, a subword model...); the token lists of one piece
+    of the batch are held at a time.  When ``name`` is given the
     tokenizer is also registered for every operator that takes a
     ``tokenizer=`` argument.
     """
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def _tok(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else list(fn(t)))
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def _tok(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for texts in pieces(batch):
+                yield pa.array([None if t is None else list(fn(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
 
     if name:
         register_tokenizer(name, lambda c: _tok(c))

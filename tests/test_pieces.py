@@ -59,3 +59,13 @@ def test_distinct_tokens_hold_one_piece():
             texts[k][p] = token
     assert texts == TOKENS and len(got) == sum(len(set(t)) for t in TOKENS)
     assert peak_mb(X._distinct_tokens(iter([batch]))) < 8
+
+
+def test_tokenizer_udf_holds_one_piece(spark):
+    split = tokenizer_udf(lambda s: s.split())
+    assert peak_mb(split.func(iter([pa.array(TEXTS)]))) < 15
+    rows = [(k, t) for k, t in enumerate(TEXTS)] + [(-1, None), (-2, "")]
+    df = spark.createDataFrame(rows, "k int, text string").repartition(2)
+    # two calls in one projection
+    got = {r.k: (r.a, r.b) for r in df.select("k", split("text").alias("a"), F.size(split(F.upper("text"))).alias("b")).collect()}
+    assert got == {k: (None, None) if t is None else (t.split(), len(t.split())) for k, t in rows}
