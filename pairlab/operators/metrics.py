@@ -19,7 +19,7 @@ A pair whose generation has no tokens scores 0.0 (the reference's failure
 value).
 
 ROUGE-L needs a longest common subsequence, which no SQL operator
-expresses; it runs in an Arrow-batched pandas UDF with the bit-parallel
+expresses; it runs in an Arrow UDF with the bit-parallel
 LCS (Crochemore et al. 2001 / Hyyro 2004): O(|a|*|b|/word) per pair on
 whole texts (no token cap).  Only the two token arrays cross into Python.
 """
@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab.functions import text as TX
+from pairlab.functions.pieces import pieces
 from pairlab.functions.tokenizers import tokens
 
 ROUGE_TOKENIZER = "word"
@@ -60,6 +60,18 @@ def _f1(p: Column, r: Column) -> Column:
     return F.when((p + r) > 0, F.lit(2.0) * p * r / (p + r)).otherwise(F.lit(0.0))
 
 
+def _pairs(hyp: pa.Array, ref: pa.Array) -> Iterator[tuple[list, list]]:
+    """The lists of both sides (null: empty), as Python objects for one piece of the batch at a time."""
+    for both in pieces(pa.RecordBatch.from_arrays([hyp, ref], names=["hyp", "ref"])):
+        for h, r in zip(both.column(0).to_pylist(), both.column(1).to_pylist()):
+            yield h or [], r or []
+
+
+def _structs(rows: list, names: list[str], kind: pa.DataType) -> pa.Array:
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.StructArray.from_arrays([pa.array(c, kind) for c in columns], names=names)
+
+
 def _overlap_udf(ns: Sequence[int], counts: str):
     """Arrow UDF: per pair and order n, (overlap, hyp n-grams, ref n-grams)."""
     from collections import Counter
@@ -72,12 +84,10 @@ def _overlap_udf(ns: Sequence[int], counts: str):
     def grams(toks: list, n: int) -> Counter:
         return Counter(zip(*[toks[i:] for i in range(n)]))
 
-    @F.pandas_udf(schema)
-    def overlap(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(schema)
+    def overlap(hyp: pa.Array, ref: pa.Array) -> pa.Array:
         rows = []
-        for h, r in zip(hyp, ref):
-            h = [] if h is None else list(h)
-            r = [] if r is None else list(r)
+        for h, r in _pairs(hyp, ref):
             row = []
             for n in ns:
                 ch, cr = grams(h, n), grams(r, n)
@@ -86,7 +96,7 @@ def _overlap_udf(ns: Sequence[int], counts: str):
                 else:
                     row += [len(ch.keys() & cr.keys()), len(ch), len(cr)]
             rows.append(row)
-        return pd.DataFrame(rows, columns=[f.name for f in fields])
+        return _structs(rows, [f.name for f in fields], pa.int64())
     return overlap
 
 
@@ -228,24 +238,18 @@ _PRF = T.StructType([T.StructField("p", T.DoubleType()), T.StructField("r", T.Do
                      T.StructField("f", T.DoubleType())])
 
 
-@F.pandas_udf(_PRF)
-def _rouge_l_udf(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    rows = []
-    for h, r in zip(hyp, ref):
-        h = list(h) if h is not None else []
-        r = list(r) if r is not None else []
-        rows.append(_prf(lcs_length(h, r), len(h), len(r)))
-    return pd.DataFrame(rows, columns=["p", "r", "f"])
+@F.arrow_udf(_PRF)
+def _rouge_l_udf(hyp: pa.Array, ref: pa.Array) -> pa.Array:
+    rows = [_prf(lcs_length(h, r), len(h), len(r)) for h, r in _pairs(hyp, ref)]
+    return _structs(rows, ["p", "r", "f"], pa.float64())
 
 
-@F.pandas_udf(_PRF)
-def _rouge_lsum_udf(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_PRF)
+def _rouge_lsum_udf(hyp: pa.Array, ref: pa.Array) -> pa.Array:
     """Summary-level LCS: per reference sentence, union of LCS hits with
     every generated sentence (Lin 2004, section 3.2)."""
     rows = []
-    for hs, rs in zip(hyp, ref):
-        hs = [list(s) for s in (hs if hs is not None else [])]
-        rs = [list(s) for s in (rs if rs is not None else [])]
+    for hs, rs in _pairs(hyp, ref):
         n_h, n_r = sum(map(len, hs)), sum(map(len, rs))
         hit = 0
         for rsent in rs:
@@ -254,7 +258,7 @@ def _rouge_lsum_udf(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
                 union |= lcs_positions(rsent, hsent)
             hit += len(union)
         rows.append(_prf(hit, n_h, n_r))
-    return pd.DataFrame(rows, columns=["p", "r", "f"])
+    return _structs(rows, ["p", "r", "f"], pa.float64())
 
 
 def rouge_l(df: DataFrame, keys: Sequence[str], reference: str = "reference", generated: str = "generated",

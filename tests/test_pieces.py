@@ -11,6 +11,7 @@ import pairlab.llm.parity_join as J
 from pairlab.functions.pieces import pieces
 from pairlab.functions.tokenizers import tokenizer_udf
 from pairlab.operators import examples as X
+from pairlab.operators import metrics as M
 
 rng = random.Random(5)
 WORDS = [f"w{rng.randrange(10 ** 6)}" for _ in range(30000)]
@@ -69,3 +70,14 @@ def test_tokenizer_udf_holds_one_piece(spark):
     # two calls in one projection
     got = {r.k: (r.a, r.b) for r in df.select("k", split("text").alias("a"), F.size(split(F.upper("text"))).alias("b")).collect()}
     assert got == {k: (None, None) if t is None else (t.split(), len(t.split())) for k, t in rows}
+
+
+@pytest.mark.parametrize("name", ["overlap", "lcs", "lsum"])
+def test_rouge_steps_hold_one_piece(name):
+    udf = {"overlap": M._overlap_udf((1, 2), "clipped"), "lcs": M._rouge_l_udf, "lsum": M._rouge_lsum_udf}[name]
+    side = pa.array([[t[:30]] for t in TOKENS] * 4 if name == "lsum" else [t[:30] for t in TOKENS] * 4)
+    got = udf.func(side, side)
+    assert len(got) == 4 * len(TOKENS) and set(got.field(0).to_pylist()) == ({30} if name == "overlap" else {1.0})
+    assert peak_mb(udf.func(side, side) for _ in range(1)) < 10
+    nothing = udf.func(pa.array([None, []], side.type), side.slice(0, 2))
+    assert nothing.field(0).to_pylist() == [0, 0]
