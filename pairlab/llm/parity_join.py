@@ -13,10 +13,11 @@ of at least ``similarity`` percent; each row gets the component of its text.
   if a partner may be there.  Pieces meet by key, in one sorted pass.
 * Equal sets are one node from the start.  Each node is first verified against the
   node it meets in most keys; links make components.  Only keys that still hold
-  several components go on: there all nodes beside the largest component are compared
-  with all others on a smaller sketch of one word for 64 elements, by exclusive-or and bit counts, in
-  tiles within size classes.  The nearest of the pairs within the bound are verified, then more
-  and more of them, until none is left whose ends lie in different components.
+  several components go on, and of keys with the same nodes one: there all nodes beside the
+  largest component are compared with all others on a smaller sketch of one word for 64 elements, by
+  exclusive-or and bit counts, keys of more nodes than a tile in tiles within size classes.  The
+  nearest of the pairs within the bound are verified.  Where a node has further ones, its keys go
+  on with more and more of them, until none is left whose ends lie in different components.
 * Verification is exact, on the sets of shingle hashes (64 bits).
 
 Every pair that could link two components is verified, so components are exact, while
@@ -210,8 +211,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["node", "n", "shingles", "own", "upper"])
 
 
-def _near_pairs(node: np.ndarray, component: np.ndarray, size: np.ndarray, tile: np.ndarray, sketches: list[bytes], similarity: int, low: int, high: int):
-    """Pairs of a unit within the bound: of each node the ``low``-th to ``high``-th nearest that lie in another component.
+def _near_pairs(node: np.ndarray, component: np.ndarray, size: np.ndarray, tile: np.ndarray, sketches: list[bytes], similarity: int, nearest: int):
+    """Pairs of a unit within the bound: of each node those of the ``nearest`` that lie in another component.
 
     A node that has further ones is also given with itself.
     """
@@ -234,13 +235,13 @@ def _near_pairs(node: np.ndarray, component: np.ndarray, size: np.ndarray, tile:
             continue
         near = near[np.lexsort((node[near], away[near]))]
         other = component[near] != component[i]
-        found += [(min(node[i], node[j]), max(node[i], node[j])) for j in near[low:high][other[low:high]]]
-        if other[high:].any():
+        found += [(min(node[i], node[j]), max(node[i], node[j])) for j in near[:nearest][other[:nearest]]]
+        if other[nearest:].any():
             found.append((node[i], node[i]))
     return found
 
 
-def _compared(similarity: int, low: int, high: int):
+def _compared(similarity: int, nearest: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Units follow each other in sorted order; each is compared when its last row is there."""
         held: list[pa.RecordBatch] = []
@@ -255,7 +256,7 @@ def _compared(similarity: int, low: int, high: int):
                 begin = end
                 comps = col["component"][part]
                 if (comps != comps[0]).any() and len({len(s) for s in sketches[part]}) == 1:
-                    out += _near_pairs(col["node"][part], comps, col["n"][part], col["tile"][part], sketches[part], similarity, low, high)
+                    out += _near_pairs(col["node"][part], comps, col["n"][part], col["tile"][part], sketches[part], similarity, nearest)
             return out
 
         def give(found):
@@ -293,6 +294,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.filter(100 * shared >= similarity * (F.col("a_n") + F.col("b_n") - shared)).select("a", "b")
 
 
+def _open_keys(tagged: DataFrame) -> DataFrame:
+    """``(key, held)`` of keys that hold several components and a node with further pairs; of keys with the same nodes one.
+
+    Same nodes: equal in number and in two sums of 64-bit hashes.
+    """
+    total = lambda *of: F.sum(F.xxhash64(*of).cast("decimal(20,0)"))
+    keys = (tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("further").alias("further"), F.count(F.lit(1)).alias("held"),
+                                      total("node", "lower").alias("sum_a"), total("lower", "node").alias("sum_b")).filter("x <> y and further"))
+    return keys.groupBy("held", "sum_a", "sum_b").agg(F.min("key").alias("key")).select("key", "held")
+
+
 def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: int = SIMILARITY,
                        tile: int = TILE, nearest: int = NEAREST) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs``."""
@@ -332,38 +344,41 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     votes = members.filter("node <> rep").groupBy("node", "rep").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy(F.col("node").alias("b")).agg(F.max_by("rep", F.struct("votes", -F.col("rep"))).alias("a")).select("a", "b")
     links = written(_verified(best, sets, similarity), "links0")
-    low, high, turn = 0, nearest, 0
+    turn, growth = 0, nearest
+    # a partner's size lies in the same size class or in a neighbouring one
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / similarity)) + 1e-9).cast("bigint")
+    sized = sets.select("node", "n", size_class.alias("class"), "own", "upper")
     while True:
         components = connected_components(links)
         label = components.select("node", "component")
         tagged = members.select("key", "node", "lower").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-        # a partner's size lies in the same size class or in a neighbouring one
-        size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / similarity)) + 1e-9).cast("bigint")
-        sized = sets.select("node", "n", size_class.alias("class"), "own", "upper")
-        spread = (tagged.join(mixed, "key").join(sized, "node")
+        if turn:
+            tagged = tagged.join(further.withColumn("further", F.lit(True)), "node", "left")
+        else:
+            tagged = tagged.withColumn("further", F.lit(True))
+        spread = (tagged.join(_open_keys(tagged), "key").join(sized, "node")
                   .withColumn("sketch", F.when(F.col("lower"), F.col("upper")).otherwise(F.col("own")))
-                  .select("key", "node", "component", "n", "sketch", F.explode(F.array("class", F.col("class") + 1)).alias("class")))
+                  .withColumn("classes", F.when(F.col("held") > tile, F.array("class", F.col("class") + 1)).otherwise(F.array(F.lit(-1).cast("bigint"))))
+                  .select("key", "node", "component", "further", "n", "sketch", F.explode("classes").alias("class")))
         spread = written(spread, f"spread{turn}")
-        units = (spread.groupBy("key", "class").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("held"))
-                 .filter("x <> y").select("key", "class", F.ceil(F.col("held") / tile).cast("int").alias("tiles")))
+        units = (spread.groupBy("key", "class").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("further").alias("further"), F.count(F.lit(1)).alias("held"))
+                 .filter("x <> y and further").select("key", "class", F.ceil(F.col("held") / tile).cast("int").alias("tiles")))
         dealt = spread.join(units, ["key", "class"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         dealt = dealt.select(F.col("key").alias("unit_a"), F.col("class").alias("unit_b"), F.least("tile", "other").alias("unit_c"), F.greatest("tile", "other").alias("unit_d"),
                              "node", "component", "n", "tile", "sketch")
         unit = ["unit_a", "unit_b", "unit_c", "unit_d"]
-        near = dealt.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_compared(similarity, low, high), "a bigint, b bigint").distinct()
+        near = dealt.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_compared(similarity, nearest), "a bigint, b bigint").distinct()
         near = written(near, f"near{turn}")
-        turn += 1
-        found = written(_verified(near.filter("a <> b"), sets, similarity), f"links{turn}")
-        more = not near.filter("a = b").isEmpty()
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            if not more:
+        turn, nearest = turn + 1, nearest * growth
+        pairs, further = near.filter("a <> b"), near.filter("a = b").select(F.col("a").alias("node"))
+        last = further.isEmpty()
+        if not pairs.isEmpty():
+            links = links.unionByName(written(_verified(pairs, sets, similarity), f"links{turn}"))
+            if last:
                 components = connected_components(links)
-        if not more:
+        if last:
             break
-        low, high = high, high * nearest
 
     least = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = least.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -70,6 +70,37 @@ def test_components_equal_brute_force(spark, seed, tile, nearest):
     assert got == brute(rows)
 
 
+def test_keys_with_the_same_nodes_are_compared_once(spark, tmp_path, monkeypatch):
+    """Rows that carry sketches: each node once a key, no two keys with the same nodes, later rounds only where pairs are left."""
+    monkeypatch.setattr(J, "scratch_path", lambda *_: str(tmp_path / "parity"))
+    rows = made(1)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((tuple(r) for r in J.similar_components(docs, nearest=2).collect()), key=str)
+    assert got == brute(rows)
+    held = {}
+    for r in spark.read.parquet(str(tmp_path / "parity" / "spread0")).collect():
+        held.setdefault(r.key, []).append(r.node)
+    assert held and all(len(set(nodes)) == len(nodes) for nodes in held.values())
+    assert len({tuple(sorted(nodes)) for nodes in held.values()}) == len(held)
+    further = {r.a for r in spark.read.parquet(str(tmp_path / "parity" / "near0")).filter("a = b").collect()}
+    if (tmp_path / "parity" / "spread1").exists():
+        later = {}
+        for r in spark.read.parquet(str(tmp_path / "parity" / "spread1")).collect():
+            later.setdefault(r.key, set()).add(r.node)
+        assert all(nodes & further for nodes in later.values())
+
+
+def test_pair_beyond_the_nearest_is_found_from_either_side():
+    """A pair is left by one node as too far down its list, and then given by the other, which lay in the largest component before."""
+    spots = lambda *at: np.packbits(np.isin(np.arange(64), at)).tobytes()
+    node, size, tile = np.arange(4), np.full(4, 100), np.zeros(4, int)
+    sketches = [spots(), spots(1, 2), spots(1, 3), spots(4, 5, 6)]
+    first = J._near_pairs(node, np.array([0, 0, 0, 3]), size, tile, sketches, 85, 1)
+    assert (3, 3) in first
+    later = J._near_pairs(node, np.array([0, 1, 1, 1]), size, tile, sketches, 85, 4)
+    assert {(0, 1), (0, 2), (0, 3)} <= set(later)
+
+
 def test_similar_sets_share_a_key():
     rng = np.random.default_rng(3)
     for _ in range(400):
