@@ -12,12 +12,13 @@ of at least ``similarity`` percent; each row gets the component of its text.
   and they are the most selective.  A set also takes part in the next band's layout
   if a partner may be there.  Pieces meet by key, in one sorted pass.
 * Equal sets are one node from the start.  Each node is first verified against the
-  node it meets in most keys; links make components.  Only keys that still hold
-  several components go on, and of keys with the same nodes one: there all nodes beside the
+  node it meets in most keys; links make components.  Of keys with the same nodes one goes on
+  (with their number), as long as it holds several components: there all nodes beside the
   largest component are compared with all others on a smaller sketch of one word for 64 elements, by
   exclusive-or and bit counts, keys of more nodes than a tile in tiles within size classes.  The
   nearest of the pairs within the bound are verified.  Where a node has further ones, its keys go
   on with more and more of them, until none is left whose ends lie in different components.
+  Each round reads only the keys that held several components in the round before.
 * Verification is exact, on the sets of shingle hashes (64 bits).
 
 Every pair that could link two components is verified, so components are exact, while
@@ -294,15 +295,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.filter(100 * shared >= similarity * (F.col("a_n") + F.col("b_n") - shared)).select("a", "b")
 
 
-def _open_keys(tagged: DataFrame) -> DataFrame:
-    """``(key, held)`` of keys that hold several components and a node with further pairs; of keys with the same nodes one.
+def _distinct_keys(members: DataFrame) -> DataFrame:
+    """``(key, times)``: of keys with the same nodes one, and how many they are.
 
     Same nodes: equal in number and in two sums of 64-bit hashes.
     """
     total = lambda *of: F.sum(F.xxhash64(*of).cast("decimal(20,0)"))
-    keys = (tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("further").alias("further"), F.count(F.lit(1)).alias("held"),
-                                      total("node", "lower").alias("sum_a"), total("lower", "node").alias("sum_b")).filter("x <> y and further"))
-    return keys.groupBy("held", "sum_a", "sum_b").agg(F.min("key").alias("key")).select("key", "held")
+    keys = members.groupBy("key").agg(F.count(F.lit(1)).alias("held"), total("node", "lower").alias("sum_a"), total("lower", "node").alias("sum_b"))
+    return keys.groupBy("held", "sum_a", "sum_b").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("times")).select("key", "times")
 
 
 def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: int = SIMILARITY,
@@ -327,6 +327,7 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
             .select(F.explode(F.concat(marked(F.col("own"), F.col("id")), marked(F.col("upper"), F.col("id") + F.lit(_LOWER_BAND)))).alias("e")).select("e.*"))
     members = written(keys.repartition("key").sortWithinPartitions("key", "mark")
                       .mapInArrow(_groups, "key bigint, node bigint, lower boolean, rep bigint"), "members")
+    members = written(members.join(_distinct_keys(members), "key"), "distinct")
 
     # texts of the nodes that meet others: thinned out by a bitmap, joined exactly
     needed = written(members.select("node").distinct().join(signed.select(F.col("id").alias("node"), "doc_id", "ta", "tb"), "node"), "needed")
@@ -341,7 +342,7 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     texts = rows.mapInArrow(thinned, rows.schema).join(wanted, same).select("node", "text").dropDuplicates(["node"])
     sets = written(texts.mapInArrow(_sets, "node bigint, n bigint, shingles array<bigint>, own binary, upper binary"), "sets")
 
-    votes = members.filter("node <> rep").groupBy("node", "rep").agg(F.count(F.lit(1)).alias("votes"))
+    votes = members.filter("node <> rep").groupBy("node", "rep").agg(F.sum("times").alias("votes"))
     best = votes.groupBy(F.col("node").alias("b")).agg(F.max_by("rep", F.struct("votes", -F.col("rep"))).alias("a")).select("a", "b")
     links = written(_verified(best, sets, similarity), "links0")
     turn, growth = 0, nearest
@@ -350,13 +351,15 @@ def similar_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_i
     sized = sets.select("node", "n", size_class.alias("class"), "own", "upper")
     while True:
         components = connected_components(links)
-        label = components.select("node", "component")
-        tagged = members.select("key", "node", "lower").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        label = components.select("node", "component", F.lit(not turn).alias("further"))
         if turn:
-            tagged = tagged.join(further.withColumn("further", F.lit(True)), "node", "left")
-        else:
-            tagged = tagged.withColumn("further", F.lit(True))
-        spread = (tagged.join(_open_keys(tagged), "key").join(sized, "node")
+            label = components.join(further.withColumn("further", F.lit(True)), "node", "full").select("node", F.coalesce("component", "node").alias("component"), "further")
+        tagged = members.select("key", "node", "lower").join(label, "node", "left")
+        tagged = tagged.select("key", "node", "lower", F.coalesce("component", "node").alias("component"), F.coalesce("further", F.lit(not turn)).alias("further"))
+        tagged = written(tagged, f"tagged{turn}")
+        keys = tagged.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max("further").alias("open"), F.count(F.lit(1)).alias("held"))
+        members = written(tagged.join(keys.filter("x <> y").select("key", "open", "held"), "key"), f"mixed{turn}")  # the others stay in one component
+        spread = (members.filter("open").join(sized, "node")
                   .withColumn("sketch", F.when(F.col("lower"), F.col("upper")).otherwise(F.col("own")))
                   .withColumn("classes", F.when(F.col("held") > tile, F.array("class", F.col("class") + 1)).otherwise(F.array(F.lit(-1).cast("bigint"))))
                   .select("key", "node", "component", "further", "n", "sketch", F.explode("classes").alias("class")))

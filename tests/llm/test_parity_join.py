@@ -90,6 +90,29 @@ def test_keys_with_the_same_nodes_are_compared_once(spark, tmp_path, monkeypatch
         assert all(nodes & further for nodes in later.values())
 
 
+def test_rows_that_get_labels_are_those_of_distinct_keys(spark, tmp_path, monkeypatch):
+    """Labels are joined once a round, to the rows of keys that differ in their nodes, later only of keys with several components."""
+    monkeypatch.setattr(J, "scratch_path", lambda *_: str(tmp_path / "parity"))
+    rows = made(2)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((tuple(r) for r in J.similar_components(docs, nearest=2).collect()), key=str)
+    assert got == brute(rows)
+
+    def nodes(name):
+        held = {}
+        for r in spark.read.parquet(str(tmp_path / "parity" / name)).collect():
+            held.setdefault(r.key, []).append((r.node, r.lower))
+        return {k: tuple(sorted(v)) for k, v in held.items()}
+    every, first = nodes("members"), nodes("tagged0")
+    assert len(first) == len(set(every.values())) < len(every) and set(first.values()) == set(every.values())
+    times = {r.key: r.times for r in spark.read.parquet(str(tmp_path / "parity" / "distinct")).collect()}
+    assert sum(times.values()) == len(every)
+    parts = {}
+    for r in spark.read.parquet(str(tmp_path / "parity" / "tagged0")).collect():
+        parts.setdefault(r.key, set()).add(r.component)
+    assert (tmp_path / "parity" / "tagged1").exists() and set(nodes("tagged1")) == {k for k, v in parts.items() if len(v) > 1}
+
+
 def test_pair_beyond_the_nearest_is_found_from_either_side():
     """A pair is left by one node as too far down its list, and then given by the other, which lay in the largest component before."""
     spots = lambda *at: np.packbits(np.isin(np.arange(64), at)).tobytes()
