@@ -4,13 +4,14 @@ Phrases are 2 to ``longest`` words in a row within a piece of a text; per langua
 those found ``least`` times or more are scored by their weakest cut
 ``floor(1000 * a * n / (l * r))`` and dropped where a longer phrase is as frequent.
 
-* Every phrase of a frequent phrase is frequent.  Words are counted first, then hashes of pairs
-  of frequent words, then hashes of triples of frequent pairs; at last each word position gives
-  one record: the words from there on, up to ``longest``, as far as all pairs and triples are
-  frequent.  Blocks of texts count their own equal records before anything is shuffled.
-  "Frequent" is asked of bitmaps of fixed size (``hash_filter``), which like the hashes may let
-  some others through: they cost a record and fail the exact count of the records.
-* Counts of all phrases are sums over the records that begin with them.
+* Every phrase of a frequent phrase is frequent.  Words are counted first, then hashes of pairs of
+  frequent words, of triples of frequent pairs, and of longer phrases all of whose triples are frequent.
+  Blocks of texts count their own equal hashes before anything is shuffled.  "Frequent" is asked of bitmaps of
+  bounded size (``hash_filter``), which may let some others through: they cost a row and fail the count.
+* A phrase found ``least`` times or more is then named (its words read from a text) once: a small share of the
+  texts gives names first, ever larger ones give those still missing, the last share all that
+  are left.  The rows so made go with the phrases, not with the blocks that hold them.
+* A phrase stands for its 64-bit hash in the counts (as shingles do in operators 7 and 12), words for themselves.
 * The frequent phrases, with the empty phrase for a language's ``n``, are one stream in
   prefix order (words from the left), dealt to partitions by range.  There
   a phrase stands after all its beginnings, so a stack of at most ``longest`` counts
@@ -31,13 +32,13 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,11 +48,12 @@ from pairlab.session import cut_lineage
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 PAIR_BITS = BITS + 2
-COUNT_BITS = 40  # of the hashes that are counted: shorter ones let more through, results stay
+SHARES = (0, 1, 4, 16, 64, 256)  # of 256 parts of the texts: where the rounds of naming begin and end
 BLOCK_BYTES = 4 << 20  # of text counted at once
 # lower case, piece ends as line feeds, tabs as spaces
 TABLE = bytes(10 if c in b".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 STREAM = "lang string, phrase array<string>, f bigint"
+NAMES = "lang string, phrase array<string>, hash bigint"
 
 
 def word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
@@ -86,99 +88,61 @@ def _coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return names, codes, end - np.arange(len(codes))
 
 
-def _rows(lang: str, names: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
-    """Phrases given by one array of codes for each place (-1: none) with their counts."""
-    table = np.stack(columns, 1) if columns else np.empty((len(counts), 0), np.int64)
-    used = table >= 0
-    flat = pa.array(names[table[used]].tolist() if len(names) else [], pa.binary()).cast(pa.string())
-    offsets = np.r_[0, np.cumsum(used.sum(1))].astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(counts.astype(np.int64))],
-                                      names=["lang", "phrase", "f"])
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for lang, names, codes, _ in word_blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(names), pa.string()), pa.array(names.tolist(), pa.binary()).cast(pa.string()),
                                           pa.array(np.bincount(codes, minlength=len(names)))], names=["lang", "word", "f"])
 
 
-class _Phrases:
-    """Pairs and triples of a block of texts, as far as the bitmaps hold their parts."""
-
-    def __init__(self, lang: str, names: np.ndarray, codes: np.ndarray, left: np.ndarray, words: np.ndarray):
-        seed = xxhash.xxh64_intdigest(lang.encode(), 42)  # as Spark's xxhash64(lang, word)
-        self.hash = np.array([xxhash.xxh64_intdigest(w, seed) for w in names], np.uint64)
-        self.codes, self.left = codes, left
-        good = np.r_[may_hold(words, self.hash)[codes], False] if len(codes) else np.zeros(1, bool)
-        self.at = np.flatnonzero(good[:-1] & good[1:] & (left > 1))  # where a pair of frequent words begins
-        self.pair, self.place, self.times = self._distinct(codes[self.at], codes[self.at + 1], len(names))
-        self.pair_hash = mixed(mixed(self.hash[self.pair[0]]) + self.hash[self.pair[1]])
-
-    @staticmethod
-    def _distinct(a: np.ndarray, b: np.ndarray, n: int):
-        each, place, times = np.unique(a * np.int64(n) + b, return_inverse=True, return_counts=True)
-        return (each // max(1, n), each % max(1, n)), place, times
-
-    def triples(self, pairs: np.ndarray) -> None:
-        """Keeps the frequent pairs and forms the triples of two of them in a row."""
-        n = len(self.codes)
-        kept = may_hold(pairs, self.pair_hash)[self.place]
-        self.pairs_on = np.zeros(n + 1, bool)
-        self.pairs_on[self.at[kept]] = True
-        number = np.zeros(n + 1, np.int64)
-        number[self.at] = self.place
-        self.three = np.flatnonzero(self.pairs_on[:-1] & self.pairs_on[1:])
-        first, second = number[self.three], number[self.three + 1]
-        (a, b), self.three_place, self.three_times = self._distinct(first, second, len(self.pair_hash))
-        self.three_hash = mixed(mixed(self.pair_hash[a]) + self.pair_hash[b])
-
-    def records(self, triples: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the frequent pairs, and how many words their records have."""
-        n = len(self.codes)
-        on = np.zeros(n + 1, bool)
-        on[self.three[may_hold(triples, self.three_hash)[self.three_place]]] = True
-        at = np.flatnonzero(self.pairs_on[:-1])
-        broken = np.flatnonzero(~on)
-        in_a_row = broken[np.searchsorted(broken, at)] - at
-        return at, np.minimum(in_a_row + 2, longest)
-
-
-def _hashes(hashes: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    hashes = hashes & np.uint64((1 << COUNT_BITS) - 1)
-    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(times.astype(np.int64))], names=["hash", "f"])
-
-
-def _count_pairs(words: np.ndarray) -> Callable:
+def _phrases(lang: str, names: np.ndarray, codes: np.ndarray, left: np.ndarray, maps: Sequence[np.ndarray],
+             longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The block's phrases of 2, 3, ... words, as far as the bitmaps (of words, pairs, ...) hold their parts:
+    how many words, hashes, times found, where one begins, and which one that is."""
+    seed = xxhash.xxh64_intdigest(lang.encode(), 42)  # as Spark's xxhash64(lang, word)
+    hashes, number = np.array([xxhash.xxh64_intdigest(w, seed) for w in names], np.uint64), codes
+    on = may_hold(maps[0], hashes)[codes] if len(codes) else np.zeros(0, bool)
+    for size in range(2, longest + 1):
+        both = np.zeros(len(codes), bool)
+        both[:-1] = on[:-1] & on[1:]
+        at = np.flatnonzero(both & (left >= size))
+        n = max(1, len(hashes))
+        each, which, times = np.unique(number[at] * np.int64(n) + number[at + 1], return_inverse=True, return_counts=True)
+        hashes = mixed(mixed(hashes[each // n]) + hashes[each % n])
+        yield size, hashes, times, at, which
+        on = np.zeros(len(codes), bool)
+        on[at] = may_hold(maps[size - 1], hashes)[which] if size <= len(maps) else True
+        number = np.zeros(len(codes), np.int64)
+        number[at] = which
+
+
+def _count_phrases(maps: Sequence[np.ndarray], shortest: int, longest: int) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, names, codes, left in word_blocks(batches):
-            block = _Phrases(lang, names, codes, left, words)
-            yield _hashes(block.pair_hash, block.times)
+        for block in word_blocks(batches):
+            for size, hashes, times, _, _ in _phrases(*block, maps, longest):
+                if size >= shortest:
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(times.astype(np.int64))], names=["hash", "f"])
     return work
 
 
-def _count_triples(words: np.ndarray, pairs: np.ndarray) -> Callable:
+def _name_phrases(maps: Sequence[np.ndarray], wanted: np.ndarray, longest: int) -> Callable:
+    """The words of the phrases whose hashes ``wanted`` holds, once a block."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, names, codes, left in word_blocks(batches):
-            block = _Phrases(lang, names, codes, left, words)
-            block.triples(pairs)
-            yield _hashes(block.three_hash, block.three_times)
+            for size, hashes, _, at, which in _phrases(lang, names, codes, left, maps, longest):
+                where = np.zeros(len(hashes), np.int64)
+                where[which] = at
+                kept = may_hold(wanted, hashes)
+                places = where[kept, None] + np.arange(size)
+                words = pa.array(names[codes[places.ravel()]].tolist(), pa.binary()).cast(pa.string())
+                offsets = pa.array(np.arange(len(places) + 1, dtype=np.int32) * np.int32(size))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(places), pa.string()), pa.ListArray.from_arrays(offsets, words),
+                                                  pa.array(hashes[kept].view(np.int64))], names=["lang", "phrase", "hash"])
     return work
 
 
-def _count_records(words: np.ndarray, pairs: np.ndarray, triples: np.ndarray, longest: int) -> Callable:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, names, codes, left in word_blocks(batches):
-            block = _Phrases(lang, names, codes, left, words)
-            block.triples(pairs)
-            at, size = block.records(triples, longest)
-            n = len(names)
-            columns = [np.where(size > k, codes[np.minimum(at + k, len(codes) - 1)], -1) for k in range(longest)]
-            key = np.zeros(len(at), np.int64)
-            for c in columns:  # one number for each record, step by step
-                key = np.unique(key * np.int64(n + 1) + c + 1, return_inverse=True)[1].astype(np.int64)
-            _, first, counts = np.unique(key, return_index=True, return_counts=True)
-            yield _rows(lang, names, [c[first] for c in columns], counts)
-    return work
+def _bitmap(rows: DataFrame, column: Column, bits: int) -> np.ndarray:
+    """A bitmap of at least 256 bits a row, as far as ``2 ** bits`` go."""
+    return bitmap_of(rows, column, min(bits, (256 * rows.count()).bit_length()))
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST,
@@ -189,18 +153,42 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     words = cut_lineage(rows.mapInArrow(_count_words, "lang string, word string, f bigint").groupBy("lang", "word").agg(total))
     all_ = words.groupBy("lang").agg(total).select("lang", F.array().cast("array<string>").alias("phrase"), "f")
     words = words.filter(F.col("f") >= least)
-    word_map = bitmap_of(words, F.xxhash64("lang", "word"), word_bits)
-
-    def often(work: Callable) -> np.ndarray:
-        counts = rows.mapInArrow(work, "hash bigint, f bigint").groupBy("hash").agg(total)
-        return bitmap_of(counts.filter(F.col("f") >= least), F.col("hash"), pair_bits)
-
-    pair_map = often(_count_pairs(word_map))
-    triple_map = often(_count_triples(word_map, pair_map))
-    records = cut_lineage(rows.mapInArrow(_count_records(word_map, pair_map, triple_map, longest), STREAM).groupBy("lang", "phrase").agg(total))
-    begun = records.select("lang", F.explode(F.transform(F.sequence(F.lit(2), F.size("phrase")), lambda k: F.slice("phrase", 1, k))).alias("phrase"), "f")
-    longer = begun.groupBy("lang", "phrase").agg(total).filter(F.col("f") >= least)
-    return all_.unionByName(words.select("lang", F.array("word").alias("phrase"), "f")).unionByName(longer)
+    word_map = _bitmap(words, F.xxhash64("lang", "word"), word_bits)
+
+    def often(maps: Sequence[np.ndarray], shortest: int, longest: int) -> DataFrame:
+        counts = rows.mapInArrow(_count_phrases(maps, shortest, longest), "hash bigint, f bigint").groupBy("hash").agg(total)
+        return cut_lineage(counts.filter(F.col("f") >= least))
+
+    maps, counted = [word_map], []
+    for size in range(2, min(3, longest) + 1):
+        counted.append(often(maps, size, size))
+        maps.append(_bitmap(counted[-1], F.col("hash"), pair_bits))
+    if longest > 3:
+        counted.append(often(maps, 4, longest))
+    found = all_.unionByName(words.select("lang", F.array("word").alias("phrase"), "f"))
+    for more in _named(rows, maps, counted, longest, pair_bits):
+        found = found.unionByName(more)
+    return found
+
+
+def _named(rows: DataFrame, maps: Sequence[np.ndarray], counted: Sequence[DataFrame], longest: int, bits: int) -> list[DataFrame]:
+    """``(lang, phrase, f)`` of the hashes counted, each named by the first share of the texts that holds it."""
+    named: list[DataFrame] = []
+    if not counted:
+        return named
+    missing = counted[0]
+    for more in counted[1:]:
+        missing = missing.unionByName(more)
+    part = F.pmod(F.xxhash64("text"), F.lit(SHARES[-1]))
+    for begin, end in zip(SHARES, SHARES[1:]):
+        if missing.isEmpty():
+            break
+        wanted = _bitmap(missing, F.col("hash"), bits)
+        share = rows.filter((part >= begin) & (part < end)).mapInArrow(_name_phrases(maps, wanted, longest), NAMES)
+        some = cut_lineage(share.join(missing, "hash").groupBy("hash").agg(F.min(F.struct("lang", "phrase", "f")).alias("p")))
+        named.append(some.select("p.lang", "p.phrase", "p.f"))
+        missing = cut_lineage(missing.join(some, "hash", "left_anti"))
+    return named
 
 
 def _in_order(stream: DataFrame, order: str) -> tuple[DataFrame, dict[int, list], dict[int, tuple]]:

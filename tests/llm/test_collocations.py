@@ -61,6 +61,44 @@ def test_phrases_equal_brute_force(spark, seed, least, bits, parts, monkeypatch)
     assert sorted((r.lang, tuple(r.phrase), r.a, r.l, r.r, r.n, r.score) for r in got) == brute(rows, least)
 
 
+def test_phrases_are_named_about_once(spark, monkeypatch):
+    """Rows that hold a phrase's words go with the phrases, not with the blocks that hold them."""
+    rng = random.Random(4)
+    rows = [("en", f"t{i} " + " ".join(rng.choices(["a", "b", "c", "d"], k=12))) for i in range(3000)]
+    docs, made = spark.createDataFrame(rows, "lang string, text string").repartition(4), []
+    real = type(docs).mapInArrow
+
+    def counted(self, work, schema, *more):
+        out = real(self, work, schema, *more)
+        if self.columns == ["lang", "text"] and "phrase" in str(schema):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    monkeypatch.setattr(C, "BLOCK_BYTES", 200)
+    found = C.frequent_phrases(docs, least=10).filter("size(phrase) > 1")
+    assert {(r.lang, tuple(r.phrase)): r.f for r in found.collect()} == often(rows, 10)
+    assert sum(made) <= 4 * len(often(rows, 10))
+
+
+def often(rows, least):
+    """Frequent phrases of 2 to 5 words of texts without piece ends."""
+    f = Counter()
+    for lang, text in rows:
+        words = text.split()
+        f.update((lang, tuple(words[i:i + k])) for k in range(2, 6) for i in range(len(words) - k + 1))
+    return {p: a for p, a in f.items() if a >= least}
+
+
+@pytest.mark.parametrize("longest", [2, 3, 4, 5])
+def test_longest(spark, longest):
+    """A phrase that only one text holds is named in whichever round that text falls."""
+    rows = made(5) + [("de", "nur hier steht das " * 9)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    got = C.collocations(docs, least=5, longest=longest).collect()
+    assert sorted((r.lang, tuple(r.phrase), r.a, r.l, r.r, r.n, r.score) for r in got) == brute(rows, 5, longest)
+
+
 def test_products_beyond_64_bits():
     row = {"lang": "en", "phrase": ["a", "b"], "f": 10 ** 15, "left": [10 ** 18, 10 ** 16], "covered": False}
     assert C._scored(row, [10 ** 18, 10 ** 17], False)["score"] == 1000 * 10 ** 33 // 10 ** 33
