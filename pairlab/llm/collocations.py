@@ -48,7 +48,7 @@ from pairlab.session import cut_lineage
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 PAIR_BITS = BITS + 2
-SHARES = (0, 1, 4, 16, 64, 256)  # of 256 parts of the texts: where the rounds of naming begin and end
+SHARES = (0, 2, 16, 256)  # of 256 parts of the texts: where the rounds of naming begin and end
 BLOCK_BYTES = 4 << 20  # of text counted at once
 # lower case, piece ends as line feeds, tabs as spaces
 TABLE = bytes(10 if c in b".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -59,10 +59,10 @@ NAMES = "lang string, phrase array<string>, hash bigint"
 def word_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
     """(lang, text) -> for each language of a block of texts: distinct words, word codes in order, and how many words of the piece are left."""
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
         blocks: dict[str, list[bytes]] = {}
         held: dict[str, int] = {}
-        for lang, text in zip(langs, texts):
+        for lang, scalar in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):  # texts one by one: not the batch twice
+            text = scalar.as_py()
             if not text:
                 continue
             if held.get(lang, 0) > BLOCK_BYTES:
@@ -79,11 +79,13 @@ def _coded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     words = data.split()
     each = np.empty(len(words), object)
     each[:] = words
+    del words
     codes, names = pd.factorize(each)
+    del each
     byte = np.frombuffer(data, np.uint8)
     blank = (byte == 32) | (byte == 10)
     start = np.flatnonzero(~blank & np.r_[True, blank[:-1]][: len(byte)])
-    piece = np.cumsum(byte == 10)[start]
+    piece = np.cumsum(byte == 10, dtype=np.int32)[start]
     end = np.searchsorted(piece, piece, "right")
     return names, codes, end - np.arange(len(codes))
 
